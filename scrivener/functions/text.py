@@ -41,9 +41,14 @@ def words(text) -> Column:
     return F.filter(F.split(F.lower(F.trim(_c(text))), r"\s+"), lambda w: w != "")
 
 
-def word_ngrams(text, n: int = 5) -> Column:
-    """Array of word n-grams (space-joined) over the whole text."""
-    w = words(text)
+def ngrams_of(tokens, n: int = 5) -> Column:
+    """Array of word n-grams (space-joined) from a token-array column.
+
+    Pass a column that is already materialised (a plain column reference):
+    the lambda reads it once per position, so an inline tokenising
+    expression would be re-evaluated per n-gram.
+    """
+    w = _c(tokens)
     idx = F.sequence(F.lit(1), F.size(w) - n + 1)
     return F.when(F.size(w) >= n, F.transform(
         idx, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(

@@ -1 +1,72 @@
-"""Registered queries."""
+"""Registered similarity queries: C8, C9, C10."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scrivener.operators import similarity as SIM
+from scrivener.plans.registry import query
+from scrivener.sources.tables import read_table
+
+
+def _grams_cte(name: str, table: str, id_col: str) -> str:
+    """Distinct word 5-grams per row of ``table`` (DuckDB)."""
+    return f"""
+{name}_toks AS (
+  SELECT {id_col} AS doc_id,
+         list_filter(string_split_regex(lower(trim(coalesce(text, ''))), '\\s+'), lambda w: w <> '') AS w
+  FROM {table}),
+{name} AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i
+        FROM {name}_toks WHERE len(w) >= 5))"""
+
+
+GRAMS = _grams_cte("grams", "documents", "doc_id")
+BENCH_GRAMS = _grams_cte("bgrams", "benchmark", "item_id")
+
+INTERNAL_SQL = f"""
+WITH {GRAMS.strip()},
+df AS (SELECT s, count(*) AS c FROM grams GROUP BY s),
+per AS (SELECT g.doc_id, count(*) AS n, count(*) FILTER (WHERE df.c > 1) AS shared
+        FROM grams g JOIN df USING (s) GROUP BY g.doc_id)
+SELECT d.doc_id, coalesce(per.n, 0) AS n_shingles,
+       round(CASE WHEN coalesce(per.n, 0) = 0 THEN 0.0 ELSE per.shared / per.n END, 6) AS internal_score
+FROM documents d LEFT JOIN per USING (doc_id)"""
+
+EXTERNAL_SQL = f"""
+WITH {GRAMS.strip()}, {BENCH_GRAMS.strip()},
+ext AS (SELECT DISTINCT s FROM bgrams),
+per AS (SELECT g.doc_id, count(*) AS n, count(ext.s) AS m FROM grams g LEFT JOIN ext USING (s)
+        GROUP BY g.doc_id)
+SELECT d.doc_id, coalesce(per.n, 0) AS n_shingles, coalesce(per.m, 0) AS n_external,
+       round(CASE WHEN coalesce(per.n, 0) = 0 THEN 0.0 ELSE per.m / per.n END, 6) AS external_score
+FROM documents d LEFT JOIN per USING (doc_id)"""
+
+FLAGGED_SQL = f"""
+WITH {GRAMS.strip()},
+shared AS (SELECT s FROM grams GROUP BY s HAVING count(*) > 1)
+SELECT doc_id, count(*) AS n_shared,
+       array_to_string(list(s ORDER BY s)[1:3], chr(10)) AS flagged_sections
+FROM grams JOIN shared USING (s) GROUP BY doc_id"""
+
+
+@query("internal_similarity", INTERNAL_SQL)
+def internal_similarity(spark, d):
+    """Share of each document's 5-word passages found in another document."""
+    return SIM.internal_similarity(read_table(spark, d, "documents"))
+
+
+@query("external_similarity", EXTERNAL_SQL)
+def external_similarity(spark, d):
+    """Share of each document's 5-word passages found in the outside corpus."""
+    return SIM.external_similarity(read_table(spark, d, "documents"),
+                                   read_table(spark, d, "benchmark"))
+
+
+@query("flagged_sections", FLAGGED_SQL)
+def flagged_sections(spark, d):
+    """The first three shared passages of each document that shares any."""
+    f = SIM.flagged_sections(read_table(spark, d, "documents"))
+    return f.select("doc_id", "n_shared",
+                    F.array_join("flagged_sections", "\n").alias("flagged_sections"))
