@@ -68,6 +68,43 @@ def rank_desc(df: DataFrame, keys, order_cols, bucket: Column, out: str = "rank"
             .drop("_b", "_rn", "_off"))
 
 
+def row_number_asc(df: DataFrame, keys, order_cols, bucket: Column, out: str = "rn") -> DataFrame:
+    """Ascending row number within ``keys`` (1 = oldest), computed in
+    (key, bucket) slices plus the row counts of older buckets, like
+    :func:`rank_desc`. ``bucket`` must be monotone in the order."""
+    keys = list(keys)
+    b = df.withColumn("_b", bucket)
+    counts = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    older = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(older), F.lit(0)).alias("_off"))
+    local = Window.partitionBy(*keys, "_b").orderBy(*order_cols)
+    ranked = b.withColumn("_rn", F.row_number().over(local))
+    return (ranked.join(offsets, [*keys, "_b"])
+            .withColumn(out, F.col("_rn") + F.col("_off"))
+            .drop("_b", "_rn", "_off"))
+
+
+def previous_value(df: DataFrame, keys, order_cols, value: str, bucket: Column,
+                   out: str = "prev") -> DataFrame:
+    """``lag(value)`` per series without one task per series.
+
+    Inside a (series, bucket) slice the ordinary lag is used; the first row
+    of a slice takes the last value of the series' previous non-empty
+    bucket, found in a small (series, bucket) table."""
+    keys = list(keys)
+    b = df.withColumn("_b", bucket)
+    last = b.groupBy(*keys, "_b").agg(
+        F.max(F.struct(*[F.col(c) for c in order_cols], F.col(value).alias("_v"))).alias("_last"))
+    by_bucket = Window.partitionBy(*keys).orderBy("_b")
+    carry = last.select(*keys, "_b", F.lag(F.col("_last._v")).over(by_bucket).alias("_carry"))
+    local = Window.partitionBy(*keys, "_b").orderBy(*order_cols)
+    lagged = b.withColumn("_lag", F.lag(value).over(local)).withColumn(
+        "_first", F.row_number().over(local) == 1)
+    return (lagged.join(carry, [*keys, "_b"])
+            .withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
+            .drop("_b", "_lag", "_first", "_carry"))
+
+
 def top_n_per_key(df: DataFrame, keys, order: list[Column], n: int, out: str = "rank") -> DataFrame:
     """Top-n rows per key. ``row_number() <= n`` lets Spark insert a partial
     WindowGroupLimit before the shuffle, so each map task forwards at most n

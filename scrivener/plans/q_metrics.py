@@ -1 +1,185 @@
-"""Registered queries."""
+"""Registered metric/alert queries: H1-H15, C11."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scrivener.operators import metrics as H
+from scrivener.plans import views as V
+from scrivener.plans.registry import query
+from scrivener.plans.sql_views import with_views
+
+ROUTES = [({"severity": "critical"}, "critical"), ({"severity": "warning"}, "warning"),
+          ({"component": "prometheus"}, "platform"), ({"component": "loki"}, "platform")]
+INHIBIT_RULES = [
+    {"source": {"severity": "critical"}, "target_re": {"severity": "warning"},
+     "equal": ["alertname", "dev", "instance"]},
+    {"source": {"alertname": "InfoInhibitor"}, "target_re": {"severity": "info|warning|critical"},
+     "equal": ["namespace"]},
+]
+LOG_JOBS = r"^svc[0-2]-service$"
+POD_PATTERN = r"^svc[0-2]-service-"
+
+
+@query("metric_rate", with_views("""
+SELECT job, time_bucket(INTERVAL 5 MINUTES, ts) AS window_start,
+       round(coalesce(sum(inc), 0.0) / 300, 6) AS rate
+FROM (SELECT job, ts, CASE WHEN value - lag(value) OVER w < 0 THEN value
+                           ELSE value - lag(value) OVER w END AS inc
+      FROM counter_samples WINDOW w AS (PARTITION BY job ORDER BY ts, event_id))
+GROUP BY 1, 2""", "counter_samples"))
+def metric_rate(spark, d):
+    """H1: reset-aware 5-minute rate of the request counter per job."""
+    return H.rate(V.counter_samples(spark, d), ["job"], tie="event_id")
+
+
+@query("error_rate", with_views("""
+SELECT job, time_bucket(INTERVAL 5 MINUTES, ts) AS window_start,
+       round(count(*) FILTER (WHERE regexp_matches(CAST(status AS VARCHAR), '^5..$')) / 300, 6) AS error_rate,
+       count(*) FILTER (WHERE regexp_matches(CAST(status AS VARCHAR), '^5..$')) / 300 > 0.05 AS breach
+FROM requests GROUP BY 1, 2""", "requests"))
+def error_rate(spark, d):
+    """H2: 5xx rate per job in 5-minute windows with the 0.05/s alert flag."""
+    return H.error_rate(V.requests(spark, d), ["job"])
+
+
+def _p95_sql():
+    bounds = [0.1, 0.25, 0.5, 1.0, 2.5, 5.0]
+    cums = ",\n       ".join(f"count(*) FILTER (WHERE latency_s <= {b}) AS c{i}" for i, b in enumerate(bounds))
+    parts, pb, pc = [], "0.0", "0"
+    for i, b in enumerate(bounds):
+        parts.append(f"WHEN c{i} >= 0.95 * total THEN {pb} + ({b} - {pb}) * (0.95 * total - {pc}) / (c{i} - {pc})")
+        pb, pc = str(b), f"c{i}"
+    case = "CASE " + " ".join(parts) + " ELSE 5.0 END"
+    return with_views(f"""
+SELECT job, window_start, round({case}, 6) AS quantile
+FROM (SELECT job, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
+       {cums}, count(*) AS total
+      FROM requests GROUP BY 1, 2)""", "requests")
+
+
+@query("latency_p95", _p95_sql())
+def latency_p95(spark, d):
+    """H3: hourly p95 latency per job from cumulative histogram buckets."""
+    return H.histogram_quantile(V.requests(spark, d), ["job"])
+
+
+@query("memory_gib", with_views(f"""
+SELECT job, pod, ts, round(value / 1073741824, 6) AS gib FROM pod_memory
+WHERE regexp_matches(pod, '{POD_PATTERN}')""", "pod_memory"))
+def memory_gib(spark, d):
+    """Memory of the selected pods in GiB."""
+    g = H.to_gib(V.pod_memory(spark, d), pattern=POD_PATTERN)
+    return g.select("job", "pod", "ts", F.col("value").alias("gib"))
+
+
+@query("series_counts", with_views("""
+SELECT job, count(*) AS n_series, count(*) FILTER (WHERE value > 419430400) AS n_high,
+       count(*) FILTER (WHERE ts = (SELECT max(ts) FROM pod_memory)) AS n_current
+FROM (SELECT *, row_number() OVER (PARTITION BY job, pod ORDER BY ts DESC) AS rn FROM pod_memory)
+WHERE rn = 1 GROUP BY job""", "pod_memory"))
+def series_counts(spark, d):
+    """H5: pods per job, pods whose newest sample is high, pods reporting now."""
+    return H.series_counts(V.pod_memory(spark, d), ["job", "pod"], ["job"], high=400 * V.MIB)
+
+
+@query("sum_by_label", with_views("""
+SELECT job, window_start, round(sum(r), 6) AS rate FROM (
+  SELECT job, pod, time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, count(*) / 300 AS r
+  FROM requests GROUP BY 1, 2, 3) GROUP BY 1, 2""", "requests"))
+def sum_by_label(spark, d):
+    """H6: per-pod request rates summed by job."""
+    per_pod = V.requests(spark, d).groupBy("job", "pod", F.window("ts", "5 minutes").alias("w")).agg(
+        (F.count(F.lit(1)) / 300).alias("r")).select("job", "pod", F.col("w.start").alias("window_start"), "r")
+    return H.sum_by(per_pod, ["job", "window_start"], "r", out="rate")
+
+
+@query("alert_for", with_views("""
+SELECT job, ts, round(v, 6) AS v, since FROM (
+  SELECT *, min(ts) OVER (PARTITION BY job, grp) AS since FROM (
+    SELECT *, step - row_number() OVER (PARTITION BY job ORDER BY step) AS grp FROM (
+      SELECT *, CAST(epoch(ts) / 3600 AS BIGINT) AS step FROM (
+        SELECT job, date_trunc('hour', ts) AS ts, avg(value) AS v FROM requests GROUP BY 1, 2)
+      WHERE v > 50)))
+WHERE epoch(ts) - epoch(since) >= 7200""", "requests"))
+def alert_for(spark, d):
+    """H7/H9: hourly average above 50 sustained for 2 hours fires."""
+    flags = V.requests(spark, d).groupBy("job", F.date_trunc("hour", "ts").alias("ts")).agg(
+        F.avg("value").alias("v")).withColumn("breach", F.col("v") > 50)
+    s = H.sustained(flags, ["job"], "ts", "breach", 3600, 7200)
+    return s.select("job", "ts", "v", "since")
+
+
+@query("value_changes", with_views("""
+SELECT job, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
+       count(*) FILTER (WHERE value <> prev) AS changes,
+       count(*) FILTER (WHERE value < prev) AS resets
+FROM (SELECT *, lag(value) OVER (PARTITION BY job ORDER BY ts, event_id) AS prev FROM counter_samples)
+GROUP BY 1, 2""", "counter_samples"))
+def value_changes(spark, d):
+    """Hourly changes() and resets() of the request counter per job."""
+    return H.value_changes(V.counter_samples(spark, d), ["job"], tie="event_id")
+
+
+@query("alert_groups", with_views("""
+SELECT ts, alertname, cluster, service, count(*) AS n_alerts,
+       string_agg(description, '; ' ORDER BY description) AS descriptions
+FROM alerts GROUP BY ts, alertname, cluster, service""", "alerts"))
+def alert_groups(spark, d):
+    """Alerts grouped by (alertname, cluster, service) per evaluation."""
+    return H.group_alerts(V.alerts(spark, d), ["ts", "alertname", "cluster", "service"])
+
+
+@query("alert_routes", with_views("""
+SELECT ts, alertname, severity, pod, component,
+       CASE WHEN severity = 'critical' THEN 'critical' WHEN severity = 'warning' THEN 'warning'
+            WHEN component = 'prometheus' THEN 'platform' WHEN component = 'loki' THEN 'platform'
+            ELSE 'default' END AS receiver
+FROM alerts""", "alerts"))
+def alert_routes(spark, d):
+    """Receiver of each alert, first matching route wins."""
+    a = V.alerts(spark, d)
+    return a.select("ts", "alertname", "severity", "pod", "component",
+                    H.route(ROUTES, "default").alias("receiver"))
+
+
+@query("alert_inhibit", with_views("""
+SELECT ts, alertname, severity, instance, pod FROM alerts a
+WHERE NOT (a.severity = 'warning' AND EXISTS (
+        SELECT 1 FROM alerts c WHERE c.severity = 'critical' AND c.ts = a.ts
+          AND c.alertname IS NOT DISTINCT FROM a.alertname AND c.dev IS NOT DISTINCT FROM a.dev
+          AND c.instance IS NOT DISTINCT FROM a.instance))
+  AND NOT (a.severity IN ('info', 'warning', 'critical') AND EXISTS (
+        SELECT 1 FROM alerts c WHERE c.alertname = 'InfoInhibitor' AND c.ts = a.ts
+          AND c.namespace IS NOT DISTINCT FROM a.namespace))""", "alerts"))
+def alert_inhibit(spark, d):
+    """Warnings inhibited by a critical alert with equal labels."""
+    out = H.inhibit(V.alerts(spark, d), INHIBIT_RULES)
+    return out.select("ts", "alertname", "severity", "instance", "pod")
+
+
+@query("select_logs", with_views(f"""
+SELECT event_id, ts, job, pod, status FROM requests WHERE regexp_matches(job, '{LOG_JOBS}')""",
+                                  "requests"))
+def select_logs(spark, d):
+    """Log lines of the jobs matching a regex selector."""
+    r = V.requests(spark, d)
+    return r.where(F.col("job").rlike(LOG_JOBS)).select("event_id", "ts", "job", "pod", "status")
+
+
+@query("reject_old", with_views("""
+SELECT event_id, ts, ts >= (SELECT max(ts) FROM requests) - INTERVAL 168 HOURS AS accepted
+FROM requests""", "requests"))
+def reject_old(spark, d):
+    """Samples older than 168 h before the newest are rejected."""
+    return H.reject_old(V.requests(spark, d).select("event_id", "ts"))
+
+
+@query("metric_ratio", with_views("""
+SELECT job, ts, usage, "limit", round(usage / "limit", 6) AS ratio, usage / "limit" > 0.9 AS breach
+FROM job_memory""", "job_memory"))
+def metric_ratio(spark, d):
+    """C11/H8: memory usage over limit per job and hour, alert above 0.9."""
+    m = V.job_memory(spark, d)
+    return H.ratio(m.select("job", "ts", "usage"), m.select("job", "ts", "limit"),
+                   ["job", "ts"], "usage", "limit", threshold=H.MEMORY_RATIO_THRESHOLD)

@@ -90,3 +90,34 @@ def with_views(sql: str, *names: str, extra: list[str] | None = None) -> str:
     if not ctes:
         return sql.strip()
     return "WITH " + ",\n".join(ctes) + "\n" + sql.strip()
+
+VIEWS.update({
+    "counter_samples": """
+counter_samples AS (
+  SELECT job, ts, event_id, 'http_requests_total' AS metric,
+         CAST(row_number() OVER (PARTITION BY job ORDER BY ts, event_id) % 100 AS DOUBLE) AS value
+  FROM requests)""",
+    "pod_memory": """
+pod_memory AS (
+  SELECT job, pod, date_trunc('hour', ts) AS ts, max(value) * 1048576 AS value,
+         'memory_working_set_bytes' AS metric
+  FROM requests GROUP BY job, pod, date_trunc('hour', ts))""",
+    "job_memory": """
+job_memory AS (
+  SELECT 'svc' || CAST(user_id % 5 AS VARCHAR) || '-service' AS job, date_trunc('hour', ts) AS ts,
+         max(value) * 1048576 AS usage, CAST((300 + 50 * max(user_id % 5)) * 1048576 AS DOUBLE) AS "limit"
+  FROM events GROUP BY 1, 2)""",
+    "alerts": """
+alerts AS (
+  SELECT ts, 'HighValue' AS alertname,
+         CASE WHEN v > 70 THEN 'critical' WHEN v > 50 THEN 'warning' ELSE 'info' END AS severity,
+         'primary' AS cluster, job AS service, job AS instance, pod, NULL::VARCHAR AS dev,
+         NULL::VARCHAR AS namespace,
+         CASE job WHEN 'svc0-service' THEN 'prometheus' WHEN 'svc1-service' THEN 'loki' END AS component,
+         pod || ' avg ' || printf('%.2f', v) AS description
+  FROM (SELECT job, pod, date_trunc('hour', ts) AS ts, avg(value) AS v FROM requests
+        GROUP BY job, pod, date_trunc('hour', ts))
+  WHERE v > 30)""",
+})
+DEPENDS.update({"counter_samples": ("requests",), "pod_memory": ("requests",),
+                "alerts": ("requests",)})

@@ -122,3 +122,53 @@ def user_changes(spark: SparkSession, d: str) -> DataFrame:
 def base_users(spark: SparkSession, d: str) -> DataFrame:
     """Base table for the change-log test: users of nations below 10."""
     return users(spark, d, max_nation=10)
+
+
+# --- metric samples and alerts (H rows) -------------------------------------
+
+MIB = 1048576
+
+
+def counter_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Request counter per job: the r-th request of a job (by ts, event_id)
+    has counter value r % 100, so the series resets every 100 requests."""
+    from scrivener.operators.base import row_number_asc
+    r = requests(spark, d).select("event_id", "ts", "job")
+    rn = row_number_asc(r, ["job"], ["ts", "event_id"], F.date_trunc("day", "ts"))
+    return rn.select("job", "ts", "event_id", F.lit("http_requests_total").alias("metric"),
+                     (F.col("rn") % 100).cast("double").alias("value"))
+
+
+def pod_memory(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly memory gauge per pod: max request value in MiB, as bytes."""
+    r = requests(spark, d)
+    return r.groupBy("job", "pod", F.date_trunc("hour", "ts").alias("ts")).agg(
+        (F.max("value") * MIB).alias("value")).withColumn(
+        "metric", F.lit("memory_working_set_bytes"))
+
+
+def job_memory(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly memory usage and limit per job (usage / limit feed C11, H8)."""
+    e = read_table(spark, d, "events")
+    job = F.concat(F.lit("svc"), _job_index().cast("string"), F.lit("-service"))
+    return e.groupBy(job.alias("job"), F.date_trunc("hour", "ts").alias("ts")).agg(
+        (F.max("value") * MIB).alias("usage"),
+        ((F.lit(300) + F.lit(50) * F.max(_job_index())) * MIB).cast("double").alias("limit"))
+
+
+def alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts per (pod, hour) from the hourly average request value."""
+    from scrivener.functions.messages import fixed
+    r = requests(spark, d)
+    a = r.groupBy("job", "pod", F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("v"))
+    sev = (F.when(F.col("v") > 70, F.lit("critical")).when(F.col("v") > 50, F.lit("warning"))
+           .when(F.col("v") > 30, F.lit("info")))
+    return a.where(sev.isNotNull()).select(
+        "ts", F.lit("HighValue").alias("alertname"), sev.alias("severity"),
+        F.lit("primary").alias("cluster"), F.col("job").alias("service"),
+        F.col("job").alias("instance"), "pod", F.lit(None).cast("string").alias("dev"),
+        F.lit(None).cast("string").alias("namespace"),
+        F.when(F.col("job") == "svc0-service", F.lit("prometheus"))
+         .when(F.col("job") == "svc1-service", F.lit("loki")).alias("component"),
+        F.concat(F.col("pod"), F.lit(" avg "), fixed("v", 2)).alias("description"),
+    )
