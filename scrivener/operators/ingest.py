@@ -57,7 +57,7 @@ def object_events(events: DataFrame, col: str = "value") -> DataFrame:
     Events without records give an error row; only ``.pdf`` keys are
     marked to trigger extraction (the bucket's suffix filter)."""
     p = F.from_json(F.col(col).cast("string"), schemas.OBJECT_CREATED)
-    first = F.element_at(p.getField("Records"), 1)
+    first = F.try_element_at(p.getField("Records"), F.lit(1))
     bucket = first.getField("s3").getField("bucket").getField("name")
     key = first.getField("s3").getField("object").getField("key")
     return events.select(

@@ -1,0 +1,127 @@
+"""Streaming forms: stream/batch parity, upsert sink, dedupe, late rows,
+topic round trip, stream-stream join."""
+
+import datetime as dt
+import os
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from scrivener.operators import windows as W
+from scrivener.plans import views as V
+from scrivener.streaming import jobs as J
+from scrivener.streaming import topics as TP
+
+from tests.conftest import SF_SMALL
+
+AVAILABLE_NOW = {"availableNow": True}
+
+
+def _write_event_files(spark, tmp_dir, n_files=4):
+    """The event stream as several parquet files, in time order."""
+    ev = V.event_stream(spark, SF_SMALL).withColumn("ts", F.col("ts").cast("timestamp"))
+    path = os.path.join(tmp_dir, "events")
+    (ev.withColumn("_part", F.ntile(n_files).over(Window.orderBy("ts", "event_id")))
+       .repartition("_part").write.partitionBy("_part").parquet(path))
+    return path, ev.schema
+
+
+def test_stream_batch_parity(spark, tmp_dir):
+    """D1 as a stream equals batch D1 except windows the watermark has not closed."""
+    path, schema = _write_event_files(spark, tmp_dir)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = os.path.join(tmp_dir, "windows")
+    q = J.run_stage(src, J.window_analytics_stream, ("parquet", out), "parity", trigger=AVAILABLE_NOW)
+    q.awaitTermination(300)
+    streamed = spark.read.parquet(out)
+    batch = W.window_analytics(V.event_stream(spark, SF_SMALL)).withColumn(
+        "window_start", F.col("window_start").cast("timestamp")).withColumn(
+        "window_end", F.col("window_end").cast("timestamp"))
+    last = batch.agg(F.max("window_start")).collect()[0][0]
+    expected = batch.where(F.col("window_start") < last)
+    cols = ["window_start", "submission_count", "total_checks", "high_risk_count"]
+    assert streamed.count() == expected.count()
+    assert streamed.select(cols).exceptAll(expected.select(cols)).count() == 0
+
+
+def test_late_rows_are_counted(spark, tmp_dir):
+    """A file of old events arriving after the watermark moved is dropped and counted."""
+    t = dt.datetime(2024, 1, 1, 1, 0)
+    early = spark.createDataFrame([(t, "paper_uploaded", None, None, None, None)],
+                                  "ts timestamp, event_type string, internal_score double, "
+                                  "external_score double, ai_generated_probability double, severity string")
+    path = os.path.join(tmp_dir, "late")
+    early.write.parquet(os.path.join(path, "f1"))
+    late = early.withColumn("ts", F.lit(dt.datetime(2024, 1, 1, 0, 0)))
+    late.write.parquet(os.path.join(path, "f2"))
+    src = (spark.readStream.schema(early.schema).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(path))
+    q = J.run_stage(src, J.window_analytics_stream, ("memory", None), "late_q", trigger=AVAILABLE_NOW)
+    q.awaitTermination(300)
+    assert J.late_rows(q) >= 1
+
+
+def test_upsert_sink_last_write_wins(spark, tmp_dir):
+    data = os.path.join(tmp_dir, "results")
+    rows1 = spark.createDataFrame([("s1", 1, 0.1), ("s2", 1, 0.2)], "submission_id string, seq int, score double")
+    rows2 = spark.createDataFrame([("s1", 2, 0.9)], "submission_id string, seq int, score double")
+    rows1.write.parquet(os.path.join(data, "b1"))
+    rows2.write.parquet(os.path.join(data, "b2"))
+    src = (spark.readStream.schema(rows1.schema).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(data))
+    table = os.path.join(tmp_dir, "table")
+    q = J.run_stage(src, lambda d: d, J.upsert_batch(table, ["submission_id"], ["seq"]), "upsert",
+                    trigger=AVAILABLE_NOW)
+    q.awaitTermination(300)
+    cur = {r.submission_id: r.score for r in
+           J.read_upserted(spark, table, ["submission_id"], ["seq"]).collect()}
+    assert cur == {"s1": 0.9, "s2": 0.2}
+
+
+def test_dedupe_within_watermark(spark, tmp_dir):
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("s1", t), ("s1", t + dt.timedelta(seconds=3)), ("s2", t)],
+                               "submission_id string, ts timestamp")
+    p = os.path.join(tmp_dir, "dups")
+    df.write.parquet(p)
+    src = spark.readStream.schema(df.schema).parquet(p)
+    q = J.run_stage(src, lambda d: J.dedupe_stream(d, ["submission_id"]), ("memory", None), "dedupe",
+                    trigger=AVAILABLE_NOW)
+    q.awaitTermination(300)
+    assert sorted(r.submission_id for r in spark.sql("SELECT * FROM dedupe").collect()) == ["s1", "s2"]
+
+
+def test_topic_round_trip(spark, tmp_dir):
+    """A1/A2/A3: records written to a file topic read back as typed rows."""
+    folder = os.path.join(tmp_dir, "topics")
+    df = spark.createDataFrame([("sub1", "u1", None)], "id string, user_id string, text string")
+    os.makedirs(os.path.join(folder, "paper_uploaded"))
+    TP.to_topic_records(df).write.mode("append").text(os.path.join(folder, "paper_uploaded"))
+    good, bad = TP.read_records(spark, ["paper_uploaded"], df.schema, folder=folder)
+    q = (good.writeStream.format("memory").queryName("topic_rt")
+         .option("checkpointLocation", os.path.join(tmp_dir, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    r = spark.sql("SELECT * FROM topic_rt").collect()[0]
+    assert (r.topic, r.id, r.user_id, r.text) == ("paper_uploaded", "sub1", "u1", None)
+
+
+def test_kafka_options_only():
+    opts = TP.kafka_source_options("broker:9092", ["a", "b"])
+    assert opts["subscribe"] == "a,b" and opts["startingOffsets"] == "earliest"
+
+
+def test_check_user_stream_join(spark, tmp_dir):
+    t = dt.datetime(2024, 1, 1)
+    subs = spark.createDataFrame([(1, 10, t)], "id long, user_id long, uploaded_at timestamp")
+    chks = spark.createDataFrame([(1, 0.8, t + dt.timedelta(hours=1)), (2, 0.1, t)],
+                                 "submission_id long, internal_score double, checked_at timestamp")
+    sp, cp = os.path.join(tmp_dir, "subs"), os.path.join(tmp_dir, "chks")
+    subs.write.parquet(sp)
+    chks.write.parquet(cp)
+    j = J.check_user_join(spark.readStream.schema(chks.schema).parquet(cp),
+                          spark.readStream.schema(subs.schema).parquet(sp))
+    q = (j.writeStream.format("memory").queryName("cj").outputMode("append")
+         .option("checkpointLocation", os.path.join(tmp_dir, "ck2")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    rows = spark.sql("SELECT submission_id, user_id FROM cj").collect()
+    assert [(r.submission_id, r.user_id) for r in rows] == [(1, 10)]
