@@ -31,6 +31,17 @@ FLAGGED_SECTIONS = 3
 KEY = ["h1", "h2"]
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Tokenising is CPU-heavy per row. When the scan yields fewer splits
+    than the cluster has cores (few large row groups), spread the documents
+    round-robin first; a large input already has enough splits and is left
+    alone (no extra shuffle of the text)."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        return docs.repartition(cores)
+    return docs
+
+
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  n: int = SHINGLE_WORDS) -> DataFrame:
     """(id, shingles ARRAY<STRING>) with distinct shingles per document; the
@@ -40,16 +51,20 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return toks.select("doc_id", F.array_distinct(ngrams_of("_w", n)).alias("shingles"))
 
 
-def explode_shingles(sets: DataFrame, keep_text: bool = False) -> DataFrame:
+def explode_shingles(sets: DataFrame, keep_text: bool = False, keep_empty: bool = False) -> DataFrame:
     """One row per (doc, shingle) with the 96-bit shingle key.
 
-    ``explode_outer`` + a null filter instead of ``explode``: for ``explode``
-    the optimizer infers a ``size(array) > 0`` filter and pushes it below the
-    projection, inlining the tokeniser into the n-gram lambda (quadratic).
+    ``explode_outer`` instead of ``explode``: for ``explode`` the optimizer
+    infers a ``size(array) > 0`` filter and pushes it below the projection,
+    inlining the tokeniser into the n-gram lambda (quadratic). With
+    ``keep_empty`` a document without shingles keeps one row with NULL keys.
     """
-    e = (sets.select("doc_id", F.explode_outer("shingles").alias("shingle"))
-         .where(F.col("shingle").isNotNull()))
-    cols = ["doc_id", F.xxhash64("shingle").alias("h1"), F.hash("shingle").alias("h2")]
+    e = sets.select("doc_id", F.explode_outer("shingles").alias("shingle"))
+    if not keep_empty:
+        e = e.where(F.col("shingle").isNotNull())
+    has = F.col("shingle").isNotNull()
+    cols = ["doc_id", F.when(has, F.xxhash64("shingle")).alias("h1"),
+            F.when(has, F.hash("shingle")).alias("h2")]
     if keep_text:
         cols.append("shingle")
     return e.select(*cols)
@@ -61,11 +76,19 @@ def shingle_owners(rows: DataFrame) -> DataFrame:
 
 
 def internal_similarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, internal_score). Texts under 5 words score 0."""
-    sets = shingle_sets(docs, id_col, text_col)
-    totals = sets.select("doc_id", F.size("shingles").cast("bigint").alias("n_shingles"))
-    owners = shingle_owners(explode_shingles(sets))
-    unique = (owners.where(F.col("lo") == F.col("hi"))
+    """(doc_id, n_shingles, internal_score). Texts under 5 words score 0.
+
+    One scan and one shuffle for both questions: ``GROUPING SETS
+    ((h1, h2), (doc_id))`` gives per shingle its owner range and per
+    document its shingle count; the unique shingles are then counted per
+    owner (a small second aggregate) and joined to the counts by doc_id."""
+    rows = explode_shingles(shingle_sets(spread(docs), id_col, text_col), keep_empty=True)
+    g = rows.groupingSets([["h1", "h2"], ["doc_id"]], "h1", "h2", "doc_id").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
+        F.count("h1").alias("n"), F.grouping_id().alias("_g"))
+    # grouping_id: 1 = grouped by (h1, h2), doc_id aggregated; 6 = by doc_id.
+    totals = g.where(F.col("_g") == 6).select("doc_id", F.col("n").alias("n_shingles"))
+    unique = (g.where((F.col("_g") == 1) & F.col("h1").isNotNull() & (F.col("lo") == F.col("hi")))
               .groupBy(F.col("lo").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_unique")))
     j = totals.join(unique, "doc_id", "left")
     n = F.col("n_shingles")
@@ -84,18 +107,18 @@ def external_similarity(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_i
                         corpus_text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, n_external, external_score).
 
-    The outside corpus is broadcast only after its shingle count is checked;
-    above the bound it is a shuffle join (skew is split by AQE)."""
-    sets = shingle_sets(docs, id_col, text_col)
-    totals = sets.select("doc_id", F.size("shingles").cast("bigint").alias("n_shingles"))
-    ref = broadcast_if_small(reference_shingles(corpus, corpus_id, corpus_text))
-    hits = (explode_shingles(sets).join(ref, KEY)
-            .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_external")))
-    j = totals.join(hits, "doc_id", "left")
+    The outside corpus is broadcast only after its shingle count is checked
+    (above the bound it is a shuffle join, skew split by AQE). A left join
+    marks hits, so one pass over the document shingles gives both counts."""
+    rows = explode_shingles(shingle_sets(spread(docs), id_col, text_col), keep_empty=True)
+    ref = broadcast_if_small(reference_shingles(corpus, corpus_id, corpus_text)
+                             .withColumn("_hit", F.lit(1)))
+    per_doc = rows.join(ref, KEY, "left").groupBy("doc_id").agg(
+        F.count("h1").alias("n_shingles"), F.count("_hit").alias("n_external"))
     n = F.col("n_shingles")
-    m = F.coalesce(F.col("n_external"), F.lit(0))
-    return j.select("doc_id", "n_shingles", m.alias("n_external"),
-                    F.when(n > 0, m / n).otherwise(F.lit(0.0)).alias("external_score"))
+    m = F.col("n_external")
+    return per_doc.select("doc_id", "n_shingles", "n_external",
+                          F.when(n > 0, m / n).otherwise(F.lit(0.0)).alias("external_score"))
 
 
 def flagged_sections(docs: DataFrame, k: int = FLAGGED_SECTIONS, id_col: str = "doc_id",
@@ -105,7 +128,7 @@ def flagged_sections(docs: DataFrame, k: int = FLAGGED_SECTIONS, id_col: str = "
     Shared keys come from the owner aggregate; the join back to the
     document rows is on the shingle key (AQE splits a hot key); the first k
     per document are a bounded top-k (partial window-group limit)."""
-    sets = shingle_sets(docs, id_col, text_col)
+    sets = shingle_sets(spread(docs), id_col, text_col)
     rows = explode_shingles(sets, keep_text=True)
     shared = shingle_owners(rows.select("doc_id", *KEY)).where(F.col("lo") != F.col("hi")).select(*KEY)
     hit = rows.join(shared, KEY)
