@@ -18,6 +18,9 @@ UPLOAD_PIPELINE = "submission-service"
 CHECK_PIPELINE = "plagiarism-service"
 
 CORRUPT = "_corrupt_record"
+# Timestamps on topics keep microseconds (Spark's JSON default stops at ms).
+JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+                "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def decode(df: DataFrame, schema: T.StructType, col: str = "value",
@@ -31,7 +34,7 @@ def decode(df: DataFrame, schema: T.StructType, col: str = "value",
     with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     raw = F.col(col).cast("string")
     parsed = df.withColumn("_p", F.from_json(
-        raw, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+        raw, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, **JSON_OPTIONS}))
     bad_pred = F.col("_p").isNull() | F.col(f"_p.{CORRUPT}").isNotNull()
     others = [c for c in df.columns if c != col]
     good_cols = others + [F.col(f"_p.{f.name}").alias(f.name) for f in schema.fields]
@@ -46,7 +49,7 @@ def decode(df: DataFrame, schema: T.StructType, col: str = "value",
 def encode(df: DataFrame, cols: list[str] | None = None, out: str = "value") -> DataFrame:
     """A4: record -> JSON text, null fields included."""
     cols = cols or df.columns
-    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias(out))
+    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false", **JSON_OPTIONS}).alias(out))
 
 
 def dispatch(df: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]],

@@ -46,4 +46,5 @@ def query(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from scrivener.plans import (  # noqa: F401
-        q_windows, q_events, q_tables, q_notify, q_marts, q_similarity, q_ingest, q_metrics)
+        q_windows, q_events, q_tables, q_notify, q_marts, q_similarity, q_ingest, q_metrics,
+        q_streaming)

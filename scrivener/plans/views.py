@@ -42,7 +42,11 @@ def submissions(spark: SparkSession, d: str, with_text: bool = False) -> DataFra
 
 def checks(spark: SparkSession, d: str) -> DataFrame:
     """lineitem as check results: several rows per submission."""
-    li = read_table(spark, d, "lineitem")
+    return checks_from(read_table(spark, d, "lineitem"))
+
+
+def checks_from(li: DataFrame) -> DataFrame:
+    """The checks view over a lineitem DataFrame (batch or stream)."""
     return li.select(
         F.col("l_orderkey").alias("submission_id"),
         (F.col("l_discount") * 10).alias("internal_score"),
@@ -61,7 +65,11 @@ CHECK_ORDER = ("checked_at", "l_linenumber", "l_partkey", "l_suppkey", "l_quanti
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     """events as the processed-event stream: signup = upload, purchase = check."""
-    e = read_table(spark, d, "events")
+    return event_stream_from(read_table(spark, d, "events"))
+
+
+def event_stream_from(e: DataFrame) -> DataFrame:
+    """The event-stream view over an events DataFrame (batch or stream)."""
     up = F.col("event_type") == "signup"
     chk = F.col("event_type") == "purchase"
     internal = F.when(chk, F.least(F.col("value") / 100, F.lit(1.0)))

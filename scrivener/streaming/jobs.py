@@ -21,6 +21,16 @@ from scrivener.session import checkpoint_dir
 # of the reference stream job.
 WATERMARK = "5 seconds"
 TRIGGER = {"processingTime": "60 seconds"}
+# Large window / dedupe / join state lives in RocksDB, not on the JVM heap.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Pick the RocksDB state store unless the session already chose one."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    current = spark.conf.get(key, None)
+    if not current or current.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, STATE_STORE)
 
 
 def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
@@ -39,6 +49,7 @@ def run_stage(source: DataFrame, transform: Callable[[DataFrame], DataFrame], si
     ``sink`` is a format name ("parquet", "memory", ...) plus path in a
     tuple, or a ``foreachBatch`` function ``(df, batch_id) -> None``."""
     spark = source.sparkSession
+    use_rocksdb(spark)
     out = transform(source)
     w = (out.writeStream.queryName(name).outputMode(output_mode)
          .option("checkpointLocation", checkpoint_for(spark, name))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrivener.operators.events import decode
+from scrivener.operators.events import JSON_OPTIONS, decode
 
 FILE_TOPIC_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
 
@@ -60,7 +60,8 @@ def read_records(spark: SparkSession, topics: list[str], schema: T.StructType, *
 def to_topic_records(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A2/A4: rows as JSON ``value`` (nulls kept), no message key."""
     cols = cols or df.columns
-    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
+    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false", **JSON_OPTIONS})
+                     .alias("value"))
 
 
 def write_topic(df: DataFrame, topic: str, checkpoint: str, bootstrap: str | None = None,
