@@ -170,25 +170,33 @@ def inhibit(alerts: DataFrame, rules: list[dict], at: str = "ts") -> DataFrame:
     (null-safe; missing labels count as equal) fires at the same time.
 
     A rule is ``{"source": {label: value}, "target_re": {label: regex},
-    "equal": [labels]}``; each is a left-anti join on the equal labels."""
+    "equal": [labels]}``. Each rule's sources are reduced to their distinct
+    label tuples and left-joined once to mark inhibited rows; the alerts are
+    read once plus once per rule's source set.
+    """
+    def all_of(conds):
+        out = None
+        for c in conds:
+            out = c if out is None else out & c
+        return out
+
     out = alerts
-    for r in rules:
-        src_cond = None
-        for k, v in r["source"].items():
-            c = F.col(k) == v
-            src_cond = c if src_cond is None else src_cond & c
-        src = alerts.where(src_cond).select(*[F.col(c).alias(f"_s_{c}") for c in r["equal"] + [at]]).distinct()
-        tgt_cond = None
-        for k, v in r["target_re"].items():
-            c = F.coalesce(F.col(k).rlike(f"^(?:{v})$"), F.lit(False))
-            tgt_cond = c if tgt_cond is None else tgt_cond & c
-        keys = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in r["equal"] + [at]]
-        cond = keys[0]
-        for k in keys[1:]:
-            cond = cond & k
-        targets = out.where(tgt_cond).join(src, cond, "left_anti")
-        out = out.where(~tgt_cond).unionByName(targets)
-    return out
+    marks = []
+    for i, r in enumerate(rules):
+        labels = r["equal"] + [at]
+        src_cond = all_of([F.col(k) == v for k, v in r["source"].items()])
+        src = (alerts.where(src_cond).select(*[F.col(c).alias(f"_s{i}_{c}") for c in labels])
+               .distinct().withColumn(f"_hit{i}", F.lit(True)))
+        cond = all_of([F.col(c).eqNullSafe(F.col(f"_s{i}_{c}")) for c in labels])
+        out = out.join(src, cond, "left").drop(*[f"_s{i}_{c}" for c in labels])
+        tgt = all_of([F.coalesce(F.col(k).rlike(f"^(?:{v})$"), F.lit(False))
+                      for k, v in r["target_re"].items()])
+        marks.append(tgt & F.col(f"_hit{i}").isNotNull())
+    inhibited = None
+    for m in marks:                      # marks are never NULL
+        inhibited = m if inhibited is None else inhibited | m
+    kept = out.where(~inhibited) if marks else out
+    return kept.drop(*[f"_hit{i}" for i in range(len(rules))])
 
 
 def ratio(num: DataFrame, den: DataFrame, on: list[str], num_col: str, den_col: str,
