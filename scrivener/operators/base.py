@@ -84,6 +84,24 @@ def row_number_asc(df: DataFrame, keys, order_cols, bucket: Column, out: str = "
             .drop("_b", "_rn", "_off"))
 
 
+def running_count(df: DataFrame, keys, order_cols, flag: str, bucket: Column,
+                  out: str = "running") -> DataFrame:
+    """Running count of rows where ``flag`` is true, per key in order
+    (inclusive), computed like :func:`row_number_asc`: a local running sum in
+    (key, bucket) slices plus the flag totals of older buckets."""
+    keys = list(keys)
+    b = df.withColumn("_b", bucket).withColumn("_f", F.col(flag).cast("int"))
+    counts = b.groupBy(*keys, "_b").agg(F.sum("_f").alias("_n"))
+    older = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(older), F.lit(0)).alias("_off"))
+    local = (Window.partitionBy(*keys, "_b").orderBy(*order_cols)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = b.withColumn("_run", F.sum("_f").over(local))
+    return (run.join(offsets, [*keys, "_b"])
+            .withColumn(out, F.col("_run") + F.col("_off"))
+            .drop("_b", "_f", "_run", "_off"))
+
+
 def previous_value(df: DataFrame, keys, order_cols, value: str, bucket: Column,
                    out: str = "prev") -> DataFrame:
     """``lag(value)`` per series without one task per series.

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrivener.operators.base import previous_value, running_count
+
 # Event types the aggregator understands, window default.
 UPLOAD = "paper_uploaded"
 CHECK = "plagiarism_checked"
@@ -76,6 +78,35 @@ def window_analytics(events: DataFrame, time_col: str = "ts", size: str = DEFAUL
     )
 
 
+def sessionize(events: DataFrame, keys: tuple[str, ...], time_col: str = "ts",
+               gap_seconds: int = 1800, tie: str | None = None, out: str = "session") -> DataFrame:
+    """Session number per key: a new session starts when the gap to the key's
+    previous event is at least ``gap_seconds``.
+
+    Built from the bucketed lag and running count helpers, so no key is
+    sorted in a single task (``session_window`` would gather a key's rows
+    into one task before merging)."""
+    order = [time_col] + ([tie] if tie else [])
+    day = F.date_trunc("day", F.col(time_col))
+    p = previous_value(events, keys, order, time_col, day, out="_prev")
+    secs = (F.unix_micros(F.col(time_col).cast("timestamp"))
+            - F.unix_micros(F.col("_prev").cast("timestamp"))) / 1_000_000
+    flagged = p.withColumn("_new", F.col("_prev").isNull() | (secs >= gap_seconds))
+    return running_count(flagged, keys, order, "_new", day, out=out).drop("_prev", "_new")
+
+
+def session_analytics(events: DataFrame, keys: tuple[str, ...], time_col: str = "ts",
+                      gap_seconds: int = 1800, tie: str | None = None) -> DataFrame:
+    """E10 (batch): D1 metrics per session; session end = last event + gap."""
+    s = sessionize(events, keys, time_col, gap_seconds, tie)
+    agg = s.groupBy(*keys, "session").agg(
+        F.min(time_col).alias("window_start"), F.max(time_col).alias("_last"), *window_aggs())
+    return agg.select(
+        *keys, "window_start",
+        (F.col("_last") + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("window_end"),
+        *METRIC_COLUMNS)
+
+
 def window_count(events: DataFrame, time_col: str = "ts", size: str = DEFAULT_WINDOW) -> DataFrame:
     """Events per tumbling window with bounds as epoch milliseconds."""
     agg = events.groupBy(F.window(time_col, size).alias("window")).agg(
@@ -127,3 +158,35 @@ def union_streams(*sources: DataFrame) -> DataFrame:
     for s in sources[1:]:
         out = out.unionByName(s, allowMissingColumns=True)
     return out
+
+
+# Window records as they arrive on the window topic: the Python job's shape
+# (ISO bounds, metrics) or the Java job's (epoch-millis bounds, event_count).
+WINDOW_RECORD_JSON = ("window_start STRING, window_end STRING, submission_count BIGINT, "
+                      "avg_internal_score DOUBLE, avg_external_score DOUBLE, avg_ai_probability DOUBLE, "
+                      "high_risk_count BIGINT, total_checks BIGINT, event_count BIGINT, generated_at BIGINT")
+
+
+def _bound(c: Column) -> Column:
+    """Epoch milliseconds or an ISO string -> TIMESTAMP_NTZ (UTC wall time)."""
+    millis = F.timestamp_millis(c.cast("bigint")).cast("timestamp_ntz")
+    return F.when(c.rlike(r"^[0-9]+$"), millis).otherwise(c.cast("timestamp_ntz"))
+
+
+def consume_window_records(records: DataFrame, col: str = "value") -> DataFrame:
+    """Decode window records; missing counts are 0 and missing averages
+    0.0, so a record of the other job's shape reads as zeros (as the
+    consumer of the original did) instead of failing."""
+    p = F.from_json(F.col(col).cast("string"), WINDOW_RECORD_JSON)
+    r = records.select(p.alias("r")).select("r.*")
+    zero_l, zero_d = F.lit(0).cast("bigint"), F.lit(0.0)
+    return r.select(
+        _bound(F.col("window_start")).alias("window_start"),
+        _bound(F.col("window_end")).alias("window_end"),
+        F.coalesce("submission_count", zero_l).alias("submission_count"),
+        F.coalesce("avg_internal_score", zero_d).alias("avg_internal_score"),
+        F.coalesce("avg_external_score", zero_d).alias("avg_external_score"),
+        F.coalesce("avg_ai_probability", zero_d).alias("avg_ai_probability"),
+        F.coalesce("high_risk_count", zero_l).alias("high_risk_count"),
+        F.coalesce("total_checks", zero_l).alias("total_checks"),
+    )

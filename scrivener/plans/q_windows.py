@@ -82,8 +82,8 @@ FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 30 MINUTES T
 GROUP BY user_id, sid""", "event_stream"))
 def session_metrics(spark, d):
     """D1 metrics per user session (30-minute gap)."""
-    return W.window_analytics(V.event_stream(spark, d), kind="session", gap="30 minutes",
-                              keys=("user_id",))
+    return W.session_analytics(V.event_stream(spark, d), ("user_id",), gap_seconds=1800,
+                               tie="event_id")
 
 
 @query("latest_window", with_views("""
@@ -105,3 +105,11 @@ SELECT * FROM windows ORDER BY window_start DESC LIMIT 10""", "event_stream", ex
 def faculty_windows(spark, d):
     """ten newest windows for the faculty view."""
     return W.newest_windows(windows(spark, d), 10)
+
+
+@query("window_records", D1_SQL)
+def window_records(spark, d):
+    """D1 windows written as JSON window records and consumed back
+    with the consumer's defaults (round trip equals D1)."""
+    from scrivener.operators.events import encode
+    return W.consume_window_records(encode(windows(spark, d)))

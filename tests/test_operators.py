@@ -332,3 +332,27 @@ def test_routes_first_match(spark):
     got = [r.r for r in a.select(H.route([({"severity": "critical"}, "critical"),
                                           ({"component": "loki"}, "platform")], "default").alias("r")).collect()]
     assert got == ["critical", "platform", "default"]
+
+
+def test_consume_window_records_both_shapes(spark):
+    recs = spark.createDataFrame([
+        ('{"window_start": "2024-01-01T00:05:00", "submission_count": 3, "avg_internal_score": 0.5}',),
+        ('{"window_start": 1704067500000, "window_end": 1704067800000, "event_count": 7, '
+         '"generated_at": 1704067801000}',),
+    ], "value string")
+    out = W.consume_window_records(recs).collect()
+    assert out[0].window_start == dt.datetime(2024, 1, 1, 0, 5) and out[0].submission_count == 3
+    assert out[0].total_checks == 0 and out[0].avg_external_score == 0.0
+    assert out[1].window_start == dt.datetime(2024, 1, 1, 0, 5)
+    assert out[1].window_end == dt.datetime(2024, 1, 1, 0, 10)
+    assert (out[1].submission_count, out[1].avg_internal_score) == (0, 0.0)
+
+
+def test_sessionize_matches_session_window(spark):
+    from scrivener.plans import views as V
+    ev = V.event_stream(spark, "/root/testdata/sf0.001")
+    a = W.session_analytics(ev, ("user_id",), gap_seconds=1800, tie="event_id")
+    b = W.window_analytics(ev, kind="session", gap="30 minutes", keys=("user_id",))
+    cols = ["user_id", "window_start", "window_end", "submission_count", "total_checks"]
+    assert a.select(cols).exceptAll(b.select(cols)).count() == 0
+    assert b.select(cols).exceptAll(a.select(cols)).count() == 0
