@@ -111,14 +111,17 @@ def alert_for(spark, d):
 
 
 @query("value_changes", with_views("""
-SELECT job, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
+SELECT job, window_start, changes, resets, changes > 2 AS changes_alert, resets > 5 AS restart_alert
+FROM (SELECT job, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
        count(*) FILTER (WHERE value <> prev) AS changes,
        count(*) FILTER (WHERE value < prev) AS resets
-FROM (SELECT *, lag(value) OVER (PARTITION BY job ORDER BY ts, event_id) AS prev FROM counter_samples)
-GROUP BY 1, 2""", "counter_samples"))
+      FROM (SELECT *, lag(value) OVER (PARTITION BY job ORDER BY ts, event_id) AS prev FROM counter_samples)
+      GROUP BY 1, 2)""", "counter_samples"))
 def value_changes(spark, d):
-    """Hourly changes() and resets() of the request counter per job."""
-    return H.value_changes(V.counter_samples(spark, d), ["job"], tie="event_id")
+    """Hourly changes() and resets() of the request counter per job, with
+    the rule flags changes > 2 and restarts > 5 per hour."""
+    v = H.value_changes(V.counter_samples(spark, d), ["job"], tie="event_id")
+    return v.withColumns({"changes_alert": F.col("changes") > 2, "restart_alert": F.col("resets") > 5})
 
 
 @query("alert_groups", with_views("""
@@ -183,3 +186,23 @@ def metric_ratio(spark, d):
     m = V.job_memory(spark, d)
     return H.ratio(m.select("job", "ts", "usage"), m.select("job", "ts", "limit"),
                    ["job", "ts"], "usage", "limit", threshold=H.MEMORY_RATIO_THRESHOLD)
+
+
+@query("state_alerts", with_views("""
+SELECT pod, ts, since FROM (
+  SELECT *, min(ts) OVER (PARTITION BY pod, grp) AS since FROM (
+    SELECT *, step - row_number() OVER (PARTITION BY pod ORDER BY step) AS grp FROM (
+      SELECT *, CAST(epoch(ts) / 3600 AS BIGINT) AS step FROM (
+        SELECT pod, date_trunc('hour', ts) AS ts,
+               CASE WHEN count(*) FILTER (WHERE status = 200) > 0 THEN 1 ELSE 0 END AS up
+        FROM requests GROUP BY 1, 2)
+      WHERE up = 0)))
+WHERE epoch(ts) - epoch(since) >= 3600""", "requests"))
+def state_alerts(spark, d):
+    """H9: boolean-state rule ``up == 0`` held for an hour, per pod (a pod
+    is up in an hour when it answered any request without error)."""
+    r = V.requests(spark, d)
+    up = r.groupBy("pod", F.date_trunc("hour", "ts").alias("ts")).agg(
+        F.when(F.count_if(F.col("status") == 200) > 0, F.lit(1)).otherwise(F.lit(0)).alias("up"))
+    s = H.sustained(up.withColumn("breach", F.col("up") == 0), ["pod"], "ts", "breach", 3600, 3600)
+    return s.select("pod", "ts", "since")
