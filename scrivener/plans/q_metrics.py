@@ -206,3 +206,16 @@ def state_alerts(spark, d):
         F.when(F.count_if(F.col("status") == 200) > 0, F.lit(1)).otherwise(F.lit(0)).alias("up"))
     s = H.sustained(up.withColumn("breach", F.col("up") == 0), ["pod"], "ts", "breach", 3600, 3600)
     return s.select("pod", "ts", "since")
+
+
+@query("metric_rate_sliding", with_views("""
+SELECT job, window_start, round(coalesce(sum(inc), 0.0) / 300, 6) AS rate
+FROM (SELECT job, time_bucket(INTERVAL 30 SECONDS, ts) - INTERVAL 30 SECONDS * o.k AS window_start, inc
+      FROM (SELECT job, ts, CASE WHEN value - lag(value) OVER w < 0 THEN value
+                                 ELSE value - lag(value) OVER w END AS inc
+            FROM counter_samples WINDOW w AS (PARTITION BY job ORDER BY ts, event_id)) s,
+           range(10) o(k))
+GROUP BY 1, 2""", "counter_samples"))
+def metric_rate_sliding(spark, d):
+    """H1 (rule form): 5-minute rate re-evaluated every 30 seconds."""
+    return H.rate(V.counter_samples(spark, d), ["job"], tie="event_id", slide="30 seconds")
