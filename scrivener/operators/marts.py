@@ -37,7 +37,7 @@ def student_dashboard(users: DataFrame, submissions: DataFrame, notifications: D
     newest messages (at most ``n_messages``) and the latest window's averages.
 
     Counts are partial aggregates; the message list is a top-n per user
-    (bounded); the latest window is one row, broadcast by construction.
+    (bounded); the latest window is one row, attached as a scalar subquery.
     """
     students = users.where(F.col("role") == "student").select(
         F.col("id").alias("user_id"), "name")
@@ -46,11 +46,12 @@ def student_dashboard(users: DataFrame, submissions: DataFrame, notifications: D
                             n_messages, out="_rank")
               .groupBy("user_id")
               .agg(F.sort_array(F.collect_list(F.struct("_rank", "message"))).alias("_m")))
-    lw = F.broadcast(latest_window.limit(1).select(
+    # The latest window is one row: a scalar subquery, evaluated once.
+    lw = latest_window.limit(1).select(F.struct(
         F.col("window_start").alias("latest_window_start"), "avg_internal_score",
-        "avg_external_score", "avg_ai_probability"))
+        "avg_external_score", "avg_ai_probability")).scalar()
     out = (students.join(counts, "user_id", "left").join(recent, "user_id", "left")
-           .join(lw, how="left"))
+           .withColumn("_lw", lw).select("*", "_lw.*"))
     return out.select(
         "user_id", "name",
         F.coalesce("submissions_count", F.lit(0)).alias("submissions_count"),
@@ -77,9 +78,9 @@ def faculty_summary(recent: DataFrame, latest_window: DataFrame) -> DataFrame:
     avg_plagiarism := latest avg_internal_score; spike := submission_count > 10.
     """
     total = recent.agg(F.count(F.lit(1)).alias("total_submissions"))
-    lw = latest_window.limit(1).select(
-        F.col("avg_internal_score").alias("avg_plagiarism"), "submission_count")
-    j = total.join(F.broadcast(lw), how="left")
+    lw = latest_window.limit(1).select(F.struct(
+        F.col("avg_internal_score").alias("avg_plagiarism"), "submission_count")).scalar()
+    j = total.withColumn("_lw", lw).select("*", "_lw.*")
     avg = F.col("avg_plagiarism")
     return j.select(
         "total_submissions",

@@ -101,8 +101,8 @@ def series_counts(samples: DataFrame, series: list[str], by: list[str], high: fl
     """H5: per group: number of series, series whose newest value is above
     ``high`` and series reporting at the newest timestamp of all data."""
     latest = latest_per_series(samples, series, ts, value)
-    newest = F.broadcast(samples.agg(F.max(ts).alias("_max")))   # one row
-    j = latest.crossJoin(newest)
+    newest = samples.agg(F.max(ts)).scalar()        # scalar subquery, run once
+    j = latest.withColumn("_max", newest)
     return j.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_series"),
         F.count_if(F.col("value") > high).alias("n_high"),
@@ -211,6 +211,5 @@ def ratio(num: DataFrame, den: DataFrame, on: list[str], num_col: str, den_col:
 
 def reject_old(df: DataFrame, ts: str = "ts", max_age: str = "168 hours") -> DataFrame:
     """Flag samples older than ``max_age`` before the newest sample."""
-    newest = F.broadcast(df.agg(F.max(ts).alias("_max")))   # one row
-    return df.crossJoin(newest).withColumn(
-        "accepted", F.col(ts) >= F.col("_max") - F.expr(f"INTERVAL {max_age}")).drop("_max")
+    newest = df.agg(F.max(ts)).scalar()             # scalar subquery, run once
+    return df.withColumn("accepted", F.col(ts) >= newest - F.expr(f"INTERVAL {max_age}"))
