@@ -33,6 +33,9 @@ def query(name: str, oracle: str | None = None):
     """Register a query (and its oracle SQL when it has one)."""
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Naive driver timestamps are UTC wall times; epoch conversions
+            # (window bounds in ms, alert steps, session gaps) assume UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return round_doubles(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
