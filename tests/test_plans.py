@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
 STREAMING = {"window_analytics_stream", "topic_pipeline", "upsert_results", "dedupe_stream",
-             "late_rows", "ingest_files"}
+             "late_rows", "ingest_files", "topic_source", "append_sink"}
 
 
 def plan(spark, name):
