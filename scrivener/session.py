@@ -38,19 +38,25 @@ def get_session(master: str | None = None, app: str = "scrivener",
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A cluster sets it at submit time; only when it is unset (local tests) do
-    we pick a scratch folder of our own.
+    A cluster sets it at submit time (it cannot be changed at runtime). Only
+    when it is unset (local tests) do we pick a scratch folder of our own and
+    register it with ``SparkContext.setCheckpointDir``.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="scrivener-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
+    app = spark.sparkContext.applicationId
+    d = (spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(app)
+         or spark.sparkContext.getCheckpointDir())
+    if not d:
+        d = tempfile.mkdtemp(prefix="scrivener-ckpt-")
+        _LOCAL_DIRS[app] = d
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(conf_dir)
-    return conf_dir
+        spark.sparkContext.setCheckpointDir(d)
+    return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
