@@ -16,6 +16,8 @@ UPLOAD_EVENT = "paper_uploaded"
 CHECK_EVENT = "plagiarism_checked"
 UPLOAD_PIPELINE = "submission-service"
 CHECK_PIPELINE = "plagiarism-service"
+# Fixed value: error text of a check request without text.
+TEXT_REQUIRED = "Research paper text is required for plagiarism check"
 
 CORRUPT = "_corrupt_record"
 # Timestamps on topics keep microseconds (Spark's JSON default stops at ms).
@@ -91,10 +93,12 @@ def enrich_check(df: DataFrame, processed_at: Column | None = None) -> DataFrame
 
 def tag_errors(df: DataFrame, rules: list[tuple[Column, str]], out: str = "error") -> DataFrame:
     """``error`` = message of the first failing rule (a rule is a column
-    that is True when the row is bad), NULL when the row is fine."""
+    that is True when the row is bad; the message a string or a Column),
+    NULL when the row is fine."""
     expr = None
     for bad, msg in rules:
-        expr = F.when(bad, F.lit(msg)) if expr is None else expr.when(bad, F.lit(msg))
+        m = msg if isinstance(msg, Column) else F.lit(msg)
+        expr = F.when(bad, m) if expr is None else expr.when(bad, m)
     return df.withColumn(out, expr)
 
 

@@ -136,8 +136,8 @@ def text_cap(spark, d):
 
 @query("dead_letter", with_views("""
 SELECT s.id, s.user_id,
-       CASE WHEN u.id IS NULL THEN 'user not found'
-            WHEN s.text IS NULL OR s.text = '' THEN 'no text to check' END AS error
+       CASE WHEN u.id IS NULL THEN 'User ' || CAST(s.user_id AS VARCHAR) || ' not found'
+            WHEN s.text IS NULL OR s.text = '' THEN 'Research paper text is required for plagiarism check' END AS error
 FROM submissions_text s LEFT JOIN users u ON u.id = s.user_id
 WHERE u.id IS NULL OR s.text IS NULL OR s.text = ''""", "users", "submissions_text"))
 def dead_letter(spark, d):
@@ -145,8 +145,9 @@ def dead_letter(spark, d):
     subs = V.submissions(spark, d, with_text=True)
     u = V.users(spark, d).select(F.col("id").alias("user_id"), F.lit(True).alias("_known"))
     tagged = E.tag_errors(subs.join(u, "user_id", "left"), [
-        (F.col("_known").isNull(), "user not found"),
-        (F.col("text").isNull() | (F.col("text") == ""), "no text to check"),
+        (F.col("_known").isNull(),
+         F.concat(F.lit("User "), F.col("user_id").cast("string"), F.lit(" not found"))),
+        (F.col("text").isNull() | (F.col("text") == ""), E.TEXT_REQUIRED),
     ])
     _, bad = E.split_errors(tagged)
     return bad.select("id", "user_id", "error")
