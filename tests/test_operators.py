@@ -356,3 +356,69 @@ def test_sessionize_matches_session_window(spark):
     cols = ["user_id", "window_start", "window_end", "submission_count", "total_checks"]
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0
     assert b.select(cols).exceptAll(a.select(cols)).count() == 0
+
+
+def test_rate_handles_counter_reset(spark):
+    t = dt.datetime(2024, 1, 1)
+    vals = [0.0, 5.0, 10.0, 2.0, 4.0]           # reset after 10
+    df = spark.createDataFrame([("j", t + dt.timedelta(seconds=10 * i), i, v) for i, v in enumerate(vals)],
+                               "job string, ts timestamp_ntz, event_id long, value double")
+    r = H.rate(df, ["job"], tie="event_id").collect()[0].rate
+    assert abs(r - (5 + 5 + 2 + 2) / 300) < 1e-12
+
+
+def test_error_rate_breach(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("j", t, 500)] * 20 + [("j", t, 200)] * 5
+    df = spark.createDataFrame(rows, "job string, ts timestamp_ntz, status int")
+    r = H.error_rate(df, ["job"]).collect()[0]
+    assert abs(r.error_rate - 20 / 300) < 1e-12 and r.breach
+
+
+def test_ratio_and_reject_old(spark):
+    t = dt.datetime(2024, 1, 10)
+    use = spark.createDataFrame([("j", t, 95.0)], "job string, ts timestamp_ntz, usage double")
+    lim = spark.createDataFrame([("j", t, 100.0)], "job string, ts timestamp_ntz, limit double")
+    r = H.ratio(use, lim, ["job", "ts"], "usage", "limit", threshold=0.9).collect()[0]
+    assert r.ratio == 0.95 and r.breach
+    s = spark.createDataFrame([(t,), (t - dt.timedelta(hours=169),), (t - dt.timedelta(hours=1),)],
+                              "ts timestamp_ntz")
+    assert sorted(r.accepted for r in H.reject_old(s).collect()) == [False, True, True]
+
+
+def test_series_counts(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("j", "p1", t, 10.0), ("j", "p1", t + dt.timedelta(hours=1), 500.0),
+            ("j", "p2", t, 600.0)]
+    df = spark.createDataFrame(rows, "job string, pod string, ts timestamp_ntz, value double")
+    r = H.series_counts(df, ["job", "pod"], ["job"], high=400.0).collect()[0]
+    assert (r.n_series, r.n_high, r.n_current) == (2, 2, 1)
+
+
+def test_group_alerts_sorted_text(spark):
+    t = dt.datetime(2024, 1, 1)
+    a = spark.createDataFrame([(t, "A", "b-desc"), (t, "A", "a-desc")],
+                              "ts timestamp_ntz, alertname string, description string")
+    r = H.group_alerts(a, ["ts", "alertname"]).collect()[0]
+    assert (r.n_alerts, r.descriptions) == (2, "a-desc; b-desc")
+
+
+def test_broadcast_only_when_checked_small(spark):
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    small = spark.range(10).withColumnRenamed("id", "k")
+    hinted = big.join(B.broadcast_if_small(small, max_rows=100), "k")
+    not_hinted = big.join(B.broadcast_if_small(small, max_rows=5), "k")
+    assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in not_hinted._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_running_count_matches_window(spark):
+    from pyspark.sql import Window
+    t = dt.datetime(2024, 1, 1)
+    rows = [("u", t + dt.timedelta(hours=7 * i), i, i % 3 == 0) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, i long, f boolean")
+    got = B.running_count(df, ["k"], ["ts", "i"], "f", F.date_trunc("day", "ts"))
+    ref = df.withColumn("running", F.sum(F.col("f").cast("int")).over(
+        Window.partitionBy("k").orderBy("ts", "i").rowsBetween(Window.unboundedPreceding, 0)))
+    cols = ["i", "running"]
+    assert got.select(cols).exceptAll(ref.select(cols)).count() == 0
