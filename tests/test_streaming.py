@@ -125,3 +125,31 @@ def test_check_user_stream_join(spark, tmp_dir):
     q.awaitTermination(300)
     rows = spark.sql("SELECT submission_id, user_id FROM cj").collect()
     assert [(r.submission_id, r.user_id) for r in rows] == [(1, 10)]
+
+
+def test_stage_chain_enrich_windows_notify(spark, tmp_dir):
+    """E5: raw topics -> enrich -> processed topics -> windows and notifications."""
+    from scrivener import schemas
+    from scrivener.streaming import main as SM
+    folder = os.path.join(tmp_dir, "topics")
+    t = dt.datetime(2024, 1, 1, 0, 1)
+    subs = spark.createDataFrame(
+        [("sub1", "u1", "a1", t, "gs://file.pdf", "hello world"),
+         ("sub2", "ghost", "a1", t, "gs://file.pdf", "test")], schemas.SUBMISSION)
+    chks = spark.createDataFrame([("sub1", 0.8, 0.2, 0.9, ["stub-flag"], "high", True, True)],
+                                 schemas.CHECK_RESULT)
+    TP.to_topic_records(subs).write.text(os.path.join(folder, SM.RAW_UPLOADS))
+    TP.to_topic_records(chks).write.text(os.path.join(folder, SM.RAW_CHECKS))
+    for q in SM.enrich_stage(spark, folder=folder, trigger=AVAILABLE_NOW):
+        q.awaitTermination(300)
+    out = os.path.join(tmp_dir, "windows")
+    SM.windows_stage(spark, folder=folder, trigger=AVAILABLE_NOW, out=out).awaitTermination(300)
+    w = spark.read.parquet(out).collect()
+    assert [(r.window_start.minute, r.submission_count) for r in w] == [(0, 2)]
+    users = spark.createDataFrame([("u1", "Alice", "alice@test.com", "student")], schemas.USER)
+    notes = os.path.join(tmp_dir, "notes")
+    SM.notify_stage(spark, users, subs, notes, folder=folder, trigger=AVAILABLE_NOW).awaitTermination(300)
+    msgs = sorted(r.message for r in spark.read.parquet(notes).collect())
+    assert len(msgs) == 2
+    assert msgs[0].startswith("⚠️ HIGH RISK: Plagiarism check for submission sub1 detected 80.0%")
+    assert "submission sub1, 11 characters" in msgs[1]
