@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 2_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint ``df`` for broadcast only after checking its size.
-
-    One cheap count on the small side; above the bound the side is left to a
-    shuffle join (AQE may still convert it at runtime from real sizes).
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
+                       bound: DataFrame | None = None) -> DataFrame:
+    """Hint ``df`` for broadcast only after proving its size.
+
+    ``bound`` is a DataFrame with at least as many rows as ``df`` that is
+    cheap to count (e.g. the rows before a ``distinct``): ``limit(n + 1)``
+    over it stops reading once the bound is exceeded and needs no shuffle.
+    Above the bound the side is left to a shuffle join (AQE may still convert
+    it at runtime from real sizes).
     """
-    n = df.limit(max_rows + 1).count()
+    n = (bound if bound is not None else df).limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 

@@ -99,7 +99,13 @@ def internal_similarity(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def reference_shingles(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Distinct shingle keys of an outside corpus."""
-    return explode_shingles(shingle_sets(corpus, id_col, text_col)).select(*KEY).distinct()
+    return reference_rows(corpus, id_col, text_col).distinct()
+
+
+def reference_rows(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Shingle keys of an outside corpus with repeats (an upper bound on the
+    distinct count that can be counted without a shuffle)."""
+    return explode_shingles(shingle_sets(corpus, id_col, text_col)).select(*KEY)
 
 
 def external_similarity(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id",
@@ -112,7 +118,8 @@ def external_similarity(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_i
     marks hits, so one pass over the document shingles gives both counts."""
     rows = explode_shingles(shingle_sets(spread(docs), id_col, text_col), keep_empty=True)
     ref = broadcast_if_small(reference_shingles(corpus, corpus_id, corpus_text)
-                             .withColumn("_hit", F.lit(1)))
+                             .withColumn("_hit", F.lit(1)),
+                             bound=reference_rows(corpus, corpus_id, corpus_text))
     per_doc = rows.join(ref, KEY, "left").groupBy("doc_id").agg(
         F.count("h1").alias("n_shingles"), F.count("_hit").alias("n_external"))
     n = F.col("n_shingles")
