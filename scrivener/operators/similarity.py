@@ -139,7 +139,10 @@ def flagged_sections(docs: DataFrame, k: int = FLAGGED_SECTIONS, id_col: str = "
     rows = explode_shingles(sets, keep_text=True)
     shared = shingle_owners(rows.select("doc_id", *KEY)).where(F.col("lo") != F.col("hi")).select(*KEY)
     hit = rows.join(shared, KEY)
-    counts = hit.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    # count("shingle") keeps the text column in this branch too, so both
+    # branches share one plan up to the join and Spark reuses its exchanges
+    # (the corpus is tokenised once per side, not once per branch).
+    counts = hit.groupBy("doc_id").agg(F.count("shingle").alias("n_shared"))
     top = (top_n_per_key(hit, ["doc_id"], [F.col("shingle")], k, out="_r")
            .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_r", "shingle"))).alias("_s")))
     return counts.join(top, "doc_id").select(
