@@ -6,6 +6,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+def trunc_time(df: DataFrame, unit: str, col: str) -> Column:
+    """``date_trunc`` that keeps the column's type: Spark returns TIMESTAMP
+    even for TIMESTAMP_NTZ input, which would turn naive wall times into
+    zone-dependent instants downstream."""
+    t = F.date_trunc(unit, F.col(col))
+    if df.schema[col].dataType.typeName() == "timestamp_ntz":
+        return t.cast("timestamp_ntz")
+    return t
+
+
 # Largest row count we hint as a broadcast side (checked with a count first).
 BROADCAST_ROW_LIMIT = 2_000_000
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.operators.base import previous_value, running_count
+from scrivener.operators.base import previous_value, running_count, trunc_time
 
 # Event types the aggregator understands, window default.
 UPLOAD = "paper_uploaded"
@@ -122,7 +122,7 @@ def legacy_window(events: DataFrame, time_col: str = "ts", bucket: str = "hour",
                   spike_threshold: int = SPIKE_THRESHOLD) -> DataFrame:
     """The on-demand legacy record, one per time bucket."""
     is_check = F.col("event_type") == CHECK
-    agg = events.groupBy(F.date_trunc(bucket, F.col(time_col)).alias("timestamp")).agg(
+    agg = events.groupBy(trunc_time(events, bucket, time_col).alias("timestamp")).agg(
         F.count_if(F.col("event_type") == UPLOAD).alias("n"),
         F.coalesce(F.avg(F.when(is_check, F.coalesce("internal_score", F.lit(0.0)))),
                    F.lit(0.0)).alias("avg_plagiarism"))

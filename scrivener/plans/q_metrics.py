@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scrivener.operators import metrics as H
+from scrivener.operators.base import trunc_time
 from scrivener.plans import views as V
 from scrivener.plans.registry import query
 from scrivener.plans.sql_views import with_views
@@ -104,7 +105,8 @@ SELECT job, ts, round(v, 6) AS v, since FROM (
 WHERE epoch(ts) - epoch(since) >= 7200""", "requests"))
 def alert_for(spark, d):
     """H7/H9: hourly average above 50 sustained for 2 hours fires."""
-    flags = V.requests(spark, d).groupBy("job", F.date_trunc("hour", "ts").alias("ts")).agg(
+    r = V.requests(spark, d)
+    flags = r.groupBy("job", trunc_time(r, "hour", "ts").alias("ts")).agg(
         F.avg("value").alias("v")).withColumn("breach", F.col("v") > 50)
     s = H.sustained(flags, ["job"], "ts", "breach", 3600, 7200)
     return s.select("job", "ts", "v", "since")
@@ -202,7 +204,7 @@ def state_alerts(spark, d):
     """H9: boolean-state rule ``up == 0`` held for an hour, per pod (a pod
     is up in an hour when it answered any request without error)."""
     r = V.requests(spark, d)
-    up = r.groupBy("pod", F.date_trunc("hour", "ts").alias("ts")).agg(
+    up = r.groupBy("pod", trunc_time(r, "hour", "ts").alias("ts")).agg(
         F.when(F.count_if(F.col("status") == 200) > 0, F.lit(1)).otherwise(F.lit(0)).alias("up"))
     s = H.sustained(up.withColumn("breach", F.col("up") == 0), ["pod"], "ts", "breach", 3600, 3600)
     return s.select("pod", "ts", "since")

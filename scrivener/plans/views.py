@@ -149,17 +149,19 @@ def counter_samples(spark: SparkSession, d: str) -> DataFrame:
 
 def pod_memory(spark: SparkSession, d: str) -> DataFrame:
     """Hourly memory gauge per pod: max request value in MiB, as bytes."""
+    from scrivener.operators.base import trunc_time
     r = requests(spark, d)
-    return r.groupBy("job", "pod", F.date_trunc("hour", "ts").alias("ts")).agg(
+    return r.groupBy("job", "pod", trunc_time(r, "hour", "ts").alias("ts")).agg(
         (F.max("value") * MIB).alias("value")).withColumn(
         "metric", F.lit("memory_working_set_bytes"))
 
 
 def job_memory(spark: SparkSession, d: str) -> DataFrame:
     """Hourly memory usage and limit per job (usage / limit feed C11, H8)."""
+    from scrivener.operators.base import trunc_time
     e = read_table(spark, d, "events")
     job = F.concat(F.lit("svc"), _job_index().cast("string"), F.lit("-service"))
-    return e.groupBy(job.alias("job"), F.date_trunc("hour", "ts").alias("ts")).agg(
+    return e.groupBy(job.alias("job"), trunc_time(e, "hour", "ts").alias("ts")).agg(
         (F.max("value") * MIB).alias("usage"),
         ((F.lit(300) + F.lit(50) * F.max(_job_index())) * MIB).cast("double").alias("limit"))
 
@@ -167,8 +169,9 @@ def job_memory(spark: SparkSession, d: str) -> DataFrame:
 def alerts(spark: SparkSession, d: str) -> DataFrame:
     """Alerts per (pod, hour) from the hourly average request value."""
     from scrivener.functions.messages import fixed
+    from scrivener.operators.base import trunc_time
     r = requests(spark, d)
-    a = r.groupBy("job", "pod", F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("v"))
+    a = r.groupBy("job", "pod", trunc_time(r, "hour", "ts").alias("ts")).agg(F.avg("value").alias("v"))
     sev = (F.when(F.col("v") > 70, F.lit("critical")).when(F.col("v") > 50, F.lit("warning"))
            .when(F.col("v") > 30, F.lit("info")))
     return a.where(sev.isNotNull()).select(
