@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 from scrivener.functions import messages as M
 from scrivener.functions import scoring as S
 from scrivener.operators import events as E
-from scrivener.operators import tables as TB
 from scrivener.operators import windows as W
 from scrivener.plans import views as V
 from scrivener.plans.registry import query

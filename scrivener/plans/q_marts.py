@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scrivener.functions import scoring as S
 from scrivener.operators import base as B
 from scrivener.operators import marts as MT
 from scrivener.operators import windows as W

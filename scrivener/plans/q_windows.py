@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from scrivener.operators import windows as W
 from scrivener.plans import views as V
