@@ -84,7 +84,7 @@ def enrich_submission(spark, d):
     """Upload events with metadata and text length (NULL text kept)."""
     s = E.enrich_submission(V.submissions(spark, d, with_text=True))
     return s.select("id", "user_id", "assignment_id", "uploaded_at", "event_type",
-                    "processing_pipeline", "text_length")
+                    "processing_pipeline", F.col("text_length").cast("bigint").alias("text_length"))
 
 
 @query("enrich_check", with_views(f"""
@@ -129,7 +129,7 @@ def text_cap(spark, d):
     """The first 4000 characters of each text go to scoring."""
     docs = read_table(spark, d, "documents")
     capped = S.text_cap("text")
-    return docs.select("doc_id", F.length(capped).alias("capped_length"),
+    return docs.select("doc_id", F.length(capped).cast("bigint").alias("capped_length"),
                        F.md5(capped).alias("capped_md5"))
 
 

@@ -31,7 +31,8 @@ def decode_uploads(spark, d):
     p = read_table(spark, d, "pages")
     ext = file_ext(IN.url_path(F.col("url")))
     body = F.encode("html", "UTF-8")
-    return p.select("page_id", ext.alias("ext"), F.length(decode_text(body, ext)).alias("text_length"))
+    return p.select("page_id", ext.alias("ext"),
+                    F.length(decode_text(body, ext)).cast("bigint").alias("text_length"))
 
 
 @query("size_limit", """

@@ -88,7 +88,7 @@ def text_backfill(spark, d):
     stored = V.submissions(spark, d, with_text=True).select("id", "text")
     out = TB.backfill_text(ev, stored)
     return out.select("submission_id", "l_linenumber", "l_partkey", "l_suppkey",
-                      F.length("text").alias("text_length"), "status")
+                      F.length("text").cast("bigint").alias("text_length"), "status")
 
 
 @query("latest_results", with_views(f"""
