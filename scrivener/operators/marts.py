@@ -56,8 +56,7 @@ def student_dashboard(users: DataFrame, submissions: DataFrame, notifications: D
         "user_id", "name",
         F.coalesce("submissions_count", F.lit(0)).alias("submissions_count"),
         F.col("_m").isNotNull().alias("has_notifications"),
-        F.array_join(F.transform(F.coalesce("_m", F.array()), lambda x: x["message"]), "\n")
-         .alias("recent_messages"),
+        F.transform(F.coalesce("_m", F.array()), lambda x: x["message"]).alias("recent_messages"),
         "latest_window_start", "avg_internal_score", "avg_external_score", "avg_ai_probability",
     )
 

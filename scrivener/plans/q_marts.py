@@ -46,8 +46,9 @@ WHERE u.role = 'student'""", "users", "submissions", "submissions_text", "checks
                                         extra=[NOTIFICATIONS_CTE, WINDOWS_CTE]))
 def student_dashboard(spark, d):
     """The student mart for every student."""
-    return MT.student_dashboard(V.users(spark, d), V.submissions(spark, d),
-                                notifications(spark, d), W.latest_window(windows(spark, d)))
+    m = MT.student_dashboard(V.users(spark, d), V.submissions(spark, d),
+                             notifications(spark, d), W.latest_window(windows(spark, d)))
+    return m.withColumn("recent_messages", F.array_join("recent_messages", "\n"))
 
 
 @query("faculty_recent", with_views(FACULTY_RECENT_SQL, "users", "submissions"))
