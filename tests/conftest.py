@@ -16,6 +16,7 @@ def spark():
     s = get_session("local[4]", shuffle_partitions=8, extra={
         "spark.sql.shuffle.partitions": "8",
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="scrivener-test-ckpt-"),
+        "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="scrivener-test-wh-"),
     })
     yield s
     s.stop()

@@ -50,3 +50,20 @@ def test_internal_similarity_has_no_pair_join(spark):
     assert "Expand" in p                      # grouping sets: one scan, two groupings
     joins = re.findall(r"(SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin)[^\n]*", p)
     assert all("h1" not in j for j in joins)
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    """Co-located join: both sides bucketed by the join key, no Exchange."""
+    from scrivener.sources.tables import read_table, save_bucketed
+    orders = read_table(spark, SF_SMALL, "orders")
+    docs = read_table(spark, SF_SMALL, "documents")
+    save_bucketed(orders.withColumnRenamed("o_orderkey", "id"), "b_orders", "id", 8)
+    save_bucketed(docs.withColumnRenamed("doc_id", "id"), "b_documents", "id", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("b_orders").join(spark.table("b_documents"), "id", "left")
+        p = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in p and "Exchange" not in p
+        assert j.count() == orders.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
