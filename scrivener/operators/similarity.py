@@ -5,8 +5,8 @@ Shingles are distinct lower-cased word 5-grams of the whole text. Scores:
 * internal (C8): share of a document's shingles that also occur in at least
   one *other* document of the corpus (containment in the rest of the corpus).
 * external (C9): share of its shingles that occur in the outside corpus.
-* flagged sections (C10): the first k shared shingles of a document (in
-  text order), as the suspicious passages.
+* flagged sections (C10): the k alphabetically first shared shingles of a
+  document, as the suspicious passages.
 
 Internal overlap needs no document pairs. Grouping shingles by their key and
 keeping ``min(doc)`` and ``max(doc)`` tells whether a shingle is unique
