@@ -70,3 +70,32 @@ def flagged_sections(spark, d):
     f = SIM.flagged_sections(read_table(spark, d, "documents"))
     return f.select("doc_id", "n_shared",
                     F.array_join("flagged_sections", "\n").alias("flagged_sections"))
+
+
+DOCUMENT_CHECKS_SQL = f"""
+WITH {GRAMS.strip()}, {BENCH_GRAMS.strip()},
+df AS (SELECT s, count(*) AS c FROM grams GROUP BY s),
+ext AS (SELECT DISTINCT s FROM bgrams),
+per AS (SELECT g.doc_id, count(*) AS n, count(*) FILTER (WHERE df.c > 1) AS shared, count(ext.s) AS m
+        FROM grams g JOIN df USING (s) LEFT JOIN ext USING (s) GROUP BY g.doc_id),
+flags AS (SELECT doc_id, array_to_string(list(s ORDER BY s)[1:3], chr(10)) AS f
+          FROM grams JOIN df USING (s) WHERE df.c > 1 GROUP BY doc_id),
+scores AS (
+  SELECT d.doc_id,
+         CASE WHEN coalesce(per.n, 0) = 0 THEN 0.0 ELSE per.shared / per.n END AS internal,
+         CASE WHEN coalesce(per.n, 0) = 0 THEN 0.0 ELSE per.m / per.n END AS external
+  FROM documents d LEFT JOIN per USING (doc_id))
+SELECT s.doc_id AS submission_id, round(s.internal, 6) AS internal_score,
+       round(s.external, 6) AS external_score, CAST(0.0 AS DOUBLE) AS ai_generated_probability,
+       coalesce(f.f, '') AS flagged_sections,
+       CASE WHEN s.internal >= 0.7 THEN 'high' WHEN s.internal >= 0.4 THEN 'medium' ELSE 'low' END AS severity,
+       s.internal >= 0.5 AS requires_review, false AS ai_generated_likely
+FROM scores s LEFT JOIN flags f USING (doc_id)"""
+
+
+@query("document_checks", DOCUMENT_CHECKS_SQL)
+def document_checks(spark, d):
+    """B7 + C8-C10: the full check record of every document (scores,
+    flagged sections, severity, review and AI flags)."""
+    rec = SIM.score_documents(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
+    return rec.withColumn("flagged_sections", F.array_join("flagged_sections", "\n"))

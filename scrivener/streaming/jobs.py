@@ -134,7 +134,7 @@ def parquet_stream(spark: SparkSession, path: str, schema, max_files_per_trigger
     return r.load(path)
 
 
-def pipeline(spark: SparkSession, events: DataFrame, out_path: str, name: str = "analytics",
+def analytics_job(spark: SparkSession, events: DataFrame, out_path: str, name: str = "analytics",
              dedupe_keys: list[str] | None = None, trigger: dict | None = None):
     """E5: raw events -> (optional E8 dedupe) -> D1 windows -> append sink.
     One checkpointed query; the parquet file sink is exactly-once."""

@@ -25,7 +25,7 @@ from scrivener.session import checkpoint_dir, get_session
 from scrivener.streaming import jobs as J
 from scrivener.streaming import topics as TP
 
-# Topic names of the pipeline.
+# Topic names of the stages.
 RAW_UPLOADS = "paper_uploaded"
 RAW_CHECKS = "plagiarism_checked"
 UPLOADS = "paper_uploaded_processed"

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
-STREAMING = {"window_analytics_stream", "topic_pipeline", "upsert_results", "dedupe_stream",
+STREAMING = {"window_analytics_stream", "chained_topics", "upsert_results", "dedupe_stream",
              "late_rows", "ingest_files", "topic_source", "append_sink"}
 
 
