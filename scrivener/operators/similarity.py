@@ -149,15 +149,44 @@ def flagged_sections(docs: DataFrame, k: int = FLAGGED_SECTIONS, id_col: str = "
         "doc_id", "n_shared", F.transform("_s", lambda x: x["shingle"]).alias("flagged_sections"))
 
 
-def score_documents(docs: DataFrame, corpus: DataFrame, ai_col: str | None = None) -> DataFrame:
-    """B7 over documents: internal, external, flags and derived severity."""
-    inner = internal_similarity(docs)
-    outer = external_similarity(docs, corpus).select("doc_id", "external_score")
-    flags = flagged_sections(docs).select("doc_id", "flagged_sections")
-    ai = (docs.select(F.col("doc_id"), F.col(ai_col).alias("ai_generated_probability"))
-          if ai_col else docs.select("doc_id", F.lit(0.0).alias("ai_generated_probability")))
-    j = (inner.join(outer, "doc_id").join(ai, "doc_id")
-         .join(flags, "doc_id", "left")
-         .withColumn("flagged_sections",
-                     F.coalesce("flagged_sections", F.array().cast("array<string>"))))
+def score_documents(docs: DataFrame, corpus: DataFrame, ai_col: str | None = None,
+                    k: int = FLAGGED_SECTIONS, corpus_id: str = "item_id",
+                    corpus_text: str = "text") -> DataFrame:
+    """B7 over documents in one plan: internal and external overlap, flagged
+    sections and the derived severity / review / AI flags.
+
+    One exploded row set feeds everything: a left join marks outside-corpus
+    hits, one ``GROUPING SETS`` aggregate gives per shingle its owner range
+    and per document its totals and hits, and only the flagged-section top-k
+    reads the rows again (joined to the shared keys).
+    """
+    rows = explode_shingles(shingle_sets(spread(docs)), keep_text=True, keep_empty=True)
+    ref = broadcast_if_small(reference_shingles(corpus, corpus_id, corpus_text)
+                             .withColumn("_hit", F.lit(1)),
+                             bound=reference_rows(corpus, corpus_id, corpus_text))
+    marked = rows.join(ref, KEY, "left")
+    g = marked.groupingSets([["h1", "h2"], ["doc_id"]], "h1", "h2", "doc_id").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
+        F.count("h1").alias("n"), F.count("_hit").alias("m"), F.grouping_id().alias("_g"))
+    per_doc = g.where(F.col("_g") == 6).select("doc_id", "n", "m")
+    keys = g.where((F.col("_g") == 1) & F.col("h1").isNotNull())
+    unique = (keys.where(F.col("lo") == F.col("hi"))
+              .groupBy(F.col("lo").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_unique")))
+    shared = keys.where(F.col("lo") != F.col("hi")).select(*KEY)
+    top = (top_n_per_key(rows.where(F.col("h1").isNotNull()).join(shared, KEY),
+                         ["doc_id"], [F.col("shingle")], k, out="_r")
+           .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_r", "shingle"))).alias("_s")))
+    n = F.col("n")
+    j = (per_doc.join(unique, "doc_id", "left").join(top, "doc_id", "left")
+         .withColumns({
+             "internal_score": F.when(n > 0, (n - F.coalesce("n_unique", F.lit(0))) / n)
+                                .otherwise(F.lit(0.0)),
+             "external_score": F.when(n > 0, F.col("m") / n).otherwise(F.lit(0.0)),
+             "flagged_sections": F.transform(F.coalesce("_s", F.array()), lambda x: x["shingle"]),
+         }))
+    if ai_col:
+        j = j.join(docs.select(F.col("doc_id"), F.col(ai_col).alias("ai_generated_probability")),
+                   "doc_id", "left")
+    else:
+        j = j.withColumn("ai_generated_probability", F.lit(0.0))
     return scoring.check_record(j, submission_id="doc_id")
