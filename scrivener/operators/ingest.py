@@ -10,6 +10,9 @@ from scrivener import schemas
 from scrivener.functions import messages as M
 from scrivener.functions.text import MAX_UPLOAD_BYTES, decode_text, file_ext, within_size_limit
 
+# The binaryFile source's row shape (a stream must be given it up front).
+BINARY_FILE_SCHEMA = ("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
+
 # Only object keys with this suffix trigger extraction; the
 # first pages sampled for the text length.
 OBJECT_SUFFIX = ".pdf"
@@ -28,6 +31,18 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None,
     return r.load(path)
 
 
+def stream_files(spark: SparkSession, path: str, glob: str | None = None,
+                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """A8 (streaming): new files in an upload folder as they arrive; feed
+    the result to :func:`files_to_submissions` exactly like the batch read."""
+    r = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.load(path)
+
+
 def files_to_submissions(files: DataFrame, user_id=None, assignment_id=None,
                          limit: int = MAX_UPLOAD_BYTES) -> DataFrame:
     """One submission row per file.

@@ -153,3 +153,18 @@ def test_stage_chain_enrich_windows_notify(spark, tmp_dir):
     assert len(msgs) == 2
     assert msgs[0].startswith("⚠️ HIGH RISK: Plagiarism check for submission sub1 detected 80.0%")
     assert "submission sub1, 11 characters" in msgs[1]
+
+
+def test_upload_folder_stream(spark, tmp_dir):
+    """A8 streaming: files dropped in a folder become submission rows."""
+    from scrivener.operators import ingest as IN
+    up = os.path.join(tmp_dir, "uploads")
+    os.makedirs(up)
+    for name, data in {"a.TXT": b"hello", "b.py": b"\xff\xfe", "c.pdf": b"%PDF"}.items():
+        with open(os.path.join(up, name), "wb") as f:
+            f.write(data)
+    src = IN.stream_files(spark, up)
+    q = J.run_stage(src, IN.files_to_submissions, ("memory", None), "uploads_q", trigger=AVAILABLE_NOW)
+    q.awaitTermination(300)
+    rows = {os.path.basename(r.file_url): r.text for r in spark.sql("SELECT * FROM uploads_q").collect()}
+    assert rows == {"a.TXT": "hello", "b.py": None, "c.pdf": None}
