@@ -36,10 +36,12 @@ def spread(docs: DataFrame) -> DataFrame:
     than the cluster has cores (few large row groups), spread the documents
     round-robin first; a large input already has enough splits and is left
     alone (no extra shuffle of the text)."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:
-        return docs.repartition(cores)
-    return docs
+    try:
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        splits = docs.rdd.getNumPartitions()
+    except Exception:          # e.g. a Spark Connect session: no RDD view
+        return docs
+    return docs.repartition(cores) if splits < cores else docs
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -48,14 +48,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     when it is unset (local tests) do we pick a scratch folder of our own and
     register it with ``SparkContext.setCheckpointDir``.
     """
-    app = spark.sparkContext.applicationId
-    d = (spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(app)
-         or spark.sparkContext.getCheckpointDir())
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:          # e.g. a Spark Connect session
+        sc = None
+    app = sc.applicationId if sc is not None else "connect"
+    d = d or _LOCAL_DIRS.get(app) or (sc.getCheckpointDir() if sc is not None else None)
     if not d:
         d = tempfile.mkdtemp(prefix="scrivener-ckpt-")
         _LOCAL_DIRS[app] = d
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
