@@ -16,7 +16,9 @@ UPLOAD_EVENT = "paper_uploaded"
 CHECK_EVENT = "plagiarism_checked"
 UPLOAD_PIPELINE = "submission-service"
 CHECK_PIPELINE = "plagiarism-service"
-# Fixed value: error text of a check request without text.
+# Error texts of a check request for an unknown user and
+# without text.
+USER_NOT_FOUND = "User %s not found"
 TEXT_REQUIRED = "Research paper text is required for plagiarism check"
 
 CORRUPT = "_corrupt_record"

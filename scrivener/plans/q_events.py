@@ -144,8 +144,7 @@ def dead_letter(spark, d):
     subs = V.submissions(spark, d, with_text=True)
     u = V.users(spark, d).select(F.col("id").alias("user_id"), F.lit(True).alias("_known"))
     tagged = E.tag_errors(subs.join(u, "user_id", "left"), [
-        (F.col("_known").isNull(),
-         F.concat(F.lit("User "), F.col("user_id").cast("string"), F.lit(" not found"))),
+        (F.col("_known").isNull(), F.format_string(E.USER_NOT_FOUND, F.col("user_id").cast("string"))),
         (F.col("text").isNull() | (F.col("text") == ""), E.TEXT_REQUIRED),
     ])
     _, bad = E.split_errors(tagged)

@@ -10,6 +10,8 @@ from scrivener.plans import views as V
 from scrivener.plans.registry import query
 from scrivener.plans.sql_views import with_views
 
+# Fixed values from the alert routing config: routes in order (first match
+# wins, default receiver "default") and the two inhibition rules.
 ROUTES = [({"severity": "critical"}, "critical"), ({"severity": "warning"}, "warning"),
           ({"component": "prometheus"}, "platform"), ({"component": "loki"}, "platform")]
 INHIBIT_RULES = [
@@ -18,6 +20,7 @@ INHIBIT_RULES = [
     {"source": {"alertname": "InfoInhibitor"}, "target_re": {"severity": "info|warning|critical"},
      "equal": ["namespace"]},
 ]
+# Label selectors used on the test views.
 LOG_JOBS = r"^svc[0-2]-service$"
 POD_PATTERN = r"^svc[0-2]-service-"
 
