@@ -137,6 +137,27 @@ def previous_value(df: DataFrame, keys, order_cols, value: str, bucket: Column,
             .drop("_b", "_lag", "_first", "_carry"))
 
 
+def last_before(df: DataFrame, keys, order_cols, value: str, bucket: Column,
+                out: str = "last") -> DataFrame:
+    """Last non-null ``value`` strictly before each row, per key in order
+    (``last(value, ignorenulls) OVER (... ROWS UNBOUNDED PRECEDING TO 1
+    PRECEDING)``), computed in (key, bucket) slices with the last non-null
+    value of older buckets carried in from a small (key, bucket) table."""
+    keys = list(keys)
+    b = df.withColumn("_b", bucket)
+    order_struct = F.struct(*[F.col(c) for c in order_cols], F.col(value).alias("_v"))
+    last = b.groupBy(*keys, "_b").agg(
+        F.max(F.when(F.col(value).isNotNull(), order_struct)).alias("_last"))
+    older = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(*keys, "_b", F.last(F.col("_last._v"), ignorenulls=True).over(older).alias("_carry"))
+    local = (Window.partitionBy(*keys, "_b").orderBy(*order_cols)
+             .rowsBetween(Window.unboundedPreceding, -1))
+    within = b.withColumn("_in", F.last(value, ignorenulls=True).over(local))
+    return (within.join(carry, [*keys, "_b"])
+            .withColumn(out, F.coalesce("_in", "_carry"))
+            .drop("_b", "_in", "_carry"))
+
+
 def top_n_per_key(df: DataFrame, keys, order: list[Column], n: int, out: str = "rank") -> DataFrame:
     """Top-n rows per key. ``row_number() <= n`` lets Spark insert a partial
     WindowGroupLimit before the shuffle, so each map task forwards at most n

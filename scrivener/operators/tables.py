@@ -7,7 +7,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.operators.base import rank_desc
+from scrivener.operators.base import last_before, rank_desc
+
+# How ignored changes are reported.
+INSERT_OF_LIVE = "insert of a live id"
+UPDATE_OF_ABSENT = "update of an absent id"
+DELETE_OF_ABSENT = "delete of an absent id"
 
 
 def valid_rows(df: DataFrame, users: DataFrame, user_col: str = "user_id") -> DataFrame:
@@ -88,6 +93,26 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str = "id", op: str
             .select(key, result.alias("_r")).select(key, "_r.*"))
 
 
+def change_conflicts(base: DataFrame, changes: DataFrame, key: str = "id", op: str = "op",
+                     seq: str = "seq", bucket=None) -> DataFrame:
+    """G2 report: changes that are not applied. A key is live before a change
+    when its last insert/delete before it was an insert (or, with none, when
+    the base row exists). Inserts of a live key, and updates or deletes of
+    an absent key, are reported; ``bucket`` slices each key's history (by
+    default the first 8 characters of ``seq``, its date)."""
+    b = base.select(key, F.lit(True).alias("_base"))
+    c = changes.join(b, key, "left").withColumn(
+        "_state_op", F.when(F.col(op).isin("insert", "delete"), F.col(op)))
+    bucket = bucket if bucket is not None else F.substring(F.col(seq), 1, 8)
+    p = last_before(c, [key], [seq], "_state_op", bucket, out="_prev_op")
+    live = F.when(F.col("_prev_op").isNull(), F.coalesce("_base", F.lit(False))).otherwise(
+        F.col("_prev_op") == "insert")
+    conflict = (F.when((F.col(op) == "insert") & live, F.lit(INSERT_OF_LIVE))
+                .when((F.col(op) == "update") & ~live, F.lit(UPDATE_OF_ABSENT))
+                .when((F.col(op) == "delete") & ~live, F.lit(DELETE_OF_ABSENT)))
+    return p.select(key, seq, op, conflict.alias("conflict")).where(F.col("conflict").isNotNull())
+
+
 def duplicate_keys(df: DataFrame, keys: list[str], constraint: str) -> DataFrame:
     """Keys that occur more than once, as (constraint, key, n)."""
     k = F.concat_ws("|", *[F.col(c).cast("string") for c in keys])

@@ -149,6 +149,24 @@ def apply_user_changes(spark, d):
     return TB.apply_changes(V.base_users(spark, d), V.user_changes(spark, d))
 
 
+@query("change_conflicts", with_views("""
+SELECT id, seq, op, conflict FROM (
+  SELECT id, seq, op,
+         CASE WHEN op = 'insert' AND live THEN 'insert of a live id'
+              WHEN op = 'update' AND NOT live THEN 'update of an absent id'
+              WHEN op = 'delete' AND NOT live THEN 'delete of an absent id' END AS conflict
+  FROM (SELECT *, CASE WHEN prev_op IS NULL THEN base_live ELSE prev_op = 'insert' END AS live
+        FROM (SELECT c.*, b.id IS NOT NULL AS base_live,
+                     last_value(CASE WHEN c.op IN ('insert', 'delete') THEN c.op END IGNORE NULLS)
+                       OVER (PARTITION BY c.id ORDER BY c.seq
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_op
+              FROM user_changes c LEFT JOIN base_users b ON b.id = c.id)))
+WHERE conflict IS NOT NULL""", "base_users", "user_changes"))
+def change_conflicts(spark, d):
+    """G2 report: inserts of live ids and updates/deletes of absent ids."""
+    return TB.change_conflicts(V.base_users(spark, d), V.user_changes(spark, d))
+
+
 @query("unique_violations", with_views("""
 SELECT 'users.id' AS constraint, CAST(id AS VARCHAR) AS key, count(*) AS n FROM users GROUP BY id HAVING count(*) > 1
 UNION ALL

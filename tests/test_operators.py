@@ -422,3 +422,17 @@ def test_running_count_matches_window(spark):
         Window.partitionBy("k").orderBy("ts", "i").rowsBetween(Window.unboundedPreceding, 0)))
     cols = ["i", "running"]
     assert got.select(cols).exceptAll(ref.select(cols)).count() == 0
+
+
+def test_change_conflicts_fixture(spark):
+    base = spark.createDataFrame([("u1", "Alice", "alice@test.com", "student")],
+                                 "id string, name string, email string, role string")
+    ch = spark.createDataFrame([
+        ("u4", "insert", "20240101001"), ("u4", "update", "20240101002"),
+        ("u6", "insert", "20240102003"), ("u6", "delete", "20240102004"),
+        ("u9", "update", "20240103005"), ("u8", "delete", "20240103006"),
+        ("u1", "insert", "20240104007"), ("u6", "update", "20240105008"),
+    ], "id string, op string, seq string")
+    got = sorted((r.id, r.conflict) for r in TB.change_conflicts(base, ch).collect())
+    assert got == [("u1", "insert of a live id"), ("u6", "update of an absent id"),
+                   ("u8", "delete of an absent id"), ("u9", "update of an absent id")]
