@@ -64,12 +64,15 @@ def run_stage(source: DataFrame, transform: Callable[[DataFrame], DataFrame], si
 
 def window_analytics_stream(events: DataFrame, size: str = W.DEFAULT_WINDOW,
                             watermark: str = WATERMARK, time_col: str = "ts",
-                            slide: str | None = None) -> DataFrame:
-    """D1 as a stream. Append mode emits each window once, when the
-    watermark passes its end; rows later than the watermark are dropped and
-    counted (E4: ``numRowsDroppedByWatermark``)."""
+                            slide: str | None = None, kind: str = "tumbling",
+                            gap: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """D1 as a stream (tumbling, sliding, or per-key session
+    windows). Append mode emits each window once, when the watermark passes
+    its end; rows later than the watermark are dropped and counted (E4:
+    ``numRowsDroppedByWatermark``)."""
     ev = event_time(events, time_col).withWatermark(time_col, watermark)
-    return W.window_analytics(ev, time_col=time_col, size=size, slide=slide)
+    return W.window_analytics(ev, time_col=time_col, size=size, slide=slide, kind=kind,
+                              gap=gap, keys=keys)
 
 
 def late_rows(query) -> int:

@@ -168,3 +168,22 @@ def test_upload_folder_stream(spark, tmp_dir):
     q.awaitTermination(300)
     rows = {os.path.basename(r.file_url): r.text for r in spark.sql("SELECT * FROM uploads_q").collect()}
     assert rows == {"a.TXT": "hello", "b.py": None, "c.pdf": None}
+
+
+def test_session_windows_stream_matches_batch(spark, tmp_dir):
+    """E10 streaming: per-user sessions emitted once closed equal the batch sessions."""
+    path, schema = _write_event_files(spark, tmp_dir)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = os.path.join(tmp_dir, "sessions")
+    q = J.run_stage(src, lambda d: J.window_analytics_stream(d, kind="session", gap="30 minutes",
+                                                             keys=("user_id",)),
+                    ("parquet", out), "sessions_q", trigger=AVAILABLE_NOW)
+    q.awaitTermination(300)
+    streamed = spark.read.parquet(out)
+    batch = W.session_analytics(V.event_stream(spark, SF_SMALL), ("user_id",), tie="event_id")
+    batch = batch.withColumn("window_end", F.col("window_end").cast("timestamp"))
+    last = V.event_stream(spark, SF_SMALL).agg(F.max("ts")).collect()[0][0]
+    closed = batch.where(F.col("window_end") <= F.lit(last).cast("timestamp") - F.expr("INTERVAL 5 SECONDS"))
+    cols = ["user_id", "window_end", "submission_count", "total_checks"]
+    assert streamed.count() == closed.count()
+    assert streamed.select(cols).exceptAll(closed.select(cols)).count() == 0
