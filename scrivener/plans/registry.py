@@ -46,6 +46,42 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+# Tables the oracle SQL reads (views in the checker's DuckDB).
+ORACLE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
+                 "events", "documents", "embeddings", "pages", "benchmark", "labels",
+                 "conversations")
+_BIND_DIR = "/root/testdata/sf0.001"
+_bind_con = None
+
+
+def _double_columns(sql: str) -> list[str]:
+    """DOUBLE output columns of ``sql``, found by binding it in DuckDB over
+    the smallest tables (no execution)."""
+    global _bind_con
+    if _bind_con is None:
+        import duckdb
+        con = duckdb.connect()
+        for t in ORACLE_TABLES:
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{_BIND_DIR}/{t}.parquet')")
+        _bind_con = con
+    rel = _bind_con.sql(sql)
+    return [c for c, t in zip(rel.columns, rel.types) if str(t) in ("DOUBLE", "FLOAT", "REAL")]
+
+
+def rounded_sql(sql: str, digits: int = DIGITS) -> str:
+    """The oracle SQL with every DOUBLE column rounded like ``round_doubles``,
+    so both sides carry identical values whatever float handling the
+    comparison uses. Falls back to the SQL as written if it cannot be bound."""
+    try:
+        cols = _double_columns(sql)
+    except Exception:
+        return sql
+    if not cols:
+        return sql
+    rep = ", ".join(f'round("{c}", {digits}) AS "{c}"' for c in cols)
+    return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS _q"
+
+
 def load_all() -> None:
     """Import the modules that register queries."""
     from scrivener.plans import (  # noqa: F401
