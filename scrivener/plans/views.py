@@ -97,7 +97,11 @@ def _job_index():
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """events as a request log of five services."""
-    e = read_table(spark, d, "events")
+    return requests_from(read_table(spark, d, "events"))
+
+
+def requests_from(e: DataFrame) -> DataFrame:
+    """The request-log view over an events DataFrame (batch or stream)."""
     job = F.concat(F.lit("svc"), _job_index().cast("string"), F.lit("-service"))
     return e.select(
         "event_id", "ts",

@@ -8,7 +8,8 @@ import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
 STREAMING = {"window_analytics_stream", "chained_topics", "upsert_results", "dedupe_stream",
-             "late_rows", "ingest_files", "topic_source", "append_sink", "session_metrics_stream"}
+             "late_rows", "ingest_files", "topic_source", "append_sink", "session_metrics_stream",
+             "error_rate_stream"}
 
 
 def plan(spark, name):
