@@ -81,6 +81,19 @@ def histogram_quantile(requests: DataFrame, by: list[str], value: str = "latency
     return agg.select(*by, F.col("w.start").alias("window_start"), expr.alias("quantile"))
 
 
+def quantile_approx(requests: DataFrame, by: list[str], value: str = "latency_s",
+                    window: str = "1 hour", ts: str = "ts", q: float = QUANTILE,
+                    accuracy: int = 10_000) -> DataFrame:
+    """H3 (raw form): quantile of the raw values per group and window with a
+    bounded-memory sketch (``percentile_approx``; rank error <= 1/accuracy of
+    the group size). An exact percentile would buffer every value of a group,
+    which a job holding a third of all requests cannot afford."""
+    agg = requests.groupBy(*by, F.window(ts, window).alias("w")).agg(
+        F.percentile_approx(value, q, accuracy).alias("quantile"),
+        F.count(F.lit(1)).alias("n"))
+    return agg.select(*by, F.col("w.start").alias("window_start"), "quantile", "n")
+
+
 def to_gib(samples: DataFrame, value: str = "value", label: str = "pod",
            pattern: str | None = None) -> DataFrame:
     """Bytes -> GiB for series whose label matches ``pattern``."""

@@ -68,6 +68,13 @@ def latency_p95(spark, d):
     return H.histogram_quantile(V.requests(spark, d), ["job"])
 
 
+@query("latency_p95_raw")
+def latency_p95_raw(spark, d):
+    """H3 (raw form): hourly p95 latency per job from the raw values with a
+    bounded sketch (approximate, so checked by rows only)."""
+    return H.quantile_approx(V.requests(spark, d), ["job"])
+
+
 @query("memory_gib", with_views(f"""
 SELECT job, pod, ts, round(value / 1073741824, 6) AS gib FROM pod_memory
 WHERE regexp_matches(pod, '{POD_PATTERN}')""", "pod_memory"))

@@ -436,3 +436,20 @@ def test_change_conflicts_fixture(spark):
     got = sorted((r.id, r.conflict) for r in TB.change_conflicts(base, ch).collect())
     assert got == [("u1", "insert of a live id"), ("u6", "update of an absent id"),
                    ("u8", "delete of an absent id"), ("u9", "update of an absent id")]
+
+
+def test_quantile_approx_rank_error(spark):
+    import numpy as np
+    from scrivener.plans import views as V
+    r = V.requests(spark, "/root/testdata/sf0.01")
+    got = {(x.job, x.window_start): x.quantile for x in H.quantile_approx(r, ["job"], window="30 days").collect()}
+    pdf = r.select("job", "ts", "latency_s").toPandas()
+    for (job, start), qv in got.items():
+        vals = np.sort(pdf[(pdf.job == job) & (pdf.ts >= start) & (pdf.ts < start + pd_timedelta(30))].latency_s.values)
+        rank = np.searchsorted(vals, qv, side="right") / len(vals)
+        assert abs(rank - 0.95) <= 1 / 10_000 + 1 / len(vals)
+
+
+def pd_timedelta(days):
+    import pandas as pd
+    return pd.Timedelta(days=days)
