@@ -29,6 +29,11 @@ def duck(sf_dir):
 
 STRICT = os.environ.get("ORACLE_LOOSE") is None   # exact float compare by default
 
+# DuckDB result type -> Spark simpleString expected on the Spark side.
+DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                 "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz", "FLOAT": "float",
+                 "SMALLINT": "smallint", "DATE": "date"}
+
 
 def norm(v):
     if isinstance(v, float):
@@ -60,17 +65,21 @@ def compare(spark, con, name, fn, sql, sf_dir, verbose=True):
     s_cols = sdf.columns
     s_rows = [tuple(r) for r in sdf.collect()]
     t1 = time.time()
-    res = con.execute(sql)
-    d_cols = [c[0] for c in res.description]
-    d_rows = res.fetchall()
-    ok_cols = sorted(s_cols) == sorted(d_cols)
+    rel = con.sql(sql)
+    d_cols = list(rel.columns)
+    d_types = dict(zip(d_cols, (str(t) for t in rel.types)))
+    d_rows = rel.fetchall()
+    s_types = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+    bad_types = {c: (s_types.get(c), d_types[c]) for c in d_cols
+                 if DUCK_TO_SPARK.get(d_types[c].split("(")[0], d_types[c]) != s_types.get(c)}
+    ok_cols = sorted(s_cols) == sorted(d_cols) and not bad_types
     ok_n = len(s_rows) == len(d_rows)
     hs, ls = digest(s_cols, s_rows)
     hd, ld = digest(d_cols, d_rows)
     ok = ok_cols and ok_n and hs == hd
     if verbose:
         print(f"{'OK  ' if ok else 'FAIL'} {name}: rows {len(s_rows)}/{len(d_rows)} "
-              f"cols {'=' if ok_cols else (s_cols, d_cols)} hash {'=' if hs == hd else '!='} "
+              f"cols {'=' if ok_cols else (s_cols, d_cols, bad_types)} hash {'=' if hs == hd else '!='} "
               f"spark {t1 - t0:.1f}s", flush=True)
         if not ok and ok_cols:
             a, b = set(ls), set(ld)
