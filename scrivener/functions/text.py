@@ -53,3 +53,17 @@ def ngrams_of(tokens, n: int = 5) -> Column:
     return F.when(F.size(w) >= n, F.transform(
         idx, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(
         F.array().cast("array<string>"))
+
+
+def word_shingles(text, n: int = 5) -> Column:
+    """All overlapping word n-grams of a text, lower-cased and joined by single
+    spaces (duplicates kept).
+
+    Whitespace runs are collapsed first; then one ``regexp_extract_all``
+    with a zero-width lookahead at every word start returns each n-word
+    window. Equal to splitting on ``\\s+`` and joining each run of n tokens,
+    but a single codegen'd expression instead of two interpreted lambdas.
+    """
+    norm = F.trim(F.regexp_replace(F.lower(_c(text)), r"\s+", " "))
+    window = " ".join(["[^ ]+"] * n)
+    return F.regexp_extract_all(norm, F.lit(f"(?:^|(?<= ))(?=({window}))"), 1)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivener.functions import scoring
-from scrivener.functions.text import ngrams_of, words
+from scrivener.functions.text import word_shingles
 from scrivener.operators.base import broadcast_if_small, top_n_per_key
 
 SHINGLE_WORDS = 5
@@ -48,9 +48,8 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  n: int = SHINGLE_WORDS) -> DataFrame:
     """(id, shingles ARRAY<STRING>) with distinct shingles per document; the
     whole text is tokenised inside its row, no shuffle."""
-    toks = docs.select(F.col(id_col).alias("doc_id"),
-                       words(F.coalesce(F.col(text_col), F.lit(""))).alias("_w"))
-    return toks.select("doc_id", F.array_distinct(ngrams_of("_w", n)).alias("shingles"))
+    grams = word_shingles(F.coalesce(F.col(text_col), F.lit("")), n)
+    return docs.select(F.col(id_col).alias("doc_id"), F.array_distinct(grams).alias("shingles"))
 
 
 def explode_shingles(sets: DataFrame, keep_text: bool = False, keep_empty: bool = False) -> DataFrame:
@@ -58,8 +57,8 @@ def explode_shingles(sets: DataFrame, keep_text: bool = False, keep_empty: bool
 
     ``explode_outer`` instead of ``explode``: for ``explode`` the optimizer
     infers a ``size(array) > 0`` filter and pushes it below the projection,
-    inlining the tokeniser into the n-gram lambda (quadratic). With
-    ``keep_empty`` a document without shingles keeps one row with NULL keys.
+    which evaluates the tokeniser twice. With ``keep_empty`` a document
+    without shingles keeps one row with NULL keys.
     """
     e = sets.select("doc_id", F.explode_outer("shingles").alias("shingle"))
     if not keep_empty:
