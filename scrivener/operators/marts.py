@@ -111,3 +111,18 @@ def display_rows(results: DataFrame, submissions: DataFrame) -> DataFrame:
         M.percent("internal_score").alias("internal_pct"),
         M.percent("ai_generated_probability").alias("ai_pct"),
     )
+
+
+def display_windows(windows: DataFrame) -> DataFrame:
+    """Window rows as the faculty view shows them: start time to the
+    minute, upload rate per minute with 2 decimals, average score as a
+    percentage (rate = uploads / 60 over a 5-minute window, as shown there)."""
+    return windows.select(
+        "window_start",
+        M.minute_stamp("window_start").alias("window"),
+        M.fixed(F.col("submission_count") / 60.0, 2).alias("rate"),
+        # Formatted from the average rounded to 6 digits, so float noise of
+        # the summation order cannot flip a displayed digit.
+        M.percent(F.round("avg_internal_score", 6)).alias("avg_plagiarism_pct"),
+        (F.col("submission_count") > SPIKE_THRESHOLD).alias("spike_detected"),
+    )

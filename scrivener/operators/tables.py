@@ -63,6 +63,12 @@ def by_user_newest_first(subs: DataFrame, user_col: str = "user_id", ts: str = "
     return rank_desc(subs, [user_col], [ts, tie], F.date_trunc("day", F.col(ts)), out="position")
 
 
+def newest_first(df: DataFrame, ts: str = "uploaded_at", tie: str = "id") -> DataFrame:
+    """rows newest first (ties by id), for display. A global sort, so
+    use it on a filtered or limited result, not on a whole table."""
+    return df.orderBy(F.desc(ts), F.desc(tie))
+
+
 def apply_changes(base: DataFrame, changes: DataFrame, key: str = "id", op: str = "op",
                   seq: str = "seq") -> DataFrame:
     """Apply an insert/update/delete change log to ``base``.

@@ -97,3 +97,14 @@ def display_rows(spark, d):
     c = V.checks(spark, d)
     latest = B.latest_per_key(c, ["submission_id"], V.CHECK_ORDER, payload=list(c.columns))
     return MT.display_rows(latest, V.submissions(spark, d))
+
+
+@query("display_windows", with_views("""
+SELECT window_start, strftime(window_start, '%Y-%m-%d %H:%M') AS window,
+       printf('%.2f', submission_count / 60.0) AS rate,
+       printf('%.1f%%', avg_internal_score * 100) AS avg_plagiarism_pct,
+       submission_count > 10 AS spike_detected
+FROM windows""", "event_stream", extra=[WINDOWS_CTE]))
+def display_windows(spark, d):
+    """Formatted window rows of the faculty dashboard."""
+    return MT.display_windows(windows(spark, d))

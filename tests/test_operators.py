@@ -453,3 +453,16 @@ def test_quantile_approx_rank_error(spark):
 def pd_timedelta(days):
     import pandas as pd
     return pd.Timedelta(days=days)
+
+
+def test_id_default_and_newest_first(spark):
+    df = spark.createDataFrame([("", "u1", "a"), (None, "u1", "b"), ("s9", "u1", "c")],
+                               "id string, user_id string, text string")
+    ids = [r.i for r in df.select(M.id_or_new("id", "user_id", "text").alias("i")).collect()]
+    assert ids[2] == "s9" and len(ids[0]) == 64 and ids[0] != ids[1]
+    again = [r.i for r in df.select(M.id_or_new("id", "user_id", "text").alias("i")).collect()]
+    assert again == ids                                  # replay-stable
+    t = dt.datetime(2024, 1, 1)
+    subs = spark.createDataFrame([("s1", t), ("s2", t), ("s3", t + dt.timedelta(days=1))],
+                                 "id string, uploaded_at timestamp_ntz")
+    assert [r.id for r in TB.newest_first(subs).collect()] == ["s3", "s2", "s1"]
