@@ -9,7 +9,7 @@ from scrivener.operators import marts as MT
 from scrivener.operators import windows as W
 from scrivener.plans import views as V
 from scrivener.plans.q_notify import NOTIFICATIONS_CTE, notifications
-from scrivener.plans.q_windows import WINDOWS_CTE, windows
+from scrivener.plans.q_windows import WINDOWS_CTE, WINDOWS_RAW_CTE, windows
 from scrivener.plans.registry import query
 from scrivener.plans.sql_views import with_views
 from scrivener.sources.tables import read_table
@@ -64,8 +64,8 @@ SELECT t.total_submissions,
        coalesce(lw.submission_count > 10, false) AS spike_detected,
        coalesce(lw.avg_internal_score, 0.0) AS avg_plagiarism
 FROM (SELECT count(*) AS total_submissions FROM ({FACULTY_RECENT_SQL})) t
-LEFT JOIN (SELECT * FROM windows ORDER BY window_start DESC LIMIT 1) lw ON true""",
-                                     "users", "submissions", "event_stream", extra=[WINDOWS_CTE]))
+LEFT JOIN (SELECT * FROM windows_raw ORDER BY window_start DESC LIMIT 1) lw ON true""",
+                                     "users", "submissions", "event_stream", extra=[WINDOWS_RAW_CTE]))
 def faculty_summary(spark, d):
     """Faculty totals, flagged estimate and spike flag from the latest window."""
     recent = MT.faculty_recent(V.users(spark, d), V.submissions(spark, d))

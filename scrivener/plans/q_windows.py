@@ -31,6 +31,11 @@ windows AS (
   FROM event_stream GROUP BY 1, 2)"""
 
 
+# The same windows with unrounded averages (for values derived from them).
+WINDOWS_RAW_CTE = WINDOWS_CTE.replace("windows AS (", "windows_raw AS (").replace(
+    "round(coalesce(", "(coalesce(").replace("), 0.0), 6) AS avg_", "), 0.0)) AS avg_")
+
+
 def windows(spark, d):
     return W.window_analytics(V.event_stream(spark, d))
 
