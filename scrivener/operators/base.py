@@ -27,11 +27,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
     ``bound`` is a DataFrame with at least as many rows as ``df`` that is
     cheap to count (e.g. the rows before a ``distinct``): ``limit(n + 1)``
     over it stops reading once the bound is exceeded and needs no shuffle.
-    Above the bound the side is left to a shuffle join (AQE may still convert
-    it at runtime from real sizes).
+    Above the bound the side is pinned to a shuffle (sort-merge) join, so a
+    low size estimate cannot make the planner broadcast it anyway.
     """
     n = (bound if bound is not None else df).limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if n <= max_rows else shuffle_join(df)
+
+
+def shuffle_join(df: DataFrame) -> DataFrame:
+    """Mark ``df`` for a shuffle (sort-merge) join. For sides whose size grows
+    with the data but whose estimate does not (rows built by ``explode``, or
+    aggregates over them): the planner's estimate could otherwise pick a
+    broadcast that does not fit."""
+    return df.hint("shuffle_merge")
 
 
 def _order_struct(order_cols, payload_cols) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivener.functions import messages as M
+from scrivener.functions.numeric import round_half_away
 from scrivener.operators.base import top_n_per_key
 
 # Fixed values of the faculty view: users fanned out, newest submissions
@@ -123,6 +124,6 @@ def display_windows(windows: DataFrame) -> DataFrame:
         M.fixed(F.col("submission_count") / 60.0, 2).alias("rate"),
         # Formatted from the average rounded to 6 digits, so float noise of
         # the summation order cannot flip a displayed digit.
-        M.percent(F.round("avg_internal_score", 6)).alias("avg_plagiarism_pct"),
+        M.percent(round_half_away("avg_internal_score", 6)).alias("avg_plagiarism_pct"),
         (F.col("submission_count") > SPIKE_THRESHOLD).alias("spike_detected"),
     )

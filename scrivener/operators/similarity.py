@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from scrivener.functions import scoring
 from scrivener.functions.text import word_shingles
-from scrivener.operators.base import broadcast_if_small, top_n_per_key
+from scrivener.operators.base import broadcast_if_small, shuffle_join, top_n_per_key
 
 SHINGLE_WORDS = 5
 FLAGGED_SECTIONS = 3
@@ -91,7 +91,7 @@ def internal_similarity(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     totals = g.where(F.col("_g") == 6).select("doc_id", F.col("n").alias("n_shingles"))
     unique = (g.where((F.col("_g") == 1) & F.col("h1").isNotNull() & (F.col("lo") == F.col("hi")))
               .groupBy(F.col("lo").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_unique")))
-    j = totals.join(unique, "doc_id", "left")
+    j = totals.join(shuffle_join(unique), "doc_id", "left")
     n = F.col("n_shingles")
     shared = n - F.coalesce(F.col("n_unique"), F.lit(0))
     return j.select("doc_id", "n_shingles",
@@ -139,14 +139,14 @@ def flagged_sections(docs: DataFrame, k: int = FLAGGED_SECTIONS, id_col: str = "
     sets = shingle_sets(spread(docs), id_col, text_col)
     rows = explode_shingles(sets, keep_text=True)
     shared = shingle_owners(rows.select("doc_id", *KEY)).where(F.col("lo") != F.col("hi")).select(*KEY)
-    hit = rows.join(shared, KEY)
+    hit = rows.join(shuffle_join(shared), KEY)
     # count("shingle") keeps the text column in this branch too, so both
     # branches share one plan up to the join and Spark reuses its exchanges
     # (the corpus is tokenised once per side, not once per branch).
     counts = hit.groupBy("doc_id").agg(F.count("shingle").alias("n_shared"))
     top = (top_n_per_key(hit, ["doc_id"], [F.col("shingle")], k, out="_r")
            .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_r", "shingle"))).alias("_s")))
-    return counts.join(top, "doc_id").select(
+    return counts.join(shuffle_join(top), "doc_id").select(
         "doc_id", "n_shared", F.transform("_s", lambda x: x["shingle"]).alias("flagged_sections"))
 
 
@@ -174,11 +174,11 @@ def score_documents(docs: DataFrame, corpus: DataFrame, ai_col: str | None = Non
     unique = (keys.where(F.col("lo") == F.col("hi"))
               .groupBy(F.col("lo").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_unique")))
     shared = keys.where(F.col("lo") != F.col("hi")).select(*KEY)
-    top = (top_n_per_key(rows.where(F.col("h1").isNotNull()).join(shared, KEY),
+    top = (top_n_per_key(rows.where(F.col("h1").isNotNull()).join(shuffle_join(shared), KEY),
                          ["doc_id"], [F.col("shingle")], k, out="_r")
            .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_r", "shingle"))).alias("_s")))
     n = F.col("n")
-    j = (per_doc.join(unique, "doc_id", "left").join(top, "doc_id", "left")
+    j = (per_doc.join(shuffle_join(unique), "doc_id", "left").join(shuffle_join(top), "doc_id", "left")
          .withColumns({
              "internal_score": F.when(n > 0, (n - F.coalesce("n_unique", F.lit(0))) / n)
                                 .otherwise(F.lit(0.0)),
