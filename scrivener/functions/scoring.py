@@ -48,9 +48,10 @@ def with_check_flags(df, internal="internal_score", ai="ai_generated_probability
 
 def check_record(df, submission_id="submission_id", internal="internal_score",
                  external="external_score", ai="ai_generated_probability",
-                 flagged="flagged_sections"):
-    """Assemble the check-result record from id, three scores and flags."""
-    flags = _c(flagged) if flagged in df.columns else F.array().cast("array<string>")
+                 flagged: str | None = "flagged_sections"):
+    """Assemble the check-result record from id, three scores and flags
+    (``flagged=None``: no flagged sections, an empty list)."""
+    flags = _c(flagged) if flagged is not None else F.array().cast("array<string>")
     return df.select(
         _c(submission_id).alias("submission_id"),
         _c(internal).alias("internal_score"),

@@ -117,7 +117,7 @@ FROM event_stream WHERE event_type = 'plagiarism_checked'""", "event_stream"))
 def check_record(spark, d):
     """Assemble check records from the check events of the stream."""
     es = V.event_stream(spark, d).where(F.col("event_type") == W.CHECK)
-    rec = S.check_record(es, submission_id="event_id", flagged="none")
+    rec = S.check_record(es, submission_id="event_id", flagged=None)
     return rec.withColumn("n_flagged", F.size("flagged_sections")).drop("flagged_sections")
 
 
