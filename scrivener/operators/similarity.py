@@ -76,26 +76,35 @@ def shingle_owners(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
 
 
+def _per_doc_counts(g: DataFrame, extra=()) -> DataFrame:
+    """One consumer of the grouping-sets aggregate ``g`` (so column pruning
+    cannot split it into two scans): document rows give the totals, unique
+    shingle rows (lo == hi) count for their owner; one aggregate by doc."""
+    doc_rows = F.col("_g") == 6
+    unique_rows = (F.col("_g") == 1) & F.col("h1").isNotNull() & (F.col("lo") == F.col("hi"))
+    return (g.where(doc_rows | unique_rows)
+            .groupBy(F.when(doc_rows, F.col("doc_id")).otherwise(F.col("lo")).alias("doc_id"))
+            .agg(F.max(F.when(doc_rows, F.col("n"))).alias("n_shingles"),
+                 F.count_if(unique_rows).alias("n_unique"),
+                 *[F.max(F.when(doc_rows, F.col(c))).alias(c) for c in extra]))
+
+
 def internal_similarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, internal_score). Texts under 5 words score 0.
 
-    One scan and one shuffle for both questions: ``GROUPING SETS
-    ((h1, h2), (doc_id))`` gives per shingle its owner range and per
-    document its shingle count; the unique shingles are then counted per
-    owner (a small second aggregate) and joined to the counts by doc_id."""
+    One scan, two shuffles: ``GROUPING SETS ((h1, h2), (doc_id))`` gives per
+    shingle its owner range and per document its shingle count; a second
+    aggregate by document adds up its unique shingles next to its total."""
     rows = explode_shingles(shingle_sets(spread(docs), id_col, text_col), keep_empty=True)
     g = rows.groupingSets([["h1", "h2"], ["doc_id"]], "h1", "h2", "doc_id").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
         F.count("h1").alias("n"), F.grouping_id().alias("_g"))
     # grouping_id: 1 = grouped by (h1, h2), doc_id aggregated; 6 = by doc_id.
-    totals = g.where(F.col("_g") == 6).select("doc_id", F.col("n").alias("n_shingles"))
-    unique = (g.where((F.col("_g") == 1) & F.col("h1").isNotNull() & (F.col("lo") == F.col("hi")))
-              .groupBy(F.col("lo").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_unique")))
-    j = totals.join(shuffle_join(unique), "doc_id", "left")
+    per_doc = _per_doc_counts(g)
     n = F.col("n_shingles")
-    shared = n - F.coalesce(F.col("n_unique"), F.lit(0))
-    return j.select("doc_id", "n_shingles",
-                    F.when(n > 0, shared / n).otherwise(F.lit(0.0)).alias("internal_score"))
+    shared = n - F.col("n_unique")
+    return per_doc.select("doc_id", "n_shingles",
+                          F.when(n > 0, shared / n).otherwise(F.lit(0.0)).alias("internal_score"))
 
 
 def reference_shingles(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -169,18 +178,16 @@ def score_documents(docs: DataFrame, corpus: DataFrame, ai_col: str | None = Non
     g = marked.groupingSets([["h1", "h2"], ["doc_id"]], "h1", "h2", "doc_id").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
         F.count("h1").alias("n"), F.count("_hit").alias("m"), F.grouping_id().alias("_g"))
-    per_doc = g.where(F.col("_g") == 6).select("doc_id", "n", "m")
-    keys = g.where((F.col("_g") == 1) & F.col("h1").isNotNull())
-    unique = (keys.where(F.col("lo") == F.col("hi"))
-              .groupBy(F.col("lo").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_unique")))
-    shared = keys.where(F.col("lo") != F.col("hi")).select(*KEY)
+    per_doc = _per_doc_counts(g, extra=("m",)).withColumnRenamed("n_shingles", "n")
+    shared = g.where((F.col("_g") == 1) & F.col("h1").isNotNull()
+                     & (F.col("lo") != F.col("hi"))).select(*KEY)
     top = (top_n_per_key(rows.where(F.col("h1").isNotNull()).join(shuffle_join(shared), KEY),
                          ["doc_id"], [F.col("shingle")], k, out="_r")
            .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_r", "shingle"))).alias("_s")))
     n = F.col("n")
-    j = (per_doc.join(shuffle_join(unique), "doc_id", "left").join(shuffle_join(top), "doc_id", "left")
+    j = (per_doc.join(shuffle_join(top), "doc_id", "left")
          .withColumns({
-             "internal_score": F.when(n > 0, (n - F.coalesce("n_unique", F.lit(0))) / n)
+             "internal_score": F.when(n > 0, (n - F.col("n_unique")) / n)
                                 .otherwise(F.lit(0.0)),
              "external_score": F.when(n > 0, F.col("m") / n).otherwise(F.lit(0.0)),
              "flagged_sections": F.transform(F.coalesce("_s", F.array()), lambda x: x["shingle"]),
