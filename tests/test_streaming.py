@@ -18,18 +18,22 @@ AVAILABLE_NOW = {"availableNow": True}
 
 
 def _write_event_files(spark, tmp_dir, n_files=4):
-    """The event stream as several parquet files, in time order."""
+    """The event stream as several parquet files, written one after another
+    in time order, so arrival order (file modification time) is time order."""
     ev = V.event_stream(spark, SF_SMALL).withColumn("ts", F.col("ts").cast("timestamp"))
     path = os.path.join(tmp_dir, "events")
-    (ev.withColumn("_part", F.ntile(n_files).over(Window.orderBy("ts", "event_id")))
-       .repartition("_part").write.partitionBy("_part").parquet(path))
+    parts = ev.withColumn("_part", F.ntile(n_files).over(Window.orderBy("ts", "event_id")))
+    for i in range(1, n_files + 1):
+        (parts.where(F.col("_part") == i).drop("_part").coalesce(1)
+         .write.parquet(os.path.join(path, f"part{i}")))
     return path, ev.schema
 
 
 def test_stream_batch_parity(spark, tmp_dir):
     """D1 as a stream equals batch D1 except windows the watermark has not closed."""
     path, schema = _write_event_files(spark, tmp_dir)
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(path))
     out = os.path.join(tmp_dir, "windows")
     q = J.run_stage(src, J.window_analytics_stream, ("parquet", out), "parity", trigger=AVAILABLE_NOW)
     q.awaitTermination(300)
@@ -173,7 +177,8 @@ def test_upload_folder_stream(spark, tmp_dir):
 def test_session_windows_stream_matches_batch(spark, tmp_dir):
     """E10 streaming: per-user sessions emitted once closed equal the batch sessions."""
     path, schema = _write_event_files(spark, tmp_dir)
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(path))
     out = os.path.join(tmp_dir, "sessions")
     q = J.run_stage(src, lambda d: J.window_analytics_stream(d, kind="session", gap="30 minutes",
                                                              keys=("user_id",)),
