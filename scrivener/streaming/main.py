@@ -33,11 +33,12 @@ CHECKS = "plagiarism_checked_processed"
 WINDOWS = "analytics_window"
 
 
-def _ck(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), "stages", name)
+def _ck(spark: SparkSession, name: str, root: str | None = None) -> str:
+    """Checkpoint of a stage: fixed per stage so a restart resumes."""
+    return os.path.join(root or os.path.join(checkpoint_dir(spark), "stages"), name)
 
 
-def enrich_stage(spark: SparkSession, bootstrap=None, folder=None, trigger=None):
+def enrich_stage(spark: SparkSession, bootstrap=None, folder=None, trigger=None, ck_root=None):
     """B1/B2 as streams: raw topics -> processed topics (two queries)."""
     kw = {"bootstrap": bootstrap, "folder": folder}
     ups, _ = TP.read_records(spark, [RAW_UPLOADS], schemas.SUBMISSION, **kw)
@@ -46,8 +47,8 @@ def enrich_stage(spark: SparkSession, bootstrap=None, folder=None, trigger=None)
     up_out = E.enrich_submission(ups.drop("topic", "timestamp", "_raw"), processed_at=now)
     chk_out = E.enrich_check(chk.drop("topic", "timestamp", "_raw"), processed_at=now)
     return [
-        TP.write_topic(up_out, UPLOADS, _ck(spark, "enrich_uploads"), trigger=trigger, **kw),
-        TP.write_topic(chk_out, CHECKS, _ck(spark, "enrich_checks"), trigger=trigger, **kw),
+        TP.write_topic(up_out, UPLOADS, _ck(spark, "enrich_uploads", ck_root), trigger=trigger, **kw),
+        TP.write_topic(chk_out, CHECKS, _ck(spark, "enrich_checks", ck_root), trigger=trigger, **kw),
     ]
 
 
@@ -59,15 +60,18 @@ def processed_events(spark: SparkSession, bootstrap=None, folder=None) -> DataFr
     return good.withColumn("ts", F.coalesce("uploaded_at", "processed_at"))
 
 
-def windows_stage(spark: SparkSession, bootstrap=None, folder=None, trigger=None, out=None):
+def windows_stage(spark: SparkSession, bootstrap=None, folder=None, trigger=None, out=None,
+                  ck_root=None):
     """D1 as a stream: processed topics -> 5-minute windows -> window topic
     (or a parquet table when ``out`` is given)."""
     ev = processed_events(spark, bootstrap, folder)
     win = J.window_analytics_stream(ev)
+    ck = _ck(spark, "windows", ck_root)
     if out:
-        return J.run_stage(win, lambda d: d, ("parquet", out), "windows", trigger=trigger)
-    return TP.write_topic(win, WINDOWS, _ck(spark, "windows"), bootstrap=bootstrap,
-                          folder=folder, trigger=trigger)
+        return (win.writeStream.queryName("windows").outputMode("append")
+                .option("checkpointLocation", ck).trigger(**(trigger or J.TRIGGER))
+                .format("parquet").start(out))
+    return TP.write_topic(win, WINDOWS, ck, bootstrap=bootstrap, folder=folder, trigger=trigger)
 
 
 def notify_stage(spark: SparkSession, users: DataFrame, submissions: DataFrame, out: str,
@@ -104,14 +108,15 @@ def main(argv=None) -> None:
     p.add_argument("--out")
     p.add_argument("--users")
     p.add_argument("--submissions")
+    p.add_argument("--checkpoint-root", help="stage checkpoints (default: spark.checkpoint.dir/stages)")
     p.add_argument("--once", action="store_true", help="process what is there, then stop")
     a = p.parse_args(argv)
     spark = get_session(app=f"scrivener-{a.stage}")
     trigger = {"availableNow": True} if a.once else None
     if a.stage == "enrich":
-        qs = enrich_stage(spark, a.bootstrap, a.folder, trigger)
+        qs = enrich_stage(spark, a.bootstrap, a.folder, trigger, a.checkpoint_root)
     elif a.stage == "windows":
-        qs = [windows_stage(spark, a.bootstrap, a.folder, trigger, a.out)]
+        qs = [windows_stage(spark, a.bootstrap, a.folder, trigger, a.out, a.checkpoint_root)]
     else:
         qs = [notify_stage(spark, spark.read.parquet(a.users), spark.read.parquet(a.submissions),
                            a.out, a.bootstrap, a.folder, trigger)]

@@ -144,10 +144,12 @@ def test_stage_chain_enrich_windows_notify(spark, tmp_dir):
                                  schemas.CHECK_RESULT)
     TP.to_topic_records(subs).write.text(os.path.join(folder, SM.RAW_UPLOADS))
     TP.to_topic_records(chks).write.text(os.path.join(folder, SM.RAW_CHECKS))
-    for q in SM.enrich_stage(spark, folder=folder, trigger=AVAILABLE_NOW):
+    ck = os.path.join(tmp_dir, "stage_ck")
+    for q in SM.enrich_stage(spark, folder=folder, trigger=AVAILABLE_NOW, ck_root=ck):
         q.awaitTermination(300)
     out = os.path.join(tmp_dir, "windows")
-    SM.windows_stage(spark, folder=folder, trigger=AVAILABLE_NOW, out=out).awaitTermination(300)
+    SM.windows_stage(spark, folder=folder, trigger=AVAILABLE_NOW, out=out,
+                     ck_root=ck).awaitTermination(300)
     w = spark.read.parquet(out).collect()
     assert [(r.window_start.minute, r.submission_count) for r in w] == [(0, 2)]
     users = spark.createDataFrame([("u1", "Alice", "alice@test.com", "student")], schemas.USER)
@@ -192,3 +194,23 @@ def test_session_windows_stream_matches_batch(spark, tmp_dir):
     cols = ["user_id", "window_end", "submission_count", "total_checks"]
     assert streamed.count() == closed.count()
     assert streamed.select(cols).exceptAll(closed.select(cols)).count() == 0
+
+
+def test_stage_cli_once(spark, tmp_dir):
+    """The spark-submit entry: enrich then windows over topic folders, --once."""
+    from scrivener import schemas
+    from scrivener.streaming import main as SM
+    folder = os.path.join(tmp_dir, "cli_topics")
+    t = dt.datetime(2024, 1, 1, 0, 1)
+    later = t + dt.timedelta(hours=1)                   # closes the first window
+    subs = spark.createDataFrame([("sub1", "u1", "a1", t, "gs://file.pdf", "hello world"),
+                                  ("sub2", "u1", "a1", later, "gs://file.pdf", "more")],
+                                 schemas.SUBMISSION)
+    TP.to_topic_records(subs).write.text(os.path.join(folder, SM.RAW_UPLOADS))
+    os.makedirs(os.path.join(folder, SM.RAW_CHECKS))
+    ck = os.path.join(tmp_dir, "cli_ck")
+    SM.main(["enrich", "--folder", folder, "--once", "--checkpoint-root", ck])
+    out = os.path.join(tmp_dir, "cli_windows")
+    SM.main(["windows", "--folder", folder, "--out", out, "--once", "--checkpoint-root", ck])
+    rows = spark.read.parquet(out).collect()
+    assert [(r.window_start.minute, r.submission_count, r.total_checks) for r in rows] == [(0, 1, 0)]
