@@ -75,7 +75,7 @@ def windows_stage(spark: SparkSession, bootstrap=None, folder=None, trigger=None
 
 
 def notify_stage(spark: SparkSession, users: DataFrame, submissions: DataFrame, out: str,
-                 bootstrap=None, folder=None, trigger=None):
+                 bootstrap=None, folder=None, trigger=None, ck_root=None):
     """B12/B13/C4 as a stream: processed events -> notifications (append).
 
     Check events find their user through a stream-static join with the
@@ -97,7 +97,9 @@ def notify_stage(spark: SparkSession, users: DataFrame, submissions: DataFrame,
                        F.col("ts").alias("created_at")))
         return valid_rows(ups.unionByName(chk), users)
 
-    return J.run_stage(ev, transform, ("parquet", out), "notify", trigger=trigger)
+    return (transform(ev).writeStream.queryName("notify").outputMode("append")
+            .option("checkpointLocation", _ck(spark, "notify", ck_root))
+            .trigger(**(trigger or J.TRIGGER)).format("parquet").start(out))
 
 
 def main(argv=None) -> None:
@@ -119,7 +121,7 @@ def main(argv=None) -> None:
         qs = [windows_stage(spark, a.bootstrap, a.folder, trigger, a.out, a.checkpoint_root)]
     else:
         qs = [notify_stage(spark, spark.read.parquet(a.users), spark.read.parquet(a.submissions),
-                           a.out, a.bootstrap, a.folder, trigger)]
+                           a.out, a.bootstrap, a.folder, trigger, a.checkpoint_root)]
     for q in qs:
         q.awaitTermination()
 

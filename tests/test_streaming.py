@@ -154,7 +154,8 @@ def test_stage_chain_enrich_windows_notify(spark, tmp_dir):
     assert [(r.window_start.minute, r.submission_count) for r in w] == [(0, 2)]
     users = spark.createDataFrame([("u1", "Alice", "alice@test.com", "student")], schemas.USER)
     notes = os.path.join(tmp_dir, "notes")
-    SM.notify_stage(spark, users, subs, notes, folder=folder, trigger=AVAILABLE_NOW).awaitTermination(300)
+    SM.notify_stage(spark, users, subs, notes, folder=folder, trigger=AVAILABLE_NOW,
+                    ck_root=ck).awaitTermination(300)
     msgs = sorted(r.message for r in spark.read.parquet(notes).collect())
     assert len(msgs) == 2
     assert msgs[0].startswith("⚠️ HIGH RISK: Plagiarism check for submission sub1 detected 80.0%")
