@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm import decontaminate, mixing, quality_rules, sharding, simhash
+from scrivener.llm import decontaminate, mixing, pii, quality_rules, sharding, simhash
 from scrivener.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,9 @@ def op5(spark, sf_dir):
 def op6(spark, sf_dir):
     """Contaminated documents and the benchmark items found in them."""
     return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_pii")
+def op10(spark, sf_dir):
+    """Personal data spans of every document."""
+    return pii.find(documents(spark, sf_dir))
