@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm import decontaminate, mixing, pii, quality_rules, sharding, simhash
+from scrivener.llm import decontaminate, lm_scoring, mixing, pii, quality_rules, sharding, simhash, toxicity
 from scrivener.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,19 @@ def op6(spark, sf_dir):
 def op10(spark, sf_dir):
     """Personal data spans of every document."""
     return pii.find(documents(spark, sf_dir))
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    """Toxicity of every document; fold 0 of 5 is held out from learning."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (toxicity.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op9_lm_scoring")
+def op9(spark, sf_dir):
+    """Log-probability of every document; fold 2 of 7 is held out from learning."""
+    return lm_scoring.score(documents(spark, sf_dir))
