@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm import decontaminate, lm_scoring, mixing, pii, quality_rules, sharding, simhash, toxicity
+from scrivener.llm import (decontaminate, kneser_ney, lm_scoring, mixing, pii, preferences, quality_rules,
+                           sharding, simhash, toxicity)
 from scrivener.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +84,41 @@ def op7(spark, sf_dir):
 def op9(spark, sf_dir):
     """Log-probability of every document; fold 2 of 7 is held out from learning."""
     return lm_scoring.score(documents(spark, sf_dir))
+
+
+@query("op2_quality_classifier")
+def op2(spark, sf_dir):
+    """Perplexity of every document under trusted text, and the verdict."""
+    return kneser_ney.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+_TURNS_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+last AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
+asked AS (SELECT t.conv_id, arg_max(text, turn) AS echo FROM t JOIN last USING (conv_id)
+          WHERE role = 'user' AND turn < last GROUP BY t.conv_id),
+r AS (SELECT t.conv_id, turn, last, role, replace(text, '<|', '< |') AS text,
+             replace(CASE WHEN turn = last AND role = 'assistant' THEN coalesce(echo, '') ELSE text END,
+                     '<|', '< |') AS other
+      FROM t JOIN last USING (conv_id) LEFT JOIN asked USING (conv_id) WHERE turn <= last),
+w AS (SELECT *, bool_or(turn = last AND text <> other) OVER (PARTITION BY conv_id) AS differ FROM r)
+SELECT conv_id AS pair_id,
+       count(*) FILTER (WHERE turn < last OR NOT differ) AS prompt_turns,
+       NOT bool_or(differ) AS tied,
+       coalesce(string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn)
+                FILTER (WHERE turn < last OR NOT differ), '') AS prompt,
+       coalesce(max('<|assistant|>' || chr(10) || text || '<|end|>' || chr(10))
+                FILTER (WHERE turn = last AND differ), '') AS chosen,
+       coalesce(max('14:' || (14 + length(text) + 8)) FILTER (WHERE turn = last AND differ), '') AS chosen_mask,
+       coalesce(max('<|assistant|>' || chr(10) || other || '<|end|>' || chr(10))
+                FILTER (WHERE turn = last AND differ), '') AS rejected,
+       coalesce(max('14:' || (14 + length(other) + 8)) FILTER (WHERE turn = last AND differ), '') AS rejected_mask
+FROM w GROUP BY conv_id
+"""
+
+
+@query("op8_chat_formatting", _TURNS_SQL)
+def op8(spark, sf_dir):
+    """Every conversation as a preference pair against an echoed last reply."""
+    return preferences.format_pairs(*preferences.echo_pairs(table(spark, sf_dir, "conversations")))

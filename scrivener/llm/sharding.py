@@ -78,27 +78,30 @@ def _label(docs: DataFrame, matrix: np.ndarray, blocks: int, seed: int,
     """``docs`` with its shard, block and second-permutation key per row."""
     schema = T.StructType([*docs.schema.fields, T.StructField(shard, T.IntegerType()),
                            T.StructField(block, T.IntegerType()), T.StructField(order, T.LongType())])
+    numbered = docs.withColumn(fresh(docs, "part"), F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        p = TaskContext.get().partitionId()
-        counts = matrix[p] if p < len(matrix) else np.zeros(matrix.shape[1], np.int64)
-        rng = np.random.default_rng([seed, 1, p])
-        labels = rng.permutation(np.repeat(np.arange(len(counts), dtype=np.int32), counts))
-        at = 0
+        p, at, labels = None, 0, ()
         for b in batches:
             n = b.num_rows
+            if not n:
+                continue
+            if p is None:
+                p = b.columns[-1][0].as_py()
+                counts = matrix[p] if p < len(matrix) else np.zeros(matrix.shape[1], np.int64)
+                rng = np.random.default_rng([seed, 1, p])
+                labels = rng.permutation(np.repeat(np.arange(len(counts), dtype=np.int32), counts))
             if at + n > len(labels):
                 raise RuntimeError(f"partition {p} has more rows than were counted")
             new = [labels[at:at + n], rng.integers(0, blocks, n, dtype=np.int32),
                    rng.integers(0, 1 << 62, n, dtype=np.int64)]
             at += n
-            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, new)],
-                                             [*b.schema.names, shard, block, order])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, new)],
+                                             [*b.schema.names[:-1], shard, block, order])
         if at != len(labels):
             raise RuntimeError(f"partition {p} has {at} rows; {len(labels)} were counted")
 
-    return docs.mapInArrow(run, schema)
+    return numbered.mapInArrow(run, schema)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
