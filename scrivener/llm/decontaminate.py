@@ -116,10 +116,11 @@ class Items:
         self.pad = max(lengths, default=0)
 
     def _group(self, n: int, items: list) -> dict:
+        """Items of ``n`` words. Their words are numbered anew from 1, so the
+        walks' tables stay small; 0 is any other word."""
         k = edits_allowed(n)
-        seqs = np.array([s for s, _ in items], dtype=np.int32)
-        own = np.zeros(len(self.ids) + 1, dtype=bool)
-        own[np.unique(seqs)] = True
+        words, seqs = np.unique(np.array([s for s, _ in items], dtype=np.int32), return_inverse=True)
+        seqs = seqs.reshape(len(items), n).astype(np.int32) + 1
         masks = []
         for s in seqs.tolist():
             m: dict[int, int] = {}
@@ -128,14 +129,14 @@ class Items:
             masks.append(m)
         walks = []
         flat, start = seqs.ravel(), np.arange(len(seqs)) * n
-        for r in range(self._repeats(n, k, seqs)):
-            w = Walk(n, len(self.ids), (SEED, n, r))
+        for r in range(self._repeats(n, k, seqs, len(words))):
+            w = Walk(n, len(words), (SEED, n, r))
             keys = w.keys(flat, start, n)
             order = np.argsort(keys, kind="stable")
             walks.append((w, keys[order], order))
-        return {"n": n, "k": k, "own": own, "masks": masks, "walks": walks, "items": [o for _, o in items]}
+        return {"n": n, "k": k, "words": words, "masks": masks, "walks": walks, "items": [o for _, o in items]}
 
-    def _repeats(self, n: int, k: int, seqs: np.ndarray) -> int:
+    def _repeats(self, n: int, k: int, seqs: np.ndarray, symbols: int) -> int:
         """Walks needed for RECALL, from how often one walk joins an item and
         a copy of it with k random edits."""
         if k == 0:
@@ -157,7 +158,7 @@ class Items:
             b += (e + [0] * n)[:n]
         a, b = np.array(a, np.int32), np.array(b, np.int32)
         start = np.arange(TRIALS) * n
-        same = np.mean([np.mean((w := Walk(n, len(self.ids), (SEED, n, 1 << 20, r))).keys(a, start, n)
+        same = np.mean([np.mean((w := Walk(n, symbols, (SEED, n, 1 << 20, r))).keys(a, start, n)
                                 == w.keys(b, start, n)) for r in range(16)])
         return max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - min(max(same, 0.01), 0.999))))
 
@@ -187,10 +188,13 @@ class Items:
             flat += seq
             flat += gap
         begin.append(len(flat))
-        flat, begin = np.array(flat, dtype=np.int32), np.array(begin)
+        every, begin = np.array(flat, dtype=np.int32), np.array(begin)
         for g in self.groups:
             n, k = g["n"], g["k"]
-            foreign = np.cumsum(np.r_[0, ~g["own"][flat]], dtype=np.int32)
+            local = np.zeros(len(self.ids) + 1, dtype=np.int32)
+            local[g["words"]] = np.arange(1, len(g["words"]) + 1)
+            flat = local[every]
+            foreign = np.cumsum(np.r_[0, flat == 0], dtype=np.int32)
             start = np.flatnonzero(foreign[n:] - foreign[:-n] <= k)
             if not len(start):
                 continue
