@@ -39,10 +39,9 @@ from pyspark.sql import functions as F
 
 MAX_EDITS = 0.2          # of the item's words
 RECALL = 0.99            # of the LSH, at the largest edit distance
-SAMPLED = 2              # positions in a hash
 TRIALS = 100             # edited items per length that the recall is measured on
 BLOCK_CHARS = 8_000_000  # item text that is broadcast at once
-STEP_WORDS = 1 << 20     # words of documents worked on together
+STEP_WORDS = 1 << 21     # words of documents worked on together
 SEED = 7
 _WORD = re.compile(r"\w+")
 
@@ -77,26 +76,42 @@ def substring_distance(masks: dict[int, int], length: int, seq: list[int]) -> in
 
 
 class Walk:
-    """One repetition of the LSH for sequences of ``length`` symbols."""
+    """One repetition of the LSH for sequences of ``length`` symbols: one
+    position sampled from either half of the walk."""
 
     def __init__(self, length: int, symbols: int, seed: tuple[int, ...]):
         rng = np.random.default_rng(seed)
         self.steps = max(2, 2 * length)          # about where the walk ends; later output is padding
-        self.bits = rng.integers(0, 2, (self.steps, symbols + 1), dtype=np.uint8)
-        self.at = sorted(rng.choice(self.steps, min(SAMPLED, self.steps), replace=False).tolist())
-        self.mix = rng.integers(1, 1 << 62, dtype=np.int64) | 1
-
-    def keys(self, flat: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-        """Hash of the windows of ``flat`` at ``start``."""
-        at, end = start.copy(), start + length
-        key = np.zeros(len(start), dtype=np.int64)
-        for j in range(self.at[-1] + 1):
-            inside = at < end
-            symbol = np.where(inside, flat[np.minimum(at, len(flat) - 1)], -1)
-            if j in self.at:
-                key = key * self.mix + (symbol + 2)
-            at = at + np.where(inside, self.bits[j][np.maximum(symbol, 0)], 0)
-        return key
+        self.bits = rng.integers(0, 2, (self.steps, symbols + 1), dtype=np.int8)
+        self.at = int(rng.integers(length)), int(length + rng.integers(length))
+        self.symbols = symbols
+
+    def keys(self, flat: np.ndarray, start: np.ndarray, length: int, first: np.ndarray | None = None
+             ) -> tuple[np.ndarray, np.ndarray]:
+        """(row, hash) of the windows of ``flat`` at ``start``; windows whose
+        first sampled symbol is not in ``first`` (a mask by symbol) can meet no
+        item and are left out. ``flat`` goes on for one symbol after the last
+        window at least."""
+        row = np.arange(len(start), dtype=np.int32)
+        at = start.astype(np.int32)
+        end = at + np.int32(length)
+        for j in range(self.at[1] + 1):
+            symbol = flat[at]
+            if j >= length:                      # no walk is past its window before
+                past = at >= end
+                symbol[past] = -1
+            if j == self.at[0]:
+                if first is not None:
+                    keep = first[symbol]
+                    row, at, end, symbol = row[keep], at[keep], end[keep], symbol[keep]
+                sampled = symbol.astype(np.int64)
+            if j == self.at[1]:
+                return row, sampled * (self.symbols + 2) + symbol + 1
+            step = self.bits[j][symbol]
+            if j >= length:
+                step[past] = 0
+            at += step
+        raise AssertionError
 
 
 class Items:
@@ -128,12 +143,14 @@ class Items:
                 m[c] = m.get(c, 0) | 1 << i
             masks.append(m)
         walks = []
-        flat, start = seqs.ravel(), np.arange(len(seqs)) * n
+        flat, start = np.r_[seqs.ravel(), np.int32(0)], np.arange(len(seqs)) * n
         for r in range(self._repeats(n, k, seqs, len(words))):
             w = Walk(n, len(words), (SEED, n, r))
-            keys = w.keys(flat, start, n)
+            _, keys = w.keys(flat, start, n)
             order = np.argsort(keys, kind="stable")
-            walks.append((w, keys[order], order))
+            first = np.zeros(len(words) + 1, dtype=bool)
+            first[keys // (len(words) + 2)] = True
+            walks.append((w, first, keys[order], order))
         return {"n": n, "k": k, "words": words, "masks": masks, "walks": walks, "items": [o for _, o in items]}
 
     def _repeats(self, n: int, k: int, seqs: np.ndarray, symbols: int) -> int:
@@ -156,10 +173,10 @@ class Items:
                     del e[i]
             a += s
             b += (e + [0] * n)[:n]
-        a, b = np.array(a, np.int32), np.array(b, np.int32)
+        a, b = np.array(a + [0], np.int32), np.array(b + [0], np.int32)
         start = np.arange(TRIALS) * n
-        same = np.mean([np.mean((w := Walk(n, symbols, (SEED, n, 1 << 20, r))).keys(a, start, n)
-                                == w.keys(b, start, n)) for r in range(16)])
+        walks = [Walk(n, symbols, (SEED, n, 1 << 20, r)) for r in range(16)]
+        same = np.mean([np.mean(w.keys(a, start, n)[1] == w.keys(b, start, n)[1]) for w in walks])
         return max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - min(max(same, 0.01), 0.999))))
 
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, int | None, int, int]]:
@@ -181,7 +198,7 @@ class Items:
             yield from self._search(held)
 
     def _search(self, docs: list[tuple[int, list[int]]]) -> Iterator[tuple[int, int | None, int, int]]:
-        gap = [0] * self.pad                     # no window spans two documents with words of both
+        gap = [0] * (self.pad + 1)               # no window spans two documents with words of both
         flat, begin = [], []
         for _, seq in docs:
             begin.append(len(flat))
@@ -194,19 +211,20 @@ class Items:
             local = np.zeros(len(self.ids) + 1, dtype=np.int32)
             local[g["words"]] = np.arange(1, len(g["words"]) + 1)
             flat = local[every]
-            foreign = np.cumsum(np.r_[0, flat == 0], dtype=np.int32)
-            start = np.flatnonzero(foreign[n:] - foreign[:-n] <= k)
+            foreign = np.zeros(len(flat) + 1, dtype=np.int32)
+            np.cumsum(flat == 0, dtype=np.int32, out=foreign[1:])
+            start = np.flatnonzero(foreign[n:-1] - foreign[:-n - 1] <= k)
             if not len(start):
                 continue
             pairs = []
-            for walk, keys, order in g["walks"]:
-                found = walk.keys(flat, start, n)
+            for walk, first, keys, order in g["walks"]:
+                row, found = walk.keys(flat, start, n, first)
                 low, high = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
                 hit = np.flatnonzero(high > low)
                 if len(hit):
                     m = high[hit] - low[hit]
                     step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-                    pairs.append(np.unique(np.repeat(start[hit], m) * len(order)
+                    pairs.append(np.unique(np.repeat(start[row[hit]], m) * len(order)
                                            + order[np.repeat(low[hit], m) + step]))
             if not pairs:
                 continue
@@ -223,7 +241,7 @@ class Items:
                     continue
                 seen[d, i] = s + k
                 low = max(begin[d], s - k)
-                high = min(begin[d + 1] - self.pad, s + 2 * k + n)
+                high = min(begin[d + 1] - self.pad - 1, s + 2 * k + n)
                 e = substring_distance(g["masks"][i], n, flat[low:high].tolist())
                 if e <= k and e < best.get((d, i), k + 1):
                     best[d, i] = e
