@@ -76,14 +76,15 @@ def substring_distance(masks: dict[int, int], length: int, seq: list[int]) -> in
 
 
 class Walk:
-    """One repetition of the LSH for sequences of ``length`` symbols: one
-    position sampled from either half of the walk."""
+    """One repetition of the LSH for sequences of ``length`` symbols: a position
+    sampled from the first quarter of the walk, where most windows drop out
+    early, and one from its second half."""
 
     def __init__(self, length: int, symbols: int, seed: tuple[int, ...]):
         rng = np.random.default_rng(seed)
         self.steps = max(2, 2 * length)          # about where the walk ends; later output is padding
         self.bits = rng.integers(0, 2, (self.steps, symbols + 1), dtype=np.int8)
-        self.at = int(rng.integers(length)), int(length + rng.integers(length))
+        self.at = int(rng.integers(max(1, length // 2))), int(length + rng.integers(length))
         self.symbols = symbols
 
     def keys(self, flat: np.ndarray, start: np.ndarray, length: int, first: np.ndarray | None = None
