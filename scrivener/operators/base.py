@@ -1,4 +1,4 @@
-"""Plan helpers shared by operators: checked broadcast, skew-safe ranking and
+"""Plan helpers shared by operators: pinned shuffle joins, skew-safe ranking and
 latest/first-per-key as partial aggregates."""
 
 from __future__ import annotations
@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def trunc_time(df: DataFrame, unit: str, col: str) -> Column:
     """``date_trunc`` that keeps the column's type: Spark returns TIMESTAMP
     even for TIMESTAMP_NTZ input, which would turn naive wall times into
@@ -16,24 +17,6 @@ def trunc_time(df: DataFrame, unit: str, col: str) -> Column:
     return t
 
 
-# Largest row count we hint as a broadcast side (checked with a count first).
-BROADCAST_ROW_LIMIT = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
-                       bound: DataFrame | None = None) -> DataFrame:
-    """Hint ``df`` for broadcast only after proving its size.
-
-    ``bound`` is a DataFrame with at least as many rows as ``df`` that is
-    cheap to count (e.g. the rows before a ``distinct``): ``limit(n + 1)``
-    over it stops reading once the bound is exceeded and needs no shuffle.
-    Above the bound the side is pinned to a shuffle (sort-merge) join, so a
-    low size estimate cannot make the planner broadcast it anyway.
-    """
-    n = (bound if bound is not None else df).limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else shuffle_join(df)
-
-
 def shuffle_join(df: DataFrame) -> DataFrame:
     """Mark ``df`` for a shuffle (sort-merge) join. For sides whose size grows
     with the data but whose estimate does not (rows built by ``explode``, or

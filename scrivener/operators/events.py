@@ -71,12 +71,12 @@ def dispatch(df: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]
 
 
 def enrich_submission(df: DataFrame, processed_at: Column | None = None) -> DataFrame:
-    """Upload metadata. NULL text keeps the row with NULL length."""
-    cols = {
-        "event_type": F.lit(UPLOAD_EVENT),
-        "processing_pipeline": F.lit(UPLOAD_PIPELINE),
-        "text_length": F.length("text"),
-    }
+    """Upload metadata. NULL text keeps the row with NULL length. A
+    ``text_length`` that the rows bring along is kept, so callers can take it
+    before a join instead of shuffling the text."""
+    cols = {"event_type": F.lit(UPLOAD_EVENT), "processing_pipeline": F.lit(UPLOAD_PIPELINE)}
+    if "text_length" not in df.columns:
+        cols["text_length"] = F.length("text")
     if processed_at is not None:
         cols["processed_at"] = processed_at
     return df.withColumns(cols)

@@ -10,9 +10,8 @@ from scrivener.functions import messages as M
 from scrivener.functions.numeric import round_half_away
 from scrivener.operators.base import top_n_per_key
 
-# Fixed values of the faculty view: users fanned out, newest submissions
-# shown, flagged estimate applies above this average.
-FACULTY_USER_CAP = 10
+# Fixed values of the faculty view: newest submissions shown, flagged estimate
+# applies above this average.
 FACULTY_RECENT = 10
 FLAG_AVG_THRESHOLD = 0.5
 SPIKE_THRESHOLD = 10
@@ -62,22 +61,25 @@ def student_dashboard(users: DataFrame, submissions: DataFrame, notifications: D
     )
 
 
-def faculty_recent(users: DataFrame, submissions: DataFrame,
-                   user_cap: int = FACULTY_USER_CAP, n: int = FACULTY_RECENT) -> DataFrame:
-    """First ``user_cap`` users by id, students among them, their
-    ``n`` newest submissions (ties by id). The user side is bounded by the
-    limit, so broadcasting it is safe at any scale."""
-    first = users.orderBy("id").limit(user_cap).where(F.col("role") == "student")
-    picked = submissions.join(F.broadcast(first.select(F.col("id").alias("user_id"))), "user_id")
-    return picked.orderBy(F.desc("uploaded_at"), F.desc("id")).limit(n)
+def student_submissions(users: DataFrame, submissions: DataFrame) -> DataFrame:
+    """The submissions of all students, however many users there are
+    (the reference looks at the first ten only to save calls; a join need not)."""
+    students = users.where(F.col("role") == "student").select(F.col("id").alias("user_id"))
+    return submissions.join(students, "user_id", "left_semi")
 
 
-def faculty_summary(recent: DataFrame, latest_window: DataFrame) -> DataFrame:
-    """Total of the recent list, flagged estimate and spike flag.
+def faculty_recent(users: DataFrame, submissions: DataFrame, n: int = FACULTY_RECENT) -> DataFrame:
+    """the ``n`` newest submissions of students (ties by id), as the list
+    that is shown."""
+    return student_submissions(users, submissions).orderBy(F.desc("uploaded_at"), F.desc("id")).limit(n)
+
+
+def faculty_summary(submissions: DataFrame, latest_window: DataFrame) -> DataFrame:
+    """Number of student submissions, flagged estimate and spike flag.
 
     avg_plagiarism := latest avg_internal_score; spike := submission_count > 10.
     """
-    total = recent.agg(F.count(F.lit(1)).alias("total_submissions"))
+    total = submissions.agg(F.count(F.lit(1)).alias("total_submissions"))
     lw = latest_window.limit(1).select(F.struct(
         F.col("avg_internal_score").alias("avg_plagiarism"), "submission_count")).scalar()
     j = total.withColumn("_lw", lw).select("*", "_lw.*")

@@ -5,8 +5,8 @@ Shingles are distinct lower-cased word 5-grams of the whole text. Scores:
 * internal (C8): share of a document's shingles that also occur in at least
   one *other* document of the corpus (containment in the rest of the corpus).
 * external (C9): share of its shingles that occur in the outside corpus.
-* flagged sections (C10): the k alphabetically first shared shingles of a
-  document, as the suspicious passages.
+* flagged sections (C10): all shared shingles of a document, in order, as the
+  suspicious passages.
 
 Internal overlap needs no document pairs. Grouping shingles by their key and
 keeping ``min(doc)`` and ``max(doc)`` tells whether a shingle is unique
@@ -24,26 +24,12 @@ from pyspark.sql import functions as F
 
 from scrivener.functions import scoring
 from scrivener.functions.text import word_shingles
-from scrivener.operators.base import broadcast_if_small, shuffle_join, top_n_per_key
+from scrivener.operators.base import shuffle_join
 
 SHINGLE_WORDS = 5
-FLAGGED_SECTIONS = 3
 KEY = ["h1", "h2"]
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """Tokenising is CPU-heavy per row. When the scan yields fewer splits
-    than the cluster has cores (few large row groups), spread the documents
-    round-robin first; a large input already has enough splits and is left
-    alone (no extra shuffle of the text)."""
-    try:
-        cores = docs.sparkSession.sparkContext.defaultParallelism
-        splits = docs.rdd.getNumPartitions()
-    except Exception:          # e.g. a Spark Connect session: no RDD view
-        return docs
-    return docs.repartition(cores) if splits < cores else docs
-
-
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  n: int = SHINGLE_WORDS) -> DataFrame:
     """(id, shingles ARRAY<STRING>) with distinct shingles per document; the
@@ -95,7 +81,7 @@ def internal_similarity(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     One scan, two shuffles: ``GROUPING SETS ((h1, h2), (doc_id))`` gives per
     shingle its owner range and per document its shingle count; a second
     aggregate by document adds up its unique shingles next to its total."""
-    rows = explode_shingles(shingle_sets(spread(docs), id_col, text_col), keep_empty=True)
+    rows = explode_shingles(shingle_sets(docs, id_col, text_col), keep_empty=True)
     g = rows.groupingSets([["h1", "h2"], ["doc_id"]], "h1", "h2", "doc_id").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
         F.count("h1").alias("n"), F.grouping_id().alias("_g"))
@@ -108,14 +94,12 @@ def internal_similarity(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def reference_shingles(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct shingle keys of an outside corpus."""
-    return reference_rows(corpus, id_col, text_col).distinct()
-
-
-def reference_rows(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Shingle keys of an outside corpus with repeats (an upper bound on the
-    distinct count that can be counted without a shuffle)."""
-    return explode_shingles(shingle_sets(corpus, id_col, text_col)).select(*KEY)
+    """Distinct shingle keys of an outside corpus. Joined without a hint: the
+    planner broadcasts it only while the corpus files are below
+    ``spark.sql.autoBroadcastJoinThreshold`` (a text has fewer shingles than
+    words, so the keys stay within a small multiple of that), and shuffles,
+    with skewed keys split, beyond."""
+    return explode_shingles(shingle_sets(corpus, id_col, text_col)).select(*KEY).distinct()
 
 
 def external_similarity(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id",
@@ -123,13 +107,10 @@ def external_similarity(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_i
                         corpus_text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, n_external, external_score).
 
-    The outside corpus is broadcast only after its shingle count is checked
-    (above the bound it is a shuffle join, skew split by AQE). A left join
-    marks hits, so one pass over the document shingles gives both counts."""
-    rows = explode_shingles(shingle_sets(spread(docs), id_col, text_col), keep_empty=True)
-    ref = broadcast_if_small(reference_shingles(corpus, corpus_id, corpus_text)
-                             .withColumn("_hit", F.lit(1)),
-                             bound=reference_rows(corpus, corpus_id, corpus_text))
+    A left join marks hits, so one pass over the document shingles gives both
+    counts."""
+    rows = explode_shingles(shingle_sets(docs, id_col, text_col), keep_empty=True)
+    ref = reference_shingles(corpus, corpus_id, corpus_text).withColumn("_hit", F.lit(1))
     per_doc = rows.join(ref, KEY, "left").groupBy("doc_id").agg(
         F.count("h1").alias("n_shingles"), F.count("_hit").alias("n_external"))
     n = F.col("n_shingles")
@@ -138,42 +119,32 @@ def external_similarity(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_i
                           F.when(n > 0, m / n).otherwise(F.lit(0.0)).alias("external_score"))
 
 
-def flagged_sections(docs: DataFrame, k: int = FLAGGED_SECTIONS, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
+def flagged_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shared, flagged_sections) for documents sharing text.
 
     Shared keys come from the owner aggregate; the join back to the
-    document rows is on the shingle key (AQE splits a hot key); the first k
-    per document are a bounded top-k (partial window-group limit)."""
-    sets = shingle_sets(spread(docs), id_col, text_col)
+    document rows is on the shingle key (AQE splits a hot key). A document's
+    list is at most its own words."""
+    sets = shingle_sets(docs, id_col, text_col)
     rows = explode_shingles(sets, keep_text=True)
     shared = shingle_owners(rows.select("doc_id", *KEY)).where(F.col("lo") != F.col("hi")).select(*KEY)
     hit = rows.join(shuffle_join(shared), KEY)
-    # count("shingle") keeps the text column in this branch too, so both
-    # branches share one plan up to the join and Spark reuses its exchanges
-    # (the corpus is tokenised once per side, not once per branch).
-    counts = hit.groupBy("doc_id").agg(F.count("shingle").alias("n_shared"))
-    top = (top_n_per_key(hit, ["doc_id"], [F.col("shingle")], k, out="_r")
-           .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_r", "shingle"))).alias("_s")))
-    return counts.join(shuffle_join(top), "doc_id").select(
-        "doc_id", "n_shared", F.transform("_s", lambda x: x["shingle"]).alias("flagged_sections"))
+    return hit.groupBy("doc_id").agg(F.sort_array(F.collect_list("shingle")).alias("flagged_sections")).select(
+        "doc_id", F.size("flagged_sections").cast("bigint").alias("n_shared"), "flagged_sections")
 
 
 def score_documents(docs: DataFrame, corpus: DataFrame, ai_col: str | None = None,
-                    k: int = FLAGGED_SECTIONS, corpus_id: str = "item_id",
-                    corpus_text: str = "text") -> DataFrame:
+                    corpus_id: str = "item_id", corpus_text: str = "text") -> DataFrame:
     """B7 over documents in one plan: internal and external overlap, flagged
     sections and the derived severity / review / AI flags.
 
     One exploded row set feeds everything: a left join marks outside-corpus
     hits, one ``GROUPING SETS`` aggregate gives per shingle its owner range
-    and per document its totals and hits, and only the flagged-section top-k
-    reads the rows again (joined to the shared keys).
+    and per document its totals and hits, and only the flagged sections
+    read the rows again (joined to the shared keys).
     """
-    rows = explode_shingles(shingle_sets(spread(docs)), keep_text=True, keep_empty=True)
-    ref = broadcast_if_small(reference_shingles(corpus, corpus_id, corpus_text)
-                             .withColumn("_hit", F.lit(1)),
-                             bound=reference_rows(corpus, corpus_id, corpus_text))
+    rows = explode_shingles(shingle_sets(docs), keep_text=True, keep_empty=True)
+    ref = reference_shingles(corpus, corpus_id, corpus_text).withColumn("_hit", F.lit(1))
     marked = rows.join(ref, KEY, "left")
     g = marked.groupingSets([["h1", "h2"], ["doc_id"]], "h1", "h2", "doc_id").agg(
         F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
@@ -181,16 +152,15 @@ def score_documents(docs: DataFrame, corpus: DataFrame, ai_col: str | None = Non
     per_doc = _per_doc_counts(g, extra=("m",)).withColumnRenamed("n_shingles", "n")
     shared = g.where((F.col("_g") == 1) & F.col("h1").isNotNull()
                      & (F.col("lo") != F.col("hi"))).select(*KEY)
-    top = (top_n_per_key(rows.where(F.col("h1").isNotNull()).join(shuffle_join(shared), KEY),
-                         ["doc_id"], [F.col("shingle")], k, out="_r")
-           .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_r", "shingle"))).alias("_s")))
+    flagged = (rows.where(F.col("h1").isNotNull()).join(shuffle_join(shared), KEY)
+               .groupBy("doc_id").agg(F.sort_array(F.collect_list("shingle")).alias("_s")))
     n = F.col("n")
-    j = (per_doc.join(shuffle_join(top), "doc_id", "left")
+    j = (per_doc.join(shuffle_join(flagged), "doc_id", "left")
          .withColumns({
              "internal_score": F.when(n > 0, (n - F.col("n_unique")) / n)
                                 .otherwise(F.lit(0.0)),
              "external_score": F.when(n > 0, F.col("m") / n).otherwise(F.lit(0.0)),
-             "flagged_sections": F.transform(F.coalesce("_s", F.array()), lambda x: x["shingle"]),
+             "flagged_sections": F.coalesce("_s", F.array().cast("array<string>")),
          }))
     if ai_col:
         j = j.join(docs.select(F.col("doc_id"), F.col(ai_col).alias("ai_generated_probability")),

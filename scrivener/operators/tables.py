@@ -4,8 +4,9 @@ per-user ordering (F1)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrivener.operators.base import last_before, rank_desc
 
@@ -43,6 +44,17 @@ def backfill_text(events: DataFrame, stored: DataFrame, key: str = "submission_i
             .withColumn("status", F.when(F.col(text).isNull(), F.lit("rejected")).otherwise(F.lit("ok"))))
 
 
+def backfill_length(events: DataFrame, stored: DataFrame, key: str = "submission_id",
+                    length: str = "text_length") -> DataFrame:
+    """C3 where only the length is wanted: ``stored`` (id, length) fills events
+    whose length is missing or 0; without one they are ``rejected``. No text
+    travels to the event rows."""
+    s = stored.select(F.col("id").alias(key), F.col(length).alias("_stored"))
+    filled = F.coalesce(F.nullif(F.col(length), F.lit(0)), F.nullif(F.col("_stored"), F.lit(0)))
+    return (events.join(s, key, "left").withColumn(length, filled).drop("_stored")
+            .withColumn("status", F.when(F.col(length).isNull(), F.lit("rejected")).otherwise(F.lit("ok"))))
+
+
 def lookup(df: DataFrame, key: str, value) -> DataFrame:
     """Point lookup; the equality filter reaches the parquet/JDBC scan."""
     return df.where(F.col(key) == F.lit(value))
@@ -92,24 +104,36 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str = "id", op: str
     b = base.select(key, row.alias("_base"))
     allk = (b.join(per_key, key, "full_outer").join(first_ins, key, "full_outer"))
     start_from_base = F.col("_base").isNotNull() & F.col("_last_del").isNull()
-    start_seq = F.when(start_from_base, F.lit("")).otherwise(F.col("_ins.s"))
     start_row = F.when(start_from_base, F.col("_base")).otherwise(F.col("_ins.r"))
-    result = F.when(F.col("_upd.s") > start_seq, F.col("_upd.r")).otherwise(start_row)
-    return (allk.where(start_seq.isNotNull())
+    updated = F.col("_upd").isNotNull() & (start_from_base | (F.col("_upd.s") > F.col("_ins.s")))
+    result = F.when(updated, F.col("_upd.r")).otherwise(start_row)
+    return (allk.where(start_from_base | F.col("_ins").isNotNull())
             .select(key, result.alias("_r")).select(key, "_r.*"))
 
 
+def history_slice(df: DataFrame, seq: str, numbers: int = 100_000) -> Column:
+    """A slice of ``seq`` that keeps its order, by its type: days of times, runs
+    of ``numbers`` of numbers, leading characters (compared as ``seq`` is) of
+    text."""
+    kind = df.schema[seq].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.date_trunc("day", F.col(seq))
+    if isinstance(kind, T.NumericType):
+        return F.floor(F.col(seq) / numbers)
+    return F.substring(F.col(seq), 1, 8)
+
+
 def change_conflicts(base: DataFrame, changes: DataFrame, key: str = "id", op: str = "op",
                      seq: str = "seq", bucket=None) -> DataFrame:
     """G2 report: changes that are not applied. A key is live before a change
     when its last insert/delete before it was an insert (or, with none, when
     the base row exists). Inserts of a live key, and updates or deletes of
-    an absent key, are reported; ``bucket`` slices each key's history (by
-    default the first 8 characters of ``seq``, its date)."""
+    an absent key, are reported; ``bucket`` slices each key's history and must
+    not decrease as ``seq`` grows (default: :func:`history_slice`)."""
     b = base.select(key, F.lit(True).alias("_base"))
     c = changes.join(b, key, "left").withColumn(
         "_state_op", F.when(F.col(op).isin("insert", "delete"), F.col(op)))
-    bucket = bucket if bucket is not None else F.substring(F.col(seq), 1, 8)
+    bucket = bucket if bucket is not None else history_slice(changes, seq)
     p = last_before(c, [key], [seq], "_state_op", bucket, out="_prev_op")
     live = F.when(F.col("_prev_op").isNull(), F.coalesce("_base", F.lit(False))).otherwise(
         F.col("_prev_op") == "insert")
@@ -120,7 +144,10 @@ def change_conflicts(base: DataFrame, changes: DataFrame, key: str = "id", op: s
 
 
 def duplicate_keys(df: DataFrame, keys: list[str], constraint: str) -> DataFrame:
-    """Keys that occur more than once, as (constraint, key, n)."""
-    k = F.concat_ws("|", *[F.col(c).cast("string") for c in keys])
-    return (df.groupBy(k.alias("key")).agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") > 1).select(F.lit(constraint).alias("constraint"), "key", "n"))
+    """Keys that occur more than once, as (constraint, key, n); a key of
+    several columns is shown as a JSON array."""
+    # grouped by the columns themselves; text is only made of what is found
+    shown = F.col(keys[0]).cast("string") if len(keys) == 1 else F.to_json(
+        F.array(*[F.col(c).cast("string") for c in keys]), {"ignoreNullFields": "false"})
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+            .select(F.lit(constraint).alias("constraint"), shown.alias("key"), "n"))

@@ -140,8 +140,8 @@ def latest_window(windows: DataFrame) -> DataFrame:
     return windows.orderBy(F.desc("window_start")).limit(1)
 
 
-def window_history(windows: DataFrame, last: int | None = 100) -> DataFrame:
-    """windows in time order; ``last`` keeps the newest n (state bound)."""
+def window_history(windows: DataFrame, last: int | None = None) -> DataFrame:
+    """all windows in time order; ``last`` shows only the newest n."""
     if last is None:
         return windows.orderBy("window_start")
     return windows.orderBy(F.desc("window_start")).limit(last).orderBy("window_start")

@@ -82,7 +82,7 @@ SELECT id, user_id, assignment_id, uploaded_at, 'paper_uploaded' AS event_type,
 FROM submissions_text""", "submissions_text"))
 def enrich_submission(spark, d):
     """Upload events with metadata and text length (NULL text kept)."""
-    s = E.enrich_submission(V.submissions(spark, d, with_text=True))
+    s = E.enrich_submission(V.submissions_with_length(spark, d))
     return s.select("id", "user_id", "assignment_id", "uploaded_at", "event_type",
                     "processing_pipeline", F.col("text_length").cast("bigint").alias("text_length"))
 
@@ -141,11 +141,11 @@ FROM submissions_text s LEFT JOIN users u ON u.id = s.user_id
 WHERE u.id IS NULL OR s.text IS NULL OR s.text = ''""", "users", "submissions_text"))
 def dead_letter(spark, d):
     """Submission events that fail the check stage, with an error text."""
-    subs = V.submissions(spark, d, with_text=True)
+    subs = V.submissions_with_length(spark, d)
     u = V.users(spark, d).select(F.col("id").alias("user_id"), F.lit(True).alias("_known"))
     tagged = E.tag_errors(subs.join(u, "user_id", "left"), [
         (F.col("_known").isNull(), F.format_string(E.USER_NOT_FOUND, F.col("user_id").cast("string"))),
-        (F.col("text").isNull() | (F.col("text") == ""), E.TEXT_REQUIRED),
+        (F.coalesce("text_length", F.lit(0)) == 0, E.TEXT_REQUIRED),
     ])
     _, bad = E.split_errors(tagged)
     return bad.select("id", "user_id", "error")

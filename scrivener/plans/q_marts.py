@@ -14,9 +14,9 @@ from scrivener.plans.registry import query
 from scrivener.plans.sql_views import with_views
 from scrivener.sources.tables import read_table
 
-FACULTY_RECENT_SQL = """
-SELECT s.* FROM submissions s
-WHERE s.user_id IN (SELECT id FROM (SELECT * FROM users ORDER BY id LIMIT 10) WHERE role = 'student')
+STUDENT_SUBMISSIONS_SQL = """
+SELECT s.* FROM submissions s WHERE s.user_id IN (SELECT id FROM users WHERE role = 'student')"""
+FACULTY_RECENT_SQL = STUDENT_SUBMISSIONS_SQL + """
 ORDER BY s.uploaded_at DESC, s.id DESC LIMIT 10"""
 
 
@@ -53,7 +53,7 @@ def student_dashboard(spark, d):
 
 @query("faculty_recent", with_views(FACULTY_RECENT_SQL, "users", "submissions"))
 def faculty_recent(spark, d):
-    """Newest 10 submissions of the students among the first 10 users."""
+    """Newest 10 submissions of all students."""
     return MT.faculty_recent(V.users(spark, d), V.submissions(spark, d))
 
 
@@ -63,13 +63,13 @@ SELECT t.total_submissions,
             THEN CAST(trunc(t.total_submissions * lw.avg_internal_score) AS BIGINT) ELSE 0 END AS flagged_count,
        coalesce(lw.submission_count > 10, false) AS spike_detected,
        coalesce(lw.avg_internal_score, 0.0) AS avg_plagiarism
-FROM (SELECT count(*) AS total_submissions FROM ({FACULTY_RECENT_SQL})) t
+FROM (SELECT count(*) AS total_submissions FROM ({STUDENT_SUBMISSIONS_SQL})) t
 LEFT JOIN (SELECT * FROM windows_raw ORDER BY window_start DESC LIMIT 1) lw ON true""",
                                      "users", "submissions", "event_stream", extra=[WINDOWS_RAW_CTE]))
 def faculty_summary(spark, d):
     """Faculty totals, flagged estimate and spike flag from the latest window."""
-    recent = MT.faculty_recent(V.users(spark, d), V.submissions(spark, d))
-    return MT.faculty_summary(recent, W.latest_window(windows(spark, d)))
+    subs = MT.student_submissions(V.users(spark, d), V.submissions(spark, d))
+    return MT.faculty_summary(subs, W.latest_window(windows(spark, d)))
 
 
 @query("result_stats", with_views("""

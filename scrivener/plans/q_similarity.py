@@ -47,7 +47,7 @@ FLAGGED_SQL = f"""
 WITH {GRAMS.strip()},
 shared AS (SELECT s FROM grams GROUP BY s HAVING count(*) > 1)
 SELECT doc_id, count(*) AS n_shared,
-       array_to_string(list(s ORDER BY s)[1:3], chr(10)) AS flagged_sections
+       array_to_string(list(s ORDER BY s), chr(10)) AS flagged_sections
 FROM grams JOIN shared USING (s) GROUP BY doc_id"""
 
 
@@ -66,7 +66,7 @@ def external_similarity(spark, d):
 
 @query("flagged_sections", FLAGGED_SQL)
 def flagged_sections(spark, d):
-    """The first three shared passages of each document that shares any."""
+    """The shared passages of each document that shares any."""
     f = SIM.flagged_sections(read_table(spark, d, "documents"))
     return f.select("doc_id", "n_shared",
                     F.array_join("flagged_sections", "\n").alias("flagged_sections"))
@@ -78,7 +78,7 @@ df AS (SELECT s, count(*) AS c FROM grams GROUP BY s),
 ext AS (SELECT DISTINCT s FROM bgrams),
 per AS (SELECT g.doc_id, count(*) AS n, count(*) FILTER (WHERE df.c > 1) AS shared, count(ext.s) AS m
         FROM grams g JOIN df USING (s) LEFT JOIN ext USING (s) GROUP BY g.doc_id),
-flags AS (SELECT doc_id, array_to_string(list(s ORDER BY s)[1:3], chr(10)) AS f
+flags AS (SELECT doc_id, array_to_string(list(s ORDER BY s), chr(10)) AS f
           FROM grams JOIN df USING (s) WHERE df.c > 1 GROUP BY doc_id),
 scores AS (
   SELECT d.doc_id,

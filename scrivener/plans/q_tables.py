@@ -84,11 +84,10 @@ def text_backfill(spark, d):
     """Check events carry no text; take it from the stored submission,
     reject when there is none."""
     ev = V.checks(spark, d).select("submission_id", "l_linenumber", "l_partkey", "l_suppkey",
-                                   F.lit(None).cast("string").alias("text"))
-    stored = V.submissions(spark, d, with_text=True).select("id", "text")
-    out = TB.backfill_text(ev, stored)
+                                   F.lit(None).cast("int").alias("text_length"))
+    out = TB.backfill_length(ev, V.submissions_with_length(spark, d))
     return out.select("submission_id", "l_linenumber", "l_partkey", "l_suppkey",
-                      F.length("text").cast("bigint").alias("text_length"), "status")
+                      F.col("text_length").cast("bigint").alias("text_length"), "status")
 
 
 @query("latest_results", with_views(f"""

@@ -98,10 +98,10 @@ def latest_window(spark, d):
 
 
 @query("window_history", with_views("""
-SELECT * FROM windows ORDER BY window_start DESC LIMIT 100""", "event_stream", extra=[WINDOWS_CTE]))
+SELECT * FROM windows""", "event_stream", extra=[WINDOWS_CTE]))
 def window_history(spark, d):
-    """window history bounded to the newest 100 (the state bound)."""
-    return W.window_history(windows(spark, d), last=100)
+    """the whole window history."""
+    return W.window_history(windows(spark, d))
 
 
 @query("faculty_windows", with_views("""

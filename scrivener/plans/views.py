@@ -40,6 +40,14 @@ def submissions(spark: SparkSession, d: str, with_text: bool = False) -> DataFra
     return o.join(docs, "id", "left")
 
 
+def submissions_with_length(spark: SparkSession, d: str) -> DataFrame:
+    """Submissions with text_length (NULL without a text): the length is taken
+    in the scan of the texts, so no text is shuffled for it."""
+    lengths = read_table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.length("text").alias("text_length"))
+    return submissions(spark, d).join(lengths, "id", "left")
+
+
 def checks(spark: SparkSession, d: str) -> DataFrame:
     """lineitem as check results: several rows per submission."""
     return checks_from(read_table(spark, d, "lineitem"))

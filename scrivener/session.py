@@ -44,9 +44,10 @@ _LOCAL_DIRS: dict[str, str] = {}
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A cluster sets it at submit time (it cannot be changed at runtime). Only
-    when it is unset (local tests) do we pick a scratch folder of our own and
-    register it with ``SparkContext.setCheckpointDir``.
+    A cluster sets it at submit time (it cannot be changed at runtime), and a
+    job without it stops here: executors could not share a folder of our own.
+    Only a local session (tests), where there is one machine, gets a scratch
+    folder, registered with ``SparkContext.setCheckpointDir``.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -56,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     app = sc.applicationId if sc is not None else "connect"
     d = d or _LOCAL_DIRS.get(app) or (sc.getCheckpointDir() if sc is not None else None)
     if not d:
+        if sc is None or not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="scrivener-ckpt-")
         _LOCAL_DIRS[app] = d
     if sc is not None and sc.getCheckpointDir() is None:

@@ -403,13 +403,35 @@ def test_group_alerts_sorted_text(spark):
     assert (r.n_alerts, r.descriptions) == (2, "a-desc; b-desc")
 
 
-def test_broadcast_only_when_checked_small(spark):
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    small = spark.range(10).withColumnRenamed("id", "k")
-    hinted = big.join(B.broadcast_if_small(small, max_rows=100), "k")
-    not_hinted = big.join(B.broadcast_if_small(small, max_rows=5), "k")
-    assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in not_hinted._jdf.queryExecution().analyzed().toString().lower()
+def test_change_conflicts_numeric_sequence(spark):
+    """9 comes before 10: the delete precedes the insert."""
+    base = spark.createDataFrame([(1, "a")], "id long, name string")
+    ch = spark.createDataFrame([(1, "delete", 9, None), (1, "insert", 10, "b"), (1, "insert", 11, "c"),
+                                (1, "update", 12, "d")], "id long, op string, seq long, name string")
+    assert [(r.seq, r.conflict) for r in TB.change_conflicts(base, ch).collect()] == [(11, "insert of a live id")]
+    assert [tuple(r) for r in TB.apply_changes(base, ch).collect()] == [(1, "d")]
+    only = ch.where("seq <> 12 and op <> 'delete'")
+    assert [tuple(r) for r in TB.apply_changes(base, only).collect()] == [(1, "a")]
+
+
+def test_duplicate_keys_of_several_columns(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("x", None), (None, "x"), ("y", None), ("y", None)],
+                               "a string, b string")
+    got = TB.duplicate_keys(df, ["a", "b"], "t").collect()
+    assert [(r.key, r.n) for r in got] == [('["y",null]', 2)]
+
+
+def test_hash_ids_tell_nulls_apart(spark):
+    df = spark.createDataFrame([("x", None), (None, "x")], "a string, b string")
+    assert df.select(M.hash_id("a", "b").alias("h")).distinct().count() == 2
+
+
+def test_faculty_list_looks_at_all_students(spark):
+    users = spark.createDataFrame([(i, "student" if i > 11 else "faculty") for i in range(20)], "id long, role string")
+    subs = spark.createDataFrame([(i, i % 20, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)) for i in range(200)],
+                                 "id long, user_id long, uploaded_at timestamp_ntz")
+    assert MT.student_submissions(users, subs).count() == 80
+    assert [r.id for r in MT.faculty_recent(users, subs).collect()] == [199, 198, 197, 196, 195, 194, 193, 192, 179, 178]
 
 
 def test_running_count_matches_window(spark):

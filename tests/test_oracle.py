@@ -34,8 +34,9 @@ def test_entry_runs(spark):
 
 
 def test_rows_only_queries_run(spark):
-    for name in sorted(set(E.queries()) - set(E.oracle_sql())):
-        assert E.queries()[name](spark, SF_SMALL).count() >= 0
+    from scrivener.plans import registry
+    for name in sorted(set(registry.QUERIES) - set(E.oracle_sql())):
+        assert registry.QUERIES[name](spark, SF_SMALL).count() >= 0
 
 
 def test_oracle_sql_binds_and_rounds_doubles(con):

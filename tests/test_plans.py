@@ -5,8 +5,11 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from scrivener.plans import registry
 from tests.conftest import SF_SMALL
 
+registry.load_all()
+QUERIES = registry.QUERIES
 STREAMING = {"window_analytics_stream", "chained_topics", "upsert_results", "dedupe_stream",
              "late_rows", "ingest_files", "topic_source", "append_sink", "session_metrics_stream",
              "error_rate_stream"}
@@ -17,7 +20,7 @@ def plan(spark, name):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - STREAMING))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMING))
 def test_no_cartesian_or_nested_loop(spark, name):
     p = plan(spark, name)
     assert "CartesianProduct" not in p
@@ -68,3 +71,29 @@ def test_bucketed_tables_join_without_shuffle(spark):
         assert j.count() == orders.count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["notify_upload", "enrich_submission", "notifications_all", "top5_notifications",
+                                  "student_dashboard", "dead_letter", "text_backfill"])
+def test_no_text_is_shuffled_for_its_length(spark, name):
+    """Texts are read by the scan only: no exchange, join or sort carries them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(spark, name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for line in p.splitlines():
+        if re.search(r"\btext#\d+", line):
+            assert re.search(r"FileScan|Project|Filter", line), line
+    assert "text:string" in p
+
+
+@pytest.mark.parametrize("name", ["external_similarity", "document_checks"])
+def test_no_single_task_size_check(spark, name):
+    sc = spark.sparkContext
+    sc.setJobGroup(f"build-{name}", "build")
+    p = plan(spark, name)
+    # building the plan reads the footers of the two tables and nothing else
+    assert len(sc.statusTracker().getJobIdsForGroup(f"build-{name}")) <= 2
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert "SinglePartition" not in p and "GlobalLimit" not in p
