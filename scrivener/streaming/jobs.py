@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivener.operators import windows as W
-from scrivener.operators.base import latest_per_key
+from scrivener.operators.base import first_per_key, latest_per_key
 from scrivener.session import checkpoint_dir
 
 # Watermark (bounded out-of-orderness) and checkpoint trigger
@@ -105,6 +105,19 @@ def upsert_batch(path: str, keys: list[str], order_cols: list[str]):
     return sink
 
 
+def first_batch(path: str, keys: list[str], order_cols: list[str]):
+    """``foreachBatch`` sink keeping the first row per key of each batch."""
+    def sink(df: DataFrame, batch_id: int) -> None:
+        first = first_per_key(df, keys, order_cols)
+        first.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+    return sink
+
+
+def read_first(spark: SparkSession, path: str, keys: list[str], order_cols: list[str]) -> DataFrame:
+    """First row per key over all batches of :func:`first_batch`."""
+    return first_per_key(spark.read.parquet(path).drop("batch_id"), keys, order_cols)
+
+
 def read_upserted(spark: SparkSession, path: str, keys: list[str], order_cols: list[str]) -> DataFrame:
     """Current table of an upsert sink: last write wins by batch, then order."""
     df = spark.read.parquet(path)
@@ -124,25 +137,3 @@ def check_user_join(checks: DataFrame, submissions: DataFrame, max_delay: str =
             & (F.col(f"c.{check_ts}") >= F.col(f"s.{upload_ts}"))
             & (F.col(f"c.{check_ts}") <= F.col(f"s.{upload_ts}") + F.expr(f"INTERVAL {max_delay}")))
     return c.join(s, cond, "inner").drop("sub_id")
-
-
-def parquet_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None,
-                   glob: str | None = None) -> DataFrame:
-    """File-topic stream over parquet files (tests and replays)."""
-    r = spark.readStream.schema(schema).format("parquet")
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.load(path)
-
-
-def analytics_job(spark: SparkSession, events: DataFrame, out_path: str, name: str = "analytics",
-             dedupe_keys: list[str] | None = None, trigger: dict | None = None):
-    """E5: raw events -> (optional E8 dedupe) -> D1 windows -> append sink.
-    One checkpointed query; the parquet file sink is exactly-once."""
-    def transform(df: DataFrame) -> DataFrame:
-        if dedupe_keys:
-            df = dedupe_stream(df, dedupe_keys)
-        return window_analytics_stream(df)
-    return run_stage(events, transform, ("parquet", out_path), name, trigger=trigger)

@@ -19,13 +19,15 @@ FILE_TOPIC_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
 
 
 def kafka_source_options(bootstrap: str, topics: list[str], starting: str = "earliest",
-                         max_offsets_per_trigger: int | None = None) -> dict[str, str]:
-    """A1: subscribe to topics from the earliest offset (value-only JSON)."""
+                         max_offsets_per_trigger: int | None = None,
+                         fail_on_data_loss: bool = True) -> dict[str, str]:
+    """A1: subscribe to topics from the earliest offset (value-only JSON). Lost
+    offsets stop the query unless the caller asks to go on without them."""
     opts = {
         "kafka.bootstrap.servers": bootstrap,
         "subscribe": ",".join(topics),
         "startingOffsets": starting,
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
     }
     if max_offsets_per_trigger:
         opts["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
@@ -57,21 +59,28 @@ def read_records(spark: SparkSession, topics: list[str], schema: T.StructType, *
     return decode(read_topics(spark, topics, **kw), schema, col="value")
 
 
-def to_topic_records(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """A2/A4: rows as JSON ``value`` (nulls kept), no message key."""
-    cols = cols or df.columns
-    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false", **JSON_OPTIONS})
-                     .alias("value"))
+def to_topic_records(df: DataFrame, cols: list[str] | None = None, raw: str | None = None) -> DataFrame:
+    """A2/A4: rows as JSON ``value`` (nulls kept), no message key. With ``raw``
+    (the record as it came in), its fields that the row does not have are
+    passed on as they are."""
+    cols = cols or [c for c in df.columns if c != raw]
+    own = F.to_json(F.struct(*cols), {"ignoreNullFields": "false", **JSON_OPTIONS})
+    if raw is None:
+        return df.select(own.alias("value"))
+    more = F.map_filter(F.from_json(F.col(raw), "map<string, variant>"), lambda k, v: ~k.isin(cols))
+    merged = F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(","),
+                      F.substring(F.to_json(more), F.lit(2), F.length(F.to_json(more))))
+    return df.select(F.when(F.size(more) > 0, merged).otherwise(own).alias("value"))
 
 
 def write_topic(df: DataFrame, topic: str, checkpoint: str, bootstrap: str | None = None,
-                folder: str | None = None, trigger: dict | None = None):
+                folder: str | None = None, trigger: dict | None = None, raw: str | None = None):
     """A2: start a query writing ``df`` to a topic (Kafka or a topic folder).
 
-    Kafka delivery is at-least-once; records carry deterministic ids so a
-    replay can be de-duplicated downstream. The file sink is exactly-once.
+    Kafka delivery is at-least-once: a replay can repeat a record, so readers
+    drop repeats by the record's own key (E8). The file sink is exactly-once.
     """
-    recs = to_topic_records(df)
+    recs = to_topic_records(df, raw=raw)
     w = recs.writeStream.option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"processingTime": "60 seconds"}))
     if bootstrap:

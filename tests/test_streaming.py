@@ -2,6 +2,7 @@
 topic round trip, stream-stream join."""
 
 import datetime as dt
+import json
 import os
 
 from pyspark.sql import Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from scrivener.operators import windows as W
 from scrivener.plans import views as V
 from scrivener.streaming import jobs as J
+from scrivener.streaming import recompute as RC
 from scrivener.streaming import topics as TP
 
 from tests.conftest import SF_SMALL
@@ -150,8 +152,9 @@ def test_stage_chain_enrich_windows_notify(spark, tmp_dir):
     out = os.path.join(tmp_dir, "windows")
     SM.windows_stage(spark, folder=folder, trigger=AVAILABLE_NOW, out=out,
                      ck_root=ck).awaitTermination(300)
-    w = spark.read.parquet(out).collect()
-    assert [(r.window_start.minute, r.submission_count) for r in w] == [(0, 2)]
+    w = RC.read_recomputed(spark, out).collect()
+    assert [r.submission_count for r in w if r.submission_count] == [2]
+    assert sum(r.total_checks for r in w) == 1
     users = spark.createDataFrame([("u1", "Alice", "alice@test.com", "student")], schemas.USER)
     notes = os.path.join(tmp_dir, "notes")
     SM.notify_stage(spark, users, subs, notes, folder=folder, trigger=AVAILABLE_NOW,
@@ -213,5 +216,106 @@ def test_stage_cli_once(spark, tmp_dir):
     SM.main(["enrich", "--folder", folder, "--once", "--checkpoint-root", ck])
     out = os.path.join(tmp_dir, "cli_windows")
     SM.main(["windows", "--folder", folder, "--out", out, "--once", "--checkpoint-root", ck])
-    rows = spark.read.parquet(out).collect()
-    assert [(r.window_start.minute, r.submission_count, r.total_checks) for r in rows] == [(0, 1, 0)]
+    rows = RC.read_recomputed(spark, out).orderBy("window_start").collect()
+    assert [(r.window_start.hour, r.submission_count, r.total_checks) for r in rows] == [(0, 1, 0), (1, 1, 0)]
+
+
+def _shuffled_files(spark, df, path, n=4):
+    for i in range(n):
+        df.where(F.pmod(F.xxhash64("event_id"), F.lit(n)) == i).coalesce(1).write.parquet(os.path.join(path, f"f{i}"))
+
+
+def test_shuffled_files_give_the_whole_batch_result(spark, tmp_dir):
+    """Any order of arrival, open windows included, equals batch D1."""
+    ev = V.event_stream(spark, SF_SMALL).withColumn("ts", F.col("ts").cast("timestamp"))
+    path, out = os.path.join(tmp_dir, "ev"), os.path.join(tmp_dir, "out")
+    _shuffled_files(spark, ev, path)
+    src = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(path))
+    start = F.window("ts", W.DEFAULT_WINDOW).getField("start")
+    sink = RC.recompute_sink(os.path.join(tmp_dir, "store"), out, start, F.to_date(start),
+                             lambda x: W.window_analytics(x).withColumn(RC.SCOPE, F.col("window_start")))
+    J.run_stage(src, lambda d: d, sink, "recompute", trigger=AVAILABLE_NOW).awaitTermination()
+    got, want = RC.read_recomputed(spark, out), W.window_analytics(ev)
+    cols = ["window_start", "submission_count", "total_checks", "high_risk_count"]
+    assert spark.read.parquet(out).select("batch_id").distinct().count() == 4
+    assert got.count() == want.count() and got.select(cols).exceptAll(want.select(cols)).count() == 0
+
+
+def test_first_check_survives_any_order(spark, tmp_dir):
+    checks = V.checks(spark, SF_SMALL).withColumn("event_id", F.xxhash64("l_partkey", "l_linenumber"))
+    path, table = os.path.join(tmp_dir, "ck"), os.path.join(tmp_dir, "table")
+    _shuffled_files(spark, checks, path)
+    src = (spark.readStream.schema(checks.schema).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(path))
+    order = list(V.CHECK_ORDER)
+    J.run_stage(src, lambda d: d, J.first_batch(table, ["submission_id"], order), "first",
+                trigger=AVAILABLE_NOW).awaitTermination()
+    got = J.read_first(spark, table, ["submission_id"], order)
+    from scrivener.operators.base import first_per_key
+    want = first_per_key(checks, ["submission_id"], order)
+    assert got.count() == want.count()
+    assert got.select("submission_id", "checked_at").exceptAll(want.select("submission_id", "checked_at")).count() == 0
+
+
+def test_upserts_over_several_batches(spark, tmp_dir):
+    checks = V.checks(spark, SF_SMALL).withColumn("event_id", F.xxhash64("l_partkey", "l_linenumber"))
+    path, table = os.path.join(tmp_dir, "ck"), os.path.join(tmp_dir, "table")
+    _shuffled_files(spark, checks, path)
+    src = (spark.readStream.schema(checks.schema).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(path))
+    order = list(V.CHECK_ORDER)
+    J.run_stage(src, lambda d: d, J.upsert_batch(table, ["submission_id"], order), "ups",
+                trigger=AVAILABLE_NOW).awaitTermination()
+    from scrivener.operators.base import latest_per_key
+    # last batch wins, then the order; so compare by what any order of batches must keep
+    assert J.read_upserted(spark, table, ["submission_id"], order).count() == latest_per_key(
+        checks, ["submission_id"], order).count()
+
+
+def test_malformed_and_unknown_fields_survive_enrichment(spark, tmp_dir):
+    from scrivener.streaming import main as SM
+    folder, ck = os.path.join(tmp_dir, "topics"), os.path.join(tmp_dir, "ck")
+    os.makedirs(os.path.join(folder, SM.RAW_UPLOADS))
+    os.makedirs(os.path.join(folder, SM.RAW_CHECKS))
+    with open(os.path.join(folder, SM.RAW_UPLOADS, "a.txt"), "w") as f:
+        f.write('{"id": "s1", "user_id": "u1", "course": {"name": "x"}, "tag": 7}\n{broken\n')
+    for q in SM.enrich_stage(spark, folder=folder, trigger=AVAILABLE_NOW, ck_root=ck):
+        q.awaitTermination()
+    rows = [json.loads(r.value) for r in spark.read.text(os.path.join(folder, SM.UPLOADS)).collect()]
+    assert [(r["id"], r["course"], r["tag"], r["event_type"]) for r in rows] == [
+        ("s1", {"name": "x"}, 7, "paper_uploaded")]
+    bad = [json.loads(r.value) for r in spark.read.text(
+        os.path.join(folder, f"{SM.RAW_UPLOADS}_malformed")).collect()]
+    assert [(b["_raw"], b["error"]) for b in bad] == [("{broken", "malformed JSON")]
+
+
+def test_checks_wait_for_their_submission(spark, tmp_dir):
+    """C4: a submission stored after the stage started is found."""
+    from scrivener import schemas
+    from scrivener.streaming import main as SM
+    folder, ck, out = (os.path.join(tmp_dir, x) for x in ("topics", "ck", "notes"))
+    t = dt.datetime(2024, 1, 1)
+    users = spark.createDataFrame([("u1", "Alice", "alice@test.com", "student")], schemas.USER)
+    sub_path = os.path.join(tmp_dir, "subs")
+    spark.createDataFrame([("s1", "u1", "a", t, "f", "x")], schemas.SUBMISSION).write.parquet(sub_path)
+    os.makedirs(os.path.join(folder, SM.UPLOADS))
+    os.makedirs(os.path.join(folder, SM.CHECKS))
+
+    def send(name, *ids):
+        with open(os.path.join(folder, SM.CHECKS, name), "w") as f:
+            for i in ids:
+                f.write(json.dumps({"submission_id": i, "internal_score": 0.1, "severity": "low",
+                                    "processed_at": "2024-01-01T00:00:00.000000Z"}) + "\n")
+
+    def run():
+        SM.notify_stage(spark, lambda: users, lambda: spark.read.parquet(sub_path), out, folder=folder,
+                        trigger=AVAILABLE_NOW, ck_root=ck).awaitTermination()
+        return spark.read.parquet(out).count()
+
+    send("a.txt", "s1", "s2")
+    assert run() == 1
+    spark.createDataFrame([("s2", "u1", "a", t, "f", "x")], schemas.SUBMISSION).write.mode("append").parquet(sub_path)
+    send("b.txt", "s1")
+    assert run() == 3
+    assert spark.read.parquet(out).select("id").distinct().count() == 2      # the repeated check has the same id
