@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scrivener import schemas
 from scrivener.functions import messages as M
-from scrivener.functions.text import MAX_UPLOAD_BYTES, decode_text, file_ext, within_size_limit
+from scrivener.functions.text import MAX_UPLOAD_BYTES, decode_text, file_ext
 
 # The binaryFile source's row shape (a stream must be given it up front).
 BINARY_FILE_SCHEMA = ("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
@@ -19,20 +19,30 @@ OBJECT_SUFFIX = ".pdf"
 SAMPLE_PAGES = 3
 
 
+def _within(files: DataFrame, limit: int) -> DataFrame:
+    """``files`` with the content of those up to ``limit`` bytes only. The size
+    filter reaches the file listing, so a larger file is never opened."""
+    small = files.where(F.col("length") <= limit)
+    large = files.where(F.col("length") > limit).select(
+        "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
+
+
 def read_files(spark: SparkSession, path: str, glob: str | None = None,
-               recursive: bool = False) -> DataFrame:
-    """Binary files as rows (path, modificationTime, length, content).
-    Files are split across tasks by the file source like any other scan."""
+               recursive: bool = False, limit: int = MAX_UPLOAD_BYTES) -> DataFrame:
+    """Binary files as rows (path, modificationTime, length, content); the
+    content of files over ``limit`` bytes is NULL. Files are split across tasks
+    by the file source like any other scan."""
     r = spark.read.format("binaryFile")
     if glob:
         r = r.option("pathGlobFilter", glob)
     if recursive:
         r = r.option("recursiveFileLookup", "true")
-    return r.load(path)
+    return _within(r.load(path), limit)
 
 
 def stream_files(spark: SparkSession, path: str, glob: str | None = None,
-                 max_files_per_trigger: int | None = None) -> DataFrame:
+                 max_files_per_trigger: int | None = None, limit: int = MAX_UPLOAD_BYTES) -> DataFrame:
     """A8 (streaming): new files in an upload folder as they arrive; feed
     the result to :func:`files_to_submissions` exactly like the batch read."""
     r = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
@@ -40,7 +50,7 @@ def stream_files(spark: SparkSession, path: str, glob: str | None = None,
         r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.load(path)
+    return _within(r.load(path), limit)
 
 
 def files_to_submissions(files: DataFrame, user_id=None, assignment_id=None,
@@ -52,7 +62,7 @@ def files_to_submissions(files: DataFrame, user_id=None, assignment_id=None,
     instead of stored. The id is a hash of the path, so re-runs agree.
     """
     ext = file_ext("path")
-    ok = within_size_limit("content", limit)
+    ok = F.col("length") <= limit
     return files.select(
         M.hash_id("path").alias("id"),
         (user_id if user_id is not None else F.lit(None).cast("string")).alias("user_id"),

@@ -22,6 +22,7 @@ ERROR_STATUS = r"^5..$"
 ERROR_RATE_THRESHOLD = 0.05
 RATE_WINDOW_SECONDS = 300
 MEMORY_RATIO_THRESHOLD = 0.9
+VOLUME_RATIO_THRESHOLD = 0.85
 GIB = 1024 ** 3
 
 
@@ -81,17 +82,40 @@ def histogram_quantile(requests: DataFrame, by: list[str], value: str = "latency
     return agg.select(*by, F.col("w.start").alias("window_start"), expr.alias("quantile"))
 
 
-def quantile_approx(requests: DataFrame, by: list[str], value: str = "latency_s",
-                    window: str = "1 hour", ts: str = "ts", q: float = QUANTILE,
-                    accuracy: int = 10_000) -> DataFrame:
-    """H3 (raw form): quantile of the raw values per group and window with a
-    bounded-memory sketch (``percentile_approx``; rank error <= 1/accuracy of
-    the group size). An exact percentile would buffer every value of a group,
-    which a job holding a third of all requests cannot afford."""
-    agg = requests.groupBy(*by, F.window(ts, window).alias("w")).agg(
-        F.percentile_approx(value, q, accuracy).alias("quantile"),
-        F.count(F.lit(1)).alias("n"))
-    return agg.select(*by, F.col("w.start").alias("window_start"), "quantile", "n")
+def bucket_quantile(rates: DataFrame, by: list[str], le: str = "le", rate_col: str = "rate",
+                    q: float = QUANTILE) -> DataFrame:
+    """H3 over bucket series: ``rates`` has, per ``by`` (labels and evaluation
+    time) and upper bound ``le`` (text, "+Inf" the last), the rate of the
+    cumulative bucket; rates of several series with the same labels add up.
+    Linear interpolation in the bucket that holds the rank; in the +Inf bucket
+    the largest finite bound; NULL where there is no +Inf bucket or no sample."""
+    summed = rates.groupBy(*by, F.when(F.lower(le).isin("+inf", "inf"), F.lit(float("inf")))
+                           .otherwise(F.col(le).cast("double")).alias("_le")).agg(F.sum(rate_col).alias("_r"))
+    # one short array per group: a histogram has a handful of buckets
+    arr = summed.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_le", "_r"))).alias("_b"))
+    total = F.element_at("_b", -1)
+    i = F.array_position(F.transform("_b", lambda x: x["_r"] >= F.lit(q) * total["_r"]), True).cast("int") - 1
+    out = arr.withColumn("_i", i)
+    here, below = F.get("_b", F.col("_i")), F.get("_b", F.col("_i") - 1)
+    lo_b, lo_r = F.coalesce(below["_le"], F.lit(0.0)), F.coalesce(below["_r"], F.lit(0.0))
+    value = (F.when((total["_le"] != float("inf")) | (total["_r"] <= 0), F.lit(None).cast("double"))
+             .when(here["_le"] == float("inf"), below["_le"])
+             .otherwise(lo_b + (here["_le"] - lo_b) * (F.lit(q) * total["_r"] - lo_r) / (here["_r"] - lo_r)))
+    return out.select(*by, value.alias("quantile"))
+
+
+def quantile_exact(requests: DataFrame, by: list[str], value: str = "latency_s",
+                   window: str = "1 hour", ts: str = "ts", q: float = QUANTILE) -> DataFrame:
+    """H3 (raw form): the smallest value that a share ``q`` of the group's values
+    do not exceed, from counts per distinct value (combined map-side) and their
+    running sum, which spills instead of being held as one buffer."""
+    counts = requests.groupBy(*by, F.window(ts, window).getField("start").alias("window_start"),
+                              F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*by, "window_start")
+    running = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("_c", F.sum("_n").over(running)).withColumn("n", F.sum("_n").over(group))
+    return ranked.where(F.col("_c") >= F.lit(q) * F.col("n")).groupBy(*by, "window_start").agg(
+        F.min("_v").alias("quantile"), F.max("n").alias("n"))
 
 
 def to_gib(samples: DataFrame, value: str = "value", label: str = "pod",
@@ -143,16 +167,53 @@ def sustained(flags: DataFrame, series: list[str], ts: str, breach: str, step_se
     return out.where(held >= for_seconds).drop("_step", "_grp")
 
 
-def value_changes(samples: DataFrame, series: list[str], window: str = "1 hour", ts: str = "ts",
-                  value: str = "value", tie: str | None = None) -> DataFrame:
-    """Per window, ``changes()`` (value differs from the previous
-    sample) and ``resets()`` (value drops) of each series."""
+def held(flags: DataFrame, series: list[str], step: str, breach: str, steps: int, out: str) -> DataFrame:
+    """H7/H8 ``for``: ``out`` is true where ``breach`` holds at this evaluation
+    step and at the ``steps`` before it. Every breach is counted towards the
+    steps it supports, so no series is sorted in one task."""
+    votes = (flags.where(F.col(breach)).select(*series, F.explode(F.sequence(
+        F.col(step), F.col(step) + steps)).alias(step)).groupBy(*series, step).agg(F.count(F.lit(1)).alias("_votes")))
+    return (flags.join(votes, [*series, step], "left")
+            .withColumn(out, F.coalesce(F.col(breach) & (F.col("_votes") > steps), F.lit(False))).drop("_votes"))
+
+
+# Fixed values of the restart rules: changes over 15 minutes above 2 for 5
+# minutes; restarts a second over 1 hour above 5 for 10 minutes.
+CHANGES_MINUTES, CHANGES_ABOVE, CHANGES_FOR = 15, 2, 5
+RESTART_MINUTES, RESTART_ABOVE, RESTART_FOR = 60, 5, 10
+EVALUATION_MINUTES = 5
+
+
+def restart_rules(samples: DataFrame, series: list[str], ts: str = "ts", value: str = "value",
+                  tie: str | None = None) -> DataFrame:
+    """Per series and evaluation time (every 5 minutes), ``changes`` of the
+    value within the last 15 minutes, ``restart_rate`` (reset-aware increase a
+    second over the last hour) and the two alerts with their ``for`` times.
+
+    Samples are aggregated to 5-minute panes first; panes are then added to the
+    evaluations they belong to. A change counts if both its samples are in the
+    range, so panes keep changes by how many panes back the earlier sample is."""
     order = [ts] + ([tie] if tie else [])
-    p = previous_value(samples, series, order, value, F.date_trunc("day", F.col(ts)))
-    return p.groupBy(*series, F.window(ts, window).alias("w")).agg(
-        F.count_if(F.col(value) != F.col("prev")).alias("changes"),
-        F.count_if(F.col(value) < F.col("prev")).alias("resets")).select(
-        *series, F.col("w.start").alias("window_start"), "changes", "resets")
+    pane = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / (60 * EVALUATION_MINUTES))
+    both = samples.withColumn("_s", F.struct(F.col(value).alias("v"), pane.alias("p")))
+    p = previous_value(both, series, order, "_s", F.date_trunc("day", F.col(ts)))
+    now, before = F.col("_s.v"), F.col("prev.v")
+    back = F.col("_s.p") - F.col("prev.p")
+    n = CHANGES_MINUTES // EVALUATION_MINUTES
+    panes = p.groupBy(*series, F.col("_s.p").alias("_p")).agg(
+        F.array(*[F.count_if((now != before) & (back <= n - 1 - i)) for i in range(n)]).alias("_c"),
+        F.sum(F.when(now < before, now).otherwise(now - before)).alias("_inc"))
+    ranges = RESTART_MINUTES // EVALUATION_MINUTES
+    steps = (panes.select("*", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("_o"))
+             .groupBy(*series, (F.col("_p") + F.col("_o") + 1).alias("_step")).agg(
+                 F.sum(F.coalesce(F.get("_c", F.col("_o")), F.lit(0))).alias("changes"),
+                 (F.coalesce(F.sum("_inc"), F.lit(0.0)) / (60 * RESTART_MINUTES)).alias("restart_rate")))
+    flags = steps.withColumns({"_many": F.col("changes") > CHANGES_ABOVE,
+                               "_fast": F.col("restart_rate") > RESTART_ABOVE})
+    flags = held(flags, series, "_step", "_many", CHANGES_FOR // EVALUATION_MINUTES, "changes_alert")
+    flags = held(flags, series, "_step", "_fast", RESTART_FOR // EVALUATION_MINUTES, "restart_alert")
+    at = F.timestamp_seconds(F.col("_step") * 60 * EVALUATION_MINUTES).cast("timestamp_ntz")
+    return flags.select(*series, at.alias("ts"), "changes", "restart_rate", "changes_alert", "restart_alert")
 
 
 def group_alerts(alerts: DataFrame, group_by: list[str], text: str = "description",

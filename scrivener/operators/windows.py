@@ -62,19 +62,21 @@ def _window_col(time_col: str, size: str, slide: str | None, kind: str, gap: str
 
 def window_analytics(events: DataFrame, time_col: str = "ts", size: str = DEFAULT_WINDOW,
                      slide: str | None = None, kind: str = "tumbling", gap: str | None = None,
-                     keys: tuple[str, ...] = ()) -> DataFrame:
+                     keys: tuple[str, ...] = (), aggs: list[Column] | None = None) -> DataFrame:
     """Per-window metrics with true window bounds.
 
     ``kind`` is tumbling (default), sliding (give ``slide``) or session (give
-    ``gap``; per ``keys``). Empty windows produce no row.
+    ``gap``; per ``keys``). Empty windows produce no row. ``aggs`` replaces the
+    default metrics by other named aggregates (U2).
     """
     w = _window_col(time_col, size, slide, kind, gap)
-    agg = events.groupBy(w.alias("window"), *keys).agg(*window_aggs())
+    agg = events.groupBy(w.alias("window"), *keys).agg(*(aggs or window_aggs()))
+    made = METRIC_COLUMNS if aggs is None else [c for c in agg.columns if c not in ("window", *keys)]
     return agg.select(
         *keys,
         F.col("window.start").alias("window_start"),
         F.col("window.end").alias("window_end"),
-        *METRIC_COLUMNS,
+        *made,
     )
 
 

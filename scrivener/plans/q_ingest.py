@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scrivener.functions.text import decode_text, file_ext, within_size_limit
+from scrivener.functions.text import MAX_UPLOAD_BYTES, TEXT_EXTENSIONS, decode_text, file_ext, within_size_limit
 from scrivener.operators import ingest as IN
 from scrivener.plans import views as V
 from scrivener.plans.registry import query
@@ -12,7 +12,7 @@ from scrivener.sources.tables import read_table
 
 _PATH_SQL = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _EXT_SQL = f"lower(regexp_extract(regexp_extract({_PATH_SQL}, '([^/]*)$', 1), '^.+(\\.[^.]*)$', 1))"
-_TEXT_EXTS = "('.txt', '.py', '.java', '.cpp', '.c', '.js', '.html', '.css', '.md')"
+_TEXT_EXTS = str(TEXT_EXTENSIONS)
 
 
 @query("file_ext", f"SELECT page_id, {_PATH_SQL} AS path, {_EXT_SQL} AS ext FROM pages")
@@ -35,8 +35,8 @@ def decode_uploads(spark, d):
                     F.length(decode_text(body, ext)).cast("bigint").alias("text_length"))
 
 
-@query("size_limit", """
-SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, strlen(text) <= 10485760 AS accepted
+@query("size_limit", f"""
+SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, strlen(text) <= {MAX_UPLOAD_BYTES} AS accepted
 FROM documents""")
 def size_limit(spark, d):
     """Documents within the 10 MB upload limit are accepted."""
@@ -74,7 +74,27 @@ def object_events(spark, d):
     return IN.object_events(ev)
 
 
-@query("ingest_files")
+# Uploads made of pages: extension and damage by page number, a limit some exceed.
+UPLOAD_EXTS = (".txt", ".PY", ".pdf", ".html")
+UPLOAD_LIMIT = 2_000
+
+
+@query("ingest_files", f"""
+SELECT sha256(path) AS id, path AS file_url, lower(ext) AS ext, n_bytes,
+       CASE WHEN n_bytes <= {UPLOAD_LIMIT} AND lower(ext) IN {_TEXT_EXTS} AND page_id % 5 <> 0 THEN html END AS text,
+       CASE WHEN n_bytes <= {UPLOAD_LIMIT} THEN 'accepted' ELSE 'rejected: file too large' END AS status
+FROM (SELECT *, 'uploads/' || page_id || ext AS path FROM (
+        SELECT page_id, html, {list(UPLOAD_EXTS)}[page_id % 4 + 1] AS ext,
+               CAST(strlen(html) + CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_bytes FROM pages))""")
 def ingest_files(spark, d):
-    """The table files themselves ingested as uploaded files (binary)."""
-    return IN.files_to_submissions(IN.read_files(spark, d, glob="*.parquet")).drop("uploaded_at")
+    """Every page as an uploaded file; each fifth ends in a byte
+    that is no UTF-8, and files over the limit are rejected by their length."""
+    p = read_table(spark, d, "pages")
+    ext = F.element_at(F.array(*map(F.lit, UPLOAD_EXTS)), (F.col("page_id") % 4 + 1).cast("int"))
+    body = F.encode("html", "UTF-8")
+    content = F.when(F.col("page_id") % 5 == 0, F.concat(body, F.unhex(F.lit("FF")))).otherwise(body)
+    files = p.select(F.concat(F.lit("uploads/"), F.col("page_id").cast("string"), ext).alias("path"),
+                     F.lit(None).cast("timestamp").alias("modificationTime"),
+                     F.octet_length(content).cast("bigint").alias("length"), content.alias("content"))
+    return IN.files_to_submissions(files, limit=UPLOAD_LIMIT).select(
+        "id", "file_url", "ext", F.col("n_bytes"), "text", "status")

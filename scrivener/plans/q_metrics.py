@@ -47,7 +47,7 @@ def error_rate(spark, d):
     return H.error_rate(V.requests(spark, d), ["job"])
 
 
-def _p95_sql():
+def _p95_sql(window="1 HOUR"):
     bounds = [0.1, 0.25, 0.5, 1.0, 2.5, 5.0]
     cums = ",\n       ".join(f"count(*) FILTER (WHERE latency_s <= {b}) AS c{i}" for i, b in enumerate(bounds))
     parts, pb, pc = [], "0.0", "0"
@@ -57,7 +57,7 @@ def _p95_sql():
     case = "CASE " + " ".join(parts) + " ELSE 5.0 END"
     return with_views(f"""
 SELECT job, window_start, round({case}, 6) AS quantile
-FROM (SELECT job, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
+FROM (SELECT job, time_bucket(INTERVAL {window}, ts) AS window_start,
        {cums}, count(*) AS total
       FROM requests GROUP BY 1, 2)""", "requests")
 
@@ -68,11 +68,29 @@ def latency_p95(spark, d):
     return H.histogram_quantile(V.requests(spark, d), ["job"])
 
 
-@query("latency_p95_raw")
+@query("latency_p95_raw", with_views("""
+SELECT job, window_start, min(latency_s) AS quantile, max(n) AS n FROM (
+  SELECT job, window_start, latency_s, sum(c) OVER (PARTITION BY job, window_start ORDER BY latency_s) AS running,
+         CAST(sum(c) OVER (PARTITION BY job, window_start) AS BIGINT) AS n
+  FROM (SELECT job, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, latency_s, count(*) AS c
+        FROM requests GROUP BY 1, 2, 3))
+WHERE running >= 0.95 * n GROUP BY 1, 2""", "requests"))
 def latency_p95_raw(spark, d):
-    """H3 (raw form): hourly p95 latency per job from the raw values with a
-    bounded sketch (approximate, so checked by rows only)."""
-    return H.quantile_approx(V.requests(spark, d), ["job"])
+    """H3 (raw form): hourly p95 latency per job from the raw values, exact."""
+    return H.quantile_exact(V.requests(spark, d), ["job"])
+
+
+@query("latency_p95_buckets", _p95_sql("5 MINUTES"))
+def latency_p95_buckets(spark, d):
+    """H3 over bucket series: per pod and ``le`` the rate of the cumulative
+    bucket over 5 minutes, summed by job, p95 interpolated."""
+    bounds = [*map(str, H.LATENCY_BUCKETS), "+Inf"]
+    r = V.requests(spark, d).select("job", "pod", "ts", F.explode(F.transform(
+        F.array(*map(F.lit, bounds)), lambda b: F.struct(
+            b.alias("le"), ((b == "+Inf") | (F.col("latency_s") <= b.try_cast("double"))).cast("int").alias("hit")))).alias("x"))
+    rates = r.groupBy("job", "pod", F.window("ts", "5 minutes").getField("start").alias("window_start"),
+                      F.col("x.le").alias("le")).agg((F.sum("x.hit") / H.RATE_WINDOW_SECONDS).alias("rate"))
+    return H.bucket_quantile(rates, ["job", "window_start"])
 
 
 @query("memory_gib", with_views(f"""
@@ -123,17 +141,44 @@ def alert_for(spark, d):
 
 
 @query("value_changes", with_views("""
-SELECT job, window_start, changes, resets, changes > 2 AS changes_alert, resets > 5 AS restart_alert
-FROM (SELECT job, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
-       count(*) FILTER (WHERE value <> prev) AS changes,
-       count(*) FILTER (WHERE value < prev) AS resets
-      FROM (SELECT *, lag(value) OVER (PARTITION BY job ORDER BY ts, event_id) AS prev FROM counter_samples)
-      GROUP BY 1, 2)""", "counter_samples"))
+SELECT c.job, c.ts, c.changes, round(c.restart_rate, 6) AS restart_rate,
+       c.changes > 2 AND coalesce(p1.changes > 2, false) AS changes_alert,
+       c.restart_rate > 5 AND coalesce(p1.restart_rate > 5, false) AND coalesce(p2.restart_rate > 5, false) AS restart_alert
+FROM evals c LEFT JOIN evals p1 ON p1.job = c.job AND p1.ts = c.ts - INTERVAL 5 MINUTES
+     LEFT JOIN evals p2 ON p2.job = c.job AND p2.ts = c.ts - INTERVAL 10 MINUTES""", "counter_samples", extra=["""
+evals AS (
+  WITH s AS (SELECT job, ts, value, lag(value) OVER w AS pv, lag(ts) OVER w AS pt FROM counter_samples
+             WINDOW w AS (PARTITION BY job ORDER BY ts, event_id)),
+  e AS (SELECT DISTINCT job, time_bucket(INTERVAL 5 MINUTES, ts) + INTERVAL 5 MINUTES * (o.k + 1) AS upto
+        FROM s, range(12) o(k))
+  SELECT e.job, e.upto AS ts,
+         count(*) FILTER (WHERE s.ts >= upto - INTERVAL 15 MINUTES AND s.pt >= upto - INTERVAL 15 MINUTES
+                          AND s.value <> s.pv) AS changes,
+         coalesce(sum(CASE WHEN s.value < s.pv THEN s.value ELSE s.value - s.pv END), 0) / 3600 AS restart_rate
+  FROM e JOIN s ON s.job = e.job AND s.ts >= e.upto - INTERVAL 1 HOUR AND s.ts < e.upto GROUP BY 1, 2)"""]))
 def value_changes(spark, d):
-    """Hourly changes() and resets() of the request counter per job, with
-    the rule flags changes > 2 and restarts > 5 per hour."""
-    v = H.value_changes(V.counter_samples(spark, d), ["job"], tie="event_id")
-    return v.withColumns({"changes_alert": F.col("changes") > 2, "restart_alert": F.col("resets") > 5})
+    """Changes over 15 minutes (alert above 2 for 5 minutes) and the
+    restart rate over an hour (alert above 5 a second for 10 minutes)."""
+    return H.restart_rules(V.counter_samples(spark, d), ["job"], tie="event_id")
+
+
+@query("ratio_alerts", with_views("""
+SELECT c.job, c.ts, round(c.r, 6) AS ratio, c.r > 0.9 AND coalesce(p.r > 0.9, false) AS memory_alert,
+       c.r > 0.85 AND coalesce(p.r > 0.85, false) AS volume_alert
+FROM (SELECT job, ts, usage / "limit" AS r FROM job_memory) c
+LEFT JOIN (SELECT job, ts, usage / "limit" AS r FROM job_memory) p
+  ON p.job = c.job AND p.ts = c.ts - INTERVAL 1 HOUR""", "job_memory"))
+def ratio_alerts(spark, d):
+    """H8: usage over limit above 0.9 (memory) and 0.85 (volume), each held for
+    the rule's time, which on hourly samples is one step more."""
+    m = V.job_memory(spark, d)
+    r = m.select("job", "ts", (F.col("usage") / F.col("limit")).alias("ratio"))
+    r = r.withColumns({"_step": F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600),
+                       "_m": F.col("ratio") > H.MEMORY_RATIO_THRESHOLD,
+                       "_v": F.col("ratio") > H.VOLUME_RATIO_THRESHOLD})
+    r = H.held(r, ["job"], "_step", "_m", 1, "memory_alert")
+    return H.held(r, ["job"], "_step", "_v", 1, "volume_alert").select(
+        "job", "ts", "ratio", "memory_alert", "volume_alert")
 
 
 @query("alert_groups", with_views("""

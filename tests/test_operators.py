@@ -255,6 +255,17 @@ def test_file_ingest(spark, tmp_dir):
     assert out["big.txt"].status.startswith("rejected") and out["a.TXT"].status == "accepted"
 
 
+def test_a_file_over_the_reader_limit_is_a_rejected_row(spark, tmp_dir):
+    with open(os.path.join(tmp_dir, "big.txt"), "wb") as f:
+        f.write(b"x" * 2_000_000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000000")
+    try:
+        r = IN.files_to_submissions(IN.read_files(spark, tmp_dir, limit=500_000), limit=500_000).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert [(x.n_bytes, x.text, x.status) for x in r] == [(2_000_000, None, "rejected: file too large")]
+
+
 def test_file_ext_rules(spark):
     df = spark.createDataFrame([("/x/a.TXT",), ("b.tar.gz",), (".bashrc",), ("noext",)], "p string")
     assert [r.e for r in df.select(file_ext("p").alias("e")).collect()] == [".txt", ".gz", "", ""]
@@ -460,23 +471,46 @@ def test_change_conflicts_fixture(spark):
                    ("u8", "delete of an absent id"), ("u9", "update of an absent id")]
 
 
-def test_quantile_approx_rank_error(spark):
-    import numpy as np
+def test_quantile_exact_against_sorted_values(spark):
+    import math
     from scrivener.plans import views as V
     r = V.requests(spark, "/root/testdata/sf0.01")
-    got = {(x.job, x.window_start): x.quantile for x in H.quantile_approx(r, ["job"], window="30 days").collect()}
-    pdf = r.select("job", "ts", "latency_s").toPandas()
-    for (job, start), qv in got.items():
-        vals = np.sort(pdf[(pdf.job == job) & (pdf.ts >= start) & (pdf.ts < start + pd_timedelta(30))].latency_s.values)
-        lo = np.searchsorted(vals, qv, side="left") / len(vals)      # rank interval of the
-        hi = np.searchsorted(vals, qv, side="right") / len(vals)     # value (duplicates)
-        tol = 1 / 10_000 + 1 / len(vals)
-        assert lo - tol <= 0.95 <= hi + tol
-
-
-def pd_timedelta(days):
-    import pandas as pd
-    return pd.Timedelta(days=days)
+    got = {x.job: (x.quantile, x.n) for x in H.quantile_exact(r, ["job"], window="3650 days").collect()}
+    pdf = r.select("job", "latency_s").toPandas()
+    for job, (q, n) in got.items():
+        vals = sorted(pdf[pdf.job == job].latency_s)
+        assert n == len(vals) and q == vals[math.ceil(0.95 * n) - 1]
+
+
+def test_restart_rules_at_the_boundaries(spark):
+    t = dt.datetime(2024, 1, 1)
+    # a change every 5 minutes: three within 15 minutes from the fourth sample on
+    rows = [("a", t + dt.timedelta(minutes=5 * i), float(i)) for i in range(8)]
+    rows += [("b", t + dt.timedelta(minutes=20 * i), float(i)) for i in range(4)]
+    rows += [("c", t, 0.0), ("c", t + dt.timedelta(minutes=1), 36_000.0)]
+    df = spark.createDataFrame(rows, "job string, ts timestamp_ntz, value double")
+    got = {(r.job, (r.ts - t).total_seconds() / 60): r for r in H.restart_rules(df, ["job"]).collect()}
+    assert [got["a", 5 * i].changes for i in range(1, 6)] == [0, 1, 2, 2, 2]
+    assert not any(r.changes_alert for r in got.values())        # never more than two: the earlier sample counts too
+    assert got["b", 25].changes == 0                              # its earlier sample is out of range
+    assert got["c", 5].restart_rate == 10.0 and not got["c", 10].restart_alert and got["c", 15].restart_alert
+    assert got["c", 60].restart_alert and ("c", 65) not in got
+
+
+def test_changes_alert_needs_its_time(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("a", t + dt.timedelta(minutes=i), float(i % 2)) for i in range(5)]
+    df = spark.createDataFrame(rows, "job string, ts timestamp_ntz, value double")
+    got = {(r.ts - t).total_seconds() / 60: (r.changes, r.changes_alert) for r in H.restart_rules(df, ["job"]).collect()}
+    assert got[5] == (4, False) and got[10] == (4, True) and got[15] == (4, True) and got[20] == (0, False)
+
+
+def test_bucket_quantile(spark):
+    rows = [("a", "0.1", 0.0), ("a", "0.5", 2.0), ("a", "1", 3.0), ("a", "+Inf", 4.0), ("b", "0.5", 1.0),
+            ("c", "1", 0.0), ("c", "+Inf", 2.0), ("d", "1", 2.0), ("d", "+Inf", 2.0)]
+    got = {r.job: r.quantile for r in H.bucket_quantile(
+        spark.createDataFrame(rows, "job string, le string, rate double"), ["job"], q=0.5).collect()}
+    assert got == {"a": 0.5, "b": None, "c": 1.0, "d": 0.5}
 
 
 def test_id_default_and_newest_first(spark):

@@ -11,7 +11,7 @@ from tests.conftest import SF_SMALL
 registry.load_all()
 QUERIES = registry.QUERIES
 STREAMING = {"window_analytics_stream", "chained_topics", "upsert_results", "dedupe_stream",
-             "ingest_files", "topic_source", "append_sink", "session_metrics_stream",
+             "topic_source", "topic_sink", "append_sink", "session_metrics_stream",
              "error_rate_stream"}
 
 
