@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrivener.functions import messages as M
 from scrivener.functions import scoring
 
 # Event types and pipeline names the stages stamp.
@@ -121,6 +122,24 @@ def in_range(c: str, lo: float = 0.0, hi: float = 1.0) -> Column:
     return F.col(c).between(lo, hi)
 
 
+def user_rules(roles: tuple[str, ...] = ("student", "faculty")) -> dict[str, Column]:
+    """Domain rules of a user record."""
+    return {"id": F.col("id").isNotNull() & (F.col("id").cast("string") != ""),
+            "role": F.col("role").isin(*roles)}
+
+
+def submission_rules() -> dict[str, Column]:
+    """Domain rules of a submission record (B20): the ids it cannot do without."""
+    return {c: F.col(c).isNotNull() & (F.col(c).cast("string") != "") for c in ("id", "user_id", "assignment_id")}
+
+
+def submission_defaults(df: DataFrame, now: Column) -> DataFrame:
+    """A missing upload time is ``now``; a missing id is made of the record
+    itself, so a replay gives the same one."""
+    made = M.id_or_new("id", "user_id", "assignment_id", "file_url", "uploaded_at")
+    return df.withColumns({"id": made, "uploaded_at": F.coalesce("uploaded_at", now)})
+
+
 def processed_event_rules() -> dict[str, Column]:
     """Domain rules of the processed-event record."""
     et = F.col("event_type")

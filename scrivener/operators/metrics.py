@@ -40,8 +40,12 @@ def rate(samples: DataFrame, series: list[str], window: str = "5 minutes", ts: s
          slide: str | None = None) -> DataFrame:
     """H1: per-series rate = summed increase in the window / window seconds
     (no extrapolation). ``slide`` gives the sliding form (rules evaluate
-    every 30 s)."""
+    every 30 s); it must divide the window."""
     inc = counter_increase(samples, series, ts, value, tie)
+    if slide:
+        # panes of one slide first: they are copied to their windows, not the samples
+        inc = inc.groupBy(*series, F.window(ts, slide).getField("start").alias(ts)).agg(
+            F.sum("increase").alias("increase"))
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
     return inc.groupBy(*series, w.alias("w")).agg(
         (F.coalesce(F.sum("increase"), F.lit(0.0)) / seconds).alias("rate")).select(

@@ -8,7 +8,7 @@ from scrivener.operators import base as B
 from scrivener.operators import marts as MT
 from scrivener.operators import windows as W
 from scrivener.plans import views as V
-from scrivener.plans.q_notify import NOTIFICATIONS_CTE, notifications
+from scrivener.plans.q_notify import NOTIFICATIONS_CTE, newest
 from scrivener.plans.q_windows import WINDOWS_CTE, WINDOWS_RAW_CTE, windows
 from scrivener.plans.registry import query
 from scrivener.plans.sql_views import with_views
@@ -47,7 +47,7 @@ WHERE u.role = 'student'""", "users", "submissions", "submissions_text", "checks
 def student_dashboard(spark, d):
     """The student mart for every student."""
     m = MT.student_dashboard(V.users(spark, d), V.submissions(spark, d),
-                             notifications(spark, d), W.latest_window(windows(spark, d)))
+                             newest(spark, d).drop("rank"), W.latest_window(windows(spark, d)))
     return m.withColumn("recent_messages", F.array_join("recent_messages", "\n"))
 
 

@@ -48,7 +48,8 @@ def enrich_stage(spark: SparkSession, bootstrap=None, folder=None, trigger=None,
     now = F.current_timestamp()
     queries = []
     for raw_topic, schema, enrich, topic in (
-            (RAW_UPLOADS, schemas.SUBMISSION, E.enrich_submission, UPLOADS),
+            (RAW_UPLOADS, schemas.SUBMISSION,
+             lambda df, processed_at: E.enrich_submission(E.submission_defaults(df, processed_at), processed_at), UPLOADS),
             (RAW_CHECKS, schemas.CHECK_RESULT, E.enrich_check, CHECKS)):
         good, bad = TP.read_records(spark, [raw_topic], schema, **kw)
         out = enrich(good.drop("topic", "timestamp"), processed_at=now)

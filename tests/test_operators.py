@@ -524,3 +524,17 @@ def test_id_default_and_newest_first(spark):
     subs = spark.createDataFrame([("s1", t), ("s2", t), ("s3", t + dt.timedelta(days=1))],
                                  "id string, uploaded_at timestamp_ntz")
     assert [r.id for r in TB.newest_first(subs).collect()] == ["s3", "s2", "s1"]
+
+
+def test_user_and_submission_rules_and_defaults(spark):
+    from scrivener import schemas
+    u = spark.createDataFrame([("u1", "a", "e", "student"), ("", "b", "e", "dean"), (None, "c", "e", None)], schemas.USER)
+    got = [r.v for r in u.select(E.violations(E.user_rules()).alias("v")).collect()]
+    assert got == [[], ["id", "role"], ["id", "role"]]
+    t = dt.datetime(2024, 1, 1)
+    s = spark.createDataFrame([("s1", "u1", "a", t, "f", "x"), (None, "u1", "a", None, "f", "x"),
+                               ("", "u1", "a", None, "f", "x")], schemas.SUBMISSION)
+    full = E.submission_defaults(s, F.lit(t)).collect()
+    assert full[0].id == "s1" and full[1].id == full[2].id and len(full[1].id) == 64
+    assert all(r.uploaded_at == full[0].uploaded_at for r in full)
+    assert [r.v for r in s.select(E.violations(E.submission_rules()).alias("v")).collect()] == [[], ["id"], ["id"]]
