@@ -7,6 +7,10 @@ drawn first (a table of partitions by shards); each partition then permutes its
 labels locally, rows are exchanged, and each shard permutes what it got. Shard
 sizes are exact (at most one apart) and every row is equally likely everywhere.
 
+The partitions are the files of a written copy, and a row's labels follow from
+its file and its place in it. They stay the same whatever tasks read the files,
+so a lost executor, a new split or another batch size changes nothing.
+
 Inside a shard the second permutation runs over random blocks (as many as the
 session has reducers), so a shard of any size is never sorted in one task:
 block sizes give the offsets, the rank in the block the rest of the slot.
@@ -14,8 +18,7 @@ block sizes give the offsets, the rank in the block the rest of the slot.
 Edge cases: null text has size 1 (0 bytes plus 1) and the checksum of the empty
 text. Repeated rows and ties are separate rows. With fewer rows than shards
 some shards are empty; an empty table gives an empty result. The draw is
-repeatable for the same files and scan settings; if a partition's rows changed
-between the count and the draw, the task fails rather than lose a row.
+repeatable for the same rows in the same input partitions.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,60 +76,60 @@ def communication_matrix(rows: list[int], sizes: list[int], seed: int) -> np.nda
     return out
 
 
-def _label(docs: DataFrame, matrix: np.ndarray, blocks: int, seed: int,
-           shard: str, block: str, order: str) -> DataFrame:
-    """``docs`` with its shard, block and second-permutation key per row."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(shard, T.IntegerType()),
-                           T.StructField(block, T.IntegerType()), T.StructField(order, T.LongType())])
-    numbered = docs.withColumn(fresh(docs, "part"), F.spark_partition_id())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, at, labels = None, 0, ()
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            if p is None:
-                p = b.columns[-1][0].as_py()
-                counts = matrix[p] if p < len(matrix) else np.zeros(matrix.shape[1], np.int64)
-                rng = np.random.default_rng([seed, 1, p])
-                labels = rng.permutation(np.repeat(np.arange(len(counts), dtype=np.int32), counts))
-            if at + n > len(labels):
-                raise RuntimeError(f"partition {p} has more rows than were counted")
-            new = [labels[at:at + n], rng.integers(0, blocks, n, dtype=np.int32),
-                   rng.integers(0, 1 << 62, n, dtype=np.int64)]
-            at += n
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, new)],
-                                             [*b.schema.names[:-1], shard, block, order])
-        if at != len(labels):
-            raise RuntimeError(f"partition {p} has {at} rows; {len(labels)} were counted")
-
-    return numbered.mapInArrow(run, schema)
+def _labels(files: dict[str, int], matrix: np.ndarray, seed: int):
+    """UDF of (file path, row in the file): file number x shards + shard. The
+    permutation of a file's labels depends on the file alone, so a row gets the
+    same label in any task, split, batch or retry."""
+    shards = matrix.shape[1]
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        last, labels = None, np.zeros(0, dtype=np.int64)
+        for path, row in batches:
+            out = np.empty(len(row), dtype=np.int64)
+            for name, at in path.groupby(path).indices.items():
+                p = files[name]
+                if p != last:
+                    rng = np.random.default_rng([seed, 1, p])
+                    last, labels = p, rng.permutation(np.repeat(np.arange(shards, dtype=np.int64), matrix[p]))
+                out[at] = p * shards + labels[row.to_numpy()[at]]
+            yield pd.Series(out)
+
+    return F.pandas_udf(run, T.LongType())
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
           names: tuple[str, str] = ("shard", "slot")) -> DataFrame:
     """``docs`` with its shard (int) and slot (long, gapless from 0 per shard)."""
     spark = docs.sparkSession
-    found = {r["p"]: r["n"] for r in docs.groupBy(F.spark_partition_id().alias("p"))
-             .agg(F.count(F.lit(1)).alias("n")).collect()}          # one row per partition
-    rows = [found.get(p, 0) for p in range(max(found, default=-1) + 1)]
-    total = sum(rows)
+    held = stored(docs, "to-shard")
+    meta = held.metadataColumn("_metadata")
+    path, at = meta["file_path"], meta["row_index"]
+    counts = {r["f"]: r["n"] for r in held.select(path.alias("f")).groupBy("f")
+              .agg(F.count(F.lit(1)).alias("n")).collect()}         # one row per written file
+    files = {f: p for p, f in enumerate(sorted(counts))}
+    total = sum(counts.values())
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
-    matrix = communication_matrix(rows, sizes, seed)
+    matrix = communication_matrix([counts[f] for f in files], sizes, seed)
     blocks = max(1, math.ceil(2 * slots(spark) / shards))
-    s, b, o = names[0], fresh(docs, "block"), fresh(docs, "order")
-    narrow = docs.select(F.lit(True).alias("_row"))                 # the same rows in the same partitions
-    size = (_label(narrow, matrix, blocks, seed, "s", "b", "o").groupBy("s", "b")
-            .agg(F.count(F.lit(1)).alias("n")))
-    first = fresh(docs, "first")
-    before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    start = stored(size.select(                                     # shards x blocks rows
-        F.col("s"), F.col("b").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first)), "blocks")
-    start = start.select(F.col("s").alias(f"{first}_s"), F.col("b").alias(f"{first}_b"), first)
-    labelled = _label(docs, matrix, blocks, seed, s, b, o)
+    label = _labels(files, matrix, seed)
+    s, b, o, first = (fresh(docs, x) for x in ("shard", "block", "order", "first"))
+
+    def labelled(columns: list[Column]) -> DataFrame:
+        """``columns`` of the rows with shard, random block and second-permutation key."""
+        row = fresh(docs, "row")
+        rows = held.select(*columns, label(path, at).alias(s), at.alias(row))
+        p = F.floor(F.col(s) / shards)
+        return rows.select(
+            *columns, (F.col(s) % shards).cast("int").alias(s),
+            F.pmod(F.xxhash64(F.lit(seed), p, row), F.lit(blocks)).cast("int").alias(b),
+            F.xxhash64(F.lit(seed + 1), p, row).alias(o))
+
+    before = Window.partitionBy(s).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    start = stored(labelled([]).groupBy(s, b).agg(F.count(F.lit(1)).alias("n")).select(     # shards x blocks rows
+        F.col(s).alias(f"{first}_s"), F.col(b).alias(f"{first}_b"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first)), "blocks")
     rank = F.row_number().over(Window.partitionBy(s, b).orderBy(o)) - 1
-    return (labelled.withColumn(o, rank)
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return (labelled(kept).withColumn(o, rank)
             .join(F.broadcast(start), (F.col(s) == F.col(f"{first}_s")) & (F.col(b) == F.col(f"{first}_b")))
-            .withColumn(names[1], (F.col(first) + F.col(o)).cast("long"))
-            .drop(b, o, first, f"{first}_s", f"{first}_b"))
+            .select(*kept, F.col(s).alias(names[0]), (F.col(first) + F.col(o)).cast("long").alias(names[1])))

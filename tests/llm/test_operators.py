@@ -298,6 +298,19 @@ def test_shards_are_exact_and_slots_gapless(clashing, none):
     assert sharding.shard(clashing.limit(3), shards=16).count() == 3
 
 
+def test_shards_do_not_depend_on_tasks_or_batches(spark, docs):
+    rows = docs.repartition(3, "text")
+    want = sorted(map(str, sharding.shard(rows, shards=4).collect()))
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2"),
+                       ("spark.sql.files.maxPartitionBytes", "2000")):
+        old = spark.conf.get(key)
+        spark.conf.set(key, value)
+        try:
+            assert sorted(map(str, sharding.shard(rows, shards=4).collect())) == want
+        finally:
+            spark.conf.set(key, old)
+
+
 def test_sharding_query_columns(spark):
     rows = QUERIES["op4_sharding"](spark, SF_SMALL).collect()
     text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
