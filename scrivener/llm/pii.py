@@ -68,6 +68,7 @@ FIT_STEPS = 25
 PRIOR = 0.05             # pseudo candidates of each estimate, as a share of all
 THRESHOLD = 0.5
 NEAR = 24                # characters of context looked at
+STEP = 512               # matches of a text placed at a time
 
 
 def _digits(m: Column) -> Column:
@@ -98,18 +99,26 @@ def _located(text: Column, pattern: str, keep) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern), lambda x: F.length(x))
 
+    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+
     def place(mg: Column) -> Column:
         m, g = mg["m"], mg["g"]
-        none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-        walked = F.aggregate(
-            F.sequence(F.lit(0), F.size(m) - 1),
-            F.struct(F.lit(0).alias("at"), none.alias("out")),
-            lambda a, i: let(a["at"] + F.get(g, i), lambda s: F.struct(
-                (s + F.length(F.get(m, i))).alias("at"),
-                F.concat(a["out"], F.array(F.struct(
-                    s.alias("s"), (s + F.length(F.get(m, i))).alias("e"), F.get(m, i).alias("m")))).alias("out"))),
-            lambda a: a["out"])
-        return F.when(F.size(m) == 0, none).otherwise(F.filter(walked, lambda x: keep(x["m"])))
+
+        def step(a: Column, i: Column) -> Column:
+            one, start = F.get(m, i), a["at"] + F.get(g, i)
+            span = F.struct(start.alias("s"), (start + F.length(one)).alias("e"), one.alias("m"))
+            return F.struct((start + F.length(one)).alias("at"),
+                            F.when(keep(one), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+
+        def block(a: Column, first: Column) -> Column:
+            last = F.least(first + STEP, F.size(m)) - 1
+            own = F.aggregate(F.sequence(first, last), F.struct(a["at"].alias("at"), none.alias("out")), step)
+            return let(own, lambda x: F.struct(x["at"].alias("at"), F.concat(a["out"], x["out"]).alias("out")))
+
+        # an array grows by copying it: in blocks, a text of many matches does so seldom
+        walked = F.aggregate(F.sequence(F.lit(0), F.size(m) - 1, F.lit(STEP)),
+                             F.struct(F.lit(0).alias("at"), none.alias("out")), block, lambda a: a["out"])
+        return F.when(F.size(m) == 0, none).otherwise(walked)
 
     return let(F.struct(matches.alias("m"), gaps.alias("g")), place)
 
