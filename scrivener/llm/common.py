@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scrivener.session import checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"     # a word: a run of anything but ASCII white space
+WORD_CHARS = 64                 # longest word that is handed to all tasks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,3 +61,25 @@ def hash_sample(ids: DataFrame, key: str, size: int, salt: str) -> DataFrame:
         return ids
     steps = 1 << 40
     return ids.where(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(steps)) < int(size / n * steps))
+
+
+def commonest(counts: DataFrame, limit: int) -> dict[str, int]:
+    """The commonest words of ``counts`` (word, n), ``limit`` at most, commonest
+    first; words over ``WORD_CHARS`` characters are passed over, so that the
+    result is bounded in bytes too. A histogram of the counts (on a log scale,
+    some thousand rows) says where to cut, so only the words above the cut leave
+    the executors."""
+    counts = counts.where(F.length("word") <= WORD_CHARS)
+    step = F.floor(F.log2("n") * 64).cast("long")
+    tall = sorted(((r["s"], r["k"]) for r in counts.groupBy(step.alias("s")).agg(
+        F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    cut, held = None, 0
+    for s, k in tall:
+        held += k
+        if held > limit:
+            break
+        cut = s
+    if cut is None:
+        return {}
+    rows = counts.where(step >= cut).collect()
+    return {r["word"]: r["n"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))}

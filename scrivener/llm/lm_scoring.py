@@ -12,8 +12,9 @@ the id, so training grows with the corpus), and the copies are averaged by
 their number of tokens.
 
 Words and documents meet without a corpus-sized broadcast: the ``COMMON``
-commonest words (a fixed number) are looked up in the task, so no hot word is
-ever shuffled per document; the rest is an equi-join of (word, document, times).
+commonest words (a fixed number, of bounded length) are looked up in the task, so
+no hot word is ever shuffled per document; the rest is an equi-join of (word,
+document, times).
 
 Edge cases: a null or empty text is its end mark alone. Repeated documents are
 counted and scored each; a null doc_id is an id of its own (the empty text for
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivener.llm import gru
-from scrivener.llm.common import stored
+from scrivener.llm.common import commonest, stored
 
 END = ""                 # no word is empty
 COMMON = 65_536          # words looked up without a shuffle, at most
@@ -75,25 +76,6 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def commonest(counts: DataFrame, limit: int = COMMON) -> dict[str, int]:
-    """The commonest words, ``limit`` at most, commonest first. A histogram of
-    the counts (on a log scale, some thousand rows) says where to cut, so only
-    the words above the cut leave the executors."""
-    step = F.floor(F.log2("n") * 64).cast("long")
-    tall = sorted(((r["s"], r["k"]) for r in counts.groupBy(step.alias("s")).agg(
-        F.count(F.lit(1)).alias("k")).collect()), reverse=True)
-    cut, held = None, 0
-    for s, k in tall:
-        held += k
-        if held > limit:
-            break
-        cut = s
-    if cut is None:
-        return {}
-    rows = counts.where(step >= cut).collect()
-    return {r["word"]: r["n"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))}
-
-
 def train_model(train: DataFrame, doc_id: str, ids: dict[str, int], params: dict) -> dict:
     """Rounds of local training and averaging. ``train`` is (doc_id, text)."""
     off, start = len(ids), ids.get(END, len(ids))
@@ -140,7 +122,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     counts = stored(word_counts(train.select("text")), "word-counts")
     row = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, kinds = row["n"] or 0, row["v"]
-    common = commonest(counts)
+    common = commonest(counts, COMMON)
     ids = {w: i for i, w in enumerate(list(common)[:LISTED])}
     off = len(ids)
     listed = np.array([common[w] for w in ids], dtype=np.float64)
