@@ -236,8 +236,10 @@ def _chunks(radius: int, size_: int):
             cut = int(np.searchsorted(all_["bucket"].to_numpy(), last))      # where its last bucket begins
             if cut == 0 or len(all_) - cut >= 4 * size_:     # one bucket fills the buffer
                 whole = cut + (len(all_) - cut) // size_ * size_
-                state["last"] = last
                 yield from solve(all_.iloc[:whole], False)
+                # only now: these rows may begin with the rest of the bucket split
+                # before, and those of this one are over a chunk, so open as they are
+                state["last"] = last
                 held = [all_.iloc[whole:]]
             else:
                 yield from solve(all_.iloc[:cut], False)

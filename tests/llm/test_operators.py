@@ -156,6 +156,37 @@ def test_links_join_everything_near(spark, chunk):
     assert sorted(map(sorted, pairs.values())) == sorted(map(sorted, brute.values()))
 
 
+def test_links_between_the_chunks_of_neighbouring_large_buckets(monkeypatch):
+    """Several buckets in a row that each outgrow the buffer, and pairs that share no other bucket."""
+    import pandas as pd
+    import pyspark
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: collections.namedtuple("T", "partitionId")(lambda: 0))
+    rng, pairs, rows = random.Random(26), [], []
+    for v in range(10):
+        for _ in range(rng.randint(64, 140) // 2):
+            a = (v + 5) << 51 | rng.getrandbits(51)
+            far = 1 << 50 | 1 << rng.randrange(25, 38) | 1 << rng.randrange(12, 25) | 1 << rng.randrange(12)
+            pairs.append((a, a ^ far))
+            rows += [(v + 5, a), (v + 5, a ^ far)]
+    rows = pd.DataFrame(rows, columns=["bucket", "fp"])
+    rows["gray"] = simhash.gray_rank(rows["fp"].to_numpy().view(np.uint64))
+    rows = rows.sort_values(["bucket", "gray"], ignore_index=True)
+    done = pd.concat(simhash._chunks(4, 8)(rows[i:i + 16] for i in range(0, len(rows), 16)))
+    edges = [done[done.kind == 0][["bucket", "chunk"]].to_numpy()]
+    members = done[done.kind == 2]
+    for _, heads in done[done.kind == 1].groupby("bucket"):
+        for x, y in simhash._chunk_pairs(4)(heads).itertuples(index=False):
+            side = members[members.chunk.isin([x, y])]
+            side = side.assign(side=(side.chunk == y).astype(int))
+            edges.append(simhash._pair_links(4)(side).to_numpy())
+    edges = np.concatenate(edges).tolist()
+    assert all((a ^ b).bit_count() <= 4 for a, b in edges)
+    at = {f: i for i, f in enumerate(rows["fp"])}
+    a, b = (np.array([at[e[i]] for e in edges]) for i in (0, 1))
+    root = simhash.forest(len(rows), [(a, b)])
+    assert all(root[at[x]] == root[at[y]] for x, y in pairs)
+
+
 def test_gray_rank_is_a_walk_of_single_bits():
     codes = np.array([i ^ (i >> 1) for i in range(256)], dtype=np.uint64)
     assert simhash.gray_rank(codes).tolist() == list(range(256))
