@@ -32,11 +32,11 @@ MIN_WORDS = 10           # base rule: fewer fails
 MAX_REPEAT_PCT = 20      # base rule: more words in repeated windows fails
 EM_STEPS = 20
 # Prior of the EM: votes (bad, abstain, good) of a rule on good and on bad
-# documents, and its weight as a share of all rows. It says that rules are
-# better than chance: without it, EM may take the largest cluster of similar
-# junk for "bad" and count the other kinds of junk as good.
-PRIOR_GOOD = (0.002, 0.148, 0.85, 3.0)
-PRIOR_BAD = (0.15, 0.15, 0.70, 0.3)
+# documents, counted as PRIOR_DOCS documents of either class: it carries small
+# tables and keeps rates above zero; in a larger one the votes set the rates.
+PRIOR_GOOD = (0.002, 0.148, 0.85)
+PRIOR_BAD = (0.15, 0.15, 0.70)
+PRIOR_DOCS = 100.0
 PRIOR_CLASS = 0.005      # pseudo rows of either class, as a share of all rows
 THRESHOLD = 0.5          # posterior of "good" from which a document is kept
 
@@ -141,13 +141,17 @@ def fit(patterns: DataFrame, rules: list[str], weight: str = "n",
 
     Returns the prior of "good" and, for rule and vote, the probabilities
     under good and bad; None for an empty table. It starts from "a document
-    with any bad vote is bad"."""
+    with any bad vote is bad"; the class that holds more of that start's good
+    is called good."""
     some_bad = F.greatest(*[F.when(F.col(r) == -1, 1).otherwise(0) for r in rules]) == 1
-    post = F.when(some_bad, F.lit(0.1)).otherwise(F.lit(0.95))
-    model = None
+    start = F.when(some_bad, F.lit(0.1)).otherwise(F.lit(0.95))
+    post = start
+    model, turned = None, False
     for _ in range(steps):
-        p = patterns.select(*rules, F.col(weight).cast("double").alias("_n"), post.alias("_p"))
-        sums = [F.sum("_n").alias("all"), F.sum(F.col("_n") * F.col("_p")).alias("good")]
+        p = patterns.select(*rules, F.col(weight).cast("double").alias("_n"), post.alias("_p"), start.alias("_s"))
+        sums = [F.sum("_n").alias("all"), F.sum(F.col("_n") * F.col("_p")).alias("good"),
+                F.sum(F.col("_n") * F.col("_s")).alias("start"),
+                F.sum(F.col("_n") * F.col("_p") * F.col("_s")).alias("agree")]
         for r in rules:
             for v in (-1, 0, 1):
                 hit = F.when(F.col(r) == v, F.col("_n")).otherwise(0.0)
@@ -156,19 +160,23 @@ def fit(patterns: DataFrame, rules: list[str], weight: str = "n",
         if not row["all"]:
             return None
         n, good = row["all"], row["good"]
-        s, sg, sb = PRIOR_CLASS * n, PRIOR_GOOD[3] * n, PRIOR_BAD[3] * n
+        s = PRIOR_CLASS * n
+        # "good" has less of the start's good than all rows have (not by rounding alone)
+        turned = row["agree"] * n < (1 - 1e-6) * good * row["start"]
         new = {"prior": (good + s) / (n + 2 * s), "rules": {}}
         for r in rules:
             for v in (-1, 0, 1):
                 g, every = row[f"{r}{v}g"], row[f"{r}{v}"]
-                new["rules"][r, v] = ((g + sg * PRIOR_GOOD[v + 1]) / (good + sg),
-                                      (every - g + sb * PRIOR_BAD[v + 1]) / (n - good + sb))
+                new["rules"][r, v] = ((g + PRIOR_DOCS * PRIOR_GOOD[v + 1]) / (good + PRIOR_DOCS),
+                                      (every - g + PRIOR_DOCS * PRIOR_BAD[v + 1]) / (n - good + PRIOR_DOCS))
         moved = 1.0 if model is None else max(
             abs(a - b) for k in new["rules"] for a, b in zip(new["rules"][k], model["rules"][k]))
         model = new
         post = posterior(model, {r: F.col(r) for r in rules})
         if moved < 1e-4:
             break
+    if turned:
+        model = {"prior": 1 - model["prior"], "rules": {k: (b, g) for k, (g, b) in model["rules"].items()}}
     return model
 
 

@@ -92,6 +92,23 @@ def test_rules_on_labelled_documents(spark):
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.2
 
 
+def test_rates_come_from_the_votes(spark):
+    """Rules that vote bad as often on good as on bad documents say nothing about either."""
+    rng = np.random.default_rng(3)
+    bad = rng.random(100_000) < 0.1
+    rules = {f"r{i}": np.where(rng.random(len(bad)) < np.where(bad, 0.6, 0.01), -1, 1) for i in range(4)}
+    rules |= {f"noise{i}": np.where(rng.random(len(bad)) < 0.02, -1, 1) for i in range(2)}
+    seen = collections.Counter(zip(*(v.tolist() for v in rules.values())))
+    patterns = spark.createDataFrame([(*k, n) for k, n in seen.items()], [*rules, "n"])
+    model = quality_rules.fit(patterns, list(rules))
+    for r in ("noise0", "noise1"):
+        g, b = model["rules"][r, -1]
+        assert 0.5 < b / g < 2
+    for i in range(4):
+        g, b = model["rules"][f"r{i}", -1]
+        assert g == pytest.approx(0.01, abs=0.01) and b == pytest.approx(0.6, abs=0.05)
+
+
 def test_rules_keep_columns_and_empty(clashing, none):
     assert quality_rules.keep_good(clashing).columns == clashing.columns
     assert quality_rules.keep_good(none).count() == 0 and quality_rules.report(none).count() == 0
