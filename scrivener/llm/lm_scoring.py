@@ -6,10 +6,10 @@ have ids in the recurrent model (gru.py); for any other word the model gives
 the probability of "off the list", times the word's add-one share among those
 words. State is carried over the whole text, however long.
 
-Training is distributed: in each of ``ROUNDS`` rounds every partition trains a
-copy of the model on its documents of that round (``SHARE`` of all, by a hash of
-the id, so training grows with the corpus), and the copies are averaged by
-their number of tokens.
+Training is distributed: the training documents are dealt over ``ROUNDS`` rounds
+by a hash of the id and the text, each to one round. In a round every partition
+trains a copy of the model on its documents of that round, and the copies are
+averaged by their number of tokens.
 
 Words and documents meet without a corpus-sized broadcast: the ``COMMON``
 commonest words (a fixed number, of bounded length) are looked up in the task, so
@@ -40,7 +40,6 @@ END = ""                 # no word is empty
 COMMON = 65_536          # words looked up without a shuffle, at most
 LISTED = 1_023           # words with an id in the model
 ROUNDS = 3
-SHARE = 24               # one document in so many trains in a round
 FOLDS, HELD_OUT = 7, 2
 _FLUSH = 1_000_000       # different words held by a counting task
 
@@ -77,10 +76,10 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def train_model(train: DataFrame, doc_id: str, ids: dict[str, int], params: dict) -> dict:
-    """Rounds of local training and averaging. ``train`` is (doc_id, text)."""
+    """Rounds of local training and averaging over all of ``train`` (doc_id, text)."""
     off, start = len(ids), ids.get(END, len(ids))
     for r in range(ROUNDS):
-        part = train.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit("round")), F.lit(SHARE)) == r).select("text")
+        part = train.where(F.pmod(F.xxhash64(F.col(doc_id), "text", F.lit("round")), F.lit(ROUNDS)) == r).select("text")
         flat = gru.flatten(params)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

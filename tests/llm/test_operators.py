@@ -447,6 +447,42 @@ def test_language_model_base_and_sum(docs, none):
     assert lm_scoring.score(none).count() == 0
 
 
+def test_every_training_document_trains_once(spark, tmp_dir, monkeypatch):
+    """The texts of all rounds together are the training texts, each in one round."""
+    import os
+    from scrivener.llm import gru
+
+    def train(p, texts, start):
+        with open(os.path.join(tmp_dir, os.urandom(8).hex()), "w") as f:
+            f.writelines(f"{t[0]}\n" for t in texts)
+        return sum(map(len, texts))
+
+    words = [f"w{i}" for i in range(200)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
+    ids = {w: i for i, w in enumerate([*words, ""])}
+    monkeypatch.setattr(lm_scoring, "gru", type("G", (), {
+        "flatten": staticmethod(gru.flatten), "unflatten": staticmethod(gru.unflatten), "train": staticmethod(train)}))
+    seen = []
+    lm_scoring.train_model(df, "doc_id", ids, gru.initial(np.ones(len(ids) + 1)))
+    for name in os.listdir(tmp_dir):
+        with open(os.path.join(tmp_dir, name)) as f:
+            seen += map(int, f)
+    assert sorted(seen) == list(range(200))
+
+
+def test_training_beats_the_base_on_held_out_documents(spark):
+    rng = random.Random(5)
+    cycle = ["red", "green", "blue", "black", "white", "grey"]
+    rows = []
+    for i in range(2100):
+        at = rng.randrange(6)
+        rows.append((i, " ".join(cycle[(at + k) % 6] for k in range(60))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = [r for r in lm_scoring.score(df).collect() if r.held_out]
+    assert len(got) > 200
+    assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
+
+
 def test_gru_gradient_matches_differences():
     from scrivener.llm import gru
     rng = np.random.default_rng(0)
