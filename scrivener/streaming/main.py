@@ -64,7 +64,7 @@ def decode_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, malformed records) of a batch of the processed topics. The time
     of an event is its upload time, for checks its processing time."""
     good, bad = E.decode(df, schemas.PROCESSED_EVENT)
-    return good.drop("_raw").withColumn("ts", F.coalesce("uploaded_at", "processed_at")), bad
+    return good.withColumn("ts", F.coalesce("uploaded_at", "processed_at")), bad
 
 
 def _quarantine(bad: DataFrame, path: str, batch_id: int) -> None:
@@ -79,7 +79,8 @@ def windows_stage(spark: SparkSession, bootstrap=None, folder=None, trigger=None
     count and no watermark cuts. The windows are in ``out`` (read them with
     ``recompute.read_recomputed``; by default beside the checkpoint) and, without
     ``out``, on the window topic too, where a later record of a window replaces
-    an earlier one. Malformed records are kept in ``<checkpoint>-malformed``."""
+    an earlier one. Malformed records and events without a time are kept in
+    ``<checkpoint>-malformed``."""
     J.use_rocksdb(spark)
     ck = _ck(spark, "windows", ck_root)
     window = F.window("ts", W.DEFAULT_WINDOW).getField("start")
@@ -95,13 +96,14 @@ def windows_stage(spark: SparkSession, bootstrap=None, folder=None, trigger=None
     sink = RC.recompute_sink(
         f"{ck}-events", out or f"{ck}-windows", window, F.to_date(window),
         lambda ev: W.window_analytics(ev).withColumn(RC.SCOPE, F.col("window_start")),
-        dedupe=RC.first_of(["topic", "id", "submission_id"], ["ts", "processed_at"]),
+        dedupe=RC.first_of(["id", "submission_id"], ["ts", "processed_at"], within=[RC.SCOPE, "topic"]),
         then=None if out else publish)
 
     def each(df: DataFrame, batch_id: int) -> None:
         good, bad = decode_events(df)
-        _quarantine(bad, f"{ck}-malformed", batch_id)
-        sink(good.where(F.col("ts").isNotNull()), batch_id)
+        timeless = good.where(F.col("ts").isNull()).withColumn("error", F.lit("no time")).select(bad.columns)
+        _quarantine(bad.unionByName(timeless), f"{ck}-malformed", batch_id)
+        sink(good.where(F.col("ts").isNotNull()).drop("_raw"), batch_id)
 
     return (TP.read_topics(spark, [UPLOADS, CHECKS], bootstrap=bootstrap, folder=folder).writeStream
             .queryName("windows").option("checkpointLocation", ck).trigger(**(trigger or J.TRIGGER))

@@ -33,9 +33,9 @@ def recompute_sink(store: str, out: str, scope: Column, part: Column,
     def sink(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         mine = os.path.join(store, f"batch_id={batch_id}")
-        (df.withColumn(SCOPE, scope).withColumn(PART, part.cast("string"))
-         .write.mode("overwrite").partitionBy(PART).parquet(mine))
-        new = spark.read.parquet(mine)
+        rows = df.withColumn(SCOPE, scope).withColumn(PART, part.cast("string"))
+        rows.write.mode("overwrite").partitionBy(PART).parquet(mine)
+        new = spark.read.schema(rows.schema).parquet(mine)       # a batch without rows leaves no file
         if new.isEmpty():
             return
         parts = [r[0] for r in new.select(F.col(PART).cast("string")).distinct().collect()]   # days or buckets
@@ -59,11 +59,11 @@ def read_recomputed(spark: SparkSession, out: str) -> DataFrame:
             .drop(SCOPE, "batch_id"))
 
 
-def first_of(keys: list[str], order: list[str]) -> Callable[[DataFrame], DataFrame]:
-    """A ``dedupe`` that keeps the first event per ``keys`` in ``order``;
-    events without any key are all kept."""
+def first_of(keys: list[str], order: list[str], within: list[str] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A ``dedupe`` that keeps the first event per ``keys`` in ``order``, in
+    each group of equal ``within`` on its own; events without any key are all kept."""
     def run(events: DataFrame) -> DataFrame:
         known = F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull()
-        first = first_per_key(events.where(known), keys, order)
+        first = first_per_key(events.where(known), [*(within or []), *keys], order)
         return first.select(events.columns).unionByName(events.where(~known))
     return run

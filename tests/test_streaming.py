@@ -319,3 +319,29 @@ def test_checks_wait_for_their_submission(spark, tmp_dir):
     send("b.txt", "s1")
     assert run() == 3
     assert spark.read.parquet(out).select("id").distinct().count() == 2      # the repeated check has the same id
+
+
+def test_a_check_counts_in_each_window_however_batched(spark, tmp_dir):
+    from scrivener.streaming import main as SM
+
+    def check(sub, at):
+        return json.dumps({"event_type": "plagiarism_checked", "submission_id": sub, "internal_score": 0.1,
+                           **({"processed_at": at} if at else {})})
+
+    first = [check("s1", "2024-01-01T00:01:00.000000Z"), check("s1", "2024-01-01T00:02:00.000000Z"),
+             check(None, "2024-01-01T00:01:30.000000Z"), check(None, "2024-01-01T00:01:40.000000Z"), check("s9", None)]
+    later = [check("s1", "2024-01-01T00:11:00.000000Z")]
+    results = []
+    for name, batches in (("one", [first + later]), ("two", [first, later])):
+        root = os.path.join(tmp_dir, name)
+        folder, out, ck = (os.path.join(root, x) for x in ("topics", "windows", "ck"))
+        os.makedirs(os.path.join(folder, SM.UPLOADS))
+        for lines in batches:
+            spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(
+                os.path.join(folder, SM.CHECKS))
+            SM.windows_stage(spark, folder=folder, trigger=AVAILABLE_NOW, out=out, ck_root=ck).awaitTermination(300)
+        results.append(sorted((str(r.window_start), r.total_checks) for r in RC.read_recomputed(spark, out).collect()))
+        kept = spark.read.parquet(os.path.join(ck, "windows-malformed")).collect()
+        assert [(json.loads(r["_raw"])["submission_id"], r["error"]) for r in kept] == [("s9", "no time")]
+    assert results[0] == results[1]
+    assert [n for _, n in results[0]] == [3, 1]
