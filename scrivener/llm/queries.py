@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm import (decontaminate, kneser_ney, lm_scoring, mixing, pii, preferences, quality_rules,
-                           sharding, simhash, toxicity)
+from scrivener.llm import (decontaminate, fingerprints, kneser_ney, lm_scoring, mixing, pii, preferences, prefix_trie,
+                           quality_rules, sharding, simhash, toxicity, whitening)
 from scrivener.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,61 @@ FROM w GROUP BY conv_id
 def op8(spark, sf_dir):
     """Every conversation as a preference pair against an echoed last reply."""
     return preferences.format_pairs(*preferences.echo_pairs(table(spark, sf_dir, "conversations")))
+
+
+@query("op11_fingerprints")
+def op11(spark, sf_dir):
+    """Fingerprints of every document and of its text edited towards its successor."""
+    return fingerprints.edited(documents(spark, sf_dir))
+
+
+_TRIE_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                                     length(coalesce(text, '')), text) AS no
+           FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS base,
+               xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+                   list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                   lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                                            lambda s, z: xor(s >> 1, 3988292384 * (s & 1))))) % 6 AS h
+        FROM t GROUP BY conv_id),
+k AS (SELECT c.conv_id, c.n, c.base, c.h, least(c.h, coalesce(o.n, 0)) AS k
+      FROM crc c LEFT JOIN crc o ON o.conv_id = c.base),
+r AS (SELECT k.conv_id, t.no AS depth, role, text FROM k JOIN t ON t.conv_id = k.base AND t.no <= k.k
+      UNION ALL
+      SELECT k.conv_id, k.k + t.no - k.h, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND t.no > k.h),
+p AS (SELECT conv_id, depth, length(text) AS chars,
+             string_agg(length(role) || ':' || role || ':' || length(text) || ':' || text, '')
+                 OVER (PARTITION BY conv_id ORDER BY depth) AS key
+      FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+q AS (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS above,
+             depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+g AS (SELECT depth, key, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+      FROM q GROUP BY depth, key),
+c AS (SELECT depth - 1 AS depth, above AS key, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY ALL),
+n AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN c USING (depth, key)),
+s AS (SELECT p.depth, p.key, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+             sum((n_convs - 1) * n.chars)::BIGINT AS saved_tokens
+      FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.depth, p.key)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s USING (depth, key) LEFT JOIN g u ON u.depth = n.depth - 1 AND u.key = n.above
+"""
+
+
+@query("op12_prefix_trie", _TRIE_SQL)
+def op12(spark, sf_dir):
+    """Every prefix shared or owned by the conversations rebuilt on a common start."""
+    t = prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+    return prefix_trie.ends_digest(t).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves",
+                                             "saved_tokens", "ends_sha256")
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    """Leading whitened components of every embedding. A deviation that does not
+    fit a long is null."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn(
+        "deviation", F.col("deviation").try_cast("long"))
