@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from scrivener.llm.common import fresh, slots
 
 SAMPLES = 128
-ROOM = 1 << 15            # (term, weight) pairs whose draws a task remembers
+ROOM = 1 << 17            # (term, weight) pairs whose draws a task remembers (128 MB)
 LONG = 64                 # bytes above which a remembered term is replaced by its digest
 FIRST = -(1 << 63)        # stands for a null id
 
@@ -71,11 +71,15 @@ def draws(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> np.
         two = mixed(one + _U(0x9E3779B97F4A7C15))
         r = -np.log(uniform(one, 0) * uniform(one, 1))
         log_c = np.log(-np.log(uniform(two, 0) * uniform(two, 1)))
-        b = uniform(one, 2)
-        t = np.floor(np.log(weights)[:, None] / r + b)
-        value = log_c - r * (t - b) - r
+        value = log_c + r * (uniform(one, 2) - 1.0)              # t = 0, as for all terms that occur once
+        tag = two.copy()
+        often = np.flatnonzero(weights > 1)
+        if len(often):
+            t = np.floor(np.log(weights[often])[:, None] / r[often] + uniform(one[often], 2))
+            value[often] -= r[often] * t
+            tag[often] ^= t.astype(np.int64).view(np.uint64) * _U(0xD6E8FEB86659FD93)
         place = ((value + 128.0) * (1 << 23)).astype(np.int64)
-        tag = mixed(two ^ (t.astype(np.int64).view(np.uint64) * _U(0xD6E8FEB86659FD93))) >> _U(32)
+        tag = mixed(tag) >> _U(32)
     return (place << 32) | tag.view(np.int64)
 
 
