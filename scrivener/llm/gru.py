@@ -8,14 +8,18 @@ carries the state over the windows of a whole text.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
-EMBED, HIDDEN = 16, 24
+EMBED, HIDDEN = 8, 16
 WINDOW = 16              # steps of a training window
-SCORE_WINDOW = 32
-STREAMS = 64             # texts trained on side by side
-SCORE_STREAMS = 256
-RATE = 0.01
+SCORE_WINDOW = 16
+STREAMS = 512            # lanes trained on side by side
+SCORE_STREAMS = 512
+RATE = 0.02
+CHUNK = 1024             # tokens whose class scores are held at a time
+TAME = 60.0              # scores below it need no shift before exp
 
 
 def classes(n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,15 +48,25 @@ def initial(counts: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
         return (rng.standard_normal(shape) * 0.1).astype(np.float32)
 
     return {"embed": small(n, EMBED), "in": small(EMBED, 3 * HIDDEN), "in_bias": np.zeros(3 * HIDDEN, np.float32),
-            "rec": small(HIDDEN, 3 * HIDDEN), "class": small(HIDDEN, len(mass)) * 0,
-            "class_bias": np.log(mass).astype(np.float32),
-            "word": np.zeros((len(mass), HIDDEN, width), np.float32), "word_bias": bias.astype(np.float32)}
+            "rec": small(HIDDEN, 3 * HIDDEN),
+            # the last row of either is the bias
+            "class": np.vstack([np.zeros((HIDDEN, len(mass))), np.log(mass)]).astype(np.float32),
+            "word": np.concatenate([np.zeros((len(mass), HIDDEN, width)), bias[:, None, :]], 1).astype(np.float32)}
 
 
 def flatten(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
 
+def views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The parameters as parts of ``flat``, not copied."""
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = flat[at:at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
 def unflatten(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k in sorted(like):
@@ -62,153 +76,229 @@ def unflatten(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.nda
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
+# States, gates and scores are laid out with the lanes (or tokens) last: sums over
+# a state or a class then run along whole rows of lanes.
 
 def _step(gates: np.ndarray, rec: np.ndarray, h: np.ndarray) -> tuple:
-    """One GRU step: (new state, update gate, reset gate, candidate, recurrent part)."""
-    u = h @ rec
-    zr = _sigmoid(gates[:, :2 * HIDDEN] + u[:, :2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = np.tanh(gates[:, 2 * HIDDEN:] + r * u[:, 2 * HIDDEN:])
-    return n + z * (h - n), z, r, n, u[:, 2 * HIDDEN:]
+    """One GRU step: (new state, update gate, reset gate, candidate, recurrent
+    part); ``rec`` is transposed."""
+    u = rec @ h
+    zr = gates[:2 * HIDDEN] + u[:2 * HIDDEN]
+    np.negative(zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    z, r, u = zr[:HIDDEN], zr[HIDDEN:], u[2 * HIDDEN:]
+    n = r * u
+    n += gates[2 * HIDDEN:]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, n, u
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, own: np.ndarray, want: bool, tame: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probability of row ``own`` of each column, and (if wanted, in the
+    place of ``x``) the gradient of its negative with respect to ``x``. ``tame``
+    scores cannot overflow ``exp`` as they are."""
+    columns = np.arange(x.shape[1])
+    if not tame:
+        x -= x.max(axis=0)
+    mine = x[own, columns]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    if want:
+        x *= 1 / total
+        x[own, columns] -= 1
+    return mine - np.log(total), x if want else None
 
 
 def _output(p: dict, h: np.ndarray, target: np.ndarray, cls: np.ndarray, place: np.ndarray, grad: dict | None
             ) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log-probability of each target given its state; adds to ``grad`` and
-    returns the gradient of the states if ``grad`` is given."""
-    rows = np.arange(len(h))
-    k = cls[target]
-    lc = _log_softmax(h @ p["class"] + p["class_bias"])
-    logp = lc[rows, k]
-    dh = None
-    if grad is not None:
-        d = np.exp(lc)
-        d[rows, k] -= 1
-        grad["class"] += h.T @ d
-        grad["class_bias"] += d.sum(0)
-        dh = d @ p["class"].T
-    order = np.argsort(k, kind="stable")
-    edges = np.searchsorted(k[order], np.arange(len(p["class_bias"]) + 1))
-    size = np.bincount(cls, minlength=len(p["class_bias"]))
-    for c in np.flatnonzero(np.diff(edges)):
-        if size[c] == 1:
-            continue
-        at = order[edges[c]:edges[c + 1]]
-        lw = _log_softmax(h[at] @ p["word"][c] + p["word_bias"][c])
-        own = place[target[at]]
-        logp[at] += lw[np.arange(len(at)), own]
-        if grad is not None:
-            d = np.exp(lw)
-            d[np.arange(len(at)), own] -= 1
-            grad["word"][c] += h[at].T @ d
-            grad["word_bias"][c] += d.sum(0)
-            dh[at] += d @ p["word"][c].T
-    return logp, dh
-
-
-def streams(texts: list[np.ndarray], width: int):
-    """Texts longest first, ``width`` at a time."""
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    for i in range(0, len(order), width):
-        yield order[i:i + width]
+    """Log-probability of each target given its state (a column of ``h``); adds
+    to ``grad`` and returns the gradient of the states if ``grad`` is given."""
+    learn = grad is not None
+    # tokens of a class side by side, so that each class is one product of slices
+    order = np.argsort(cls[target].astype(np.int16), kind="stable")
+    one = np.ones((HIDDEN + 1, len(target)), h.dtype)
+    one[:-1] = h.take(order, axis=1)
+    h, target = one, target[order]
+    k, own = cls[target], place[target]
+    # a state is within -1 and 1, so a score is at most the sum of its weights
+    tame = max(np.abs(p["class"]).sum(0).max(), np.abs(p["word"]).sum(1).max()) < TAME
+    logp = np.empty(len(target), np.float64)
+    dh = np.empty((HIDDEN, len(target)), h.dtype) if learn else None
+    for i in range(0, len(target), CHUNK):
+        at = slice(i, i + CHUNK)
+        logp[at], d = _softmax(p["class"].T @ h[:, at], k[at], learn, tame)
+        if learn:
+            grad["class"] += h[:, at] @ d.T
+            dh[:, at] = p["class"][:-1] @ d
+    n_classes = p["class"].shape[1]
+    edges = np.searchsorted(k, np.arange(n_classes + 1))
+    size = np.bincount(cls, minlength=n_classes)
+    for c in np.flatnonzero((np.diff(edges) > 0) & (size > 1)):
+        for i in range(edges[c], edges[c + 1], CHUNK):
+            at = slice(i, min(i + CHUNK, edges[c + 1]))
+            lw, d = _softmax(p["word"][c].T @ h[:, at], own[at], learn, tame)
+            logp[at] += lw
+            if learn:
+                grad["word"][c] += h[:, at] @ d.T
+                dh[:, at] += p["word"][c][:-1] @ d
+    out = np.empty_like(logp)
+    out[order] = logp
+    if learn:
+        back = np.empty_like(dh)
+        back[:, order] = dh
+        dh = back
+    return out, dh
+
+
+class Lanes:
+    """Texts laid end to end in ``width`` lanes that are read side by side.
+
+    ``whole``: every text stays in one lane (the longest first, each to the
+    shortest lane), so its state is carried to its end. Otherwise the lanes are
+    equally long pieces of all texts in a row. A mark at the first token of a
+    text resets the state there, so no lane waits for another's long text."""
+
+    def __init__(self, texts: list[np.ndarray], width: int, start: int, whole: bool):
+        if whole:
+            lanes: list[list[int]] = [[] for _ in range(min(width, len(texts)))]
+            heap = [(0, k) for k in range(len(lanes))]
+            for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+                held, k = heapq.heappop(heap)
+                lanes[k].append(i)
+                heapq.heappush(heap, (held + len(texts[i]), k))
+            lanes.sort(key=lambda lane: -sum(len(texts[i]) for i in lane))
+            order = [i for lane in lanes for i in lane]
+            self.length = np.array([sum(len(texts[i]) for i in lane) for lane in lanes])
+        else:
+            order = list(range(len(texts)))
+            total = sum(map(len, texts))
+            each = -(-total // max(1, min(width, total // WINDOW)))
+            self.length = np.array([min(each, total - at) for at in range(0, total, each)])
+        self.offset = np.cumsum(self.length) - self.length
+        size = np.array([len(texts[i]) for i in order])
+        self.ids = np.concatenate([texts[i] for i in order])
+        self.owner = np.repeat(np.array(order), size)
+        first = (np.cumsum(size) - size)[size > 0]
+        self.prev = np.concatenate([[start], self.ids[:-1]])
+        self.prev[first] = start
+        self.keep = np.ones(len(self.ids), np.float32)
+        self.keep[first] = 0
+
+    def windows(self, steps: int):
+        """(places of the tokens [steps, lanes], which of them exist)."""
+        for at in range(0, int(self.length.max()), steps):
+            live = int((self.length > at).sum())
+            row = np.arange(at, min(at + steps, int(self.length.max())))[:, None]
+            mask = row < self.length[:live]
+            yield np.minimum(self.offset[:live] + row, self.offset[:live] + self.length[:live] - 1), mask
 
 
 def train(p: dict[str, np.ndarray], texts: list[np.ndarray], start: int) -> int:
     """One pass over ``texts`` (id arrays), changing ``p`` in place by Adam.
     Returns the number of tokens seen."""
     cls, place = classes(len(p["embed"]))
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    s = {k: np.zeros_like(v) for k, v in p.items()}
+    flat_p = flatten(p)
+    q, g_flat = views(flat_p, p), np.zeros_like(flat_p)
+    g = views(g_flat, p)
+    m, s = np.zeros_like(flat_p), np.zeros_like(flat_p)
+    lanes = Lanes(texts, STREAMS, start, whole=False)
+    h = np.zeros((HIDDEN, len(lanes.length)), np.float32)
     seen = steps = 0
-    for group in streams(texts, STREAMS):
-        length = np.array([len(texts[i]) for i in group])
-        h = np.zeros((len(group), HIDDEN), np.float32)
-        last = np.full(len(group), start)
-        for at in range(0, int(length[0]), WINDOW):
-            live = int((length > at).sum())
-            h, last = h[:live], last[:live]
-            ids = np.zeros((WINDOW, live), np.int64)
-            mask = np.arange(at, at + WINDOW)[:, None] < length[:live]
-            for j, i in enumerate(group[:live]):
-                part = texts[i][at:at + WINDOW]
-                ids[:len(part), j] = part
-            prev = np.vstack([last, ids[:-1]])
-            last = ids[-1]
-            x = p["embed"][prev]
-            gates = x @ p["in"] + p["in_bias"]
-            kept = []
-            states = np.empty((WINDOW, live, HIDDEN), np.float32)
-            for t in range(WINDOW):
-                before = h
-                h, z, r, n, u = _step(gates[t], p["rec"], h)
-                kept.append((before, z, r, n, u))
-                states[t] = h
-            g = {k: np.zeros_like(v) for k, v in p.items()}
-            _, dh_out = _output(p, states[mask], ids[mask], cls, place, g)
+    for at, mask in lanes.windows(WINDOW):
+        n_steps, live = at.shape
+        prev, keep = lanes.prev[at], lanes.keep[at]
+        x = q["embed"][prev.ravel()].T
+        gates = (q["in"].T @ x + q["in_bias"][:, None]).reshape(3 * HIDDEN, n_steps, live)
+        rec = q["rec"].T.copy()
+        h = h[:, :live]
+        kept = []
+        states = np.empty((HIDDEN, n_steps, live), np.float32)
+        before = np.empty_like(states)
+        for t in range(n_steps):
+            before[:, t] = b = h * keep[t]
+            h, z, r, n, u = _step(gates[:, t], rec, b)
+            kept.append((b, z, r, n, u))
+            states[:, t] = h
+        g_flat[:] = 0
+        if mask.all():
+            d_states = _output(q, states.reshape(HIDDEN, -1), lanes.ids[at].ravel(), cls, place, g)[1]
+            d_states = d_states.reshape(states.shape)
+        else:
             d_states = np.zeros_like(states)
-            d_states[mask] = dh_out
-            d_gates = np.empty_like(gates)
-            dh = np.zeros((live, HIDDEN), np.float32)
-            for t in range(WINDOW - 1, -1, -1):
-                before, z, r, n, u = kept[t]
-                dh = dh + d_states[t]
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (before - n) * z * (1 - z)
-                dr = dn * u * r * (1 - r)
-                d_gates[t] = np.concatenate([dz, dr, dn], 1)
-                du = np.concatenate([dz, dr, dn * r], 1)
-                g["rec"] += before.T @ du
-                dh = dh * z + du @ p["rec"].T
-            flat = d_gates.reshape(-1, 3 * HIDDEN)
-            g["in"] += x.reshape(-1, EMBED).T @ flat
-            g["in_bias"] += flat.sum(0)
-            np.add.at(g["embed"], prev.ravel(), flat @ p["in"].T)
-            n_tokens = int(mask.sum())
-            seen += n_tokens
-            steps += 1
-            for k in p:
-                gk = np.clip(g[k] / n_tokens, -1, 1)
-                m[k] += 0.1 * (gk - m[k])
-                s[k] += 0.01 * (gk * gk - s[k])
-                p[k] -= RATE * (m[k] / (1 - 0.9 ** steps)) / (np.sqrt(s[k] / (1 - 0.99 ** steps)) + 1e-6)
+            d_states[:, mask] = _output(q, states[:, mask], lanes.ids[at][mask], cls, place, g)[1]
+        d_gates, du = np.empty_like(gates), np.empty_like(gates)
+        dh = np.zeros((HIDDEN, live), np.float32)
+        for t in range(n_steps - 1, -1, -1):
+            b, z, r, n, u = kept[t]
+            dh += d_states[:, t]
+            stay = dh * z
+            dn = dh - stay
+            dn *= 1 - n * n
+            back = np.empty((3 * HIDDEN, live), np.float32)
+            b -= n
+            z -= 1
+            stay_z = stay * b
+            stay_z *= z
+            np.negative(stay_z, out=back[:HIDDEN])
+            np.multiply(dn, r, out=back[2 * HIDDEN:])
+            np.multiply(back[2 * HIDDEN:], u * (1 - r), out=back[HIDDEN:2 * HIDDEN])
+            d_gates[:2 * HIDDEN, t] = back[:2 * HIDDEN]
+            d_gates[2 * HIDDEN:, t] = dn
+            du[:, t] = back
+            dh = q["rec"] @ back
+            dh += stay
+            dh *= keep[t]
+        flat = d_gates.reshape(3 * HIDDEN, -1)
+        g["rec"] += before.reshape(HIDDEN, -1) @ du.reshape(3 * HIDDEN, -1).T
+        g["in"] += x @ flat.T
+        g["in_bias"] += flat.sum(1)
+        add_rows(g["embed"], prev.ravel(), (q["in"] @ flat).T)
+        n_tokens = int(mask.sum())
+        seen += n_tokens
+        steps += 1
+        g_flat /= n_tokens
+        np.clip(g_flat, -1, 1, out=g_flat)
+        m += 0.1 * (g_flat - m)
+        s += 0.01 * (g_flat * g_flat - s)
+        flat_p -= RATE / (1 - 0.9 ** steps) * m / (np.sqrt(s / (1 - 0.99 ** steps)) + 1e-6)
+    for k in p:
+        p[k][...] = q[k]
     return seen
 
 
+def add_rows(out: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
+    """``out[row] += values`` with repeated rows."""
+    order = np.argsort(row, kind="stable")
+    sorted_rows = row[order]
+    first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
+    out[sorted_rows[first]] += np.add.reduceat(values[order], first, axis=0)
+
+
 def log_likelihood(p: dict[str, np.ndarray], texts: list[np.ndarray], start: int) -> np.ndarray:
     """Natural log-probability of each whole text."""
     cls, place = classes(len(p["embed"]))
-    table = p["embed"] @ p["in"] + p["in_bias"]
+    table = (p["embed"] @ p["in"] + p["in_bias"]).T.copy()
     out = np.zeros(len(texts))
-    for group in streams(texts, SCORE_STREAMS):
-        length = np.array([len(texts[i]) for i in group])
-        h = np.zeros((len(group), HIDDEN), np.float32)
-        last = np.full(len(group), start)
-        total = np.zeros(len(group))
-        for at in range(0, int(length[0]), SCORE_WINDOW):
-            live = int((length > at).sum())
-            h, last = h[:live], last[:live]
-            steps = min(SCORE_WINDOW, int(length[0]) - at)
-            ids = np.zeros((steps, live), np.int64)
-            for j, i in enumerate(group[:live]):
-                part = texts[i][at:at + steps]
-                ids[:len(part), j] = part
-            mask = np.arange(at, at + steps)[:, None] < length[:live]
-            states = np.empty((steps, live, HIDDEN), np.float32)
-            prev = last
-            for t in range(steps):
-                h = _step(table[prev], p["rec"], h)[0]
-                states[t] = h
-                prev = ids[t]
-            last = prev
-            logp, _ = _output(p, states[mask], ids[mask], cls, place, None)
-            total[:live] += np.bincount(np.nonzero(mask)[1], logp, minlength=live)
-        out[group] = total
+    if not any(map(len, texts)):
+        return out
+    lanes = Lanes(texts, SCORE_STREAMS, start, whole=True)
+    h = np.zeros((HIDDEN, len(lanes.length)), np.float32)
+    rec = p["rec"].T.copy()
+    for at, mask in lanes.windows(SCORE_WINDOW):
+        n_steps, live = at.shape
+        gates, keep = table.take(lanes.prev[at], axis=1), lanes.keep[at]
+        h = h[:, :live]
+        states = np.empty((HIDDEN, n_steps, live), np.float32)
+        for t in range(n_steps):
+            h = _step(gates[:, t], rec, h * keep[t])[0]
+            states[:, t] = h
+        where = at[mask]
+        h_all = states.reshape(HIDDEN, -1) if mask.all() else states[:, mask]
+        logp, _ = _output(p, h_all, lanes.ids[where], cls, place, None)
+        out += np.bincount(lanes.owner[where], logp, minlength=len(texts))
     return out

@@ -6,7 +6,8 @@ have ids in the recurrent model (gru.py); for any other word the model gives
 the probability of "off the list", times the word's add-one share among those
 words. State is carried over the whole text, however long.
 
-Training is distributed: the training documents are dealt over ``ROUNDS`` rounds
+Texts are tokenised twice: to count, and then to be written as numbers of their
+words, which training and scoring read. Training is distributed: the training documents are dealt over ``ROUNDS`` rounds
 by a hash of the id and the text, each to one round. In a round every partition
 trains a copy of the model on its documents of that round, and the copies are
 averaged by their number of tokens.
@@ -37,17 +38,17 @@ from scrivener.llm import gru
 from scrivener.llm.common import commonest, stored
 
 END = ""                 # no word is empty
-COMMON = 65_536          # words looked up without a shuffle, at most
-LISTED = 1_023           # words with an id in the model
+COMMON = 65_535          # words looked up without a shuffle, at most (numbers of 16 bits, one for all others)
+LISTED = 4_095           # words with an id in the model
 ROUNDS = 3
+BUFFER = 2_000_000       # tokens that are trained on at a time
 FOLDS, HELD_OUT = 7, 2
 _FLUSH = 1_000_000       # different words held by a counting task
 
 
-def tokens(text: str | None) -> list[str]:
-    """Words of a text, ASCII letters lower-cased, and the end mark."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return [*map(bytes.decode, words), END]
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a text, ASCII letters lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -58,42 +59,92 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(word, n) over all texts (first column)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
+        texts = 0
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(c.values(), pa.int64())],
-                                             ["word", "n"])
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([*map(bytes.decode, c), END], pa.string()), pa.array([*c.values(), texts], pa.int64())],
+                ["word", "n"])
             c.clear()
             return out
 
         for b in batches:
-            for t in b.column(0):
-                c.update(tokens(t.as_py()))
+            for t in b.column(0).to_pylist():
+                c.update(words_of(t))
+                texts += 1
                 if len(c) > _FLUSH:
                     yield flush()
-        yield flush()
+                    texts = 0
+        if texts:
+            yield flush()
 
     return train.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train_model(train: DataFrame, doc_id: str, ids: dict[str, int], params: dict) -> dict:
-    """Rounds of local training and averaging over all of ``train`` (doc_id, text)."""
-    off, start = len(ids), ids.get(END, len(ids))
+_DOC = ("row long, doc_id long, held_out boolean, round int, ids binary, known long, logs double, "
+        "words array<string>, times array<int>")
+
+
+def numbered(src: DataFrame, common: dict[str, int]) -> DataFrame:
+    """Each text as ids, once for all that follows: the place of each token in
+    ``common`` (commonest first; len(common) for other words). With the base sums
+    over common words, and the other words with their times."""
+    ids = {w.encode(): i for i, w in enumerate(common)}
+    logs = np.append(np.log10(np.array(list(common.values()), dtype=np.float64) + 1), 0.0)
+    rest = len(common)
+    end = ids.get(END.encode(), rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        at = TaskContext.get().partitionId() << 33
+        get = ids.get
+        for b in batches:
+            seqs, known, sums, words, times = [], [], [], [], []
+            for t in b.column(1).to_pylist():
+                ws = words_of(t)
+                seq = [get(w, rest) for w in ws]
+                rare = Counter(w for w, i in zip(ws, seq) if i == rest)
+                seq.append(end)
+                seq = np.array(seq, dtype="<u2")
+                seqs.append(seq.tobytes())
+                known.append(int((seq < rest).sum()))
+                sums.append(float(logs[seq].sum()))
+                words.append(list(map(bytes.decode, rare)))
+                times.append(list(rare.values()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(at, at + b.num_rows, dtype=np.int64)), b.column(0), b.column(2), b.column(3),
+                 pa.array(seqs, pa.binary()), pa.array(known, pa.int64()),
+                 pa.array(sums, pa.float64()), pa.array(words, pa.list_(pa.string())),
+                 pa.array(times, pa.list_(pa.int32()))],
+                ["row", "doc_id", "held_out", "round", "ids", "known", "logs", "words", "times"])
+            at += b.num_rows
+
+    turn = F.pmod(F.xxhash64("doc_id", "text", F.lit("round")), F.lit(ROUNDS)).cast("int")
+    return src.select("doc_id", "text", held_out(F.col("doc_id")).alias("h"), turn.alias("r")).mapInArrow(run, _DOC)
+
+
+def sequences(column: pa.Array, off: int) -> list[np.ndarray]:
+    """The texts of a batch as ids of the model: all from ``off`` on are one."""
+    return [np.minimum(np.frombuffer(x, "<u2"), off).astype(np.int64) for x in column.to_pylist()]
+
+
+def train_model(texts: DataFrame, off: int, start: int, params: dict) -> dict:
+    """Rounds of local training and averaging over all of ``texts`` (round, ids)."""
     for r in range(ROUNDS):
-        part = train.where(F.pmod(F.xxhash64(F.col(doc_id), "text", F.lit("round")), F.lit(ROUNDS)) == r).select("text")
         flat = gru.flatten(params)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = gru.unflatten(flat, params)
-            texts, held, n = [], 0, 0
+            held, size, n = [], 0, 0
             for b in batches:
-                for t in b.column(0):
-                    texts.append(np.array([ids.get(w, off) for w in tokens(t.as_py())]))
-                    held += len(texts[-1])
-                    if held > 2_000_000:             # a bounded buffer, then on with the same copy
-                        n += gru.train(p, texts, start)
-                        texts, held = [], 0
-            if texts:
-                n += gru.train(p, texts, start)
+                for seq in sequences(b.column(0), off):
+                    held.append(seq)
+                    size += len(seq)
+                    if size > BUFFER:                # a bounded buffer, then on with the same copy
+                        n += gru.train(p, held, start)
+                        held, size = [], 0
+            if held:
+                n += gru.train(p, held, start)
             if n:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(len(flat), dtype=np.int32)),
@@ -101,17 +152,13 @@ def train_model(train: DataFrame, doc_id: str, ids: dict[str, int], params: dict
                      pa.array(np.full(len(flat), float(n)))], ["i", "wv", "w"])
 
         # as many rows as the model has parameters, whatever the corpus
-        got = (part.mapInArrow(run, "i int, wv double, w double").groupBy("i")
-               .agg((F.sum("wv") / F.sum("w")).alias("v")).orderBy("i").toArrow())
+        got = (texts.where(F.col("round") == r).select("ids").mapInArrow(run, "i int, wv double, w double")
+               .groupBy("i").agg((F.sum("wv") / F.sum("w")).alias("v")).orderBy("i").toArrow())
         if got.num_rows:
             params = gru.unflatten(got.column("v").to_numpy(), params)
     return params
 
 
-_DOC = ("row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, off long, "
-        "model double, words array<string>, times array<int>")
-
-
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score and score (log10)."""
@@ -122,54 +169,30 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     row = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, kinds = row["n"] or 0, row["v"]
     common = commonest(counts, COMMON)
-    ids = {w: i for i, w in enumerate(list(common)[:LISTED])}
-    off = len(ids)
-    listed = np.array([common[w] for w in ids], dtype=np.float64)
+    off = min(LISTED, len(common))
+    listed = np.array(list(common.values())[:off], dtype=np.float64)
     rest = total - listed.sum()
-    params = gru.initial(np.r_[listed, rest])
-    params = train_model(train, "doc_id", ids, params)
-    log_c = {w: math.log10(n + 1) for w, n in common.items()}
+    start = next((i for i, w in enumerate(common) if w == END and i < off), off)
+    texts = stored(numbered(src, common), "numbered")
+    params = train_model(texts.where("not held_out"), off, start, gru.initial(np.r_[listed, rest]))
+    log_listed = np.append(np.log10(listed + 1), 0.0)
+
+    kept = ["row", "doc_id", "held_out", "known", "logs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        at = TaskContext.get().partitionId() << 33
-        get, logs = ids.get, log_c
         for b in batches:
-            texts, n, known, sums, offs, words, times = [], [], [], [], [], [], []
-            for t in b.column(1):
-                ws = tokens(t.as_py())
-                texts.append(np.array([get(w, off) for w in ws]))
-                n.append(len(ws))
-                k, s, rare, many = 0, 0.0, [], []
-                for w, c in Counter(ws).items():
-                    lg = logs.get(w)
-                    if lg is None:
-                        rare.append(w)
-                        many.append(c)
-                    else:
-                        k += c
-                        s += c * lg
-                known.append(k)
-                sums.append(s)
-                words.append(rare)
-                times.append(many)
-                # what listed words add to the base is not part of the model's off-list share
-                offs.append(int((texts[-1] == off).sum()))
-            model = gru.log_likelihood(params, texts, get(END, off)) / math.log(10)
-            # sums over off-list words: all common words less the listed ones
-            rows = np.arange(at, at + b.num_rows, dtype=np.int64)
-            at += b.num_rows
-            in_list = [float(log_listed[x[x < off]].sum()) for x in texts]
+            seqs = sequences(b.column(len(kept)), off)
+            model = gru.log_likelihood(params, seqs, start) / math.log(10)
+            # what listed words add to the base is not part of the model's off-list share
+            in_list = np.array([log_listed[q].sum() for q in seqs])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                 pa.array(sums, pa.float64()), pa.array(offs, pa.int64()),
-                 pa.array(model - np.array(in_list), pa.float64()),
-                 pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "off", "model", "words", "times"])
-
-    log_listed = np.log10(listed + 1)
-    done = stored(src.select("doc_id", "text", held_out(F.col("doc_id")).alias("h")).mapInArrow(run, _DOC), "scored")
-    rare = (done.select("row", F.explode(F.arrays_zip("words", "times")).alias("x"))
+                [*b.columns[:-1], pa.array([len(q) for q in seqs], pa.int64()),
+                 pa.array([int((q == off).sum()) for q in seqs], pa.int64()), pa.array(model - in_list, pa.float64())],
+                [*kept, "n_tokens", "off", "model"])
+
+    made = texts.select(*kept, "ids").mapInArrow(
+        run, "row long, doc_id long, held_out boolean, known long, logs double, n_tokens long, off long, model double")
+    rare = (texts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x"))
             .select("row", F.col("x.words").alias("word"), F.col("x.times").alias("t")))
     found = (rare.join(counts.hint("shuffle_merge"), "word", "left")
              .groupBy("row").agg(
@@ -177,7 +200,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                  F.sum(F.when(F.col("n") > 0, F.col("t")).otherwise(0)).alias("rare_known")))
     logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
     spread = math.log10(rest + (kinds - off) + 1)        # the off-list words, one unseen kind included
-    return (done.drop("words", "times").join(found.hint("shuffle_merge"), "row", "left").select(
+    return (made.join(found.hint("shuffle_merge"), "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),

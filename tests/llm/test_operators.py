@@ -459,11 +459,11 @@ def test_every_training_document_trains_once(spark, tmp_dir, monkeypatch):
 
     words = [f"w{i}" for i in range(200)]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
-    ids = {w: i for i, w in enumerate([*words, ""])}
     monkeypatch.setattr(lm_scoring, "gru", type("G", (), {
         "flatten": staticmethod(gru.flatten), "unflatten": staticmethod(gru.unflatten), "train": staticmethod(train)}))
+    texts = lm_scoring.numbered(df, {w: 1 for w in [*words, ""]})
+    lm_scoring.train_model(texts, 201, 200, gru.initial(np.ones(202)))
     seen = []
-    lm_scoring.train_model(df, "doc_id", ids, gru.initial(np.ones(len(ids) + 1)))
     for name in os.listdir(tmp_dir):
         with open(os.path.join(tmp_dir, name)) as f:
             seen += map(int, f)
@@ -483,20 +483,31 @@ def test_training_beats_the_base_on_held_out_documents(spark):
     assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
 
 
-def test_gru_gradient_matches_differences():
+def gru_parameters(n_words, seed=0):
     from scrivener.llm import gru
-    rng = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) + 0.05 * rng.standard_normal(v.shape) for k, v in gru.initial(np.arange(10, 0, -1.0)).items()}
-    cls, place = gru.classes(10)
-    ok = np.zeros_like(p["word_bias"], dtype=bool)
+    rng = np.random.default_rng(seed)
+    p = {k: v.astype(np.float64) + 0.2 * rng.standard_normal(v.shape)
+         for k, v in gru.initial(np.arange(n_words, 0, -1.0)).items()}
+    cls, place = gru.classes(n_words)
+    ok = np.zeros((p["word"].shape[0], p["word"].shape[2]), dtype=bool)
     ok[cls, place] = True
-    p["word_bias"][~ok] = -30
-    h, target = rng.standard_normal((6, gru.HIDDEN)), rng.integers(0, 10, 6)
+    p["word"][:, -1][~ok] = -30
+    return p, cls, place
+
+
+@pytest.mark.parametrize("chunk, tame", [(1024, 60.0), (2, -1.0)])
+def test_output_gradient_matches_differences(monkeypatch, chunk, tame):
+    from scrivener.llm import gru
+    monkeypatch.setattr(gru, "CHUNK", chunk)
+    monkeypatch.setattr(gru, "TAME", tame)
+    p, cls, place = gru_parameters(10)
+    rng = np.random.default_rng(1)
+    h, target = np.tanh(rng.standard_normal((gru.HIDDEN, 6))), rng.integers(0, 10, 6)
     g = {k: np.zeros_like(x) for k, x in p.items()}
     logp, dh = gru._output(p, h, target, cls, place, g)
-    every = np.concatenate([gru._output(p, h[:1], np.array([t]), cls, place, None)[0] for t in range(10)])
+    every = np.concatenate([gru._output(p, h[:, :1], np.array([t]), cls, place, None)[0] for t in range(10)])
     assert np.exp(every).sum() == pytest.approx(1, abs=1e-9)
-    for k, at in (("class", (2, 1)), ("word", (0, 3, 1)), ("class_bias", (1,))):
+    for k, at in (("class", (2, 1)), ("class", (-1, 1)), ("word", (0, 3, 1)), ("word", (1, -1, 0))):
         q = {n: x.copy() for n, x in p.items()}
         q[k][at] += 1e-6
         assert g[k][at] == pytest.approx(-(gru._output(q, h, target, cls, place, None)[0] - logp).sum() / 1e-6, abs=1e-4)
@@ -505,6 +516,81 @@ def test_gru_gradient_matches_differences():
     assert dh[0, 0] == pytest.approx(-(gru._output(p, h2, target, cls, place, None)[0] - logp).sum() / 1e-6, abs=1e-4)
 
 
+def plain_log_likelihood(p, texts, start, cls, place):
+    """One text, one step at a time, in plain numpy."""
+    from scrivener.llm import gru
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    soft = lambda v: v - np.log(np.exp(v).sum())
+    size = np.bincount(cls)
+    out = []
+    for text in texts:
+        h, last, total = np.zeros(gru.HIDDEN), start, 0.0
+        for t in text:
+            a, u = p["embed"][last] @ p["in"] + p["in_bias"], h @ p["rec"]
+            k = gru.HIDDEN
+            z, r = sig(a[:k] + u[:k]), sig(a[k:2 * k] + u[k:2 * k])
+            n = np.tanh(a[2 * k:] + r * u[2 * k:])
+            h = (1 - z) * n + z * h
+            one = np.append(h, 1.0)
+            total += soft(one @ p["class"])[cls[t]]
+            if size[cls[t]] > 1:
+                total += soft(one @ p["word"][cls[t]])[place[t]]
+            last = t
+        out.append(total)
+    return np.array(out)
+
+
+def test_log_likelihood_matches_a_plain_loop(monkeypatch):
+    from scrivener.llm import gru
+    p, cls, place = gru_parameters(12)
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 12, n) for n in (1, 70, 3, 0, 40, 41, 2, 9, 130)]
+    want = plain_log_likelihood(p, texts, 11, cls, place)
+    for lanes in (2, 4, 512):
+        monkeypatch.setattr(gru, "SCORE_STREAMS", lanes)
+        assert gru.log_likelihood(p, texts, 11) == pytest.approx(want, rel=1e-3)
+
+
+def test_backpropagation_matches_differences(monkeypatch):
+    """One window over all texts: the step Adam takes first has the sign of the
+    true gradient, which differences of the plain loop give."""
+    from scrivener.llm import gru
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 7, n) for n in (5, 4, 7)]
+    monkeypatch.setattr(gru, "STREAMS", 1)
+    monkeypatch.setattr(gru, "WINDOW", 16)
+    p, cls, place = gru_parameters(7)
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    taken = {k: v.copy() for k, v in p.items()}
+    gru.train(taken, texts, 6)
+    checked = 0
+    wide = {k: v.astype(np.float64) for k, v in p.items()}
+    base = plain_log_likelihood(wide, texts, 6, cls, place).sum()
+    for k in ("embed", "in", "in_bias", "rec", "class", "word"):
+        for at in list(np.ndindex(p[k].shape))[::7]:
+            q = {n: v.copy() for n, v in wide.items()}
+            q[k][at] += 1e-5
+            slope = -(plain_log_likelihood(q, texts, 6, cls, place).sum() - base) / 1e-5 / 16
+            if abs(slope) > 3e-3:
+                # the first step is RATE times g / (|g| + 1e-6)
+                assert taken[k][at] - p[k][at] == pytest.approx(-gru.RATE * np.sign(slope), rel=0.05), (k, at)
+                checked += 1
+    assert checked > 30
+
+
+def test_every_token_is_in_one_lane():
+    from scrivener.llm import gru
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 50, n) for n in rng.integers(0, 60, 40)]
+    for whole in (True, False):
+        lanes = gru.Lanes(texts, 7, 50, whole)
+        got = collections.Counter()
+        for at, mask in lanes.windows(8):
+            got.update((int(lanes.owner[i]), int(lanes.prev[i]), int(lanes.ids[i])) for i in at[mask])
+        assert got == collections.Counter((k, int(a), int(b)) for k, t in enumerate(texts)
+                                          for a, b in zip([50, *t], t))
+
+
 def test_gru_learns_and_carries_state():
     from scrivener.llm import gru
     texts = [np.array([0, 1, 2, 3] * 30) for _ in range(64)]
