@@ -8,7 +8,7 @@ serialise the work, and state per window is (sum, count), not a score list.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivener.operators.base import previous_value, running_count, trunc_time
@@ -48,6 +48,37 @@ def window_aggs(event_type: str = "event_type", internal: str = "internal_score"
     ]
 
 
+def window_partials() -> list[Column]:
+    """The metrics of ``window_aggs`` as counts and sums of some events, which
+    add up over any division of the events (U2 as mergeable accumulators)."""
+    is_check = F.col("event_type") == CHECK
+
+    def total(c):
+        return F.coalesce(F.sum(F.when(is_check, F.coalesce(F.col(c), F.lit(0.0)))), F.lit(0.0))
+
+    return [F.count_if(F.col("event_type") == UPLOAD).alias("n_uploads"), F.count_if(is_check).alias("n_checks"),
+            F.count_if(is_check & (F.col("severity") == "high")).alias("n_high"),
+            total("internal_score").alias("sum_internal"), total("external_score").alias("sum_external"),
+            total("ai_generated_probability").alias("sum_ai")]
+
+
+PARTIALS = ("n_uploads", "n_checks", "n_high", "sum_internal", "sum_external", "sum_ai")
+
+
+def add_partials() -> list[Column]:
+    return [F.sum(c).alias(c) for c in PARTIALS]
+
+
+def finish_partials() -> list[Column]:
+    """``METRIC_COLUMNS`` of added accumulators."""
+    def avg(c):
+        return F.when(F.col("n_checks") > 0, F.col(c) / F.col("n_checks")).otherwise(F.lit(0.0))
+
+    return [F.col("n_uploads").alias("submission_count"), avg("sum_internal").alias("avg_internal_score"),
+            avg("sum_external").alias("avg_external_score"), avg("sum_ai").alias("avg_ai_probability"),
+            F.col("n_high").alias("high_risk_count"), F.col("n_checks").alias("total_checks")]
+
+
 METRIC_COLUMNS = ("submission_count", "avg_internal_score", "avg_external_score",
                   "avg_ai_probability", "high_risk_count", "total_checks")
 
@@ -109,6 +140,27 @@ def session_analytics(events: DataFrame, keys: tuple[str, ...], time_col: str =
         *METRIC_COLUMNS)
 
 
+def session_partials(events: DataFrame, keys: tuple[str, ...], time_col: str = "ts",
+                     gap_seconds: int = 1800, tie: str | None = None) -> DataFrame:
+    """Sessions of some of the events, as accumulators: keys, first, last, partials."""
+    s = sessionize(events, keys, time_col, gap_seconds, tie)
+    return (s.groupBy(*keys, "session").agg(F.min(time_col).alias("first"), F.max(time_col).alias("last"),
+                                            *window_partials()).drop("session"))
+
+
+def merge_sessions(partials: DataFrame, keys: tuple[str, ...], gap_seconds: int = 1800) -> DataFrame:
+    """Sessions that come within the gap of one another joined (gaps and islands
+    over the sessions of a key, in order of their first event). What a key has
+    is bounded by its time span, not by its events."""
+    w = Window.partitionBy(*keys).orderBy("first", "last")
+    reach = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.unix_micros(F.col("first").cast("timestamp")) - F.unix_micros(reach.cast("timestamp"))
+    island = partials.withColumn("_new", (reach.isNull() | (apart >= gap_seconds * 1_000_000)).cast("int"))
+    island = island.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return (island.groupBy(*keys, "_island").agg(F.min("first").alias("first"), F.max("last").alias("last"),
+                                                 *add_partials()).drop("_island"))
+
+
 def window_count(events: DataFrame, time_col: str = "ts", size: str = DEFAULT_WINDOW) -> DataFrame:
     """Events per tumbling window with bounds as epoch milliseconds."""
     agg = events.groupBy(F.window(time_col, size).alias("window")).agg(

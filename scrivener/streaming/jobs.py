@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from scrivener.operators import windows as W
 from scrivener.operators.base import first_per_key, latest_per_key
 from scrivener.session import checkpoint_dir
+from scrivener.streaming import merge_table as MT
 
 # Watermark (bounded out-of-orderness) and checkpoint trigger
 # of the reference stream job.
@@ -92,36 +93,38 @@ def dedupe_stream(events: DataFrame, keys: list[str], time_col: str = "ts",
     return ev.dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_batch(path: str, keys: list[str], order_cols: list[str]):
-    """``foreachBatch`` sink keeping the newest row per key.
+def _last(keys: list[str], order_cols: list[str]):
+    return lambda rows: latest_per_key(rows, keys, [MT.SEQ, *order_cols]).select(rows.columns)
+
+
+def _first(keys: list[str], order_cols: list[str]):
+    return lambda rows: first_per_key(rows, keys, order_cols).select(rows.columns)
 
-    Each micro-batch writes its latest-per-key rows to ``batch_id=N``;
-    rewriting the same batch on replay is idempotent (overwrite of that
-    folder). Readers resolve the newest row over all batches with
-    :func:`read_upserted`."""
+
+def upsert_batch(path: str, keys: list[str], order_cols: list[str]):
+    """``foreachBatch`` sink keeping the newest row per key in a
+    ``MergeTable``: last write wins by batch, then order."""
     def sink(df: DataFrame, batch_id: int) -> None:
-        latest = latest_per_key(df, keys, order_cols)
-        latest.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+        table = MT.MergeTable(df.sparkSession, path, MT.bucket(keys), _last(keys, order_cols))
+        table.apply(df.withColumn(MT.SEQ, F.lit(batch_id).cast("long")), batch_id)
     return sink
 
 
+def read_upserted(spark: SparkSession, path: str, keys: list[str], order_cols: list[str]) -> DataFrame:
+    """Current table of an upsert sink."""
+    return MT.stored(spark, path, _last(keys, order_cols)).drop(MT.SEQ)
+
+
 def first_batch(path: str, keys: list[str], order_cols: list[str]):
-    """``foreachBatch`` sink keeping the first row per key of each batch."""
+    """``foreachBatch`` sink keeping the first row per key of all batches."""
     def sink(df: DataFrame, batch_id: int) -> None:
-        first = first_per_key(df, keys, order_cols)
-        first.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+        MT.MergeTable(df.sparkSession, path, MT.bucket(keys), _first(keys, order_cols)).apply(df, batch_id)
     return sink
 
 
 def read_first(spark: SparkSession, path: str, keys: list[str], order_cols: list[str]) -> DataFrame:
-    """First row per key over all batches of :func:`first_batch`."""
-    return first_per_key(spark.read.parquet(path).drop("batch_id"), keys, order_cols)
-
-
-def read_upserted(spark: SparkSession, path: str, keys: list[str], order_cols: list[str]) -> DataFrame:
-    """Current table of an upsert sink: last write wins by batch, then order."""
-    df = spark.read.parquet(path)
-    return latest_per_key(df, keys, ["batch_id", *order_cols]).drop("batch_id")
+    """First row per key of a :func:`first_batch` sink."""
+    return MT.stored(spark, path, _first(keys, order_cols))
 
 
 def check_user_join(checks: DataFrame, submissions: DataFrame, max_delay: str = "6 hours",

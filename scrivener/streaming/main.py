@@ -24,6 +24,7 @@ from scrivener.operators import windows as W
 from scrivener.operators.tables import rejected_rows, valid_rows
 from scrivener.session import checkpoint_dir, get_session
 from scrivener.streaming import jobs as J
+from scrivener.streaming import merge_table as MT
 from scrivener.streaming import recompute as RC
 from scrivener.streaming import topics as TP
 
@@ -94,7 +95,7 @@ def windows_stage(spark: SparkSession, bootstrap=None, folder=None, trigger=None
             recs.write.mode("append").text(os.path.join(folder, WINDOWS))
 
     sink = RC.recompute_sink(
-        f"{ck}-events", out or f"{ck}-windows", window, F.to_date(window),
+        f"{ck}-events", out or f"{ck}-windows", window, MT.hour(window),
         lambda ev: W.window_analytics(ev).withColumn(RC.SCOPE, F.col("window_start")),
         dedupe=RC.first_of(["id", "submission_id"], ["ts", "processed_at"], within=[RC.SCOPE, "topic"]),
         then=None if out else publish)

@@ -5,12 +5,14 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scrivener.operators import windows as W
 from scrivener.plans import views as V
 from scrivener.streaming import jobs as J
+from scrivener.streaming import merge_table as MT
 from scrivener.streaming import recompute as RC
 from scrivener.streaming import topics as TP
 
@@ -233,13 +235,21 @@ def test_shuffled_files_give_the_whole_batch_result(spark, tmp_dir):
     src = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
            .option("recursiveFileLookup", "true").parquet(path))
     start = F.window("ts", W.DEFAULT_WINDOW).getField("start")
-    sink = RC.recompute_sink(os.path.join(tmp_dir, "store"), out, start, F.to_date(start),
+    sink = RC.recompute_sink(os.path.join(tmp_dir, "store"), out, start, MT.day(start),
                              lambda x: W.window_analytics(x).withColumn(RC.SCOPE, F.col("window_start")))
     J.run_stage(src, lambda d: d, sink, "recompute", trigger=AVAILABLE_NOW).awaitTermination()
-    got, want = RC.read_recomputed(spark, out), W.window_analytics(ev)
-    cols = ["window_start", "submission_count", "total_checks", "high_risk_count"]
-    assert spark.read.parquet(out).select("batch_id").distinct().count() == 4
-    assert got.count() == want.count() and got.select(cols).exceptAll(want.select(cols)).count() == 0
+    sums = os.path.join(tmp_dir, "sums")
+    J.run_stage(src, lambda d: d, RC.accumulate_sink(lambda s: RC.windows_table(s, sums), RC.window_rows),
+                "accumulate", trigger=AVAILABLE_NOW).awaitTermination()
+    want = W.window_analytics(ev)
+    cols = ["window_start", "window_end", "submission_count", "total_checks", "high_risk_count"]
+    scores = ["avg_internal_score", "avg_external_score", "avg_ai_probability"]
+    assert RC.windows_table(spark, sums).version().batch == 3
+    for got in (RC.read_recomputed(spark, out), RC.read_windows(spark, sums)):
+        made = {tuple(r[c] for c in cols): [r[c] for c in scores] for r in got.collect()}
+        right = {tuple(r[c] for c in cols): [r[c] for c in scores] for r in want.collect()}
+        assert made.keys() == right.keys()
+        assert all(a == pytest.approx(right[k]) for k, a in made.items())
 
 
 def test_first_check_survives_any_order(spark, tmp_dir):
