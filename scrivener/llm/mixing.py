@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrivener.llm.common import WORD, fresh, slots, stored
 
@@ -37,10 +38,24 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def _told(field: T.StructField) -> list[Column]:
+    """Values that differ wherever two values of the column do. Arrays, maps and
+    structs go by their JSON, which keeps elements and nulls apart."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        value = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false",
+                                                   "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+                                                   "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    elif isinstance(field.dataType, (T.StringType, T.BinaryType, T.IntegralType, T.BooleanType)):
+        value = c
+    else:
+        value = c.cast("string")
+    return [value, c.isNull()]
+
+
 def row_hashes(docs: DataFrame) -> list[Column]:
     """Two independent hashes (96 bits) of all columns, nulls told apart."""
-    parts = [F.coalesce(F.concat(F.lit(f"{i}="), F.col(f"`{c}`").cast("string")), F.lit(f"{i}!"))
-             for i, c in enumerate(docs.columns)]
+    parts = [p for f in docs.schema.fields for p in _told(f)]
     return [F.xxhash64(*parts), F.hash(*parts)]
 
 
@@ -113,6 +128,8 @@ def tilt(cells: DataFrame, goals: DataFrame, cap: int = CAP) -> DataFrame:
             F.coalesce(lo, "lo").alias("lo"), F.coalesce(hi, "hi").alias("hi"), "full", done.alias("done")), "dual")
         if state.where("not full and not done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"a source's words are off its target by more than {TOLERANCE} after {MAX_STEPS} Newton steps")
     return state.select("key", "mean", "lam", "full")
 
 
