@@ -99,8 +99,12 @@ def _labels(files: dict[str, int], matrix: np.ndarray, seed: int):
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
           names: tuple[str, str] = ("shard", "slot")) -> DataFrame:
-    """``docs`` with its shard (int) and slot (long, gapless from 0 per shard)."""
+    """``docs`` with its shard (int) and slot (long, gapless from 0 per shard).
+    A column of ``docs`` that has one of the ``names`` stays; the new column then
+    gets that name with underscores before it."""
     spark = docs.sparkSession
+    taken = {c.lower() for c in docs.columns}
+    names = tuple(fresh(docs, n) if n.lower() in taken else n for n in names)
     held = stored(docs, "to-shard")
     meta = held.metadataColumn("_metadata")
     path, at = meta["file_path"], meta["row_index"]
