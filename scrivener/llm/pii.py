@@ -9,8 +9,8 @@ vote patterns estimates what each labeler's votes are worth and gives a
 probability per candidate; a logistic span classifier is then trained on span
 features against those probabilities. Base spans (the strict patterns with
 their digit, octet and Luhn checks) always stay; a further candidate is added
-if the classifier gives it ``THRESHOLD`` or more and it meets no base span of
-its kind.
+if the classifier gives it ``THRESHOLD`` or more and it meets no base span. A
+secret may hold one (an address that is a password): it is more than that span.
 
 DataFrame functions only. Candidates are found in the row; EM and classifier
 train on tables of distinct patterns (bounded by the number of votes and
@@ -65,7 +65,7 @@ OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1
 LABELERS = ("strict", "checksum", "gazetteer", "context", "edges")
 EM_STEPS = 15
 FIT_STEPS = 25
-PRIOR = 0.05             # pseudo candidates of each estimate, as a share of all
+PRIOR = 100.0            # pseudo candidates of each estimate
 THRESHOLD = 0.5
 NEAR = 24                # characters of context looked at
 STEP = 512               # matches of a text placed at a time
@@ -148,7 +148,8 @@ def _spans(text: Column) -> Column:
     def without_met(all_: Column) -> Column:
         base = F.filter(all_, lambda x: x["base"])
         return let(base, lambda b: F.filter(all_, lambda x: x["base"] | ~F.exists(
-            b, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))))
+            b, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])
+            & ((x["kind"] != KINDS.index("secret")) | (y["kind"] == x["kind"])))))
 
     return let(F.concat(*parts), lambda a: F.when(F.size(a) == 0, none).otherwise(without_met(a)))
 
@@ -220,7 +221,7 @@ def fit_labelers(patterns: DataFrame) -> dict | None:
         if not row["all"]:
             return None
         n, t = float(row["all"]), row["true"]
-        s = PRIOR * n
+        s = PRIOR
         model = {"prior": (t + s) / (n + 2 * s), "votes": {}}
         for c in LABELERS:
             for v, yes, no in ((-1, 0.1, 0.5), (0, 0.2, 0.4), (1, 0.7, 0.1)):
