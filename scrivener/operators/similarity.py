@@ -6,7 +6,8 @@ Shingles are distinct lower-cased word 5-grams of the whole text. Scores:
   one *other* document of the corpus (containment in the rest of the corpus).
 * external (C9): share of its shingles that occur in the outside corpus.
 * flagged sections (C10): all shared shingles of a document, in order, as the
-  suspicious passages.
+  suspicious passages; ``shared_passages`` merges them into runs of words with
+  their place and a source document.
 
 Internal overlap needs no document pairs. Grouping shingles by their key and
 keeping ``min(doc)`` and ``max(doc)`` tells whether a shingle is unique
@@ -19,11 +20,11 @@ keeps shuffles small and makes collisions negligible even at 10^12 shingles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivener.functions import scoring
-from scrivener.functions.text import word_shingles
+from scrivener.functions.text import word_shingles, words
 from scrivener.operators.base import shuffle_join
 
 SHINGLE_WORDS = 5
@@ -133,6 +134,46 @@ def flagged_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "doc_id", F.size("flagged_sections").cast("bigint").alias("n_shared"), "flagged_sections")
 
 
+def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    n: int = SHINGLE_WORDS) -> DataFrame:
+    """C10 with positions: (doc_id, start_word, end_word, source_id, passage).
+
+    A passage is a longest run of words covered by overlapping shingles that some
+    other document has too (gaps and islands over the word positions), so a full
+    copy is one passage. Words count from 0, the end is exclusive. Each shingle
+    points to the lowest document that has it (from that document itself: to the
+    highest); ``source_id`` is where most of the passage's shingles point, the
+    lowest of several such.
+
+    Only (document, position, two hashes) are shuffled per shingle; the passage is
+    cut from the document's own text at the end. What is sorted or listed together
+    is one document's positions. Texts under ``n`` words have no passage; a null
+    text is empty; rows with a null id are left out."""
+    own = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = own.select("doc_id", F.posexplode(word_shingles(F.col("_text"), n)).alias("at", "shingle")).select(
+        "doc_id", "at", F.xxhash64("shingle").alias("h1"), F.hash("shingle").alias("h2"))
+    owners = shingle_owners(rows).where(F.col("lo") != F.col("hi"))
+    hit = rows.join(shuffle_join(owners), KEY).select(
+        "doc_id", "at", F.when(F.col("doc_id") != F.col("lo"), F.col("lo")).otherwise(F.col("hi")).alias("source_id"))
+    in_order = Window.partitionBy("doc_id").orderBy("at")
+    apart = F.coalesce(F.col("at") - F.lag("at").over(in_order) >= n, F.lit(True)).cast("int")
+    runs = hit.withColumn("_new", apart).withColumn(
+        "_run", F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    votes = runs.groupBy("doc_id", "_run", "source_id").agg(
+        F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("votes"))
+    passages = votes.groupBy("doc_id", "_run").agg(
+        F.min("lo").cast("long").alias("start_word"), (F.max("hi") + n).cast("long").alias("end_word"),
+        F.min(F.struct(-F.col("votes"), F.col("source_id")))["source_id"].alias("source_id"))
+    per_doc = passages.groupBy("doc_id").agg(
+        F.collect_list(F.struct("start_word", "end_word", "source_id")).alias("_p"))
+    return (own.join(shuffle_join(per_doc), "doc_id")
+            .select("doc_id", words("_text").alias("_w"), F.explode("_p").alias("_p"))
+            .select("doc_id", "_p.start_word", "_p.end_word", "_p.source_id",
+                    F.array_join(F.slice("_w", (F.col("_p.start_word") + 1).cast("int"),
+                                         (F.col("_p.end_word") - F.col("_p.start_word")).cast("int")), " ").alias("passage")))
+
+
 def score_documents(docs: DataFrame, corpus: DataFrame, ai_col: str | None = None,
                     corpus_id: str = "item_id", corpus_text: str = "text") -> DataFrame:
     """B7 over documents in one plan: internal and external overlap, flagged

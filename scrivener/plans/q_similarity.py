@@ -9,13 +9,18 @@ from scrivener.plans.registry import query
 from scrivener.sources.tables import read_table
 
 
+def _toks_cte(name: str, table: str, id_col: str) -> str:
+    """Lower-cased words per row of ``table`` (DuckDB)."""
+    return f"""{name}_toks AS (
+  SELECT {id_col} AS doc_id,
+         list_filter(string_split_regex(lower(trim(coalesce(text, ''))), '\\s+'), lambda w: w <> '') AS w
+  FROM {table})"""
+
+
 def _grams_cte(name: str, table: str, id_col: str) -> str:
     """Distinct word 5-grams per row of ``table`` (DuckDB)."""
     return f"""
-{name}_toks AS (
-  SELECT {id_col} AS doc_id,
-         list_filter(string_split_regex(lower(trim(coalesce(text, ''))), '\\s+'), lambda w: w <> '') AS w
-  FROM {table}),
+{_toks_cte(name, table, id_col)},
 {name} AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
   FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i
@@ -72,6 +77,29 @@ def flagged_sections(spark, d):
                     F.array_join("flagged_sections", "\n").alias("flagged_sections"))
 
 
+PASSAGES_SQL = f"""
+WITH {_toks_cte("grams", "documents", "doc_id")},
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM grams_toks WHERE len(w) >= 5)),
+o AS (SELECT s, min(doc_id) AS lo, max(doc_id) AS hi FROM g GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+h AS (SELECT g.doc_id, g.i, CASE WHEN g.doc_id <> lo THEN lo ELSE hi END AS source_id FROM g JOIN o USING (s)),
+f AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) < 5 THEN 0 ELSE 1 END AS new FROM h),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
+v AS (SELECT doc_id, run, source_id, min(i) AS lo, max(i) AS hi, count(*) AS votes FROM r GROUP BY ALL),
+p AS (SELECT doc_id, run, min(lo) OVER w - 1 AS start_word, max(hi) OVER w + 4 AS end_word, source_id,
+             row_number() OVER (PARTITION BY doc_id, run ORDER BY votes DESC, source_id) AS rn
+      FROM v WINDOW w AS (PARTITION BY doc_id, run))
+SELECT doc_id, start_word, end_word, source_id, array_to_string(w[start_word + 1:end_word], ' ') AS passage
+FROM p JOIN grams_toks USING (doc_id) WHERE rn = 1"""
+
+
+@query("shared_passages", PASSAGES_SQL)
+def shared_passages(spark, d):
+    """The passages that each document shares with others, with their place
+    and a source document."""
+    return SIM.shared_passages(read_table(spark, d, "documents"))
+
+
 DOCUMENT_CHECKS_SQL = f"""
 WITH {GRAMS.strip()}, {BENCH_GRAMS.strip()},
 df AS (SELECT s, count(*) AS c FROM grams GROUP BY s),
