@@ -23,11 +23,15 @@ TAME = 60.0              # scores below it need no shift before exp
 
 
 def classes(n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each word id and its place in the class. Ids go by frequency;
-    the last id (words off the list) is a class of its own."""
-    width = max(1, int(np.ceil(np.sqrt(max(n_words - 1, 1)))))
-    ids = np.arange(n_words)
-    cls, place = ids // width, ids % width
+    """Class of each word id and its place in the class. Ids go by frequency:
+    the commonest words are in small classes, the others in larger ones, which
+    costs less per token than equal classes. The last id (words off the list) is
+    a class of its own."""
+    side = max(1, int(np.ceil(np.sqrt(max(n_words - 1, 1)))))
+    small, large = max(1, side // 4), max(1, round(1.55 * side))
+    ids, head = np.arange(n_words), side // 8 * small
+    cls = np.where(ids < head, ids // small, side // 8 + (ids - head) // large)
+    place = np.where(ids < head, ids % small, (ids - head) % large)
     cls[-1] = (cls[-2] + 1) if n_words > 1 else 0
     place[-1] = 0
     return cls, place
@@ -91,7 +95,12 @@ def _step(gates: np.ndarray, rec: np.ndarray, h: np.ndarray) -> tuple:
     z, r, u = zr[:HIDDEN], zr[HIDDEN:], u[2 * HIDDEN:]
     n = r * u
     n += gates[2 * HIDDEN:]
-    np.tanh(n, out=n)
+    n *= -2                                     # tanh by way of exp, which is vectorised
+    np.clip(n, -80, 80, out=n)
+    np.exp(n, out=n)
+    n += 1
+    np.divide(2, n, out=n)
+    n -= 1
     new = h - n
     new *= z
     new += n
@@ -141,11 +150,12 @@ def _output(p: dict, h: np.ndarray, target: np.ndarray, cls: np.ndarray, place:
     for c in np.flatnonzero((np.diff(edges) > 0) & (size > 1)):
         for i in range(edges[c], edges[c + 1], CHUNK):
             at = slice(i, min(i + CHUNK, edges[c + 1]))
-            lw, d = _softmax(p["word"][c].T @ h[:, at], own[at], learn, tame)
+            word = p["word"][c][:, :size[c]]
+            lw, d = _softmax(word.T @ h[:, at], own[at], learn, tame)
             logp[at] += lw
             if learn:
-                grad["word"][c] += h[:, at] @ d.T
-                dh[:, at] += p["word"][c][:-1] @ d
+                grad["word"][c][:, :size[c]] += h[:, at] @ d.T
+                dh[:, at] += word[:-1] @ d
     out = np.empty_like(logp)
     out[order] = logp
     if learn:

@@ -103,9 +103,9 @@ def numbered(src: DataFrame, common: dict[str, int]) -> DataFrame:
             for t in b.column(1).to_pylist():
                 ws = words_of(t)
                 seq = [get(w, rest) for w in ws]
-                rare = Counter(w for w, i in zip(ws, seq) if i == rest)
                 seq.append(end)
                 seq = np.array(seq, dtype="<u2")
+                rare = Counter([ws[i] for i in np.flatnonzero(seq[:-1] == rest).tolist()])
                 seqs.append(seq.tobytes())
                 known.append(int((seq < rest).sum()))
                 sums.append(float(logs[seq].sum()))
