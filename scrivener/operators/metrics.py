@@ -18,6 +18,7 @@ from scrivener.operators.base import previous_value
 # quantile, error status pattern and error-rate threshold, rate window.
 LATENCY_BUCKETS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0)   # plus +Inf
 QUANTILE = 0.95
+SKETCH_K = 800              # of the quantile sketches, see quantile_sketches
 ERROR_STATUS = r"^5..$"
 ERROR_RATE_THRESHOLD = 0.05
 RATE_WINDOW_SECONDS = 300
@@ -52,6 +53,48 @@ def rate(samples: DataFrame, series: list[str], window: str = "5 minutes", ts: s
         *series, F.col("w.start").alias("window_start"), "rate")
 
 
+def rate_over_range(samples: DataFrame, series: list[str], range_seconds: int = RATE_WINDOW_SECONDS,
+                    step_seconds: int = 30, ts: str = "ts", value: str = "value", tie: str | None = None) -> DataFrame:
+    """H1 as dashboards evaluate it: (series, eval_time, rate), the per-second
+    increase over the samples in (eval_time - range, eval_time] at every step,
+    extrapolated to the ends of the range.
+
+    The increase from the first to the last sample of a range (resets taken as
+    starts from 0) is stretched to the range's ends where these are less than 1.1
+    mean sample distances away, else by half a distance; never to before the
+    counter's zero. Ranges with fewer than two sample times give no row; the range
+    must be a multiple of the step.
+
+    Samples are first cut to panes of one step (count, first, last, increase); the
+    panes, not the samples, are copied to the ranges they are in, and both
+    aggregates are combined map-side."""
+    if range_seconds % step_seconds:
+        raise ValueError(f"a range of {range_seconds} s is no multiple of a step of {step_seconds} s")
+    step, span = step_seconds * 1_000_000, range_seconds * 1_000_000
+    inc = counter_increase(samples.where(F.col(ts).isNotNull() & F.col(value).isNotNull()), series, ts, value, tie)
+    inc = inc.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
+        "_inc", F.coalesce("increase", F.lit(0.0)))
+    at = F.struct("_us", *([tie] if tie else []), F.col(value).alias("v"), F.col("_inc").alias("inc"))
+    panes = inc.groupBy(*series, (F.col("_us") + F.pmod(-F.col("_us"), F.lit(step))).alias("_end")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max(at).alias("last"), F.sum("_inc").alias("inc"))
+    ends = F.explode(F.sequence("_end", F.col("_end") + (span - step), F.lit(step).cast("bigint")))
+    w = panes.withColumn("_end", ends).groupBy(*series, "_end").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("inc").alias("inc"))
+    # what the first sample rose by happened before it
+    w = w.withColumns({"up": F.col("inc") - F.col("first.inc"),
+                       "held": (F.col("last._us") - F.col("first._us")) / 1e6}).where(F.col("held") > 0)
+    apart = F.col("held") / (F.col("n") - 1)
+    before = (F.col("first._us") - (F.col("_end") - span)) / 1e6
+    after = (F.col("_end") - F.col("last._us")) / 1e6
+    before = F.when(before >= apart * 1.1, apart / 2).otherwise(before)
+    to_zero = F.when((F.col("up") > 0) & (F.col("first.v") >= 0), F.col("held") * (F.col("first.v") / F.col("up")))
+    before = F.least(before, to_zero)                       # least skips a null
+    after = F.when(after >= apart * 1.1, apart / 2).otherwise(after)
+    end = F.timestamp_micros("_end").cast(samples.schema[ts].dataType)
+    return w.select(*series, end.alias("eval_time"),
+                    (F.col("up") * ((F.col("held") + before + after) / F.col("held")) / range_seconds).alias("rate"))
+
+
 def error_rate(requests: DataFrame, by: list[str], window: str = "5 minutes",
                status: str = "status", ts: str = "ts", seconds: int = RATE_WINDOW_SECONDS,
                threshold: float = ERROR_RATE_THRESHOLD) -> DataFrame:
@@ -122,6 +165,28 @@ def quantile_exact(requests: DataFrame, by: list[str], value: str = "latency_s",
         F.min("_v").alias("quantile"), F.max("n").alias("n"))
 
 
+def quantile_sketches(requests: DataFrame, by: list[str], value: str = "latency_s", pane: str = "5 minutes",
+                      ts: str = "ts", k: int = SKETCH_K) -> DataFrame:
+    """H3, mergeable: (by, window_start, sketch), a KLL sketch of the values of each
+    pane. A sketch holds a few times ``k`` values whatever its pane holds; they are
+    combined map-side, can be stored, and merge over any range. Null values and
+    times are left out."""
+    return requests.where(F.col(value).isNotNull() & F.col(ts).isNotNull()).groupBy(
+        *by, F.window(ts, pane).getField("start").alias("window_start")).agg(
+        F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def sketch_quantile(sketches: DataFrame, by: list[str], window: str = "1 hour", q: float = QUANTILE) -> DataFrame:
+    """Quantile of each ``window`` from the sketches of its panes:
+    (by, window_start, quantile, n). About a share 1.5 / k of the values may lie
+    between it and the exact one (``quantile_exact``)."""
+    merged = sketches.groupBy(*by, F.window("window_start", window).getField("start").alias("window_start")).agg(
+        F.kll_merge_agg_double("sketch").alias("_s"))
+    return merged.select(*by, "window_start",
+                         F.kll_sketch_get_quantile_double("_s", F.lit(q).cast("double")).alias("quantile"),
+                         F.kll_sketch_get_n_double("_s").alias("n"))
+
+
 def to_gib(samples: DataFrame, value: str = "value", label: str = "pod",
            pattern: str | None = None) -> DataFrame:
     """Bytes -> GiB for series whose label matches ``pattern``."""

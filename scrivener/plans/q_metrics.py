@@ -37,6 +37,27 @@ def metric_rate(spark, d):
     return H.rate(V.counter_samples(spark, d), ["job"], tie="event_id")
 
 
+@query("metric_rate_range", with_views("""
+SELECT job, eval_time, up * ((held + least(CASE WHEN a0 >= apart * 1.1 THEN apart / 2 ELSE a0 END,
+                                           CASE WHEN up > 0 AND v0 >= 0 THEN held * (v0 / up) END)
+                              + CASE WHEN a1 >= apart * 1.1 THEN apart / 2 ELSE a1 END) / held) / 300 AS rate
+FROM (SELECT job, make_timestamp(e) AS eval_time, coalesce(sum(inc) FILTER (WHERE k > 1), 0.0) AS up,
+             (max(us) - min(us)) / 1e6 AS held, (max(us) - min(us)) / 1e6 / (count(*) - 1) AS apart,
+             (min(us) - (e - 300000000)) / 1e6 AS a0, (e - max(us)) / 1e6 AS a1,
+             any_value(value) FILTER (WHERE k = 1) AS v0
+      FROM (SELECT s.*, g.e, row_number() OVER (PARTITION BY s.job, g.e ORDER BY s.us, s.event_id) AS k
+            FROM (SELECT job, event_id, value, epoch_us(ts) AS us,
+                         CASE WHEN value - lag(value) OVER w < 0 THEN value ELSE value - lag(value) OVER w END AS inc
+                  FROM counter_samples WINDOW w AS (PARTITION BY job ORDER BY ts, event_id)) s
+            JOIN (SELECT DISTINCT job, ((epoch_us(ts) + 29999999) // 30000000 + unnest(range(10))) * 30000000 AS e
+                  FROM counter_samples) g
+              ON s.job = g.job AND s.us > g.e - 300000000 AND s.us <= g.e)
+      GROUP BY job, e HAVING max(us) > min(us))""", "counter_samples"))
+def metric_rate_range(spark, d):
+    """H1 as dashboards ask: 5-minute rate every 30 s, extrapolated to the range."""
+    return H.rate_over_range(V.counter_samples(spark, d), ["job"], tie="event_id")
+
+
 @query("error_rate", with_views("""
 SELECT job, time_bucket(INTERVAL 5 MINUTES, ts) AS window_start,
        round(count(*) FILTER (WHERE regexp_matches(CAST(status AS VARCHAR), '^5..$')) / 300, 6) AS error_rate,
@@ -80,6 +101,23 @@ def latency_p95_raw(spark, d):
     return H.quantile_exact(V.requests(spark, d), ["job"])
 
 
+@query("latency_p95_sketch", with_views("""
+SELECT job, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n, true AS within
+FROM requests WHERE latency_s IS NOT NULL GROUP BY 1, 2""", "requests"))
+def latency_p95_sketch(spark, d):
+    """H3, mergeable: hourly p95 per job from stored 5-minute sketches; the rank of
+    each estimate among the raw values is within two in a hundred of 0.95."""
+    r = V.requests(spark, d)
+    est = H.sketch_quantile(H.quantile_sketches(r, ["job"]), ["job"])
+    hour = F.window("ts", "1 hour").getField("start").alias("window_start")
+    at = r.select("job", hour, "latency_s").join(est, ["job", "window_start"]).groupBy("job", "window_start", "n").agg(
+        F.count_if(F.col("latency_s") < F.col("quantile")).alias("below"),
+        F.count_if(F.col("latency_s") <= F.col("quantile")).alias("upto"))
+    n = F.col("n")
+    return at.select("job", "window_start", "n", ((F.col("below") <= (H.QUANTILE + 0.02) * n)
+                                                  & (F.col("upto") >= (H.QUANTILE - 0.02) * n)).alias("within"))
+
+
 @query("latency_p95_buckets", _p95_sql("5 MINUTES"))
 def latency_p95_buckets(spark, d):
     """H3 over bucket series: per pod and ``le`` the rate of the cumulative

@@ -27,12 +27,7 @@ def users(spark: SparkSession, d: str, max_nation: int = 20) -> DataFrame:
 
 def submissions(spark: SparkSession, d: str, with_text: bool = False) -> DataFrame:
     """orders as submissions; text from documents (same key) when asked for."""
-    o = read_table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("id"),
-        F.col("o_custkey").alias("user_id"),
-        F.col("o_orderpriority").alias("assignment_id"),
-        F.col("o_orderdate").alias("uploaded_at"),
-    )
+    o = submissions_from(read_table(spark, d, "orders"))
     if not with_text:
         return o
     docs = read_table(spark, d, "documents").select(
@@ -40,6 +35,16 @@ def submissions(spark: SparkSession, d: str, with_text: bool = False) -> DataFra
     return o.join(docs, "id", "left")
 
 
+def submissions_from(o: DataFrame) -> DataFrame:
+    """The submissions view over an orders DataFrame (batch or stream)."""
+    return o.select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_custkey").alias("user_id"),
+        F.col("o_orderpriority").alias("assignment_id"),
+        F.col("o_orderdate").alias("uploaded_at"),
+    )
+
+
 def submissions_with_length(spark: SparkSession, d: str) -> DataFrame:
     """Submissions with text_length (NULL without a text): the length is taken
     in the scan of the texts, so no text is shuffled for it."""

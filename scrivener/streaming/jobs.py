@@ -125,18 +125,3 @@ def first_batch(path: str, keys: list[str], order_cols: list[str]):
 def read_first(spark: SparkSession, path: str, keys: list[str], order_cols: list[str]) -> DataFrame:
     """First row per key of a :func:`first_batch` sink."""
     return MT.stored(spark, path, _first(keys, order_cols))
-
-
-def check_user_join(checks: DataFrame, submissions: DataFrame, max_delay: str = "6 hours",
-                    check_ts: str = "checked_at", upload_ts: str = "uploaded_at",
-                    watermark: str = "1 hour") -> DataFrame:
-    """C4 streaming form: stream-stream inner join of checks to their
-    submission (to learn the user), bounded in time so state can be purged:
-    a check must come within ``max_delay`` after its upload."""
-    c = event_time(checks, check_ts).withWatermark(check_ts, watermark).alias("c")
-    s = (event_time(submissions, upload_ts).withWatermark(upload_ts, watermark)
-         .select(F.col("id").alias("sub_id"), "user_id", upload_ts).alias("s"))
-    cond = ((F.col("c.submission_id") == F.col("s.sub_id"))
-            & (F.col(f"c.{check_ts}") >= F.col(f"s.{upload_ts}"))
-            & (F.col(f"c.{check_ts}") <= F.col(f"s.{upload_ts}") + F.expr(f"INTERVAL {max_delay}")))
-    return c.join(s, cond, "inner").drop("sub_id")

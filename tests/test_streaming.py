@@ -118,23 +118,6 @@ def test_kafka_options_only():
     assert opts["subscribe"] == "a,b" and opts["startingOffsets"] == "earliest"
 
 
-def test_check_user_stream_join(spark, tmp_dir):
-    t = dt.datetime(2024, 1, 1)
-    subs = spark.createDataFrame([(1, 10, t)], "id long, user_id long, uploaded_at timestamp")
-    chks = spark.createDataFrame([(1, 0.8, t + dt.timedelta(hours=1)), (2, 0.1, t)],
-                                 "submission_id long, internal_score double, checked_at timestamp")
-    sp, cp = os.path.join(tmp_dir, "subs"), os.path.join(tmp_dir, "chks")
-    subs.write.parquet(sp)
-    chks.write.parquet(cp)
-    j = J.check_user_join(spark.readStream.schema(chks.schema).parquet(cp),
-                          spark.readStream.schema(subs.schema).parquet(sp))
-    q = (j.writeStream.format("memory").queryName("cj").outputMode("append")
-         .option("checkpointLocation", os.path.join(tmp_dir, "ck2")).trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    rows = spark.sql("SELECT submission_id, user_id FROM cj").collect()
-    assert [(r.submission_id, r.user_id) for r in rows] == [(1, 10)]
-
-
 def test_stage_chain_enrich_windows_notify(spark, tmp_dir):
     """E5: raw topics -> enrich -> processed topics -> windows and notifications."""
     from scrivener import schemas
