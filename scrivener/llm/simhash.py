@@ -3,9 +3,12 @@
 Fingerprints (64 bits, over word shingles) that differ in at most
 ``MAX_BITS`` bits are linked; groups are the connected components.
 
-1. The 64 bits are cut into MAX_BITS + 1 blocks. Two linked fingerprints agree
-   on one block at least, so each distinct fingerprint goes to one bucket per
-   block (exact: no link is lost).
+1. The 64 bits are cut into n blocks, n > MAX_BITS. Two linked fingerprints
+   agree on n - MAX_BITS blocks at least, so each distinct fingerprint goes to
+   one bucket per choice of that many blocks (exact: no link is lost). n grows
+   with the number of fingerprints (``block_count``), so that a bucket of
+   unrelated ones stays within an index: 5 keys of 12 bits up to 16 million
+   fingerprints, 15 of 21 bits up to 8 thousand million, then 35 of 27.
 2. Buckets are sorted by the Gray rank of the fingerprint. Neighbours in that
    order differ in few bits, so runs of rows share masked bit patterns: each
    run of ``FANOUT`` rows gets a parent holding the bits all of them share,
@@ -29,12 +32,13 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,11 +176,27 @@ def _forest_edges(fp: np.ndarray, root: np.ndarray) -> pd.DataFrame:
 
 # ------------------------------------------------------------- over the cluster
 
-def blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 blocks that cover the 64 bits."""
-    n = radius + 1
+def block_keys(radius: int, n: int) -> list[tuple[tuple[int, int], ...]]:
+    """The choices of ``n`` - radius of the ``n`` blocks, each block as (shift, width)."""
     ends = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+    return list(combinations([(a, b - a) for a, b in zip(ends, ends[1:])], n - radius))
+
+
+def block_count(rows: int, radius: int, chunk: int = CHUNK) -> int:
+    """Fewest blocks whose keys spread ``rows`` fingerprints over buckets of
+    ``chunk`` rows on average (``radius`` + 4 blocks at most)."""
+    n = radius + 1
+    while n < radius + 4 and rows > chunk << min(sum(w for _, w in k) for k in block_keys(radius, n)):
+        n += 1
+    return n
+
+
+def bucket_of(fp: Column, index: int, key: tuple[tuple[int, int], ...]) -> Column:
+    """Bucket of a fingerprint under one key: the key's number, then its bits."""
+    out = F.lit(0).cast("long")
+    for shift, width in key:
+        out = F.shiftleft(out, width) + F.shiftrightunsigned(fp, shift).bitwiseAND((1 << width) - 1)
+    return out + F.lit(index << 48)
 
 
 _CHUNKED = "kind int, bucket long, chunk long, fp long, ones long, some long"
@@ -301,16 +321,14 @@ def _pair_links(radius: int):
 def links(fps: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) whose components are those of all links among the distinct
     fingerprints ``fps`` (column fp)."""
-    copies = F.array(*[F.struct(F.lit(i).cast("long").alias("block"),
-                                (F.lit(i).cast("long") * F.lit(1 << 16)
-                                 + F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1)).alias("bucket"))
-                       for i, (s, w) in enumerate(blocks(radius))])
+    keys = block_keys(radius, block_count(fps.count(), radius, chunk))
+    copies = F.array(*[bucket_of(F.col("fp"), i, k) for i, k in enumerate(keys)])
     rank = F.col("fp")
     for s in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
         fps = fps.withColumn("gray", rank)
         rank = F.col("gray")
-    rows = (fps.withColumn("at", F.explode(copies)).select("at.bucket", "gray", "fp")
+    rows = (fps.select(F.explode(copies).alias("bucket"), "gray", "fp")
             .repartitionByRange(slots(fps.sparkSession), "bucket", "gray")
             .sortWithinPartitions("bucket", "gray"))
     done = stored(rows.mapInPandas(_chunks(radius, chunk), _CHUNKED), "chunks")
@@ -329,10 +347,10 @@ def links(fps: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
     return edges.union(across)
 
 
-def _classes(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int) -> DataFrame:
-    """(doc_id, fp, root, component_id) per row; root is the group's least fingerprint."""
+def _classes(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int, *more: Column) -> DataFrame:
+    """(doc_id, more, fp, root, component_id) per row; root is the group's least fingerprint."""
     narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
-                         F.col(f"`{text}`").cast("string").alias("text"))
+                         F.col(f"`{text}`").cast("string").alias("text"), *more)
     fps = stored(add_fingerprint(narrow, "text", "fp", shingle).drop("text"), "fingerprints")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fp")
     nodes = components(links(distinct.select("fp"), radius))
@@ -355,12 +373,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
              shingle: int = SHINGLE, radius: int = MAX_BITS) -> DataFrame:
     """One document of each group, with all its columns: a row that carries
     the group's smallest id (one of them, if rows repeat it)."""
-    best = (_classes(docs, doc_id, text, shingle, radius)
+    body = F.xxhash64(F.col(f"`{text}`").cast("string"))     # tells rows of one id apart
+    best = (_classes(docs, doc_id, text, shingle, radius, body.alias("body"))
             .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("root").agg(F.min("fp").alias("fp"), F.first("component_id").alias("id")))
-    fp, key, kfp = fresh(docs, "fp"), fresh(docs, "key"), fresh(docs, "key_fp")
-    best = best.select(F.col("id").alias(key), F.col("fp").alias(kfp)).hint("shuffle_merge")
-    rows = add_fingerprint(docs, text, fp, shingle)
-    picked = rows.join(best, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(key))
-                       & (F.col(fp) == F.col(kfp)), "left_semi")
-    return picked.dropDuplicates([doc_id, fp]).drop(fp)
+            .groupBy("root").agg(F.min(F.struct("fp", "body")).alias("row"), F.first("component_id").alias("id")))
+    mark, key, kbody = fresh(docs, "body"), fresh(docs, "key"), fresh(docs, "key_body")
+    best = best.select(F.col("id").alias(key), F.col("row.body").alias(kbody)).hint("shuffle_merge")
+    picked = docs.withColumn(mark, body).join(
+        best, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(key)) & (F.col(mark) == F.col(kbody)), "left_semi")
+    return picked.dropDuplicates([doc_id, mark]).drop(mark)
