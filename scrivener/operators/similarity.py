@@ -9,18 +9,20 @@ Shingles are distinct lower-cased word 5-grams of the whole text. Scores:
   suspicious passages; ``shared_passages`` merges them into runs of words with
   their place and a source document.
 
-Internal overlap needs no document pairs. Grouping shingles by their key and
-keeping ``min(doc)`` and ``max(doc)`` tells whether a shingle is unique
-(min == max, owned by that doc) or shared. Both are ordinary aggregates, so
-they are combined map-side: a shingle present in a third of all documents
-reaches its reducer as one partial row per map task, and nothing quadratic
-is ever produced. Shingle keys are two independent hashes (96 bits), which
-keeps shuffles small and makes collisions negligible even at 10^12 shingles.
+Internal overlap needs no document pairs. The rows (document, shingle key) are
+dealt by the key once; a window over each key tells the lowest and highest
+document that has it, so whether it is shared. Nothing is combined before that
+exchange (nearly all shingles are rare, so combining would only spill), no row is
+joined back to its key, and a shingle's text never leaves its document: rows carry
+where the shingle stands in its text, and what is shared is cut from the text at
+the end. The exchange has some partitions for each one of the scan, so that what a
+task sorts stays small as the input grows. Shingle keys are two independent hashes
+(96 bits), which makes collisions negligible even at 10^12 shingles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivener.functions import scoring
@@ -29,6 +31,8 @@ from scrivener.operators.base import shuffle_join
 
 SHINGLE_WORDS = 5
 KEY = ["h1", "h2"]
+DEAL = 16                # reducers for each partition of the scan (128 MB of files, some 33 million shingles)
+PLACE = 1 << 32          # a place: the hash of the text, and where in its list a shingle stands
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -58,40 +62,62 @@ def explode_shingles(sets: DataFrame, keep_text: bool = False, keep_empty: bool
     return e.select(*cols)
 
 
-def shingle_owners(rows: DataFrame) -> DataFrame:
-    """Per shingle key: lowest and highest document holding it."""
-    return rows.groupBy(*KEY).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+def reducers(docs: DataFrame) -> int:
+    """Partitions for an exchange of the shingles of ``docs``. Grows with the files."""
+    return DEAL * docs.rdd.getNumPartitions()
 
 
-def _per_doc_counts(g: DataFrame, extra=()) -> DataFrame:
-    """One consumer of the grouping-sets aggregate ``g`` (so column pruning
-    cannot split it into two scans): document rows give the totals, unique
-    shingle rows (lo == hi) count for their owner; one aggregate by doc."""
-    doc_rows = F.col("_g") == 6
-    unique_rows = (F.col("_g") == 1) & F.col("h1").isNotNull() & (F.col("lo") == F.col("hi"))
-    return (g.where(doc_rows | unique_rows)
-            .groupBy(F.when(doc_rows, F.col("doc_id")).otherwise(F.col("lo")).alias("doc_id"))
-            .agg(F.max(F.when(doc_rows, F.col("n"))).alias("n_shingles"),
-                 F.count_if(unique_rows).alias("n_unique"),
-                 *[F.max(F.when(doc_rows, F.col(c))).alias(c) for c in extra]))
+def dealt(rows: DataFrame, n: int, *cols: str) -> DataFrame:
+    """``rows`` dealt by ``cols`` over ``n`` partitions, or the session's number if
+    that is more."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *cols) if n > least else rows.repartition(*cols)
+
+
+def placed_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    n: int = SHINGLE_WORDS, place: bool = False) -> DataFrame:
+    """(doc_id, n, h1, h2): per row of ``docs`` one row with its number of distinct
+    shingles and one per distinct shingle (n null), from one pass over the texts.
+    With ``place`` shingles also have ``place``, see :func:`flagged_of`. The rows
+    with the numbers have no key; in h1 is a hash of the document, to deal them."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sets = docs.select(F.col(id_col).alias("doc_id"), F.hash(text).alias("tk"),
+                       F.array_distinct(word_shingles(text, n)).alias("shingles"))
+    two = sets.select("doc_id", "tk", F.size("shingles").cast("long").alias("n"),
+                      F.array(F.lit(None).cast("string")).alias("total"), "shingles")
+    rows = two.unpivot(["doc_id", "tk", "n"], ["total", "shingles"], "kind", "s").select(
+        "doc_id", "tk", "n", F.posexplode("s").alias("at", "shingle"))
+    has = F.col("shingle").isNotNull()
+    cols = ["doc_id", F.when(~has, F.col("n")).alias("n"),
+            F.when(has, F.xxhash64("shingle")).otherwise(F.xxhash64("doc_id")).alias("h1"),
+            F.when(has, F.hash("shingle")).alias("h2")]
+    if place:
+        cols.append(F.when(has, F.col("tk") * F.lit(PLACE) + F.col("at")).alias("place"))
+    return rows.select(*cols)
+
+
+def with_owners(rows: DataFrame) -> DataFrame:
+    """Rows dealt by shingle key, with the lowest and highest document that has
+    the shingle (``lo``, ``hi``) and ``alone``: true for one row of each shingle
+    that a single document has."""
+    key = Window.partitionBy(*KEY).orderBy(F.col("doc_id").asc_nulls_last())
+    whole = key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = rows.withColumns({"lo": F.min("doc_id").over(whole), "hi": F.max("doc_id").over(whole),
+                            "_r": F.row_number().over(key)})
+    return own.withColumn("alone", F.coalesce((F.col("lo") == F.col("hi")) & (F.col("_r") == 1), F.lit(False))).drop("_r")
 
 
 def internal_similarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, internal_score). Texts under 5 words score 0.
 
-    One scan, two shuffles: ``GROUPING SETS ((h1, h2), (doc_id))`` gives per
-    shingle its owner range and per document its shingle count; a second
-    aggregate by document adds up its unique shingles next to its total."""
-    rows = explode_shingles(shingle_sets(docs, id_col, text_col), keep_empty=True)
-    g = rows.groupingSets([["h1", "h2"], ["doc_id"]], "h1", "h2", "doc_id").agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
-        F.count("h1").alias("n"), F.grouping_id().alias("_g"))
-    # grouping_id: 1 = grouped by (h1, h2), doc_id aggregated; 6 = by doc_id.
-    per_doc = _per_doc_counts(g)
+    One scan, two shuffles: by shingle key, and the counts by document."""
+    rows = with_owners(dealt(placed_shingles(docs, id_col, text_col), reducers(docs), *KEY))
+    total, shared = F.col("n").isNotNull(), F.col("n").isNull() & ~F.col("alone")
+    per_doc = rows.where(total | shared).groupBy("doc_id").agg(
+        F.sum("n").alias("n_shingles"), F.count_if(shared).alias("n_shared"))
     n = F.col("n_shingles")
-    shared = n - F.col("n_unique")
     return per_doc.select("doc_id", "n_shingles",
-                          F.when(n > 0, shared / n).otherwise(F.lit(0.0)).alias("internal_score"))
+                          F.when(n > 0, F.col("n_shared") / n).otherwise(F.lit(0.0)).alias("internal_score"))
 
 
 def reference_shingles(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -120,18 +146,35 @@ def external_similarity(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_i
                           F.when(n > 0, m / n).otherwise(F.lit(0.0)).alias("external_score"))
 
 
+def _with_texts(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """``rows`` and the texts of ``docs`` (``text``: hash and text), dealt by document."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.struct(F.hash(text).alias("tk"), text.alias("t")).alias("text"))
+    return dealt(rows.unionByName(texts, allowMissingColumns=True), n, "doc_id")
+
+
+def flagged_of(texts: str, places: str, n: int = SHINGLE_WORDS) -> Column:
+    """The shingles at ``places``, in order: a place holds the hash of its text
+    (an id may stand for several) and the position in the text's distinct shingles."""
+    lists = F.transform(texts, lambda t: F.struct(t["tk"].alias("tk"), F.array_distinct(word_shingles(t["t"], n)).alias("s")))
+    cut = F.transform(lists, lambda t: F.transform(
+        F.filter(places, lambda p: F.shiftright(p, 32) == t["tk"]),
+        lambda p: F.get(t["s"], p.bitwiseAND(F.lit(PLACE - 1)).cast("int"))))
+    return F.when(F.size(places) > 0, F.sort_array(F.flatten(cut))).otherwise(F.array().cast("array<string>"))
+
+
 def flagged_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shared, flagged_sections) for documents sharing text.
 
-    Shared keys come from the owner aggregate; the join back to the
-    document rows is on the shingle key (AQE splits a hot key). A document's
-    list is at most its own words."""
-    sets = shingle_sets(docs, id_col, text_col)
-    rows = explode_shingles(sets, keep_text=True)
-    shared = shingle_owners(rows.select("doc_id", *KEY)).where(F.col("lo") != F.col("hi")).select(*KEY)
-    hit = rows.join(shuffle_join(shared), KEY)
-    return hit.groupBy("doc_id").agg(F.sort_array(F.collect_list("shingle")).alias("flagged_sections")).select(
-        "doc_id", F.size("flagged_sections").cast("bigint").alias("n_shared"), "flagged_sections")
+    The places of shared shingles are dealt by document together with the texts,
+    each text once. A document's list is at most its own words."""
+    n = reducers(docs)
+    rows = with_owners(dealt(placed_shingles(docs, id_col, text_col, place=True).where("n IS NULL"), n, *KEY))
+    hits = rows.where(F.col("lo") != F.col("hi")).select("doc_id", "place")
+    per_doc = _with_texts(hits, docs, id_col, text_col, n).groupBy("doc_id").agg(
+        F.collect_list("place").alias("places"), F.collect_set("text").alias("texts"))
+    return per_doc.where(F.size("places") > 0).select(
+        "doc_id", F.size("places").cast("bigint").alias("n_shared"), flagged_of("texts", "places").alias("flagged_sections"))
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -153,9 +196,12 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = own.select("doc_id", F.posexplode(word_shingles(F.col("_text"), n)).alias("at", "shingle")).select(
         "doc_id", "at", F.xxhash64("shingle").alias("h1"), F.hash("shingle").alias("h2"))
-    owners = shingle_owners(rows).where(F.col("lo") != F.col("hi"))
-    hit = rows.join(shuffle_join(owners), KEY).select(
-        "doc_id", "at", F.when(F.col("doc_id") != F.col("lo"), F.col("lo")).otherwise(F.col("hi")).alias("source_id"))
+    parts = reducers(docs)
+    key = Window.partitionBy(*KEY)
+    owned = dealt(rows, parts, *KEY).withColumns({"lo": F.min("doc_id").over(key), "hi": F.max("doc_id").over(key)})
+    hit = dealt(owned.where(F.col("lo") != F.col("hi")).select(
+        "doc_id", "at", F.when(F.col("doc_id") != F.col("lo"), F.col("lo")).otherwise(F.col("hi")).alias("source_id")),
+        parts, "doc_id")
     in_order = Window.partitionBy("doc_id").orderBy("at")
     apart = F.coalesce(F.col("at") - F.lag("at").over(in_order) >= n, F.lit(True)).cast("int")
     runs = hit.withColumn("_new", apart).withColumn(
@@ -179,30 +225,29 @@ def score_documents(docs: DataFrame, corpus: DataFrame, ai_col: str | None = Non
     """B7 over documents in one plan: internal and external overlap, flagged
     sections and the derived severity / review / AI flags.
 
-    One exploded row set feeds everything: a left join marks outside-corpus
-    hits, one ``GROUPING SETS`` aggregate gives per shingle its owner range
-    and per document its totals and hits, and only the flagged sections
-    read the rows again (joined to the shared keys).
+    One row set feeds everything, dealt by shingle once: a left join marks
+    outside-corpus hits and a window tells the owners; what counts for a document
+    (totals, shared shingles, hits) is dealt by document, with the texts that the
+    flagged sections are cut from.
     """
-    rows = explode_shingles(shingle_sets(docs), keep_text=True, keep_empty=True)
+    parts = reducers(docs)
+    rows = dealt(placed_shingles(docs, place=True), parts, *KEY)
     ref = reference_shingles(corpus, corpus_id, corpus_text).withColumn("_hit", F.lit(1))
-    marked = rows.join(ref, KEY, "left")
-    g = marked.groupingSets([["h1", "h2"], ["doc_id"]], "h1", "h2", "doc_id").agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
-        F.count("h1").alias("n"), F.count("_hit").alias("m"), F.grouping_id().alias("_g"))
-    per_doc = _per_doc_counts(g, extra=("m",)).withColumnRenamed("n_shingles", "n")
-    shared = g.where((F.col("_g") == 1) & F.col("h1").isNotNull()
-                     & (F.col("lo") != F.col("hi"))).select(*KEY)
-    flagged = (rows.where(F.col("h1").isNotNull()).join(shuffle_join(shared), KEY)
-               .groupBy("doc_id").agg(F.sort_array(F.collect_list("shingle")).alias("_s")))
+    marked = with_owners(rows.join(ref, KEY, "left"))
+    total, shared = F.col("n").isNotNull(), F.col("n").isNull() & ~F.col("alone")
+    few = marked.where(total | shared | F.col("_hit").isNotNull()).select(
+        "doc_id", "n", F.when(F.col("lo") != F.col("hi"), F.col("place")).alias("place"),
+        F.when(shared, F.lit(1)).alias("_shared"), "_hit")
+    per_doc = _with_texts(few, docs, "doc_id", "text", parts).groupBy("doc_id").agg(
+        F.sum("n").alias("n"), F.count("_shared").alias("n_shared"), F.count("_hit").alias("m"),
+        F.collect_list(F.when(F.col("doc_id").isNotNull(), F.col("place"))).alias("places"),
+        F.collect_set("text").alias("texts"))
     n = F.col("n")
-    j = (per_doc.join(shuffle_join(flagged), "doc_id", "left")
-         .withColumns({
-             "internal_score": F.when(n > 0, (n - F.col("n_unique")) / n)
-                                .otherwise(F.lit(0.0)),
-             "external_score": F.when(n > 0, F.col("m") / n).otherwise(F.lit(0.0)),
-             "flagged_sections": F.coalesce("_s", F.array().cast("array<string>")),
-         }))
+    j = per_doc.withColumns({
+        "internal_score": F.when(n > 0, F.col("n_shared") / n).otherwise(F.lit(0.0)),
+        "external_score": F.when(n > 0, F.col("m") / n).otherwise(F.lit(0.0)),
+        "flagged_sections": flagged_of("texts", "places"),
+    })
     if ai_col:
         j = j.join(docs.select(F.col("doc_id"), F.col(ai_col).alias("ai_generated_probability")),
                    "doc_id", "left")
