@@ -9,11 +9,11 @@ letters with a doubled one is decoded only if its letters, each run taken as
 one, are those of a marked word: no reading of another could count. A look-alike
 beside the very letter it stands for (1i) reads as two letters.
 
-Training, on about ``TRAIN_DOCS`` labelled documents at most (chosen by a hash of the
-id, a documented bound): words counted once per document and class give the
-trigram model and the log-odds of words that mark toxic documents; a logistic
-fit of the summed log-odds makes it a probability. Counting is a Spark
-aggregate over words of any length. The strongest ``MAX_WORDS`` words and the
+Training, on all labelled documents but the held-out fold: words counted once per
+document and class give the trigram model and the log-odds of words that mark
+toxic documents; a logistic fit of the summed log-odds makes it a probability.
+Counting is a Spark aggregate over words of any length, and so are the sums of
+each step of the fit. The strongest ``MAX_WORDS`` words and the
 commonest ``MAX_GRAMS`` trigrams reach the driver; the trigrams beyond these
 count in the shorter contexts that the model backs off to (as many bigrams, and
 all single characters).
@@ -37,9 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import hash_sample, stored
+from scrivener.llm.common import stored
 
-TRAIN_DOCS = 20_000
 MAX_WORDS = 4_096
 MAX_GRAMS = 60_000
 MIN_DOCS = 4             # documents a marked word is in, at least
@@ -214,9 +213,9 @@ def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()
                           & (fold(F.col("doc_id"), 5) != 0))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    known = hash_sample(known, "doc_id", TRAIN_DOCS, "toxic").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("long").alias("toxic"))
+    known = known.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("long").alias("toxic"))
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("text", "toxic")
+    return texts.join(known, F.col("_doc") == F.col("_id")).select("text", "toxic")
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -304,21 +303,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([raw.raw(x) for x in b.column(0).to_pylist()], pa.float64()), b.column(1)], ["x", "y"])
 
-    rows = train.mapInArrow(run, "x double, y long").groupBy("x", "y").count().orderBy("x", "y").collect()
-    x, y, k = (np.array([float(r[c]) for r in rows]) for c in ("x", "y", "count"))
-    slope, bias = logistic(x, y, k, n, bad)
+    rows = stored(train.mapInArrow(run, "x double, y long").groupBy("x", "y").agg(F.count(F.lit(1)).alias("k")), "toxic-logits")
+    slope, bias = logistic(rows, n, bad)
     return grams, weights, slope, bias
 
 
-def logistic(x: np.ndarray, y: np.ndarray, k: np.ndarray, n: int, bad: int) -> tuple[float, float]:
-    """Weighted one-feature logistic fit (Newton), with smoothed targets."""
-    y = np.where(y > 0, (bad + 1) / (bad + 2), 1 / (n - bad + 2))
+def logistic(rows: DataFrame, n: int, bad: int) -> tuple[float, float]:
+    """One-feature logistic fit (Newton) of (x, y, times), with smoothed targets.
+    Each step is one aggregate; only its sums reach the driver."""
+    x, k = F.col("x"), F.col("k")
+    y = F.when(F.col("y") > 0, (bad + 1) / (bad + 2)).otherwise(1 / (n - bad + 2))
     w = np.zeros(2)
-    f = np.stack([x, np.ones_like(x)], 1)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
-        h = (f * (k * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ f + np.eye(2) * 1e-2
-        step = np.linalg.solve(h, f.T @ (k * (y - p)) - 1e-2 * w)
+        z = x * float(w[0]) + float(w[1])
+        p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+        h, r = k * F.greatest(p * (1 - p), F.lit(1e-9)), k * (y - p)
+        s = rows.select(x, h.alias("h"), r.alias("r")).agg(
+            *[F.sum(c).alias(name) for name, c in (("hxx", F.col("h") * x * x), ("hx", F.col("h") * x), ("h", F.col("h")),
+                                                   ("rx", F.col("r") * x), ("r", F.col("r")))]).first()
+        curve = np.array([[s["hxx"], s["hx"]], [s["hx"], s["h"]]]) + np.eye(2) * 1e-2
+        step = np.linalg.solve(curve, np.array([s["rx"], s["r"]]) - 1e-2 * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
