@@ -52,17 +52,6 @@ def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hash_sample(ids: DataFrame, key: str, size: int, salt: str) -> DataFrame:
-    """About ``size`` of the rows of ``ids`` (all, if there are fewer), the same
-    ones each time: those whose hash of ``key`` falls below a share. Nothing is
-    sorted, so no task or driver holds more than its own rows."""
-    n = ids.count()
-    if n <= size:
-        return ids
-    steps = 1 << 40
-    return ids.where(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(steps)) < int(size / n * steps))
-
-
 def commonest(counts: DataFrame, limit: int) -> dict[str, int]:
     """The commonest words of ``counts`` (word, n), ``limit`` at most, commonest
     first; words over ``WORD_CHARS`` characters are passed over, so that the

@@ -1,17 +1,16 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney
 trigram model of trusted text.
 
-Trusted text is a sample of about ``TRUSTED_DOCS`` documents at most, labelled good,
-from four folds of five (both by a hash of the id; the documented bound of the
-model). Trigrams are counted
+Trusted text is all documents labelled good, from four folds of five (by a hash of
+the id; the fifth gives the thresholds). Trigrams are counted
 and joined with their context counts and lower orders as DataFrames, giving a
 probability for each seen trigram and bigram and a back-off weight for each
 context. Words seen once stand for unknown words (with those beyond the
 ``VOCABULARY`` commonest, and very long ones); an unknown word costs its share
 among them, so text of odd strings is unlikely text.
 
-Scoring joins the trigrams of every document with the count tables shard by
-shard: all tables are split by the middle word (the last word of the context),
+Every document is turned into word ids once. Scoring joins its trigrams with the
+count tables shard by shard: all tables are split by the middle word (the last word of the context),
 which a trigram, its bigram and both back-off weights have in common. One
 shard, of at most ``SHARD_ROWS`` rows, is broadcast at a time, and adds its part
 of each document's log-probability; no n-gram is ever shuffled, so frequent
@@ -39,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import commonest, hash_sample, stored
+from scrivener.llm.common import commonest, stored
 
-TRUSTED_DOCS = 4_000
 SHARD_ROWS = 4_000_000
 STEP_WORDS = 1 << 20     # words scored together
+HELD_GRAMS = 500_000     # trigrams a task counts before it passes them on
 QUANTILE = 0.005
 MIN_TRUSTED = 50
 UNKNOWN, BEGIN, FINISH, FIRST_WORD = 0, 1, 2, 3
@@ -56,10 +55,9 @@ def tokens(text: str | None) -> list[str]:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Ids of the documents the model is trained on (about TRUSTED_DOCS at most)."""
+    """Ids of the documents the model is trained on."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    good = good.where(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) != 0)
-    return hash_sample(good, "doc_id", TRUSTED_DOCS, "trusted")
+    return good.where(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) != 0)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,15 +70,22 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grams(ids: dict[str, int]):
+    def flush(c: Counter) -> pa.RecordBatch:
+        k = np.array(list(c), dtype=np.int64).reshape(-1, 3)
+        out = pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(k[:, 2]),
+                                          pa.array(list(c.values()), pa.int64())], ["u", "v", "w", "n"])
+        c.clear()
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
         for b in batches:
             for t in b.column(0):
                 s = [BEGIN, BEGIN, *[ids.get(w, UNKNOWN) for w in tokens(t.as_py())], FINISH]
                 c.update(zip(s, s[1:], s[2:]))
-        k = np.array(list(c), dtype=np.int64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(k[:, 2]),
-                                          pa.array(list(c.values()), pa.int64())], ["u", "v", "w", "n"])
+                if len(c) > HELD_GRAMS:
+                    yield flush(c)
+        yield flush(c)
     return run
 
 
@@ -111,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The model as DataFrames: p3, g3, p2, g2, p1 (log10), plus the ids."""
     mine = trusted_ids(labels).withColumnRenamed("doc_id", "_id")
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text"))
-    trusted = stored(texts.join(F.broadcast(mine), F.col("_doc") == F.col("_id"), "left_semi").select("text"), "trusted")
+    trusted = stored(texts.join(mine, F.col("_doc") == F.col("_id"), "left_semi").select("text"), "trusted")
     words = trusted.mapInArrow(_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     words = stored(words, "trusted-words")
     listed = commonest(words.where("n > 1").withColumnRenamed("w", "word"), VOCABULARY)
@@ -131,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     row = _contexts(uni, [], d1).first()
     n_words = len(ids) + 2
     p1 = uni.select("w", (_left(d1) / row["total"] + row["back"] / n_words).alias("p1"))
-    g2, g3 = _contexts(bi, ["v"], d2), _contexts(tri, ["u", "v"], d3)
+    g2, g3 = stored(_contexts(bi, ["v"], d2), "g2"), stored(_contexts(tri, ["u", "v"], d3), "g3")
     p2 = stored(bi.join(g2, "v").join(p1, "w").select(
         "v", "w", (_left(d2) / F.col("total") + F.col("back") * F.col("p1")).alias("p2")), "p2")
     p3 = stored(tri.join(g3, ["u", "v"]).join(p2, ["v", "w"]).select(
@@ -208,24 +213,35 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                       F.col(f"`{lang}`").cast("string").alias("lang"),
                       F.col(f"`{text}`").cast("string").alias("text"),
-                      F.monotonically_increasing_id().alias("row"))       # the same in each pass over the files
+                      F.monotonically_increasing_id().alias("row"))
     rows = sum(model[k].count() for k in ("p3", "g3", "p2"))
     shards = max(1, math.ceil(rows / shard_rows))
     ids = model["ids"]
     known = np.zeros(len(ids) + FIRST_WORD, dtype=bool)
     known[[r["v"] for r in model["g2"].select("v").collect()]] = True       # at most the vocabulary
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts as word ids between their marks."""
+        get = ids.get
+        for b in batches:
+            n, own = [], []
+            for t in b.column(2):
+                s = [BEGIN, BEGIN, *[get(w, UNKNOWN) for w in tokens(t.as_py())], FINISH]
+                n.append(len(s) - 2)
+                own.append(np.array(s, dtype=np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(0), b.column(1), pa.array(n, pa.int64()),
+                                              pa.array(own, pa.binary())], ["row", "doc_id", "lang", "n_tokens", "ids"])
+
     def part(i: int):
         shard = Shard(model, i, shards)
         shard.known = known
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            get = ids.get
             for b in batches:
-                n, x, flat = [], [], []
+                x, flat, held = [], [], 0
 
                 def flush() -> None:
-                    s = np.array(flat, dtype=np.int64)
+                    s = np.frombuffer(b"".join(flat), dtype=np.int32).astype(np.int64)
                     end = np.flatnonzero(s[2:] == FINISH)
                     logs = shard.log10(s[:-2], s[1:-1], s[2:], i == 0)
                     # what would span two texts is the two begin marks after each end
@@ -234,20 +250,23 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
                     x.extend(np.diff(total, prepend=0.0).tolist())
                     flat.clear()
 
-                for t in b.column(2):
-                    own = [get(w, UNKNOWN) for w in tokens(t.as_py())]
-                    n.append(len(own) + 1)
-                    flat += [BEGIN, BEGIN, *own, FINISH]
-                    if len(flat) > STEP_WORDS:
+                for t in b.column(4):
+                    flat.append(t.as_py())
+                    held += len(flat[-1])
+                    if held > 4 * STEP_WORDS:
                         flush()
+                        held = 0
                 if flat:
                     flush()
-                yield pa.RecordBatch.from_arrays([b.column(3), b.column(0), b.column(1), pa.array(n, pa.int64()),
-                                                  pa.array(x, pa.float64())], ["row", "doc_id", "lang", "n_tokens", "x"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(x, pa.float64())],
+                                                 ["row", "doc_id", "lang", "n_tokens", "x"])
         return run
 
     schema = "row long, doc_id long, lang string, n_tokens long, x double"
-    parts = [src.mapInArrow(part(i), schema) for i in range(shards)]
+    coded = src.mapInArrow(encode, "row long, doc_id long, lang string, n_tokens long, ids binary")
+    if shards > 1:          # read once for each shard
+        coded = stored(coded, "word-ids")
+    parts = [coded.mapInArrow(part(i), schema) for i in range(shards)]
     if shards == 1:
         return parts[0].withColumnRenamed("x", "log10_prob")
     return reduce(DataFrame.union, parts).groupBy("row").agg(
@@ -267,7 +286,7 @@ def classify(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id")).distinct()
     trained = trusted_ids(labels).withColumnRenamed("doc_id", "_id")
     fresh = (rows.join(good, F.col("doc_id") == F.col("_id"), "left_semi")
-             .join(F.broadcast(trained), F.col("doc_id") == F.col("_id"), "left_anti"))
+             .join(trained, F.col("doc_id") == F.col("_id"), "left_anti"))
     key = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("!"))
     cut = F.percentile_approx("per_token", QUANTILE, 10_000)
     every = fresh.agg(cut.alias("cut")).first()["cut"]
