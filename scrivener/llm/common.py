@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrivener.session import checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"     # a word: a run of anything but ASCII white space
 WORD_CHARS = 64                 # longest word that is handed to all tasks
+ID_BITS = 1 << 26               # of a filter of ids: 8 MB, whatever their number
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def near_ids(df: DataFrame, key: str, ids: DataFrame, bits: int = ID_BITS) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among ``ids`` (one column), and a few
+    more: those that fall on a bit of one. To be put before a shuffle join, which
+    then deals out the rows that it keeps, not the texts of all. Ids of different
+    types, or of types whose equal values differ in bytes, are not told apart."""
+    kind = ids.schema[0].dataType
+    if kind != df.schema[key].dataType or not isinstance(kind, (T.LongType, T.IntegerType, T.StringType)):
+        return df
+    spot, at = (F.pmod(F.xxhash64(F.col(c)), F.lit(bits)) for c in (ids.columns[0], key))
+    block, held = fresh(df, "block"), fresh(df, "bits")
+    rows = ids.groupBy(F.bitmap_bucket_number(spot).alias(block)).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias(held))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col(held), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return df.withColumn(block, F.bitmap_bucket_number(at)).join(F.broadcast(rows), block).where(
+        F.getbit(byte, (place % 8).cast("int")) == 1).select(*df.columns)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have (names are case-insensitive)."""
     taken = {c.lower() for c in df.columns}

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import commonest, stored
+from scrivener.llm.common import commonest, near_ids, stored
 
 SHARD_ROWS = 4_000_000
 STEP_WORDS = 1 << 20     # words scored together
@@ -116,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The model as DataFrames: p3, g3, p2, g2, p1 (log10), plus the ids."""
     mine = trusted_ids(labels).withColumnRenamed("doc_id", "_id")
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text"))
-    trusted = stored(texts.join(mine, F.col("_doc") == F.col("_id"), "left_semi").select("text"), "trusted")
+    texts = near_ids(texts, "_doc", mine)
+    trusted = stored(texts.join(mine.hint("merge"), F.col("_doc") == F.col("_id"), "left_semi").select("text"), "trusted")
     words = trusted.mapInArrow(_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     words = stored(words, "trusted-words")
     listed = commonest(words.where("n > 1").withColumnRenamed("w", "word"), VOCABULARY)

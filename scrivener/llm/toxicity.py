@@ -9,7 +9,8 @@ letters with a doubled one is decoded only if its letters, each run taken as
 one, are those of a marked word: no reading of another could count. A look-alike
 beside the very letter it stands for (1i) reads as two letters.
 
-Training, on all labelled documents but the held-out fold: words counted once per
+Training, on all labelled documents but the held-out fold (only their texts are
+dealt out to meet their labels): words counted once per
 document and class give the trigram model and the log-odds of words that mark
 toxic documents; a logistic fit of the summed log-odds makes it a probability.
 Counting is a Spark aggregate over words of any length, and so are the sums of
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import stored
+from scrivener.llm.common import near_ids, stored
 
 MAX_WORDS = 4_096
 MAX_GRAMS = 60_000
@@ -215,7 +216,8 @@ def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     known = known.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("long").alias("toxic"))
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text"))
-    return texts.join(known, F.col("_doc") == F.col("_id")).select("text", "toxic")
+    texts = near_ids(texts, "_doc", known.select("_id"))
+    return texts.join(known.hint("merge"), F.col("_doc") == F.col("_id")).select("text", "toxic")
 
 
 def count_words(train: DataFrame) -> DataFrame:
