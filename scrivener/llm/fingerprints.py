@@ -28,13 +28,14 @@ only id and text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,81 +44,170 @@ from pyspark.sql import types as T
 from scrivener.llm.common import fresh, slots
 
 SAMPLES = 128
-ROOM = 1 << 17            # (term, weight) pairs whose draws a task remembers (128 MB)
-LONG = 64                 # bytes above which a remembered term is replaced by its digest
+ROOM = 1 << 18            # (term, weight) pairs whose draws a Python worker remembers (256 MB)
+GROUP = 1 << 21           # bytes of text whose words are looked up together
+SLICE = 8192              # draws that are made at a time
+NOTHING = np.iinfo(np.int64).max
 FIRST = -(1 << 63)        # stands for a null id
 
 _U = np.uint64
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Finaliser of splitmix64."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def uniform(x: np.ndarray, at: int) -> np.ndarray:
-    """21 of the 64 bits, as a number strictly between 0 and 1."""
-    return (((x >> _U(21 * at)) & _U((1 << 21) - 1)).astype(np.float64) + 0.5) / (1 << 21)
-
-
-def draws(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+def mixed(x: np.ndarray, spare: np.ndarray | None = None) -> np.ndarray:
+    """Finaliser of splitmix64. With ``spare``, an array alike, ``x`` itself is changed."""
+    if spare is None:
+        x, spare = x.copy(), np.empty_like(x)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        np.right_shift(x, _U(shift), out=spare)
+        x ^= spare
+        x *= _U(factor)
+    np.right_shift(x, _U(31), out=spare)
+    x ^= spare
+    return x
+
+
+def odd(x: np.ndarray, at: int, out: np.ndarray) -> np.ndarray:
+    """21 of the 64 bits, doubled and one more: 2**22 times a number strictly
+    between 0 and 1."""
+    if at:
+        np.right_shift(x, _U(21 * at - 1), out=out)
+    else:
+        np.left_shift(x, _U(1), out=out)
+    out |= _U(1)
+    out &= _U((1 << 22) - 1)
+    return out
+
+
+def log_of_two(x: np.ndarray, spare: tuple[np.ndarray, np.ndarray], out: np.ndarray) -> np.ndarray:
+    """Logarithm of the product of the first two numbers of ``x``; the product is exact."""
+    product = odd(x, 0, spare[0])
+    product *= odd(x, 1, spare[1])
+    np.multiply(product.view(np.int64), 2.0 ** -44, out=out)
+    return np.log(out, out=out)
+
+
+def draws(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, out: np.ndarray | None = None) -> np.ndarray:
     """One integer per (term hash, draw): the value to be least in the upper
-    bits, the hash of (term, t) in the lower 32."""
+    bits, the hash of (term, t) in the lower 32. Some terms at a time and in
+    place, so that all arrays stay in a core's cache."""
+    if out is None:
+        out = np.empty((len(terms), samples), np.int64)
+    some = max(1, min(len(terms), SLICE // samples))
+    room = [np.empty((some, samples), np.uint64) for _ in range(4)]
+    floats = [np.empty((some, samples)) for _ in range(3)]
     with np.errstate(over="ignore"):
         each = mixed(np.arange(1, samples + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-        one = mixed(terms[:, None] ^ each)
-        two = mixed(one + _U(0x9E3779B97F4A7C15))
-        r = -np.log(uniform(one, 0) * uniform(one, 1))
-        log_c = np.log(-np.log(uniform(two, 0) * uniform(two, 1)))
-        value = log_c + r * (uniform(one, 2) - 1.0)              # t = 0, as for all terms that occur once
-        tag = two.copy()
-        often = np.flatnonzero(weights > 1)
-        if len(often):
-            t = np.floor(np.log(weights[often])[:, None] / r[often] + uniform(one[often], 2))
-            value[often] -= r[often] * t
-            tag[often] ^= t.astype(np.int64).view(np.uint64) * _U(0xD6E8FEB86659FD93)
-        place = ((value + 128.0) * (1 << 23)).astype(np.int64)
-        tag = mixed(tag) >> _U(32)
-    return (place << 32) | tag.view(np.int64)
+        for at in range(0, len(terms), some):
+            n = min(some, len(terms) - at)
+            one, two, a, b = (x[:n] for x in room)
+            log_r, value, share = (x[:n] for x in floats)
+            mixed(np.bitwise_xor(terms[at:at + n, None], each, out=one), a)
+            mixed(np.add(one, _U(0x9E3779B97F4A7C15), out=two), a)
+            log_r = log_of_two(one, (a, b), log_r)               # r is its negative
+            log_of_two(two, (a, b), value)
+            np.negative(value, out=value)
+            np.log(value, out=value)                             # ln c
+            np.multiply(odd(one, 2, a).view(np.int64), 2.0 ** -22, out=share)
+            often = np.flatnonzero(weights[at:at + n] > 1)
+            if len(often):
+                r = -log_r[often]
+                t = np.floor(np.log(weights[at + often])[:, None] / r + share[often])
+                two[often] ^= t.astype(np.int64).view(np.uint64) * _U(0xD6E8FEB86659FD93)
+            np.subtract(1.0, share, out=share)
+            share *= log_r
+            value += share                                       # t = 0, as for all terms that occur once
+            if len(often):
+                value[often] -= r * t
+            value += 128.0
+            value *= 1 << 23
+            place = a.view(np.int64)
+            np.copyto(place, value, casting="unsafe")
+            place <<= 32
+            mixed(two, b)
+            two >>= _U(32)
+            np.bitwise_or(place, two.view(np.int64), out=out[at:at + n])
+    return out
 
 
 class Sampler:
-    """Fingerprints of texts, remembering the draws of recent terms."""
+    """Fingerprints of texts, remembering the draws of recent terms: a half of the
+    table is filled, then the other; what is met again is taken over from the half
+    before, so frequent terms stay."""
 
     def __init__(self, samples: int = SAMPLES, room: int = ROOM):
-        self.samples, self.room = samples, room
+        self.samples, self.half = samples, room // 2
         self.place: dict = {}
-        self.table = np.empty((room, samples), np.int64)
-
-    def _rows(self, items: list) -> list[int]:
-        """Table rows of at most ``room`` (term, weight) pairs."""
-        if len(self.place) + len(items) > self.room:
-            self.place.clear()
-        got = list(map(self.place.get, items))
-        new = [k for k, g in enumerate(got) if g is None]
-        if new:
-            at = len(self.place)
-            hashes = np.array([items[k][0] if isinstance(items[k][0], int) else xxhash.xxh64_intdigest(items[k][0])
-                               for k in new], np.uint64)
-            self.table[at:at + len(new)] = draws(hashes, np.array([items[k][1] for k in new], np.float64),
-                                                 self.samples)
-            for k, row in zip(new, range(at, at + len(new))):
-                got[k] = self.place[items[k]] = row
+        self.before: dict = {}
+        self.start = 0
+        self.table = np.empty((2 * self.half, samples), np.int64)
+
+    def _rows(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Table rows of at most ``half`` different terms with their weights."""
+        if len(self.place) + len(hashes) > self.half:
+            self.before, self.place, self.start = self.place, {}, self.half - self.start
+        place = self.place
+        items = list(zip(hashes.tolist(), weights.tolist()))
+        got = np.array([place.get(x, -1) for x in items], np.int64)
+        lacking = np.flatnonzero(got < 0)
+        if len(lacking):
+            old = np.array([self.before.get(items[k], -1) for k in lacking.tolist()], np.int64)
+            known, new = lacking[old >= 0], lacking[old < 0]
+            at = self.start + len(place)
+            end = at + len(known)
+            self.table[at:end] = self.table[old[old >= 0]]
+            draws(hashes[new], weights[new], self.samples, self.table[end:end + len(new)])
+            lacking = np.concatenate([known, new])
+            got[lacking] = np.arange(at, at + len(lacking))
+            place.update(zip([items[k] for k in lacking.tolist()], range(at, at + len(lacking))))
         return got
 
+    def _some(self, texts: list[bytes]) -> np.ndarray:
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        found = split.flatten().dictionary_encode()
+        listed = found.dictionary.view(pa.binary()).to_pylist()
+        of = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy(zero_copy_only=False))
+        at = of * len(listed) + found.indices.to_numpy()
+        if b"" in listed:                    # before and after white space at the ends
+            at = at[at % len(listed) != listed.index(b"")]
+        # each word of each text with its count, in the order of the texts
+        at, n = np.unique(at, return_counts=True)
+        of, word = np.divmod(at, max(1, len(listed)))
+        word, back = np.unique(word * (n.max(initial=0) + 1) + n, return_inverse=True)
+        word, weight = np.divmod(word, n.max(initial=0) + 1)
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in listed], np.uint64)[word]
+        edges = np.searchsorted(of, np.arange(len(texts) + 1)).tolist()
+        least = np.full((len(texts), self.samples), NOTHING)
+        for lo in range(0, len(word), self.half):
+            rows = self._rows(hashes[lo:lo + self.half], weight[lo:lo + self.half].astype(np.float64))
+            for i, (x, y) in enumerate(zip(edges, edges[1:])):
+                mine = back[x:y]
+                if len(word) > self.half:
+                    mine = mine[(mine >= lo) & (mine < lo + self.half)] - lo
+                if len(mine):
+                    np.minimum(least[i], self.table.take(rows[mine], axis=0).min(axis=0), out=least[i])
+        return np.where(least == NOTHING, 0, least & 0xFFFF).astype(np.uint16)
+
+    def sign_all(self, texts: list[str]) -> np.ndarray:
+        """A row of ``samples`` numbers of 16 bits for each text."""
+        made, some, size = [], [], 0
+        for t in texts:
+            some.append(t.encode("utf-8", "surrogatepass").lower())
+            size += len(some[-1])
+            if size > GROUP:
+                made.append(self._some(some))
+                some, size = [], 0
+        if some:
+            made.append(self._some(some))
+        return np.concatenate(made) if made else np.empty((0, self.samples), np.uint16)
+
     def sign(self, text: str) -> np.ndarray:
-        """``samples`` numbers of 16 bits."""
-        counts = Counter(text.encode("utf-8", "surrogatepass").lower().split())
-        if not counts:
-            return np.zeros(self.samples, np.uint16)
-        items = [(w, n) if len(w) <= LONG else (xxhash.xxh64_intdigest(w), n) for w, n in counts.items()]
-        least = None
-        for at in range(0, len(items), self.room):
-            some = self.table.take(self._rows(items[at:at + self.room]), axis=0).min(axis=0)
-            least = some if least is None else np.minimum(least, some)
-        return (least & 0xFFFF).astype(np.uint16)
+        return self.sign_all([text])[0]
+
+
+@functools.cache
+def sampler(samples: int) -> Sampler:
+    """One for all tasks of a Python worker, with the draws that it remembers."""
+    return Sampler(samples)
 
 
 def hexed(signature: np.ndarray) -> str:
@@ -138,9 +228,8 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str | None = None, sam
     where = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(samples)
         for b in batches:
-            made = [hexed(sampler.sign(t or "")) for t in b.column(where).to_pylist()]
+            made = list(map(hexed, sampler(samples).sign_all([t or "" for t in b.column(where).to_pylist()])))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], [*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
@@ -188,22 +277,40 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: in
         "near_edited double, near_next double")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(samples)
-        held = None                                      # the row whose successor comes next
+        first = np.empty((1, samples), np.uint16)        # that of the held row, in front of those to be made
+        held = None                                      # the row whose successor comes next, and its place
+        todo, pairs, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            signs = np.concatenate([first, sampler(samples).sign_all(todo)])
+            out = [(hid, len(ht), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
+                    hexed(signs[h]), hexed(signs[e]), float((signs[h] == signs[e]).mean()),
+                    float((signs[h] == signs[x]).mean())) for hid, ht, changed, h, e, x in pairs]
+            if held is not None:
+                first[0] = signs[held[2]]
+            todo.clear()
+            pairs.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
         for b in batches:
-            out = []
-            for _, copy, ident, t in zip(*[b.column(c).to_pylist() for c in ("range", "copy", "id", "t")]):
-                sig = sampler.sign(t) if not copy or held is not None else None
+            for copy, ident, t in zip(*[b.column(c).to_pylist() for c in ("copy", "id", "t")]):
+                if copy and held is None:
+                    continue
+                todo.append(t)
+                own = len(todo)
                 if held is not None:
                     hid, ht, hs = held
-                    changed = edit(ht, t)
-                    es = sampler.sign(changed)
-                    out.append((hid, len(ht), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
-                                hexed(hs), hexed(es), float((hs == es).mean()), float((hs == sig).mean())))
-                held = None if copy else (ident, t, sig)
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                    todo.append(edit(ht, t))
+                    pairs.append((hid, ht, todo[-1], hs, own + 1, own))
+                    size += len(todo[-1])
+                size += len(t)
+                held = None if copy else (ident, t, own)
+                if size > GROUP:
+                    yield flush()
+                    held, size = held and (ident, t, 0), 0
+        if todo:
+            yield flush()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(schema)

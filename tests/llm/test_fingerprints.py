@@ -147,3 +147,33 @@ def test_query_on_the_table(spark):
         if words(text):
             off += [got[i].near_edited - jaccard(text, changed), got[i].near_next - jaccard(text, nxt)]
     assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.04
+
+
+def test_terms_are_drawn_once_for_many_texts(monkeypatch):
+    """Texts signed together look up each word once: its draws, which cost most, are
+    made once for all of them, and frequent words outlast the other half of the table."""
+    made = []
+    plain = fp.draws
+
+    def counted(terms, *args):
+        made.extend(terms.tolist())
+        return plain(terms, *args)
+
+    monkeypatch.setattr(fp, "draws", counted)
+    texts = [" ".join(f"{k}w{i}" for i in range(60)) + " the of and" for k in range(50)]
+    sampler = fp.Sampler(16, room=400)
+    signs = sampler.sign_all(texts)
+    assert len(made) == len(set(made)) == 50 * 60 + 3
+    made.clear()
+    alone = fp.Sampler(16, room=400)
+    assert (np.array([alone.sign(t) for t in texts]) == signs).all()
+    assert len(made) == len(set(made)) == 50 * 60 + 3
+
+
+@pytest.mark.parametrize("group", [1, 100, 1 << 20])
+def test_groups_of_texts_change_nothing(monkeypatch, group):
+    monkeypatch.setattr(fp, "GROUP", group)
+    texts = ["", " \t\n", " a b\x0b", "a\x1cb é\x85\xa0x", "a", "A a", prose(1, 200), "x" * 500, "x" * 500 + " y"]
+    signs = fp.Sampler(32, room=64).sign_all(texts)
+    for t, s in zip(texts, signs):
+        assert s.tolist() == (plain_signature(t, 32) if t.strip(" \t\n") else [0] * 32)
