@@ -15,10 +15,12 @@ import numpy as np
 EMBED, HIDDEN = 8, 16
 WINDOW = 16              # steps of a training window
 SCORE_WINDOW = 16
+SCORE_TOKENS = 16_384    # places of a scoring window, at least (if the lanes are that long)
 STREAMS = 512            # lanes trained on side by side
 SCORE_STREAMS = 512
 RATE = 0.02
 CHUNK = 1024             # tokens whose class scores are held at a time
+BLOCK = 8192             # parameters that are changed at a time
 TAME = 60.0              # scores below it need no shift before exp
 
 
@@ -96,7 +98,7 @@ def _step(gates: np.ndarray, rec: np.ndarray, h: np.ndarray) -> tuple:
     n = r * u
     n += gates[2 * HIDDEN:]
     n *= -2                                     # tanh by way of exp, which is vectorised
-    np.clip(n, -80, 80, out=n)
+    np.minimum(n, 80, out=n)                    # exp of less is 0 at worst
     np.exp(n, out=n)
     n += 1
     np.divide(2, n, out=n)
@@ -111,15 +113,16 @@ def _softmax(x: np.ndarray, own: np.ndarray, want: bool, tame: bool) -> tuple[np
     """Log-probability of row ``own`` of each column, and (if wanted, in the
     place of ``x``) the gradient of its negative with respect to ``x``. ``tame``
     scores cannot overflow ``exp`` as they are."""
-    columns = np.arange(x.shape[1])
+    at = own * x.shape[1]
+    at += np.arange(x.shape[1])
     if not tame:
         x -= x.max(axis=0)
-    mine = x[own, columns]
+    mine = x.ravel().take(at)
     np.exp(x, out=x)
     total = x.sum(axis=0)
     if want:
         x *= 1 / total
-        x[own, columns] -= 1
+        x.reshape(-1)[at] -= 1
     return mine - np.log(total), x if want else None
 
 
@@ -199,12 +202,16 @@ class Lanes:
         self.keep = np.ones(len(self.ids), np.float32)
         self.keep[first] = 0
 
-    def windows(self, steps: int):
-        """(places of the tokens [steps, lanes], which of them exist)."""
-        for at in range(0, int(self.length.max()), steps):
+    def windows(self, steps: int, tokens: int = 0):
+        """(places of the tokens [steps, lanes], which of them exist); more steps
+        where few lanes are left, up to ``tokens`` places."""
+        at, longest = 0, int(self.length.max())
+        while at < longest:
             live = int((self.length > at).sum())
-            row = np.arange(at, min(at + steps, int(self.length.max())))[:, None]
+            end = min(at + max(steps, tokens // live), longest)
+            row = np.arange(at, end)[:, None]
             mask = row < self.length[:live]
+            at = end
             yield np.minimum(self.offset[:live] + row, self.offset[:live] + self.length[:live] - 1), mask
 
 
@@ -267,41 +274,48 @@ def train(p: dict[str, np.ndarray], texts: list[np.ndarray], start: int) -> int:
         g["rec"] += before.reshape(HIDDEN, -1) @ du.reshape(3 * HIDDEN, -1).T
         g["in"] += x @ flat.T
         g["in_bias"] += flat.sum(1)
-        add_rows(g["embed"], prev.ravel(), (q["in"] @ flat).T)
+        add_rows(g["embed"], prev.ravel(), q["in"] @ flat)
         n_tokens = int(mask.sum())
         seen += n_tokens
         steps += 1
-        g_flat /= n_tokens
-        np.clip(g_flat, -1, 1, out=g_flat)
-        m += 0.1 * (g_flat - m)
-        s += 0.01 * (g_flat * g_flat - s)
-        flat_p -= RATE / (1 - 0.9 ** steps) * m / (np.sqrt(s / (1 - 0.99 ** steps)) + 1e-6)
+        for i in range(0, len(flat_p), BLOCK):
+            part = slice(i, i + BLOCK)
+            gi, mi, si = g_flat[part], m[part], s[part]
+            gi /= n_tokens
+            np.minimum(gi, 1, out=gi)
+            np.maximum(gi, -1, out=gi)
+            mi += 0.1 * (gi - mi)
+            si += 0.01 * (gi * gi - si)
+            flat_p[part] -= RATE / (1 - 0.9 ** steps) * mi / (np.sqrt(si / (1 - 0.99 ** steps)) + 1e-6)
     for k in p:
         p[k][...] = q[k]
     return seen
 
 
 def add_rows(out: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
-    """``out[row] += values`` with repeated rows."""
-    order = np.argsort(row, kind="stable")
+    """``out[row] += values.T`` with repeated rows."""
+    order = np.argsort(row.astype(np.min_scalar_type(len(out))), kind="stable")
     sorted_rows = row[order]
     first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-    out[sorted_rows[first]] += np.add.reduceat(values[order], first, axis=0)
+    out[sorted_rows[first]] += np.add.reduceat(values.take(order, axis=1), first, axis=1).T
 
 
 def log_likelihood(p: dict[str, np.ndarray], texts: list[np.ndarray], start: int) -> np.ndarray:
     """Natural log-probability of each whole text."""
     cls, place = classes(len(p["embed"]))
-    table = (p["embed"] @ p["in"] + p["in_bias"]).T.copy()
+    embed = np.ascontiguousarray(p["embed"].T)
     out = np.zeros(len(texts))
     if not any(map(len, texts)):
         return out
     lanes = Lanes(texts, SCORE_STREAMS, start, whole=True)
     h = np.zeros((HIDDEN, len(lanes.length)), np.float32)
     rec = p["rec"].T.copy()
-    for at, mask in lanes.windows(SCORE_WINDOW):
+    for at, mask in lanes.windows(SCORE_WINDOW, SCORE_TOKENS):
         n_steps, live = at.shape
-        gates, keep = table.take(lanes.prev[at], axis=1), lanes.keep[at]
+        keep = lanes.keep[at]
+        gates = p["in"].T @ embed.take(lanes.prev[at].ravel(), axis=1)
+        gates += p["in_bias"][:, None]
+        gates = gates.reshape(3 * HIDDEN, n_steps, live)
         h = h[:, :live]
         states = np.empty((HIDDEN, n_steps, live), np.float32)
         for t in range(n_steps):

@@ -6,7 +6,7 @@ have ids in the recurrent model (gru.py); for any other word the model gives
 the probability of "off the list", times the word's add-one share among those
 words. State is carried over the whole text, however long.
 
-Texts are tokenised twice: to count, and then to be written as numbers of their
+Texts are tokenised twice, some MB at a time: to count, and then to be written as numbers of their
 words, which training and scoring read. Training is distributed: the training documents are dealt over ``ROUNDS`` rounds
 by a hash of the id and the text, each to one round. In a round every partition
 trains a copy of the model on its documents of that round, and the copies are
@@ -26,11 +26,11 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +43,25 @@ LISTED = 4_095           # words with an id in the model
 ROUNDS = 3
 BUFFER = 2_000_000       # tokens that are trained on at a time
 FOLDS, HELD_OUT = 7, 2
-_FLUSH = 1_000_000       # different words held by a counting task
+PIECE = 1 << 22          # bytes of text whose words are looked up together
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text, ASCII letters lower-cased."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def pieces(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``PIECE`` bytes of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(size // PIECE)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+        if hi > lo:
+            yield b.slice(lo, hi - lo)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts in a row, ASCII letters lower-cased, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten()
+    real = pc.greater(pc.binary_length(words), 0)       # not those before and after white space at the ends
+    of = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy(zero_copy_only=False))
+    return words.filter(real), np.bincount(of[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -58,25 +71,12 @@ def held_out(doc_id: Column) -> Column:
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, n) over all texts (first column)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-        texts = 0
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([*map(bytes.decode, c), END], pa.string()), pa.array([*c.values(), texts], pa.int64())],
-                ["word", "n"])
-            c.clear()
-            return out
-
         for b in batches:
-            for t in b.column(0).to_pylist():
-                c.update(words_of(t))
-                texts += 1
-                if len(c) > _FLUSH:
-                    yield flush()
-                    texts = 0
-        if texts:
-            yield flush()
+            for piece in pieces(b, 0):
+                c = pc.value_counts(words_of(piece.column(0))[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([c.field(0), pa.array([END], c.field(0).type)]),
+                     pa.concat_arrays([c.field(1), pa.array([piece.num_rows])])], ["word", "n"])
 
     return train.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -89,33 +89,38 @@ def numbered(src: DataFrame, common: dict[str, int]) -> DataFrame:
     """Each text as ids, once for all that follows: the place of each token in
     ``common`` (commonest first; len(common) for other words). With the base sums
     over common words, and the other words with their times."""
-    ids = {w.encode(): i for i, w in enumerate(common)}
+    ids = pa.array(common, pa.string())
     logs = np.append(np.log10(np.array(list(common.values()), dtype=np.float64) + 1), 0.0)
     rest = len(common)
-    end = ids.get(END.encode(), rest)
+    end = list(common).index(END) if END in common else rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         at = TaskContext.get().partitionId() << 33
-        get = ids.get
-        for b in batches:
-            seqs, known, sums, words, times = [], [], [], [], []
-            for t in b.column(1).to_pylist():
-                ws = words_of(t)
-                seq = [get(w, rest) for w in ws]
-                seq.append(end)
-                seq = np.array(seq, dtype="<u2")
-                rare = Counter([ws[i] for i in np.flatnonzero(seq[:-1] == rest).tolist()])
-                seqs.append(seq.tobytes())
-                known.append(int((seq < rest).sum()))
-                sums.append(float(logs[seq].sum()))
-                words.append(list(map(bytes.decode, rare)))
-                times.append(list(rare.values()))
+        for b in (piece for whole in batches for piece in pieces(whole, 1)):
+            words, sizes = words_of(b.column(1))
+            words = words.dictionary_encode()
+            listed, code = words.dictionary, words.indices.to_numpy()
+            place = pc.fill_null(pc.index_in(listed, ids.cast(listed.type)), rest).to_numpy().astype("<u2")[code]
+            edges = np.r_[0, np.cumsum(sizes + 1)]
+            seq = np.full(edges[-1], end, "<u2")
+            own = np.ones(len(seq), bool)
+            own[edges[1:] - 1] = False           # the end marks
+            seq[own] = place
+            # each other word of each text with its times
+            other = place == rest
+            of = np.repeat(np.arange(len(sizes)), sizes)[other]
+            rare, times = np.unique(of * len(listed) + code[other], return_counts=True)
+            of, rare = np.divmod(rare, max(1, len(listed)))
+            lists = pa.array(np.searchsorted(of, np.arange(len(sizes) + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(at, at + b.num_rows, dtype=np.int64)), b.column(0), b.column(2), b.column(3),
-                 pa.array(seqs, pa.binary()), pa.array(known, pa.int64()),
-                 pa.array(sums, pa.float64()), pa.array(words, pa.list_(pa.string())),
-                 pa.array(times, pa.list_(pa.int32()))],
+                 pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((2 * edges).astype(np.int32)),
+                                                                 pa.py_buffer(seq)]),
+                 pa.array(np.add.reduceat(seq < rest, edges[:-1], dtype=np.int64)),
+                 pa.array([float(logs[seq[x:y]].sum()) for x, y in zip(edges.tolist(), edges[1:].tolist())], pa.float64()),
+                 pa.ListArray.from_arrays(lists, listed.take(pa.array(rare))),
+                 pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int32)))],
                 ["row", "doc_id", "held_out", "round", "ids", "known", "logs", "words", "times"])
             at += b.num_rows
 

@@ -483,6 +483,45 @@ def test_training_beats_the_base_on_held_out_documents(spark):
     assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
 
 
+def numbering_rows(spark):
+    texts = ["", None, " \t\n", " Red red\x0bBLUE ", "a\x1cb É\x85\xa0x rare rare", "red", "x" * 3000] * 3
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+
+
+@pytest.mark.parametrize("piece", [1, 1 << 24])
+def test_numbered_texts_match_plain_counting(spark, monkeypatch, piece):
+    """Each text's ids, other words and sums as counted one word at a time, at any size of the pieces."""
+    monkeypatch.setattr(lm_scoring, "PIECE", piece)
+    df = numbering_rows(spark)
+    common = {"": 21, "red": 9, "blue": 3}
+    ids = list(common)
+    rows = lm_scoring.numbered(df, common).collect()
+    assert len({r.row for r in rows}) == 21
+    for r, d in zip(sorted(rows, key=lambda r: r.doc_id), df.orderBy("doc_id").collect()):
+        ws = [w.decode() for w in (d.text or "").encode().lower().split()] + [""]
+        assert np.frombuffer(r.ids, "<u2").tolist() == [ids.index(w) if w in common else 3 for w in ws]
+        assert r.known == sum(w in common for w in ws)
+        assert r.logs == pytest.approx(sum(math.log10(common[w] + 1) for w in ws if w in common))
+        assert dict(zip(r.words, r.times)) == collections.Counter(w for w in ws if w not in common)
+    counts = {r.word: r.n for r in lm_scoring.word_counts(df.select("text")).collect()}
+    assert counts == collections.Counter(w for r in df.collect() for w in
+                                         [*[w.decode() for w in (r.text or "").encode().lower().split()], ""])
+
+
+def test_few_lanes_are_scored_in_long_windows(monkeypatch):
+    """One long text among short ones: windows grow as lanes end, the scores stay."""
+    from scrivener.llm import gru
+    p, cls, place = gru_parameters(12)
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 12, n) for n in (900, 5, 7, 30, 0, 2)]
+    made = []
+    plain = gru._output
+    monkeypatch.setattr(gru, "_output", lambda *a: made.append(1) or plain(*a))
+    got = gru.log_likelihood(p, texts, 11)
+    assert got == pytest.approx(plain_log_likelihood(p, texts, 11, cls, place), rel=1e-3)
+    assert len(made) < 5
+
+
 def gru_parameters(n_words, seed=0):
     from scrivener.llm import gru
     rng = np.random.default_rng(seed)
