@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of each step inside are removed when the step ends, so
+    that the disk holds those of one step at a time. For steps that store their
+    results (``stored``); one that ran again would shuffle again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def near_ids(df: DataFrame, key: str, ids: DataFrame, bits: int = ID_BITS) -> DataFrame:
     """The rows of ``df`` whose ``key`` is among ``ids`` (one column), and a few
     more: those that fall on a bit of one. To be put before a shuffle join, which
@@ -90,5 +109,5 @@ def commonest(counts: DataFrame, limit: int) -> dict[str, int]:
         cut = s
     if cut is None:
         return {}
-    rows = counts.where(step >= cut).collect()
-    return {r["word"]: r["n"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))}
+    rows = counts.where(step >= cut).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist()))

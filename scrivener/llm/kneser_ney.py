@@ -9,12 +9,13 @@ context. Words seen once stand for unknown words (with those beyond the
 ``VOCABULARY`` commonest, and very long ones); an unknown word costs its share
 among them, so text of odd strings is unlikely text.
 
-Every document is turned into word ids once. Scoring joins its trigrams with the
-count tables shard by shard: all tables are split by the middle word (the last word of the context),
-which a trigram, its bigram and both back-off weights have in common. One
-shard, of at most ``SHARD_ROWS`` rows, is broadcast at a time, and adds its part
-of each document's log-probability; no n-gram is ever shuffled, so frequent
-words cause no skew.
+Every document is turned into word ids once. The tables are split by the middle word (the last
+word of the context), which a trigram, its bigram and both back-off weights have in common; a frequent
+one is split again by the word before, and its bigrams go to each share. The documents' trigrams are
+dealt to the part of the tables that scores them, packed as columns (about 5 bytes each), and
+a part returns one sum per document. This goes in ``ROUNDS`` rounds, each over its share of the parts,
+and the shuffle files of a finished step are removed, so that the disk holds a share of them at a time.
+No part of the tables passes through the driver, which holds the vocabulary alone.
 
 A document is kept if its log-probability per token reaches the quantile of its
 language: ``QUANTILE`` of all documents labelled good that the model was not
@@ -30,19 +31,20 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivener.llm.common import commonest, near_ids, stored
+from scrivener.llm.common import commonest, near_ids, released, stored
 
-SHARD_ROWS = 4_000_000
-STEP_WORDS = 1 << 20     # words scored together
-HELD_GRAMS = 500_000     # trigrams a task counts before it passes them on
+SHARD_ROWS = 1_000_000   # trigrams and bigrams of a part of the tables
+ROUNDS = 4               # in which the documents' trigrams are dealt out
+STEP_WORDS = 1 << 21     # words coded together
+SCALE = 1 << 30          # a part's sums are whole numbers of 1 / SCALE: their order does not matter
 QUANTILE = 0.005
 MIN_TRUSTED = 50
 UNKNOWN, BEGIN, FINISH, FIRST_WORD = 0, 1, 2, 3
@@ -69,30 +71,169 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(c.values(), pa.int64())], ["w", "n"])
 
 
-def _grams(ids: dict[str, int]):
-    def flush(c: Counter) -> pa.RecordBatch:
-        k = np.array(list(c), dtype=np.int64).reshape(-1, 3)
-        out = pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(k[:, 2]),
-                                          pa.array(list(c.values()), pa.int64())], ["u", "v", "w", "n"])
-        c.clear()
-        return out
+def packed(*columns: np.ndarray) -> bytes:
+    """The columns as byte planes (the first bytes of all values, the second, ...), compressed."""
+    return pa.compress(b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, *types: type) -> list[np.ndarray]:
+    width = [np.dtype(t).itemsize for t in types]
+    raw, at, out = pa.decompress(data, n * sum(width), "zstd", asbytes=True), 0, []
+    for t, w in zip(types, width):
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * w, at).reshape(w, n).T).view(t).ravel())
+        at += n * w
+    return out
+
+
+def _pack_keys(key: np.ndarray, last: np.ndarray, words: int) -> bytes:
+    """Sorted n-grams, each an integer of middle word (first), other words; and a column beside them."""
+    mask = (1 << BITS) - 1
+    cols = [(key >> BITS * i & mask).astype(np.int32) for i in range(words - 1, -1, -1)]
+    cols[0] = np.diff(cols[0], prepend=np.int32(0))
+    return packed(*cols, last)
+
+
+def _unpack_keys(data: bytes, n: int, words: int, last: type) -> tuple[np.ndarray, np.ndarray]:
+    *cols, x = unpacked(data, n, *[np.int32] * words, last)
+    key = np.cumsum(cols[0], dtype=np.int64)
+    for c in cols[1:]:
+        key = key << BITS | c
+    return key, x
+
+
+def trigrams(s: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(v, u, w as one integer; number of the text) of the trigrams of texts between their marks that have one of
+    the middle words."""
+    end = s == FINISH
+    at = np.flatnonzero(middle[s[1:-1]] & (s[2:] != BEGIN))   # what would span two texts is the begin marks after each end
+    u, v, w = (s[i:len(s) - 2 + i][at].astype(np.int64) for i in range(3))
+    return (v << BITS | u) << BITS | w, (np.cumsum(end, dtype=np.int32) - end)[2:][at].astype(np.int32)
+
+
+class Parts:
+    """Which part of the tables has a context: its middle word says, for frequent ones the word before too. The
+    middle word also says in which round it is dealt; every round has ``n`` parts."""
+
+    def __init__(self, seen: np.ndarray, parts: int, rounds: int = 1):
+        self.n, self.rounds = math.ceil(parts / rounds), rounds
+        share = 2 * seen * parts // max(1, int(seen.sum())) + 1
+        share[BEGIN] = 1                     # one word only comes before it
+        self.share = np.minimum(share, self.n).astype(np.int32)
+
+    def middle(self, turn: int) -> np.ndarray:
+        """Of each word, whether trigrams around it belong to this round."""
+        mixed = np.arange(len(self.share), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(48)) % np.uint64(self.rounds) == turn
+
+    def first(self, v: np.ndarray) -> np.ndarray:
+        return (v.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.int64) % self.n
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        """The part of each trigram (v, u, w as one integer)."""
+        u, v = key >> BITS & (1 << BITS) - 1, key >> 2 * BITS
+        own = (u.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)).astype(np.int64) % self.share[v]
+        return (self.first(v) + own) % self.n
+
 
+def _cut(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places of its rows), in order."""
+    if not len(part):
+        return
+    order = np.argsort(part.astype(np.int16) if part.max() < 1 << 15 else part, kind="stable")
+    held = part[order]
+    for at in np.split(order, np.flatnonzero(np.diff(held)) + 1):
+        yield int(part[at[0]]), at
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with the sums of n."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
+
+
+GRAMS = "part int, kind int, n long, data binary, n1 long, n2 long, n3 long, n4 long"
+TRI, BI, SOME, TEXT = 0, 1, 2, 3     # rows of trigrams, bigrams, bigrams of frequent words in part, documents
+
+
+def _gram_row(part: int, kind: int, key: np.ndarray, n: np.ndarray) -> dict:
+    c = np.bincount(np.minimum(n, 5), minlength=6)
+    return {"part": part, "kind": kind, "n": len(key), "data": _pack_keys(key, n, 3 if kind == TRI else 2),
+            **{f"n{i}": int(c[i]) for i in (1, 2, 3, 4)}}
+
+
+_GRAMS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("data", pa.binary()),
+                    *[(f"n{i}", pa.int64()) for i in (1, 2, 3, 4)]])
+
+
+def _coded(texts: Iterator, get: Callable) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Word ids between their marks of some texts at a time, and their token counts."""
+    own, n, held = [], [], 0
+    for t in texts:
+        s = [BEGIN, BEGIN, *[get(w, UNKNOWN) for w in tokens(t.as_py())], FINISH]
+        own.append(np.array(s, dtype=np.int32))
+        n.append(len(s) - 2)
+        held += len(s)
+        if held >= STEP_WORDS:
+            yield np.concatenate(own), n
+            own, n, held = [], [], 0
+    if own:
+        yield np.concatenate(own), n
+
+
+def _grams(ids: dict[str, int], parts: Parts):
+    """Counted trigrams of the texts, dealt to the parts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = parts.middle(0)
+        for s, _ in _coded((t for b in batches for t in b.column(0)), ids.get):
+            key, n = np.unique(trigrams(s, every)[0], return_counts=True)
+            for p, at in _cut(parts.of(key)):
+                yield pa.RecordBatch.from_pylist([_gram_row(p, TRI, key[at], n[at])], _GRAMS)
+    return run
+
+
+def _merge(kind: int, share: np.ndarray | None):
+    """The rows of a part as one; those of trigrams give the bigrams too (after the
+    begin mark there is one history only, so plain counts are used)."""
+    def run(t: pa.Table) -> pa.Table:
+        words = 3 if kind == TRI else 2
+        rows = [_unpack_keys(d.as_py(), n.as_py(), words, np.int64) for d, n in zip(t["data"], t["n"])]
+        part = t["part"][0].as_py()
+        key, n = _summed(*map(np.concatenate, zip(*rows)))
+        out = [_gram_row(part, kind, key, n)]
+        if kind == TRI:
+            vw = key >> 2 * BITS << BITS | key & (1 << BITS) - 1
+            vw, n = _summed(vw, np.where(key >> 2 * BITS == BEGIN, n, 1))
+            split = share[vw >> BITS] > 1
+            out += [_gram_row(part, k, vw[at], n[at]) for k, at in ((SOME, split), (BI, ~split)) if at.any()]
+        return pa.Table.from_pylist(out, _GRAMS)
+    return run
+
+
+def _deal_some(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
         for b in batches:
-            for t in b.column(0):
-                s = [BEGIN, BEGIN, *[ids.get(w, UNKNOWN) for w in tokens(t.as_py())], FINISH]
-                c.update(zip(s, s[1:], s[2:]))
-                if len(c) > HELD_GRAMS:
-                    yield flush(c)
-        yield flush(c)
+            for d, rows in zip(b["data"], b["n"]):
+                key, n = _unpack_keys(d.as_py(), rows.as_py(), 2, np.int64)
+                spot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64)
+                for p, at in _cut(spot % parts):
+                    yield pa.RecordBatch.from_pylist([_gram_row(p, SOME, key[at], n[at])], _GRAMS)
     return run
 
 
-def discounts(grams: DataFrame) -> list[float]:
-    """Discount of counts 1, 2 and 3 or more, from the counts of counts."""
-    row = grams.agg(*[F.sum(F.when(F.col("n") == i, 1).otherwise(0)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
-    n = [0, *[row[f"n{i}"] or 0 for i in (1, 2, 3, 4)]]
+def _lasts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, n) of the bigrams in a row, n their number."""
+    for b in batches:
+        for d, rows in zip(b["data"], b["n"]):
+            key, _ = _unpack_keys(d.as_py(), rows.as_py(), 2, np.int64)
+            w, n = np.unique(key & (1 << BITS) - 1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], ["w", "n"])
+
+
+def discounts(n: list[int]) -> list[float]:
+    """Discount of counts 1, 2 and 3 or more, from the numbers of counts 1 to 4."""
+    n = [0, *n]
     y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
     out = []
     for i in (1, 2, 3):
@@ -101,78 +242,99 @@ def discounts(grams: DataFrame) -> list[float]:
     return out
 
 
-def _contexts(grams: DataFrame, keys: list[str], d: list[float]) -> DataFrame:
-    """Total and back-off weight of each context."""
-    held = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    return grams.groupBy(*keys).agg(F.sum("n").alias("total"), (F.sum(held) / F.sum("n")).alias("back"))
+def held_back(n: np.ndarray, d: list[float]) -> np.ndarray:
+    """The discount of each count."""
+    return np.array([0.0, *d])[np.minimum(n, 3)]
 
 
-def _left(d: list[float]) -> Column:
-    """The discounted count."""
-    return F.col("n") - F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+def _contexts(key: np.ndarray, n: np.ndarray, d: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct contexts (keys ascending) with back-off weight, place of each row's context, and its total."""
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    if not len(first):
+        return key, np.zeros(0), first, np.zeros(0)
+    total = np.add.reduceat(n, first)
+    at = np.repeat(np.arange(len(first)), np.diff(first, append=len(key)))
+    return key[first], np.add.reduceat(held_back(n, d), first) / total, at, total[at]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The model as DataFrames: p3, g3, p2, g2, p1 (log10), plus the ids."""
+    """The model: packed counts of trigrams and bigrams (a DataFrame), the ids, and
+    what every part needs to make probabilities of its counts."""
     mine = trusted_ids(labels).withColumnRenamed("doc_id", "_id")
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text"))
     texts = near_ids(texts, "_doc", mine)
-    trusted = stored(texts.join(mine.hint("merge"), F.col("_doc") == F.col("_id"), "left_semi").select("text"), "trusted")
+    # the ids are distinct; a semi join would be moved before the filter of near_ids, and deal out all texts
+    trusted = texts.join(mine.hint("merge"), F.col("_doc") == F.col("_id")).select("text")
     words = trusted.mapInArrow(_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     words = stored(words, "trusted-words")
     listed = commonest(words.where("n > 1").withColumnRenamed("w", "word"), VOCABULARY)
     ids = {w: i + FIRST_WORD for i, w in enumerate(listed)}
-    once = words.count() - len(ids)
-    tri = stored(trusted.mapInArrow(_grams(ids), "u long, v long, w long, n long")
-                 .groupBy("u", "v", "w").agg(F.sum("n").alias("n")), "trigrams")
-    if tri.isEmpty():
+    every = words.agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).first()
+    seen = np.array([0, 0, 0, *listed.values()], dtype=np.int64)
+    del listed
+    seen[UNKNOWN] = (every["n"] or 0) - seen.sum()
+    parts = Parts(seen, max(1, math.ceil(seen.sum() / SHARD_ROWS)))
+    grams = stored(trusted.mapInArrow(_grams(ids, parts), GRAMS).groupBy("part")
+                   .applyInArrow(_merge(TRI, parts.share), GRAMS), "grams")
+    if grams.isEmpty():
         return None
-    d3 = discounts(tri)
-    # after the begin mark there is one history only, so plain counts are used
-    bi = stored(tri.groupBy("v", "w").agg(F.sum("n").alias("plain"), F.count(F.lit(1)).alias("kinds")).select(
-        "v", "w", F.when(F.col("v") == BEGIN, F.col("plain")).otherwise(F.col("kinds")).alias("n")), "bigrams")
-    d2 = discounts(bi)
-    uni = stored(bi.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "unigrams")
-    d1 = discounts(uni)
-    row = _contexts(uni, [], d1).first()
-    n_words = len(ids) + 2
-    p1 = uni.select("w", (_left(d1) / row["total"] + row["back"] / n_words).alias("p1"))
-    g2, g3 = stored(_contexts(bi, ["v"], d2), "g2"), stored(_contexts(tri, ["u", "v"], d3), "g3")
-    p2 = stored(bi.join(g2, "v").join(p1, "w").select(
-        "v", "w", (_left(d2) / F.col("total") + F.col("back") * F.col("p1")).alias("p2")), "p2")
-    p3 = stored(tri.join(g3, ["u", "v"]).join(p2, ["v", "w"]).select(
-        "u", "v", "w", (_left(d3) / F.col("total") + F.col("back") * F.col("p2")).alias("p3")), "p3")
-    return {"ids": ids, "once": once, "floor": math.log10(row["back"] / n_words),
-            "p1": p1.select("w", F.log10("p1").alias("x")), "p2": p2.select("v", "w", F.log10("p2").alias("x")),
-            "p3": p3.select("u", "v", "w", F.log10("p3").alias("x")),
-            "g2": g2.select("v", F.log10("back").alias("x")),
-            "g3": g3.select("u", "v", F.log10("back").alias("x"))}
+    whole = grams.where(F.col("kind") != SOME)
+    if (parts.share > 1).any():
+        some = stored(grams.where(F.col("kind") == SOME).mapInArrow(_deal_some(parts.n), GRAMS)
+                      .groupBy("part").applyInArrow(_merge(BI, None), GRAMS), "bigrams")
+        whole = whole.union(some)
+    counts = {r["kind"]: r for r in whole.groupBy("kind").agg(
+        F.sum("n").alias("n"), *[F.sum(f"n{i}").alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()}
+    d2, d3 = (discounts([counts[k][f"n{i}"] for i in (1, 2, 3, 4)]) for k in (BI, TRI))
+    uni = whole.where(F.col("kind") == BI).mapInArrow(_lasts, "w long, n long").groupBy("w").agg(
+        F.sum("n").alias("n")).toArrow()                                    # at most the vocabulary
+    w, n = uni["w"].to_numpy(), uni["n"].to_numpy()
+    d1 = discounts([int((n == i).sum()) for i in (1, 2, 3, 4)])
+    floor = held_back(n, d1).sum() / n.sum() / (len(ids) + 2)
+    p1 = np.full(len(ids) + FIRST_WORD, floor)
+    p1[w] = (n - held_back(n, d1)) / n.sum() + floor
+    return {"ids": ids, "seen": seen, "grams": whole.select("kind", "n", "data"),
+            "rows": sum(r["n"] for r in counts.values()),
+            "head": {"p1": p1, "d2": d2, "d3": d3, "unknown": math.log10(every["words"] - len(ids) + 1)}}
 
 
 class Shard:
     """Sorted arrays of one shard's log-probabilities and back-off weights."""
 
     def __init__(self, model: dict, shard: int, shards: int):
-        def load(name: str, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            t = model[name]
-            if "v" in keys:
-                t = t.where(F.pmod(F.xxhash64("v"), F.lit(shards)) == shard)
-            a = t.toArrow()
-            key = np.zeros(a.num_rows, dtype=np.int64)
-            for k in keys:
-                key = key << BITS | a.column(k).to_numpy()
-            order = np.argsort(key)
-            return key[order], a.column("x").to_numpy()[order].astype(np.float32)
-
-        self.p3, self.g3 = load("p3", ["u", "v", "w"]), load("g3", ["u", "v"])
-        self.p2, self.g2 = load("p2", ["v", "w"]), load("g2", ["v"])
-        n = len(model["ids"]) + FIRST_WORD
-        self.p1 = np.full(n, model["floor"], dtype=np.float32)
-        w, x = load("p1", ["w"])
-        self.p1[w] = x
-        self.unknown = math.log10(model["once"] + 1)
-        self.own = np.zeros(n, dtype=bool)           # middle words that belong to this shard
-        self.own[np.unique(self.g2[0])] = True
+        rows: dict[int, list] = {TRI: [], BI: []}
+        for r in model["grams"].toLocalIterator():
+            words = 3 if r["kind"] == TRI else 2
+            key, n = _unpack_keys(r["data"], r["n"], words, np.int64)
+            at = (key >> (words - 1) * BITS) % shards == shard
+            rows[r["kind"]].append((key[at], n[at]))
+        self._fill(model["head"], rows[TRI], rows[BI])
+
+    @classmethod
+    def of(cls, head: dict, tri: list, bi: list) -> Shard:
+        """From the (key, n) of its trigrams and bigrams."""
+        s = cls.__new__(cls)
+        s._fill(head, tri, bi)
+        return s
+
+    def _fill(self, head: dict, tri: list, bi: list) -> None:
+        none = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+        (k3, n3), (k2, n2) = (_summed(*map(np.concatenate, zip(*(x or none)))) for x in (tri, bi))
+        mask = (1 << BITS) - 1
+        v, back, at, total = _contexts(k2 >> BITS, n2, head["d2"])
+        p2 = (n2 - held_back(n2, head["d2"])) / total + back[at] * head["p1"][k2 & mask]
+        self.g2 = v, np.log10(back).astype(np.float32)
+        self.p2 = k2, np.log10(p2).astype(np.float32)
+        vu, back, at, total = _contexts(k3 >> BITS, n3, head["d3"])
+        low = p2[np.searchsorted(k2, k3 >> 2 * BITS << BITS | k3 & mask)] if len(k3) else np.zeros(0)
+        p3 = (n3 - held_back(n3, head["d3"])) / total + back[at] * low
+        self.g3 = vu, np.log10(back).astype(np.float32)
+        self.p3 = k3, np.log10(p3).astype(np.float32)
+        self.p1 = np.log10(head["p1"]).astype(np.float32)
+        self.unknown = head["unknown"]
+        self.own = np.zeros(len(self.p1), dtype=bool)           # middle words that belong to this shard
+        self.own[v] = True
+        self.known = self.own                                   # middle words of any shard
 
     @staticmethod
     def _get(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,19 +350,19 @@ class Shard:
         """Log-probability of each word w after u, v; 0 for those of other
         shards. Words after a v that is no context belong to the first shard."""
         mine = self.own[v] | ~self.known[v] if first else self.own[v]
-        at = np.flatnonzero(mine)
+        at = slice(None) if mine.all() else np.flatnonzero(mine)
         u, v, w = u[at], v[at], w[at]
-        vw = v << BITS | w
+        vw, vu = v << BITS | w, v << BITS | u
         has2, low = self._get(self.p2, vw)
         no2 = np.flatnonzero(~has2)
         low[no2] = self._get(self.g2, v[no2])[1] + self.p1[w[no2]]
         # a trigram is in the model only if its bigram is
         tri = np.flatnonzero(has2)
-        has3, p3 = self._get(self.p3, u[tri] << 2 * BITS | vw[tri])
-        backed = np.ones(len(at), dtype=bool)
+        has3, p3 = self._get(self.p3, vu[tri] << BITS | w[tri])
+        backed = np.ones(len(low), dtype=bool)
         backed[tri[has3]] = False
         rest = np.flatnonzero(backed)
-        low[rest] += self._get(self.g3, u[rest] << BITS | v[rest])[1]
+        low[rest] += self._get(self.g3, vu[rest])[1]
         low[tri[has3]] = p3[has3]
         low[w == UNKNOWN] -= self.unknown
         out = np.zeros(len(mine))
@@ -208,75 +370,142 @@ class Shard:
         return out
 
 
+DEALT = "part int, kind int, chunk long, docs int, n long, data binary"
+_DEALT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("docs", pa.int32()),
+                    ("n", pa.int64()), ("data", pa.binary())])
+SUMS = "chunk long, docs int, data binary"
+_SUMS = pa.schema([("chunk", pa.int64()), ("docs", pa.int32()), ("data", pa.binary())])
+_SCORES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_tokens", pa.int64()),
+                     ("log10_prob", pa.float64())])
+
+
+def _dealt_row(part: int, kind: int, chunk: int, docs: int, key: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"part": part, "kind": kind, "chunk": chunk, "docs": docs, "n": len(key),
+                                        "data": _pack_keys(key, last, 2 if kind == BI else 3)}], _DEALT)
+
+
+def _deal_model(parts: Parts, turn: int):
+    """The tables' rows to the parts of this round; bigrams of frequent middle words to each share."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle = parts.middle(turn)
+        for b in batches:
+            for k, rows, d in zip(b["kind"].to_pylist(), b["n"].to_pylist(), b["data"]):
+                words = 3 if k == TRI else 2
+                key, n = _unpack_keys(d.as_py(), rows, words, np.int64)
+                v = key >> (words - 1) * BITS
+                now = middle[v]
+                key, n, v = key[now], n[now], v[now]
+                if k == TRI:
+                    at, part = np.arange(len(key)), parts.of(key)
+                else:
+                    share = parts.share[v].astype(np.int64)
+                    at = np.repeat(np.arange(len(key)), share)
+                    part = (parts.first(v)[at] + np.arange(len(at)) - np.repeat(np.cumsum(share) - share, share)) % parts.n
+                for p, mine in _cut(part):
+                    yield _dealt_row(p, k, -1, 0, key[at[mine]], n[at[mine]])
+    return run
+
+
+def _deal_texts(parts: Parts, turn: int):
+    """The documents' trigrams that this round scores, with the document's number in its chunk."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle = parts.middle(turn)
+        for b in batches:
+            for chunk, n, length, d in zip(b["chunk"].to_pylist(), b["docs"].to_pylist(), b["n"].to_pylist(), b["data"]):
+                key, doc = trigrams(unpacked(d.as_py(), length, np.int32)[0], middle)
+                order = np.argsort(key)
+                key, doc = key[order], doc[order]
+                for p, at in _cut(parts.of(key)):
+                    yield _dealt_row(p, TEXT, chunk, n, key[at], doc[at])
+    return run
+
+
+def _part_sums(head: dict):
+    """Sums by document of the log-probabilities of a part's trigrams; the part's tables come first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tables, shard, mask = None, {TRI: [], BI: []}, None, (1 << BITS) - 1
+        for b in batches:
+            for p, k, chunk, docs, n, d in zip(*[b.column(i).to_pylist() for i in range(5)], b.column(5)):
+                if p != part:
+                    part, tables, shard = p, {TRI: [], BI: []}, None
+                if k != TEXT:
+                    tables[k].append(_unpack_keys(d.as_py(), n, 3 if k == TRI else 2, np.int64))
+                    continue
+                if shard is None:
+                    shard, tables = Shard.of(head, tables[TRI], tables[BI]), {}
+                key, doc = _unpack_keys(d.as_py(), n, 3, np.int32)
+                x = shard.log10(key >> BITS & mask, key >> 2 * BITS, key & mask, True)
+                x = np.rint(np.bincount(doc, x, docs) * SCALE).astype(np.int64)
+                yield pa.RecordBatch.from_pylist([{"chunk": chunk, "docs": docs, "data": packed(x)}], _SUMS)
+    return run
+
+
+def _add(t: pa.Table) -> pa.Table:
+    """The sums of a chunk over several parts."""
+    x = sum(unpacked(d.as_py(), n.as_py(), np.int64)[0] for d, n in zip(t["data"], t["docs"]))
+    return pa.Table.from_pylist([{"chunk": t["chunk"][0].as_py(), "docs": len(x), "data": packed(x)}], _SUMS)
+
+
+def _scores(t: pa.Table, sums: pa.Table) -> pa.Table:
+    """A chunk's documents with the sums of all rounds."""
+    x = sum(unpacked(d.as_py(), n.as_py(), np.int64)[0] for d, n in zip(sums["data"], sums["docs"]))
+    cols = [t.column(c).combine_chunks().flatten() for c in ("row", "doc_id", "lang", "n_tokens")]
+    return pa.Table.from_arrays([*cols, pa.array(x / SCALE)], schema=_SCORES)
+
+
 def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
           shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(row, doc_id, lang, n_tokens, log10_prob) of every document."""
-    src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
-                      F.col(f"`{lang}`").cast("string").alias("lang"),
-                      F.col(f"`{text}`").cast("string").alias("text"),
-                      F.monotonically_increasing_id().alias("row"))
-    rows = sum(model[k].count() for k in ("p3", "g3", "p2"))
-    shards = max(1, math.ceil(rows / shard_rows))
-    ids = model["ids"]
-    known = np.zeros(len(ids) + FIRST_WORD, dtype=bool)
-    known[[r["v"] for r in model["g2"].select("v").collect()]] = True       # at most the vocabulary
+    src = docs.select(F.col(f"`{text}`").cast("string").alias("text"),
+                      F.monotonically_increasing_id().alias("row"),
+                      F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
+                      F.col(f"`{lang}`").cast("string").alias("lang"))
+    ids, head = model["ids"], model["head"]
+    n_parts = max(1, math.ceil(model["rows"] / shard_rows))
+    rounds = min(ROUNDS, n_parts)
+    parts = Parts(model["seen"], n_parts, rounds)
+    info = pa.schema([("chunk", pa.int64()), ("docs", pa.int32()), ("n", pa.int64()), ("data", pa.binary()),
+                      ("row", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())), ("lang", pa.list_(pa.string())),
+                      ("n_tokens", pa.list_(pa.int64()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts as word ids between their marks."""
-        get = ids.get
-        for b in batches:
-            n, own = [], []
-            for t in b.column(2):
-                s = [BEGIN, BEGIN, *[get(w, UNKNOWN) for w in tokens(t.as_py())], FINISH]
-                n.append(len(s) - 2)
-                own.append(np.array(s, dtype=np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(3), b.column(0), b.column(1), pa.array(n, pa.int64()),
-                                              pa.array(own, pa.binary())], ["row", "doc_id", "lang", "n_tokens", "ids"])
-
-    def part(i: int):
-        shard = Shard(model, i, shards)
-        shard.known = known
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Some texts at a time as word ids between their marks."""
+        held: list[list] = [[], [], []]
+
+        def texts() -> Iterator:
             for b in batches:
-                x, flat, held = [], [], 0
-
-                def flush() -> None:
-                    s = np.frombuffer(b"".join(flat), dtype=np.int32).astype(np.int64)
-                    end = np.flatnonzero(s[2:] == FINISH)
-                    logs = shard.log10(s[:-2], s[1:-1], s[2:], i == 0)
-                    # what would span two texts is the two begin marks after each end
-                    logs[s[2:] == BEGIN] = 0
-                    total = np.cumsum(logs)[end]
-                    x.extend(np.diff(total, prepend=0.0).tolist())
-                    flat.clear()
-
-                for t in b.column(4):
-                    flat.append(t.as_py())
-                    held += len(flat[-1])
-                    if held > 4 * STEP_WORDS:
-                        flush()
-                        held = 0
-                if flat:
-                    flush()
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(x, pa.float64())],
-                                                 ["row", "doc_id", "lang", "n_tokens", "x"])
-        return run
-
-    schema = "row long, doc_id long, lang string, n_tokens long, x double"
-    coded = src.mapInArrow(encode, "row long, doc_id long, lang string, n_tokens long, ids binary")
-    if shards > 1:          # read once for each shard
-        coded = stored(coded, "word-ids")
-    parts = [coded.mapInArrow(part(i), schema) for i in range(shards)]
-    if shards == 1:
-        return parts[0].withColumnRenamed("x", "log10_prob")
-    return reduce(DataFrame.union, parts).groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"),
-        F.first("n_tokens").alias("n_tokens"), F.sum("x").alias("log10_prob"))
+                for t, *own in zip(b.column(0), *[b.column(i).to_pylist() for i in (1, 2, 3)]):
+                    for h, x in zip(held, own):
+                        h.append(x)
+                    yield t
+
+        for s, n in _coded(texts(), ids.get):
+            row = {"chunk": held[0][0], "docs": len(n), "n": len(s), "data": packed(s), "row": held[0][:],
+                   "doc_id": held[1][:], "lang": held[2][:], "n_tokens": n}
+            for h in held:
+                h.clear()
+            yield pa.RecordBatch.from_pylist([row], info)
+
+    coded = stored(src.mapInArrow(encode, "chunk long, docs int, n long, data binary, row array<long>, "
+                                          "doc_id array<long>, lang array<string>, n_tokens array<long>"), "word-ids")
+    sums = []
+    for turn in range(rounds):
+        dealt = model["grams"].mapInArrow(_deal_model(parts, turn), DEALT).union(
+            coded.select("chunk", "docs", "n", "data").mapInArrow(_deal_texts(parts, turn), DEALT))
+        own = dealt.repartitionById(parts.n, "part").sortWithinPartitions("part", "kind")
+        sums.append(stored(own.mapInArrow(_part_sums(head), SUMS).groupBy("chunk").applyInArrow(_add, SUMS), "sums"))
+    return coded.select("chunk", "row", "doc_id", "lang", "n_tokens").groupBy("chunk").cogroup(
+        reduce(DataFrame.union, sums).groupBy("chunk")).applyInArrow(
+            _scores, "row long, doc_id long, lang string, n_tokens long, log10_prob double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, lang, n_tokens, log10_prob, perplexity, threshold, kept)."""
+    with released(docs.sparkSession):
+        return _classify(docs, labels, shard_rows)
+
+
+def _classify(docs: DataFrame, labels: DataFrame, shard_rows: int) -> DataFrame:
     model = fit(docs, labels)
     if model is None:
         return docs.select("doc_id", "lang", F.lit(None).cast("long").alias("n_tokens"),
