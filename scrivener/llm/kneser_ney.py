@@ -44,6 +44,7 @@ from scrivener.llm.common import commonest, near_ids, released, stored
 SHARD_ROWS = 1_000_000   # trigrams and bigrams of a part of the tables
 ROUNDS = 4               # in which the documents' trigrams are dealt out
 STEP_WORDS = 1 << 21     # words coded together
+HELD_GRAMS = 1 << 21     # trigrams a task counts before it passes them on
 SCALE = 1 << 30          # a part's sums are whole numbers of 1 / SCALE: their order does not matter
 QUANTILE = 0.005
 MIN_TRUSTED = 50
@@ -167,7 +168,7 @@ _GRAMS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()
                     *[(f"n{i}", pa.int64()) for i in (1, 2, 3, 4)]])
 
 
-def _coded(texts: Iterator, get: Callable) -> Iterator[tuple[np.ndarray, list[int]]]:
+def _coded(texts: Iterator, get: Callable, step: int) -> Iterator[tuple[np.ndarray, list[int]]]:
     """Word ids between their marks of some texts at a time, and their token counts."""
     own, n, held = [], [], 0
     for t in texts:
@@ -175,19 +176,33 @@ def _coded(texts: Iterator, get: Callable) -> Iterator[tuple[np.ndarray, list[in
         own.append(np.array(s, dtype=np.int32))
         n.append(len(s) - 2)
         held += len(s)
-        if held >= STEP_WORDS:
+        if held >= step:
             yield np.concatenate(own), n
             own, n, held = [], [], 0
     if own:
         yield np.concatenate(own), n
 
 
-def _grams(ids: dict[str, int], parts: Parts):
-    """Counted trigrams of the texts, dealt to the parts."""
+def _grams(ids: dict[str, int]):
+    """Counted trigrams of the texts."""
+    step, every = HELD_GRAMS, np.ones(len(ids) + FIRST_WORD, dtype=bool)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = parts.middle(0)
-        for s, _ in _coded((t for b in batches for t in b.column(0)), ids.get):
+        for s, _ in _coded((t for b in batches for t in b.column(0)), ids.get, step):
             key, n = np.unique(trigrams(s, every)[0], return_counts=True)
+            v, u, w = (key >> BITS * i & (1 << BITS) - 1 for i in (2, 1, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, w, n)], ["u", "v", "w", "n"])
+    return run
+
+
+def _deal_grams(ids: dict[str, int], parts: Parts):
+    """Counted trigrams of the texts, packed for the parts."""
+    count = _grams(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in count(batches):
+            u, v, w, n = (x.to_numpy() for x in b.columns)
+            key = (v << BITS | u) << BITS | w
             for p, at in _cut(parts.of(key)):
                 yield pa.RecordBatch.from_pylist([_gram_row(p, TRI, key[at], n[at])], _GRAMS)
     return run
@@ -274,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     del listed
     seen[UNKNOWN] = (every["n"] or 0) - seen.sum()
     parts = Parts(seen, max(1, math.ceil(seen.sum() / SHARD_ROWS)))
-    grams = stored(trusted.mapInArrow(_grams(ids, parts), GRAMS).groupBy("part")
+    grams = stored(trusted.mapInArrow(_deal_grams(ids, parts), GRAMS).groupBy("part")
                    .applyInArrow(_merge(TRI, parts.share), GRAMS), "grams")
     if grams.isEmpty():
         return None
@@ -460,7 +475,7 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
                       F.monotonically_increasing_id().alias("row"),
                       F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                       F.col(f"`{lang}`").cast("string").alias("lang"))
-    ids, head = model["ids"], model["head"]
+    ids, head, step = model["ids"], model["head"], STEP_WORDS
     n_parts = max(1, math.ceil(model["rows"] / shard_rows))
     rounds = min(ROUNDS, n_parts)
     parts = Parts(model["seen"], n_parts, rounds)
@@ -479,7 +494,7 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
                         h.append(x)
                     yield t
 
-        for s, n in _coded(texts(), ids.get):
+        for s, n in _coded(texts(), ids.get, step):
             row = {"chunk": held[0][0], "docs": len(n), "n": len(s), "data": packed(s), "row": held[0][:],
                    "doc_id": held[1][:], "lang": held[2][:], "n_tokens": n}
             for h in held:

@@ -65,6 +65,7 @@ def brute(texts):
 def test_scores_match_brute_force(spark, monkeypatch, step):
     """Whatever the parts, rounds and chunks, frequent middle words split or not."""
     monkeypatch.setattr(K, "STEP_WORDS", step)
+    monkeypatch.setattr(K, "HELD_GRAMS", step)
     texts = sentences(200, 1) + [f"a b odd{i} c" for i in range(9)]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, len(texts), 2)], "doc_id long, quality int, toxic int")
